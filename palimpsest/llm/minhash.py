@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose component has a smaller id; repeated rows of a kept id become one. Rows of a null id stay."""
+    """docs without the rows whose component has a smaller id; repeated rows of a kept id, and rows of a null id, all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
