@@ -1,6 +1,329 @@
-"""The engine's own queries by name, and DuckDB SQL that gives the same rows."""
+"""The engine's own queries by name, and DuckDB SQL that gives the same rows.
+
+The tables hold no images, so embeddings stand in: the signs of their 64 values
+are a fingerprint, their values an 8 x 8 grey raster, and sixteen of them in the
+order of ids a 32 x 32 one.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import raster
+from palimpsest.functions.columns import base_name, clamp_byte, extension, grey, hamming, is_image, popcount, sign_word
+from palimpsest.operators import groups, join
+from palimpsest.plans.numbering import numbered
+from palimpsest.plans.storage import kept
+from palimpsest.sources import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+T = 22
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prints(spark: SparkSession, sf_dir: str, two: bool = False) -> DataFrame:
+    """(id, w0[, w1]); the second word takes the signs of what is above 0.05."""
+    e = table(spark, sf_dir, "embeddings")
+    cols = [F.col("vec_id").alias("id"), sign_word(F.col("embedding")).alias("w0")]
+    if two:
+        cols.append(sign_word(F.transform("embedding", lambda x: x - F.lit(0.05).cast("float"))).alias("w1"))
+    return e.select(*cols)
+
+
+_FP = "CAST(CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN {0} > 0 THEN '1' ELSE '0' END), '') AS BIT) AS BIGINT)"
+_PRINTS = f"p AS (SELECT vec_id AS id, {_FP.format('x')} AS w FROM embeddings)"
+_EDGES = f"{_PRINTS}, e AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.w, b.w)) < {T})"
+_GROUPS = f"""{_EDGES}, both_ways AS (SELECT a, b, dist FROM e UNION ALL SELECT b, a, dist FROM e),
+    nb AS (SELECT a AS id, list(b) AS bs FROM both_ways GROUP BY a), o AS (SELECT id, bs, row_number() OVER (ORDER BY id) AS rn FROM nb),
+    walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS skip, CAST(NULL AS BIGINT) AS seed
+        UNION ALL SELECT o.rn, CASE WHEN list_contains(w.skip, o.id) THEN w.skip ELSE list_concat(w.skip, list_append(o.bs, o.id)) END,
+            CASE WHEN list_contains(w.skip, o.id) THEN NULL ELSE o.id END FROM walk w JOIN o ON o.rn = w.rn + 1),
+    s AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS group_id FROM walk WHERE seed IS NOT NULL),
+    m AS (SELECT group_id, seed, 0 AS ord, seed AS id, 0 AS dist FROM s
+        UNION ALL SELECT group_id, seed, row_number() OVER (PARTITION BY seed ORDER BY dist DESC, b), b, dist FROM s JOIN both_ways ON a = seed)"""
+
+
+def edges(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
+    return join.within(prints(spark, sf_dir), T, strategy)
+
+
+@query(f"WITH {_PRINTS} SELECT id, w AS hash FROM p")
+def fp64_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints(spark, sf_dir).withColumnRenamed("w0", "hash")
+
+
+_PAIRS = f"WITH {_EDGES} SELECT a, b, dist FROM e"
+
+
+@query(_PAIRS)
+def hamming_pairs_lt22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir)
+
+
+@query(_PAIRS)
+def block_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir, "block")
+
+
+@query(f"WITH {_PRINTS} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.w, b.w)) < 19")
+def band_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.within(prints(spark, sf_dir), 19, "band")
+
+
+_P2 = f"p AS (SELECT vec_id AS id, {_FP.format('x')} AS w, {_FP.format('x - CAST(0.05 AS FLOAT)')} AS v FROM embeddings)"
+
+
+@query(f"WITH {_P2}, d AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) + CAST(bit_count(xor(a.v, b.v)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id < b.id) SELECT * FROM d WHERE dist < 40")
+def dist128_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.within(prints(spark, sf_dir, two=True), 40)
+
+
+@query(f"WITH {_EDGES} SELECT dist, count(*) AS pairs FROM e GROUP BY dist")
+def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).groupBy("dist").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {_EDGES} SELECT t AS threshold, count(*) AS pairs FROM e JOIN (VALUES (18), (20), (22)) x(t) ON dist < t GROUP BY t")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(18), F.lit(20), F.lit(22)))).where("dist < threshold").groupBy("threshold").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {_PRINTS} SELECT b.id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id = 0 AND b.id <> 0 AND bit_count(xor(a.w, b.w)) < 26")
+def compare_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prints(spark, sf_dir)
+    return join.probe(p.where("id = 0"), p.where("id <> 0"), 26)
+
+
+@query(f"WITH {_PRINTS} SELECT b.id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id = 0 AND bit_count(xor(a.w, b.w)) < 26")
+def compare_relisted_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prints(spark, sf_dir)
+    return join.probe(p.where("id = 0"), p, 26)
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, seed, array_to_string(list(id ORDER BY ord), ',') AS members FROM m GROUP BY group_id, seed")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = groups.groups(kept(edges(spark, sf_dir), "links"))
+    return g.select("group_id", "seed", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.members(kept(edges(spark, sf_dir), "links"))
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, seed, CAST(ord AS INTEGER) AS ord, id, dist FROM m")
+def dup_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS total FROM m")
+def dup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.total(groups.groups(kept(edges(spark, sf_dir), "links")), "members")
+
+
+@query(f"WITH {_EDGES} SELECT a AS id FROM e UNION SELECT b FROM e")
+def dup_union_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).select("id").distinct()
+
+
+def _paths(members: DataFrame) -> DataFrame:
+    """Stand-in paths of items, some of which need quoting."""
+    folder = F.when(F.col("id") % 3 == 0, "a, b").when(F.col("id") % 3 == 1, 'the "best"').otherwise("plain")
+    return members.withColumn("path", F.concat(F.lit("/img/"), folder, F.lit("/"), F.col("id").cast("string"), F.lit(".png")))
+
+
+_PATH = "'/img/' || CASE id % 3 WHEN 0 THEN 'a, b' WHEN 1 THEN 'the \"best\"' ELSE 'plain' END || '/' || id || '.png'"
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT {_PATH} AS path FROM m WHERE ord > 0 AND id NOT IN (SELECT seed FROM s)")
+def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.delete_plan(_paths(_members(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, {_PATH} AS source, '/dups/group' || group_id || '/' || id || '.png' AS target FROM m")
+def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.move_plan(_paths(_members(spark, sf_dir)), "/dups")
+
+
+@query(f"""WITH RECURSIVE {_GROUPS}, f AS (SELECT group_id, ord, {_PATH} AS path FROM m)
+    SELECT group_id, string_agg(CASE WHEN path LIKE '%,%' OR path LIKE '%"%' THEN '"' || replace(path, '"', '""') || '"' ELSE path END, ',' ORDER BY ord) AS value FROM f GROUP BY group_id""")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _paths(_members(spark, sf_dir)).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("m"))
+    return sinks.csv_rows(g.select("group_id", F.transform("m", lambda x: x["path"]).alias("paths")))
+
+
+@query("SELECT page_id, regexp_extract(u, '(\\.[^./]*)$', 1) AS ext, regexp_extract(u, '(\\.[^./]*)$', 1) IN ('.png', '.jpg', '.jpeg') AS image FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' ELSE '' END AS u FROM pages)")
+def ext_filter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    u = F.concat("url", F.when(k == 0, ".png").when(k == 1, ".JPG").when(k == 2, ".jpeg").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", extension(u).alias("ext"), is_image(u).alias("image"))
+
+
+@query("SELECT page_id, string_split(url, '/')[-1] AS base FROM pages")
+def basename_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", base_name(F.col("url")).alias("base"))
+
+
+@query("SELECT doc_id, count(*) AS parts, count(DISTINCT w) AS kinds FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
+def stdin_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    return words.groupBy("doc_id").agg(F.count("*").alias("parts"), F.countDistinct("w").alias("kinds"))
+
+
+@query("SELECT url AS path, row_number() OVER (ORDER BY page_id) AS file_id FROM pages")
+def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "file_id", 1).select(F.col("url").alias("path"), "file_id")
+
+
+def _pixels():
+    return F.transform("embedding", lambda e: clamp_byte(F.floor((e + F.lit(1.0).cast("float")).cast("double") * 127.5)))
+
+
+_PX = "CAST(least(255, greatest(0, trunc(floor(CAST(x + CAST(1 AS FLOAT) AS DOUBLE) * 127.5) + 0.5))) AS BIGINT)"
+
+
+@query(f"SELECT vec_id, i - 1 AS pixel, 0.299::DOUBLE * (257 * px) + 0.587::DOUBLE * (257 * px) + 0.114::DOUBLE * (257 * px) AS grey FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS px, unnest(range(1, 65)) AS i FROM embeddings)")
+def grey_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(_pixels()).alias("pixel", "px"))
+    return p.select("vec_id", F.col("pixel").cast("long").alias("pixel"), grey(F.col("px"), F.col("px"), F.col("px"), F.lit(255)).alias("grey"))
+
+
+def _raster(values: np.ndarray, side: int) -> np.ndarray:
+    out = np.full((side, side, 4), 255, np.uint8)
+    out[..., :3] = np.asarray(values, np.int64).reshape(side, side)[..., None]
+    return out
+
+
+def _resized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    f = raster.FILTERS[name]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = [raster.resize(_raster(p, 8), 9, 9, f)[..., 0].ravel() for p in frame["px"]]
+            yield pd.DataFrame({"vec_id": np.repeat(frame["vec_id"].to_numpy(), 81), "pixel": np.tile(np.arange(81), len(parts)), "value": np.concatenate(parts).astype(np.int64)})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(run, "vec_id long, pixel long, value long")
+
+
+def _resize_sql(name: str) -> str:
+    rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 8, raster.FILTERS[name])) for u, w in r)
+    round_ = "CAST(trunc(sum(v * (255 * w)) / sum(255 * w) + 0.5) AS BIGINT)"
+    return f"""WITH w(d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+        h AS (SELECT vec_id, y, d AS x, {round_} AS v FROM px JOIN w ON s = x GROUP BY vec_id, y, d)
+        SELECT vec_id, d * 9 + x AS pixel, {round_} AS value FROM h JOIN w ON s = y GROUP BY vec_id, d, x"""
+
+
+for _name in ("linear", "box"):
+    _f = lambda spark, sf_dir, n=_name: _resized(spark, sf_dir, n)
+    _f.__name__ = f"resize_r8_9x9_{_name}"
+    query(_resize_sql(_name))(_f)
+
+
+@query(f"""WITH px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+    n AS (SELECT d, CAST(floor((d + 0.5::DOUBLE) * (8.0::DOUBLE / 9)) AS BIGINT) AS s FROM range(9) t(d))
+    SELECT vec_id, a.d * 9 + b.d AS pixel, v AS value FROM px JOIN n a ON a.s = y JOIN n b ON b.s = x""")
+def resize_r8_9x9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resized(spark, sf_dir, "nearest")
+
+
+def _hash_rows(name: str, side: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words = [raster.hashes(name, _raster(p, side)) for p in frame["px"]]
+            out = {"id": frame["id"].to_numpy(), "w0": [w[0] for w in words]}
+            yield pd.DataFrame(out | ({"w1": [w[1] for w in words]} if name == "dhash" else {}))
+
+    return run
+
+
+_DHASH = _resize_sql("linear")
+
+
+@query(f"""WITH g AS ({_DHASH}), a AS (SELECT l.vec_id, l.pixel // 9 AS y, l.pixel % 9 AS x, l.value < r.value AS darker FROM g l JOIN g r ON r.vec_id = l.vec_id AND r.pixel = l.pixel + 1 WHERE l.pixel % 9 < 8 AND l.pixel // 9 < 8),
+    b AS (SELECT l.vec_id, l.pixel // 9 AS y, l.pixel % 9 AS x, l.value < r.value AS darker FROM g l JOIN g r ON r.vec_id = l.vec_id AND r.pixel = l.pixel + 9 WHERE l.pixel % 9 < 8 AND l.pixel // 9 < 8),
+    u AS (SELECT vec_id, 0 AS k, y, x, darker FROM a UNION ALL SELECT vec_id, 1, y, x, darker FROM b),
+    w AS (SELECT vec_id, k, CAST(CAST(string_agg(CASE WHEN darker THEN '1' ELSE '0' END, '' ORDER BY 8 * y + x DESC) AS BIT) AS BIGINT) AS word FROM u GROUP BY vec_id, k)
+    SELECT vec_id AS id, max(word) FILTER (WHERE k = 0) AS w0, max(word) FILTER (WHERE k = 1) AS w1 FROM w GROUP BY vec_id""")
+def dhash_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _pixels().alias("px"))
+    return e.mapInPandas(_hash_rows("dhash", 8), "id long, w0 long, w1 long")
+
+
+def _r32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("id"), "vec_id", _pixels().alias("px"))
+    g = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("m")).where(F.size("m") == 16)
+    return g.select("id", F.flatten(F.transform("m", lambda x: x["px"])).alias("px"))
+
+
+_COEFFICIENTS = f"""px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+    g AS (SELECT id, spot // 32 AS y, spot % 32 AS x, 0.299::DOUBLE * (257 * v) + 0.587::DOUBLE * (257 * v) + 0.114::DOUBLE * (257 * v) AS v FROM px WHERE id IN (SELECT id FROM px GROUP BY id HAVING count(*) = 1024)),
+    k AS (SELECT u, v, x, y, cos((2 * x + 1) * u / 64.0::DOUBLE * pi()) * cos((2 * y + 1) * v / 64.0::DOUBLE * pi()) AS c FROM range(1, 9) a(u), range(1, 9) b(v), range(32) d(x), range(32) f(y)),
+    c AS (SELECT id, k.u, k.v, 0.25 * sum(k.c * g.v) AS f FROM g JOIN k USING (x, y) GROUP BY id, k.u, k.v)"""
+
+
+@query(f"WITH {_COEFFICIENTS} SELECT id, (u - 1) * 8 + v - 1 AS n, round(f, 3) AS f FROM c")
+def dct_coeffs_r32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = [raster.cosine_coefficients(_raster(p, 32)) for p in frame["px"]]
+            if parts:
+                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), 64), "n": np.tile(np.arange(64), len(parts)), "f": np.concatenate(parts)})
+
+    return _r32(spark, sf_dir).mapInPandas(run, "id long, n long, f double").withColumn("f", F.round("f", 3))
+
+
+@query(f"""WITH {_COEFFICIENTS}, m AS (SELECT id, list(f ORDER BY f)[33] AS median FROM c GROUP BY id)
+    SELECT id, CAST(CAST(string_agg(CASE WHEN f > median THEN '1' ELSE '0' END, '' ORDER BY (u - 1) * 8 + v - 1 DESC) AS BIT) AS BIGINT) AS w0 FROM c JOIN m USING (id) GROUP BY id""")
+def dct_hash_r32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r32(spark, sf_dir).mapInPandas(_hash_rows("dct", 32), "id long, w0 long")
+
+
+def _weight_rows() -> list[tuple[str, int, int, float]]:
+    return [(f.name, v, u, w) for f in raster.FILTERS.values() if f.support > 0 for v, r in enumerate(raster.taps(9, 32, f)) for u, w in r]
+
+
+_KERNELS = {
+    "box": (0.5, "CASE WHEN x <= 0.5 THEN 1.0 ELSE 0 END"),
+    "linear": (1, "1 - x"),
+    "hermite": (1, "2 * x ** 3 - 3 * x ** 2 + 1"),
+    "gaussian": (2, "exp(-2 * x * x)"),
+    "bartlett": (3, "sinc * (3 - x) / 3"),
+    "hann": (3, "sinc * (0.5 + 0.5 * cos(pi() * x / 3))"),
+    "hamming": (3, "sinc * (0.54 + 0.46 * cos(pi() * x / 3))"),
+    "welch": (3, "sinc * (1 - x * x / 9)"),
+    "cosine": (3, "sinc * cos(pi() / 2 * (x / 3))"),
+    "lanczos": (3, "sinc * CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x / 3) / (pi() * x / 3) END"),
+    "blackman": (3, "sinc * (0.42 - 0.5 * cos(pi() * x / 3 + pi()) + 0.08 * cos(2 * pi() * x / 3))"),
+    "bspline": (2, "CASE WHEN x < 1 THEN (3 * x ** 3 - 6 * x ** 2 + 4) / 6 ELSE (-x ** 3 + 6 * x ** 2 - 12 * x + 8) / 6 END"),
+    "catmullrom": (2, "CASE WHEN x < 1 THEN (9 * x ** 3 - 15 * x ** 2 + 6) / 6 ELSE (-3 * x ** 3 + 15 * x ** 2 - 24 * x + 12) / 6 END"),
+    "mitchell": (2, "CASE WHEN x < 1 THEN (7 * x ** 3 - 12 * x ** 2 + 16.0 / 3) / 6 ELSE (-7.0 / 3 * x ** 3 + 12 * x ** 2 - 20 * x + 32.0 / 3) / 6 END"),
+}
+
+
+@query("WITH t AS (SELECT v, u, (v + 0.5::DOUBLE) * (32.0::DOUBLE / 9) - 0.5 AS c FROM range(9) a(v), range(32) b(u)), " + "r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, v, u, CASE WHEN x {'<=' if n == 'box' else '<'} {s} THEN {k} ELSE 0 END AS w FROM (SELECT v, u, x, CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END AS sinc FROM (SELECT v, u, CAST(abs(u - c) / (32.0 / 9) AS DOUBLE) AS x FROM t))" for n, (s, k) in _KERNELS.items()) + ") SELECT filter, v AS dst, u AS src, round(w / sum(w) OVER (PARTITION BY filter, v), 9) AS weight FROM r WHERE w <> 0")
+def filter_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_weight_rows(), "filter string, dst long, src long, weight double")
+    return rows.withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {_PRINTS} SELECT id, CAST(bit_count(w) AS INTEGER) AS bits, CAST(bit_count(xor(w, CAST(0 AS BIGINT))) AS INTEGER) AS from_zero FROM p")
+def popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints(spark, sf_dir).select("id", popcount(F.col("w0")).alias("bits"), hamming(F.col("w0"), F.lit(0).cast("long")).alias("from_zero"))
