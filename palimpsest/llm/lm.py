@@ -203,7 +203,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up the tables of each key."""
+    """Add up the tables of each key in a partition; more groups of a key than one there become one."""
     sums: dict[int, np.ndarray] = {}
     seen: dict[int, int] = {}
     for frame in frames:
@@ -214,10 +214,15 @@ def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"key": list(sums), "n": [seen[k] for k in sums], "table": [_pack(a) for a in sums.values()]}).astype({"key": "int64", "n": "int64"})
 
 
-def _added_up(df: DataFrame) -> DataFrame:
-    """Tables (key, n, table) of each key added up by levels: first within groups of tasks' tables, then over groups."""
-    for groups in (16, 1):
-        df = df.withColumn("_g", F.pmod(F.xxhash64("table"), F.lit(groups))).repartition("key", "_g").select("key", "n", "table").mapInPandas(_added, "key long, n long, table binary")
+#: Tables that one task adds up.
+FAN_IN = 16
+
+
+def _added_up(df: DataFrame, tables: int) -> DataFrame:
+    """Tables (key, n, table) of each key added up by levels of FAN_IN; tables: how many a key has at most."""
+    while tables > 1:
+        tables = -(-tables // FAN_IN)
+        df = df.withColumn("_g", F.pmod(F.xxhash64("table"), F.lit(tables))).repartition("key", "_g").select("key", "n", "table").mapInPandas(_added, "key long, n long, table binary")
     return df
 
 
@@ -280,7 +285,8 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2) -> DataFrame:
     words = stored(trained.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     model = Model()
-    for row in _added_up(trained.where("kind > 0").select((F.col("key") + 10 * F.col("kind")).alias("key"), "n", "table")).collect():  # one row an order, one of weights
+    packed = trained.where("kind > 0").select((F.col("key") + 10 * F.col("kind")).alias("key"), "n", "table")
+    for row in _added_up(packed, trained.where("kind = 2").count()).collect():  # one row an order, one of weights
         table = _unpack(row["table"])
         if row["key"] >= 20:
             size = model.weights.size
