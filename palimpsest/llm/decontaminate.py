@@ -33,6 +33,8 @@ RARE_DOCS, LEAST_SEEDS = 50, 4
 #: Share of an item's words that an alignment must match, and the least number of words.
 COVERAGE, LEAST_WORDS = 0.6, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of an item that one alignment takes; longer items align in pieces.
+PIECE_WORDS = 500
 #: Items whose seeds one pass holds in memory.
 ITEMS_PER_PASS = 50_000
 
@@ -69,6 +71,22 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return top, matched
 
 
+def align_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The best alignment of a with b, which is taken in overlapping parts if it is long."""
+    step = max(64, 8 * len(a))
+    return max(align(a, b[s : s + step + 3 * len(a)]) for s in range(0, max(1, len(b) - 3 * len(a)), step))
+
+
+def align_item(a: np.ndarray, b: np.ndarray, coverage: float) -> tuple[int, int]:
+    """(score, matched words) of an item against a window, in memory that doesn't grow with the item: of an item of more
+    than PIECE_WORDS words, the sums over those of its equal pieces that match in that share of their words."""
+    if len(a) <= PIECE_WORDS:
+        return align_parts(a, b)
+    pieces = np.array_split(a, -(-len(a) // PIECE_WORDS))
+    found = [(score, matched) for p in pieces for score, matched in [align_parts(p, b)] if matched >= coverage * len(p)]
+    return sum(f[0] for f in found), sum(f[1] for f in found)
+
+
 class Seeds:
     """Sorted seed hashes with the items that hold them."""
 
@@ -147,10 +165,7 @@ def _aligner(handle, coverage: float, least: int):
                 key = (item, b.tobytes())
                 found = known.get(key)
                 if found is None:
-                    found = (0, 0)
-                    step = max(64, 8 * len(a))  # long windows in overlapping parts
-                    for s in range(0, max(1, len(b) - 3 * len(a)), step):
-                        found = max(found, align(a, b[s : s + step + 3 * len(a)]))
+                    found = align_item(a, b, coverage)
                     if len(known) < 20_000 and len(b) < 2000:
                         known[key] = found
                 score, matched = found
@@ -165,8 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     """(doc_id, item_id, score, matched_words, coverage), a row for each document and item it has a copy of.
 
     Null and empty texts and items match nothing; rows without an id are passed
-    over. Repeated ids count as one: the best alignment stays. Empty tables give
-    an empty table.
+    over. Repeated ids count as one: the best alignment stays. Very long items
+    align in pieces (align_item). Empty tables give an empty table.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -212,6 +212,14 @@ def test_licences(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_decontamination_of_very_long_items(spark):
+    long = [f"w{k}x{k * 7919 % 1009}" for k in range(12_000)]
+    edited = [w if k % 9 else "changed" for k, w in enumerate(long)]
+    rows = [(1, "before " + " ".join(edited) + " after"), (2, " ".join(long[:3000])), (3, "nothing of it")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(long))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)] and found[0]["matched_words"] == sum(k % 9 > 0 for k in range(12_000))
+
+
 def test_language_model(docs):
     got = lm.score(docs).collect()
     assert len(got) == docs.count()
