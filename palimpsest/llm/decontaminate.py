@@ -5,10 +5,12 @@ edited and paraphrased copies are found as well as exact ones.
 Steps: (1) all word n-grams of the items are seeds; (2) one pass over the whole
 texts finds seed hits and cuts, for each (document, item), the window of words
 around each cluster of hits; (3) a seed is rare if few documents have it, and
-an item's least frequent seeds count as rare however frequent they are, so that
-an item copied into many documents is still found; (4) windows with a rare seed
-are aligned with the item. A window is as wide as the item allows: twice its
-length on both sides of the hits.
+an item's least frequent seeds count as rare however frequent they are; (4)
+windows with a rare seed are aligned with the item. So are those with frequent
+seeds alone that share enough words with the item, in any order, for an
+alignment to reach the coverage: the others provably can't, so no copy is lost
+however many documents hold it. A window is as wide as the item allows: twice
+its length on both sides of the hits.
 
 The seeds go to the tasks in blocks of a fixed number of items, so that a large
 benchmark costs further passes, not memory. Equal windows are aligned once in a
@@ -28,7 +30,7 @@ from .shared import prepare, stored
 from .textkernel import blocks, ngrams, words_of
 
 SEED_WORDS = 4
-#: A seed in so many documents or fewer is rare; each item keeps its rarest seeds whatever their frequency.
+#: A seed in so many documents or fewer is rare, and each item's rarest seeds are; windows without one must share words.
 RARE_DOCS, LEAST_SEEDS = 50, 4
 #: Share of an item's words that an alignment must match, and the least number of words.
 COVERAGE, LEAST_WORDS = 0.6, 6
@@ -102,8 +104,18 @@ class Seeds:
         self.item = np.array([p[1] for p in pairs], np.int64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.bags = {i: np.unique(w, return_counts=True) for i, w in self.words.items()}
         self.short = min((len(w) for w in self.words.values()), default=n) < n
 
+    def most(self, item: int, window: np.ndarray) -> int:
+        """No alignment of the item with the window can match more words than this."""
+        word, times = self.bags[item]
+        at = np.minimum(np.searchsorted(word, window), len(word) - 1)
+        have = np.bincount(at[word[at] == window], minlength=len(word))
+        if len(self.words[item]) > PIECE_WORDS:  # pieces may match the same words of the window
+            return int(times[have > 0].sum())
+        return int(np.minimum(have, times).sum())
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, row of the seed table) of every hit."""
         maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
@@ -113,7 +125,12 @@ class Seeds:
         return at, np.repeat(lo, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _finder(handle, n: int):
+def enough(matched: int, words: int, coverage: float, least: int) -> bool:
+    """Whether so many matched words of an item of so many make a copy."""
+    return matched >= min(least, words) and matched >= coverage * words
+
+
+def _finder(handle, n: int, coverage: float, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = handle.value
         for frame in frames:
@@ -147,9 +164,10 @@ def _finder(handle, n: int):
                 out = []
                 for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
                     lo, hi = max(starts[d[a]], p[a] - reach[a]), min(starts[d[a] + 1], p[b - 1] + n + reach[a])
-                    out.append((int(item[a]), np.unique(seeds.hash[seed[a:b]]).view(np.int64), w.hash[lo:hi].view(np.int64)))
+                    window, i = w.hash[lo:hi], int(item[a])
+                    out.append((i, np.unique(seeds.hash[seed[a:b]]).view(np.int64), window.view(np.int64), enough(seeds.most(i, window), len(seeds.words[i]), coverage, least)))
                 ids = frame["doc_id"].iloc[first + d[cut]].to_numpy()
-                yield pd.DataFrame({"doc_id": ids, "item_id": [x[0] for x in out], "seeds": [x[1] for x in out], "window": [x[2] for x in out]})
+                yield pd.DataFrame({"doc_id": ids, "item_id": [x[0] for x in out], "seeds": [x[1] for x in out], "window": [x[2] for x in out], "close": [x[3] for x in out]})
 
     return run
 
@@ -169,7 +187,7 @@ def _aligner(handle, coverage: float, least: int):
                     if len(known) < 20_000 and len(b) < 2000:
                         known[key] = found
                 score, matched = found
-                if matched >= min(least, len(a)) and matched >= coverage * len(a):
+                if enough(matched, len(a), coverage, least):
                     rows.append((doc, item, score, matched, matched / len(a)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched_words", "coverage"]).astype({"doc_id": "int64", "item_id": "int64", "score": "int64", "matched_words": "int64", "coverage": "float64"})
 
@@ -192,12 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     for k in range(passes):
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow().to_pydict()
         handle = spark.sparkContext.broadcast(Seeds(list(zip(held["item_id"], held["text"], strict=True)), seed_words))
-        hits = stored(plain.mapInPandas(_finder(handle, seed_words), "doc_id long, item_id long, seeds array<long>, window array<long>"), "hits")
+        hits = stored(plain.mapInPandas(_finder(handle, seed_words, coverage, least_words), "doc_id long, item_id long, seeds array<long>, window array<long>, close boolean"), "hits")
         seen = hits.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("docs"))
         rank = F.row_number().over(Window.partitionBy("item_id").orderBy("docs", "seed"))
         rare = seen.withColumn("rank", rank).where((F.col("docs") <= rare_docs) | (F.col("rank") <= LEAST_SEEDS))
         chosen = rare.groupBy("item_id").agg(F.collect_set("seed").alias("rare"))  # at most an item's own seeds
-        near = hits.join(F.broadcast(chosen), "item_id").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "window")
+        near = hits.join(F.broadcast(chosen), "item_id").where(F.col("close") | F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "window")
         parts.append(near.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_aligner(handle, coverage, least_words), "doc_id long, item_id long, score long, matched_words long, coverage double"))
     out = parts[0]
     for more in parts[1:]:

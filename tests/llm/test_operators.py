@@ -220,6 +220,24 @@ def test_decontamination_of_very_long_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)] and found[0]["matched_words"] == sum(k % 9 > 0 for k in range(12_000))
 
 
+def test_decontamination_of_edited_copies_in_many_documents(spark):
+    r = random.Random(3)
+    item, rows = [f"w{k}" for k in range(24)], []
+    for doc in range(300):
+        copy = list(item)
+        for at in r.sample(range(24), 4):
+            copy[at] = f"x{r.randrange(1000)}"
+        if doc % 5 == 4:  # a piece of the item is no copy
+            copy = copy[:10] + [f"y{r.randrange(1000)}" for _ in range(14)]
+        rows.append((doc, " ".join(["before"] * 9 + copy + ["after"] * 9)))
+    hashes = [decontaminate.words_of([t.encode()]).hash for t in [" ".join(item), *(t for _, t in rows)]]
+    expect = {k for k, h in enumerate(hashes[1:]) if decontaminate.align(hashes[0], h)[1] >= 0.6 * 24}
+    seeds = {" ".join(item[k : k + 4]) for k in range(21)}
+    expect = {k for k in expect if any(s in rows[k][1] for s in seeds)}
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} == expect and len(expect) > 200
+
+
 def test_language_model(docs):
     got = lm.score(docs).collect()
     assert len(got) == docs.count()
