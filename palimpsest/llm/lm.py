@@ -1,8 +1,8 @@
 """Language-model scoring: online logistic context mixing.
 
-A byte is eight binary decisions. For each of several contexts (the last one,
-two, three and four bytes) a hashed table of counts of zeros and
-ones predicts the next bit. Predictions are mixed in the logistic domain by one
+A byte is eight binary decisions. For each of several contexts (the last one
+to six bytes) a hashed table of counts of zeros and ones predicts the next
+bit. Predictions are mixed in the logistic domain by one
 of several sets of weights, which the gate picks from the bit's position and
 from how much the longest contexts have been seen. Weights are trained online,
 by gradient steps in the order of the text; an adaptive map then refines the
@@ -12,7 +12,8 @@ Training reads every training text once, spread over all tasks. A task goes
 through its texts block by block: it predicts a block from what it has counted
 so far, takes a gradient step, then counts the block. Afterwards counts are
 added up over the corpus, by levels, and weights averaged by the bytes they saw.
-Sizes of tables are fixed; what goes to the tasks doesn't grow with the input.
+Sizes of tables are fixed; what goes to the tasks doesn't grow with the input:
+a byte a slot, which holds the rounded log odds and whether counts back them.
 
 While scoring, several refinements (plain, sharpened, flattened) compete: a
 Bayesian mixture over them adapts to each text as it goes, so the result is a
@@ -25,21 +26,25 @@ words and of one end a text, smoothed by one.
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import prepare, stored
 from .textkernel import blocks, mix, words_of
 
-ORDERS = (1, 2, 3, 4)
-SLOT_BITS = 20
-SETS = 8 * 4
+#: Bytes of context of each predictor, and the bits of its table's slots.
+ORDERS, SLOT_BITS = (1, 2, 3, 4, 5, 6), (16, 20, 21, 21, 22, 22)
+CONTEXT = max(ORDERS)
+SURE = len(ORDERS)
+SETS = 8 * SURE
+#: Steps of the log odds that a byte holds.
+LEVELS = 8
 RATE = 0.5
 BINS = 33
 #: Bytes of text between two online steps of a task; steps take distinct contexts in parts.
@@ -51,28 +56,37 @@ POWERS = (1.0, 0.9, 1.1)
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, the four before it above.
+    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, the six before it above.
     A text starts after, and ends with, a byte 0xFF, which UTF-8 doesn't have."""
-    data = np.frombuffer(b"".join(b"\xff\xff\xff\xff" + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(b"\xff" * CONTEXT + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
     gram = data.copy()
-    for k in range(1, 5):
+    for k in range(1, CONTEXT + 1):
         gram[k:] |= data[:-k] << np.uint64(8 * k)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(len(doc)) + 4 * (doc + 1)
+    at = np.arange(len(doc)) + CONTEXT * (doc + 1)
     return doc, gram[at]
 
 
-def slots(gram: np.ndarray, order: int) -> np.ndarray:
+def slots(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
     """n x 8 table slots: for each bit, the hashed context of so many bytes with the byte's bits before it."""
     byte = (gram & np.uint64(255)).astype(np.int64)
     context = (gram >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
     base = mix(context * np.uint64(0x2545F4914F6CDD1D) + np.uint64(order + 1))
     nodes = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)], axis=1).astype(np.uint64)
-    if order == 0:
-        return nodes.astype(np.int64)
     h = (base[:, None] ^ (nodes * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def places_of(gram: np.ndarray) -> list[np.ndarray]:
+    return [slots(gram, order, bits) for order, bits in zip(ORDERS, SLOT_BITS, strict=True)]
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """A byte a slot: twice the log odds in steps of 1 / LEVELS, and one more if more than two counts back them."""
+    n0, n1 = counts[0::2], counts[1::2]
+    level = np.clip(np.round(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))) * LEVELS), -63, 63)
+    return level.astype(np.int8) * np.int8(2) + (n0 + n1 > 2).astype(np.int8)
 
 
 def bits_of(gram: np.ndarray) -> np.ndarray:
@@ -89,62 +103,80 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
+    """While training, tables of counts; frozen, tables of a byte a slot."""
+
     def __init__(self) -> None:
-        self.counts = np.zeros((len(ORDERS), 1 << SLOT_BITS, 2), np.float32)
+        self.counts: list[np.ndarray] | None = [np.zeros(2 << bits, np.float32) for bits in SLOT_BITS]
+        self.odds: list[np.ndarray] = []
         self.weights = np.full((SETS, len(ORDERS) + 1), 0.25, np.float64)
         self.weights[:, -1] = 0
         self.apm = np.zeros((SETS, BINS, 2), np.float64)
 
-    def inputs(self, gram: np.ndarray, places: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(n x 8 x inputs, n x 8 gates)."""
-        x = np.empty((len(gram), 8, len(ORDERS) + 1), np.float32)
-        x[:, :, -1] = 0.3
-        sure = np.zeros((len(gram), 8), np.int64)
-        for k, order in enumerate(ORDERS):
-            s = slots(gram, order) if places is None else places[k]
-            n0, n1 = self.counts[k, s, 0], self.counts[k, s, 1]
-            x[:, :, k] = np.log((n1 + 0.4) / (n0 + 0.4))
+    def freeze(self) -> None:
+        while self.counts:
+            self.odds.append(coded(self.counts.pop(0)))
+        self.counts = None
+
+    def inputs(self, places: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """(an array n x 8 for each table, n x 8 gates)."""
+        x, sure = [], np.zeros(places[0].shape, np.int64)
+        for k, (order, s) in enumerate(zip(ORDERS, places, strict=True)):
+            if self.counts is None:
+                code = np.take(self.odds[k], s)
+                x.append((code >> 1).astype(np.float32) / LEVELS)
+                seen = code & 1
+            else:
+                both = np.take(self.counts[k].reshape(-1, 2), s, axis=0)
+                n0, n1 = both[..., 0], both[..., 1]
+                x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
+                seen = n0 + n1 > 2
             if order >= 2:
-                sure += (n0 + n1) > 2
-        return x, np.arange(8)[None, :] * 4 + sure
+                sure += seen
+        return x, np.arange(8)[None, :] * SURE + sure
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("nbk,nbk->nb", x, self.weights[gate]), -12, 12)
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        weights = self.weights.astype(np.float32)
+        z = np.take(weights[:, -1] * np.float32(0.3), gate)
+        for k, values in enumerate(x):
+            z += values * np.take(np.ascontiguousarray(weights[:, k]), gate)
+        return np.clip(z, -12, 12)
 
     def bin_of(self, z: np.ndarray) -> np.ndarray:
         return np.clip(np.round((z + 8) * 2), 0, BINS - 1).astype(np.int64)
 
     def learn(self, gram: np.ndarray, own: np.ndarray) -> None:
         """One online step on a block's distinct grams, weighed by how often they occur; then they are counted."""
-        places, bits, times = [slots(gram, order) for order in ORDERS], bits_of(gram), np.repeat(own, 8)
-        x, gate = self.inputs(gram, places)
+        places, bits, times = places_of(gram), bits_of(gram), np.repeat(own, 8)
+        x, gate = self.inputs(places)
         z = self.mixed(x, gate)
         error = (bits - squash(z)) * own[:, None]
         total = np.bincount(gate.ravel(), times, minlength=SETS) + 1
-        step = np.stack([np.bincount(gate.ravel(), (error * x[:, :, k]).ravel(), minlength=SETS) for k in range(x.shape[2])], axis=1)
+        step = np.stack([np.bincount(gate.ravel(), (error * values).ravel(), minlength=SETS) for values in [*x, np.float32(0.3)]], axis=1)
         self.weights += RATE * step / total[:, None]
         cell = (gate * BINS + self.bin_of(z)) * 2 + bits
         self.apm += np.bincount(cell.ravel(), times, minlength=self.apm.size).reshape(self.apm.shape)
+        times = times.astype(np.float32)
         for k, s in enumerate(places):
-            self.counts[k] += np.bincount((s * 2 + bits).ravel(), times, minlength=2 << SLOT_BITS).reshape(-1, 2).astype(np.float32)
+            np.add.at(self.counts[k], (s * 2 + bits).ravel(), times)
 
     def nats(self, gram: np.ndarray) -> np.ndarray:
         """n x experts: log probabilities of each gram's byte after its context."""
-        x, gate = self.inputs(gram)
+        x, gate = self.inputs(places_of(gram))
         z = self.mixed(x, gate)
-        seen = self.apm[gate, self.bin_of(z)]
         p = squash(z)
-        refined = (seen[:, :, 1] + 8 * p) / (seen.sum(axis=2) + 8)
-        both = stretch(np.clip((p + refined) / 2, 1e-6, 1 - 1e-6))
-        sign = 2 * bits_of(gram) - 1
-        return np.stack([-np.logaddexp(0, -sign * both * power).sum(axis=1) for power in POWERS], axis=1)
+        refined = ((self.apm[:, :, 1]) / (self.apm.sum(axis=2) + 8)).astype(np.float32)
+        trust = (8 / (self.apm.sum(axis=2) + 8)).astype(np.float32)
+        cell = gate * BINS + self.bin_of(z)
+        both = stretch(np.clip((p + np.take(refined, cell) + np.take(trust, cell) * p) / 2, np.float32(1e-6), np.float32(1 - 1e-6)))
+        both *= (1 - 2 * bits_of(gram)).astype(np.float32)
+        return np.stack([-np.log1p(np.exp(both * np.float32(power))).sum(axis=1, dtype=np.float64) for power in POWERS], axis=1)
 
 
 class Known:
     """Log probabilities of grams that a task has met, by a hashed slot; a gram that finds another in its slot is
     evaluated and takes the slot."""
 
-    def __init__(self, model: Model, bits: int = 20) -> None:
+    def __init__(self, model: Model, bits: int = 21) -> None:
         self.model, self.shift = model, np.uint64(64 - bits)
         self.gram = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self.nats = np.zeros((1 << bits, len(POWERS)), np.float32)
@@ -172,8 +204,10 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def learn() -> int:
         gram, where = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
         own = np.bincount(where, np.concatenate([n for _, n in held]).astype(np.float64))
-        for a in range(0, len(gram), 50_000):
-            model.learn(gram[a : a + 50_000], own[a : a + 50_000])
+        mixed = np.random.default_rng(len(gram)).permutation(len(gram))  # grams of one context apart, as in a text
+        for a in range(0, len(gram), 20_000):
+            at = mixed[a : a + 20_000]
+            model.learn(gram[at], own[at])
         held.clear()
         return int(own.sum())
 
@@ -193,13 +227,15 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez_compressed(out, a=a)
-    return out.getvalue()
+    """Whole numbers below 65,536, as most tables of one task hold, take two bytes each, others four."""
+    if a.size and a.max() < 65_536 and a.min() >= 0 and (a == np.floor(a)).all():
+        return b"H" + zstandard.compress(a.astype(np.uint16).tobytes(), 1)
+    return a.dtype.char.encode() + zstandard.compress(a.tobytes(), 1)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(b))["a"]
+    a = np.frombuffer(zstandard.decompress(b[1:]), np.dtype(b[:1].decode()))
+    return a.astype(np.float32) if a.dtype == np.uint16 else a
 
 
 def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +244,7 @@ def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: dict[int, int] = {}
     for frame in frames:
         for key, n, table in zip(frame["key"], frame["n"], frame["table"], strict=True):
-            a = _unpack(table).astype(np.float64)
+            a = _unpack(table)
             sums[key] = sums[key] + a if key in sums else a
             seen[key] = seen.get(key, 0) + int(n)
     yield pd.DataFrame({"key": list(sums), "n": [seen[k] for k in sums], "table": [_pack(a) for a in sums.values()]}).astype({"key": "int64", "n": "int64"})
@@ -293,7 +329,8 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2) -> DataFrame:
             model.weights = (table[:size] / row["n"]).reshape(model.weights.shape)
             model.apm = table[size:].reshape(model.apm.shape)
         else:
-            model.counts[row["key"] - 10] = table.astype(np.float32)
+            model.counts[row["key"] - 10] = table
+    model.freeze()
     frequent = words.where(F.col("c") * FREQUENT >= n).toArrow()  # no more than FREQUENT rows
     hashes = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
