@@ -1,7 +1,7 @@
 """Language-model scoring: online logistic context mixing.
 
 A byte is eight binary decisions. For each of several contexts (the last one
-to six bytes) a hashed table of counts of zeros and ones predicts the next
+to five bytes) a hashed table of counts of zeros and ones predicts the next
 bit. Predictions are mixed in the logistic domain by one
 of several sets of weights, which the gate picks from the bit's position and
 from how much the longest contexts have been seen. Weights are trained online,
@@ -39,13 +39,13 @@ from .shared import prepare, stored
 from .textkernel import blocks, mix, words_of
 
 #: Bytes of context of each predictor, and the bits of its table's slots.
-ORDERS, SLOT_BITS = (1, 2, 3, 4, 5, 6), (16, 20, 21, 21, 22, 22)
+ORDERS, SLOT_BITS = (1, 2, 3, 4, 5), (18, 20, 22, 22, 22)
 CONTEXT = max(ORDERS)
 SURE = len(ORDERS)
 SETS = 8 * SURE
 #: Steps of the log odds that a byte holds.
 LEVELS = 8
-RATE = 0.5
+RATE = 0.3
 BINS = 33
 #: Bytes of text between two online steps of a task; steps take distinct contexts in parts.
 STEP_BYTES = 6 << 20
@@ -56,7 +56,7 @@ POWERS = (1.0, 0.9, 1.1)
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, the six before it above.
+    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, the five before it above.
     A text starts after, and ends with, a byte 0xFF, which UTF-8 doesn't have."""
     data = np.frombuffer(b"".join(b"\xff" * CONTEXT + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
     gram = data.copy()
@@ -205,8 +205,8 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram, where = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
         own = np.bincount(where, np.concatenate([n for _, n in held]).astype(np.float64))
         mixed = np.random.default_rng(len(gram)).permutation(len(gram))  # grams of one context apart, as in a text
-        for a in range(0, len(gram), 20_000):
-            at = mixed[a : a + 20_000]
+        for a in range(0, len(gram), 8_000):
+            at = mixed[a : a + 8_000]
             model.learn(gram[at], own[at])
         held.clear()
         return int(own.sum())
