@@ -1,24 +1,27 @@
 """Language-model scoring: online logistic context mixing.
 
 A byte is eight binary decisions. For each of several contexts (the last one
-to five bytes) a hashed table of counts of zeros and ones predicts the next
-bit. Predictions are mixed in the logistic domain by one
-of several sets of weights, which the gate picks from the bit's position and
-from how much the longest contexts have been seen. Weights are trained online,
-by gradient steps in the order of the text; an adaptive map then refines the
-mixed probability from what bits turned out to be.
-
-Training reads every training text once, spread over all tasks. A task goes
-through its texts block by block: it predicts a block from what it has counted
-so far, takes a gradient step, then counts the block. Afterwards counts are
-added up over the corpus, by levels, and weights averaged by the bytes they saw.
-Sizes of tables are fixed; what goes to the tasks doesn't grow with the input:
-a byte a slot, which holds the rounded log odds and whether counts back them.
+to five bytes) counts of zeros and ones predict the next bit. Predictions are
+mixed in the logistic domain by one of several sets of weights, which the gate
+picks from the bit's position and from how much the longest contexts have been
+seen. Weights are trained online, by gradient steps in the order of the text; an
+adaptive map then refines the mixed probability from what bits turned out to be.
+
+Training reads every text once, spread over all tasks. A task goes through its
+training texts block by block: it predicts a block from what it has counted so
+far, takes a gradient step, then counts the block. For that it has hashed tables
+of its own texts; they serve the weights only, which are averaged by the bytes
+they saw. Scores come from exact counts of the whole corpus: a table keyed by
+gram (a byte with the five before it), which grows with the corpus. It is dealt
+by the last three bytes of context, so that a task holds all counts of its
+contexts of three to five bytes; shorter ones are few, by the alphabet, and are
+broadcast. So each distinct gram is predicted once, from counts of its own
+contexts alone. The most frequent grams go to the tasks that score texts, and
+texts' other grams are joined to theirs.
 
 While scoring, several refinements (plain, sharpened, flattened) compete: a
 Bayesian mixture over them adapts to each text as it goes, so the result is a
-proper probability of the whole text. Bits of equal contexts have equal
-predictions, so a task keeps those of contexts that return.
+proper probability of the whole text.
 
 The base score is the unigram model of the whole corpus: counts of lower-cased
 words and of one end a text, smoothed by one.
@@ -26,31 +29,35 @@ words and of one end a text, smoothed by one.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, stored
+from .shared import discard, prepare, stored
 from .textkernel import blocks, mix, words_of
 
-#: Bytes of context of each predictor, and the bits of its table's slots.
+#: Bytes of context of each predictor, and the bits of the slots of the table that a task trains its weights with.
 ORDERS, SLOT_BITS = (1, 2, 3, 4, 5), (18, 20, 22, 22, 22)
 CONTEXT = max(ORDERS)
 SURE = len(ORDERS)
 SETS = 8 * SURE
-#: Steps of the log odds that a byte holds.
-LEVELS = 8
+#: Contexts of so many bytes and fewer are broadcast; of more, dealt by the last BROADCAST + 1 bytes.
+BROADCAST = 2
 RATE = 0.3
 BINS = 33
 #: Bytes of text between two online steps of a task; steps take distinct contexts in parts.
 STEP_BYTES = 6 << 20
 #: A word with a share of the tokens of at least 1 in so many is frequent: no more than so many words are.
 FREQUENT = 1 << 20
+#: Grams whose predictions go to all tasks, the most frequent ones, and grams that one task predicts on average.
+KEPT, PART_GRAMS = 1 << 20, 300_000
+#: Grams, and words, that a task gathers before it adds up equal ones; it passes them on if two thirds are distinct.
+GATHERED = 3 << 19
 END = np.uint64(0xA5A5F00D12345678)
 POWERS = (1.0, 0.9, 1.1)
 
@@ -82,11 +89,42 @@ def places_of(gram: np.ndarray) -> list[np.ndarray]:
     return [slots(gram, order, bits) for order, bits in zip(ORDERS, SLOT_BITS, strict=True)]
 
 
-def coded(counts: np.ndarray) -> np.ndarray:
-    """A byte a slot: twice the log odds in steps of 1 / LEVELS, and one more if more than two counts back them."""
-    n0, n1 = counts[0::2], counts[1::2]
-    level = np.clip(np.round(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))) * LEVELS), -63, 63)
-    return level.astype(np.int8) * np.int8(2) + (n0 + n1 > 2).astype(np.int8)
+def summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their times."""
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    return key[cut], np.add.reduceat(times, cut) if len(cut) else times
+
+
+def keys_of(gram: np.ndarray, order: int) -> np.ndarray:
+    """The gram's byte with so many bytes before it."""
+    return gram & np.uint64((1 << (8 * order + 8)) - 1)
+
+
+class Counted:
+    """Exact counts: for each order the distinct (context, byte) in order, and running sums of how often they occur."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        tables = tables or [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(ORDERS)
+        self.tables = [(key, np.concatenate([[0], np.cumsum(times)])) for key, times in tables]
+
+    def nodes(self, k: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n0, n1), n x 8: zeros and ones that the corpus has at each bit, after the context and the bits before it."""
+        key, sums = self.tables[k]
+        own, where = np.unique(keys_of(gram, ORDERS[k]), return_inverse=True)
+        below = lambda x: sums[np.searchsorted(key, x)]
+        at = own & ~np.uint64(255)
+        low, high = below(at), below(at + np.uint64(256))
+        n0, n1 = np.empty((len(own), 8), np.float32), np.empty((len(own), 8), np.float32)
+        for bit in range(8):
+            half = np.uint64(128 >> bit)
+            middle = below(at + half)
+            n0[:, bit], n1[:, bit] = middle - low, high - middle
+            one = (own & half) > 0
+            at = np.where(one, at + half, at)
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
+        return n0[where], n1[where]
 
 
 def bits_of(gram: np.ndarray) -> np.ndarray:
@@ -103,35 +141,32 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """While training, tables of counts; frozen, tables of a byte a slot."""
+    """While training, hashed tables of a task's own counts; frozen, exact counts."""
 
     def __init__(self) -> None:
         self.counts: list[np.ndarray] | None = [np.zeros(2 << bits, np.float32) for bits in SLOT_BITS]
-        self.odds: list[np.ndarray] = []
+        self.counted = Counted()
         self.weights = np.full((SETS, len(ORDERS) + 1), 0.25, np.float64)
         self.weights[:, -1] = 0
         self.apm = np.zeros((SETS, BINS, 2), np.float64)
 
-    def freeze(self) -> None:
-        while self.counts:
-            self.odds.append(coded(self.counts.pop(0)))
-        self.counts = None
+    def freeze(self, counted: Counted | None = None) -> None:
+        """From here on predictions come from these counts; without any, from the weights alone."""
+        self.counts, self.counted = None, counted or Counted()
 
-    def inputs(self, places: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """(an array n x 8 for each table, n x 8 gates)."""
-        x, sure = [], np.zeros(places[0].shape, np.int64)
-        for k, (order, s) in enumerate(zip(ORDERS, places, strict=True)):
+    def inputs(self, gram: np.ndarray, places: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """(an array n x 8 for each order, n x 8 gates)."""
+        x, sure = [], np.zeros((len(gram), 8), np.int64)
+        places = places or (places_of(gram) if self.counts is not None else None)
+        for k, order in enumerate(ORDERS):
             if self.counts is None:
-                code = np.take(self.odds[k], s)
-                x.append((code >> 1).astype(np.float32) / LEVELS)
-                seen = code & 1
+                n0, n1 = self.counted.nodes(k, gram)
             else:
-                both = np.take(self.counts[k].reshape(-1, 2), s, axis=0)
+                both = np.take(self.counts[k].reshape(-1, 2), places[k], axis=0)
                 n0, n1 = both[..., 0], both[..., 1]
-                x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
-                seen = n0 + n1 > 2
+            x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
             if order >= 2:
-                sure += seen
+                sure += n0 + n1 > 2
         return x, np.arange(8)[None, :] * SURE + sure
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -147,7 +182,7 @@ class Model:
     def learn(self, gram: np.ndarray, own: np.ndarray) -> None:
         """One online step on a block's distinct grams, weighed by how often they occur; then they are counted."""
         places, bits, times = places_of(gram), bits_of(gram), np.repeat(own, 8)
-        x, gate = self.inputs(places)
+        x, gate = self.inputs(gram, places)
         z = self.mixed(x, gate)
         error = (bits - squash(z)) * own[:, None]
         total = np.bincount(gate.ravel(), times, minlength=SETS) + 1
@@ -161,7 +196,7 @@ class Model:
 
     def nats(self, gram: np.ndarray) -> np.ndarray:
         """n x experts: log probabilities of each gram's byte after its context."""
-        x, gate = self.inputs(places_of(gram))
+        x, gate = self.inputs(gram)
         z = self.mixed(x, gate)
         p = squash(z)
         refined = ((self.apm[:, :, 1]) / (self.apm.sum(axis=2) + 8)).astype(np.float32)
@@ -173,59 +208,111 @@ class Model:
 
 
 class Known:
-    """Log probabilities of grams that a task has met, by a hashed slot; a gram that finds another in its slot is
-    evaluated and takes the slot."""
+    """Log probabilities of frequent grams, found by a hashed slot; of grams that share one, by search."""
+
+    def __init__(self, gram: np.ndarray, nats: np.ndarray, bits: int = 21) -> None:
+        """gram: in order, the last one no gram's number."""
+        self.gram, self.nats, self.shift = gram, nats, np.uint64(64 - bits)
+        self.slot = np.full(1 << bits, len(gram) - 1, np.int32)
+        self.slot[self._slots(gram)] = np.arange(len(gram), dtype=np.int32)
 
-    def __init__(self, model: Model, bits: int = 21) -> None:
-        self.model, self.shift = model, np.uint64(64 - bits)
-        self.gram = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
-        self.nats = np.zeros((1 << bits, len(POWERS)), np.float32)
+    def _slots(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def look_up(self, gram: np.ndarray) -> np.ndarray:
-        at = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    def look_up(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probabilities, zeros for grams that aren't known; indices of those)."""
+        at = self.slot[self._slots(gram)]
         miss = np.flatnonzero(self.gram[at] != gram)
-        new, where = np.unique(gram[miss], return_inverse=True)
-        nats = np.concatenate([self.model.nats(new[a : a + 20_000]) for a in range(0, len(new), 20_000)] or [np.empty((0, len(POWERS)))]).astype(np.float32)
-        out = self.nats[at]
-        out[miss] = nats[where]
-        place = ((new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        last = np.unique(place[::-1], return_index=True)[1]
-        new, nats, place = new[::-1][last], nats[::-1][last], place[::-1][last]
-        self.gram[place], self.nats[place] = new, nats
-        return out
+        found = np.searchsorted(self.gram, gram[miss])
+        strange = self.gram[found] != gram[miss]
+        found[strange] = len(self.gram) - 1
+        at[miss] = found
+        return self.nats[at], miss[strange]
+
+
+class Tally:
+    """Keys and how often they occur; equal ones are added up when many have gathered."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, key: np.ndarray, times: np.ndarray) -> None:
+        self.parts.append((key, times))
+
+    def size(self) -> int:
+        return sum(len(k) for k, _ in self.parts)
+
+    def rows(self, kind: int, last: bool = False) -> Iterator[pd.DataFrame]:
+        """What is to be passed on; if it is the last time, all."""
+        if self.size() > (0 if last else GATHERED):
+            self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+            if last or self.size() > GATHERED * 2 // 3:
+                (key, n), self.parts = self.parts[0], []
+                for a in range(0, len(key), 100_000):
+                    yield pd.DataFrame({"kind": kind, "key": key[a : a + 100_000].view(np.int64), "n": n[a : a + 100_000], "table": None})
 
 
 def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of kind 0: words (key: the hash) and how often; of kind 1: a task's counts, packed (key: the order's place);
-    of kind 2: its weights and refinements."""
+    """Rows of kind 0: words (key: the hash) and how often; of kind 1: grams and how often, those of held-out texts no
+    times; of kind 2: a task's weights and refinements."""
     model, total = Model(), 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    words, grams = Tally(), Tally()
 
     def learn() -> int:
-        gram, where = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-        own = np.bincount(where, np.concatenate([n for _, n in held]).astype(np.float64))
+        gram, own = summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))
         mixed = np.random.default_rng(len(gram)).permutation(len(gram))  # grams of one context apart, as in a text
         for a in range(0, len(gram), 8_000):
             at = mixed[a : a + 8_000]
-            model.learn(gram[at], own[at])
+            model.learn(gram[at], own[at].astype(np.float64))
         held.clear()
+        grams.add(gram, own)
         return int(own.sum())
 
     for frame in frames:
-        for _, texts in blocks(frame["text"]):
-            w = words_of(texts)
-            key, n = np.unique(np.concatenate([w.hash, np.full(len(texts), END)]), return_counts=True)
-            yield pd.DataFrame({"kind": 0, "key": key.view(np.int64), "n": n, "table": None})
-            held.append(np.unique(grams_of(texts)[1], return_counts=True))
-            if sum(int(n.sum()) for _, n in held) >= STEP_BYTES:
-                total += learn()
+        for first, texts in blocks(frame["text"]):
+            out = frame["held_out"].to_numpy()[first : first + len(texts)].astype(bool)
+            if out.any():
+                gram = np.unique(grams_of([t for t, o in zip(texts, out, strict=True) if o])[1])
+                grams.add(gram, np.zeros(len(gram), np.int64))
+                texts = [t for t, o in zip(texts, out, strict=True) if not o]
+            if texts:
+                w = words_of(texts)
+                words.add(*np.unique(np.concatenate([w.hash, np.full(len(texts), END)]), return_counts=True))
+                held.append(np.unique(grams_of(texts)[1], return_counts=True))
+                if sum(int(n.sum()) for _, n in held) >= STEP_BYTES:
+                    total += learn()
+            yield from words.rows(0)
+            yield from grams.rows(1)
     if held:
         total += learn()
+    model.counts = None
+    yield from words.rows(0, last=True)
+    yield from grams.rows(1, last=True)
     if total:
-        yield pd.DataFrame({"kind": 1, "key": np.arange(len(ORDERS)), "n": 0, "table": [_pack(c) for c in model.counts]})
         yield pd.DataFrame({"kind": 2, "key": 0, "n": [total], "table": [_pack(np.concatenate([model.weights.ravel() * total, model.apm.ravel()]))]})
 
 
+def _valuer(handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each gram of a partition, which holds all of its contexts of more than BROADCAST bytes, with its log
+        probabilities."""
+        model, low = handle.value
+        rows = [(b["gram"].to_numpy(), b["c"].to_numpy()) for b in batches]
+        if not rows:
+            return
+        gram, times = np.concatenate([g for g, _ in rows]).view(np.uint64), np.concatenate([c for _, c in rows])
+        order = np.argsort(gram)
+        gram, times = gram[order], times[order]
+        model.freeze(Counted([*low, *(summed(keys_of(gram, k), times) for k in ORDERS if k > BROADCAST)]))
+        for a in range(0, len(gram), 20_000):
+            part = gram[a : a + 20_000]
+            nats = model.nats(part).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"gram": part.view(np.int64), "c": times[a : a + 20_000]} | {f"e{k}": np.ascontiguousarray(nats[:, k]) for k in range(len(POWERS))})
+
+    return run
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Whole numbers below 65,536, as most tables of one task hold, take two bytes each, others four."""
     if a.size and a.max() < 65_536 and a.min() >= 0 and (a == np.floor(a)).all():
@@ -262,84 +349,116 @@ def _added_up(df: DataFrame, tables: int) -> DataFrame:
     return df
 
 
-_met: dict[object, Known] = {}
-
-
-def _known_to(name: object, model: Model) -> Known:
-    """A worker's tasks go on with what earlier tasks of the same model evaluated."""
-    if name not in _met:
-        _met.clear()
-        _met[name] = Known(model)
-    return _met[name]
+def _of_texts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, key) and how often they occur."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    return doc[cut], key[cut], np.diff(np.append(cut, len(key)))
 
 
-def _scorer(handle, name: str):
+def _scorer(handle):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per text (word null), and a row per distinct word of a text that isn't frequent."""
-        model, hashes, logs = handle.value
-        known = _known_to(name, model)
-        hashes, logs = np.append(hashes, np.iinfo(np.uint64).max), np.append(logs, 0)
+        """A row per text (word and gram null), a row per distinct word of a text that isn't frequent, and one per
+        distinct gram of a text that isn't kept."""
+        kept, nats, hashes, logs = handle.value
+        known = Known(kept, nats)
+        none = dict.fromkeys(("doc_id", "held_out", "word", "gram", "n_tokens", "n_known", "base", "e0", "e1", "e2"))
         for frame in frames:
             for first, texts in blocks(frame["text"]):
                 k = len(texts)
-                gram = grams_of(texts)[1]
+                of, gram = grams_of(texts)
                 starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
-                each = np.add.reduceat(known.look_up(gram), starts, axis=0, dtype=np.float64)
-                score = np.logaddexp.reduce(each - np.log(len(POWERS)), axis=1) / np.log(10)
+                found, strange = known.look_up(gram)
+                each = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
                 w = words_of(texts)
                 doc, h = np.concatenate([w.doc, np.arange(k)]), np.concatenate([w.hash, np.full(k, END)])
                 at = np.searchsorted(hashes, h)
                 found = hashes[at] == h
                 part = frame.iloc[first : first + k]
                 row = part["row"].to_numpy()
-                yield pd.DataFrame({"row": row, "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "word": None, "times": 0, "n_tokens": w.per_doc() + 1, "n_known": np.bincount(doc[found], minlength=k), "base": np.bincount(doc[found], logs[at[found]], minlength=k), "score": score})
-                doc, h = doc[~found], h[~found]
-                if len(doc):
-                    order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
-                    yield pd.DataFrame({"row": row[doc[cut]], "doc_id": None, "held_out": None, "word": h[cut].view(np.int64), "times": np.diff(np.append(cut, len(h))), "n_tokens": None, "n_known": None, "base": None, "score": None})
+                yield pd.DataFrame(none | {"row": row, "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "times": 0, "n_tokens": w.per_doc() + 1, "n_known": np.bincount(doc[found], minlength=k), "base": np.bincount(doc[found], logs[at[found]], minlength=k), "e0": each[:, 0], "e1": each[:, 1], "e2": each[:, 2]})
+                if not found.all():
+                    doc, h, times = _of_texts(doc[~found], h[~found])
+                    yield pd.DataFrame(none | {"row": row[doc], "word": h.view(np.int64), "times": times})
+                if len(strange):
+                    doc, h, times = _of_texts(of[strange], gram[strange])
+                    yield pd.DataFrame(none | {"row": row[doc], "gram": h.view(np.int64), "times": times})
 
     return run
 
 
-SCORED = "row long, doc_id long, held_out boolean, word long, times long, n_tokens long, n_known long, base double, score double"
+SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
 
 
-def score(docs: DataFrame, *, folds: int = 7, out: int = 2) -> DataFrame:
+def _valued(spark: SparkSession, trained: DataFrame) -> DataFrame:
+    """(gram, c, e0, e1, e2): how often each gram of the corpus occurs in training texts, and its log probabilities."""
+    grams = stored(trained.where("kind = 1").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("c")), "lm-grams")
+    model = Model()
+    weights = trained.where("kind = 2").select("key", "n", "table")
+    for row in _added_up(weights, weights.count()).collect():  # one row at most
+        table = _unpack(row["table"])
+        size = model.weights.size
+        model.weights = (table[:size] / row["n"]).reshape(model.weights.shape)
+        model.apm = table[size:].reshape(model.apm.shape)
+    model.freeze()
+    short = grams.where("c > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * BROADCAST + 8)) - 1)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
+    key, times = short["key"].to_numpy().view(np.uint64), short["c"].to_numpy()
+    handle = spark.sparkContext.broadcast((model, [summed(keys_of(key, k), times) for k in ORDERS if k <= BROADCAST]))
+    parts = max(spark.sparkContext.defaultParallelism, -(-grams.count() // PART_GRAMS))
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * BROADCAST + 8)) - 1))
+    return stored(grams.repartition(parts, context).mapInArrow(_valuer(handle), "gram long, c long, e0 float, e1 float, e2 float"), "lm-valued")
+
+
+def _most_frequent(valued: DataFrame, kept: int) -> DataFrame:
+    """As many of the most frequent grams as classes of a quarter of a factor of two allow, no more than so many."""
+    size = F.floor(F.log2(F.col("c") + 1) * 4)
+    least, have = None, 0
+    for row in sorted(valued.groupBy(size.alias("size")).count().collect(), reverse=True):  # a few hundred classes at most
+        have += row["count"]
+        if have > kept:
+            break
+        least = row["size"]
+    return valued.where(size >= least if least is not None else F.lit(False))
+
+
+def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs; logarithms to base 10.
 
     Null texts count as empty: one token, the end. A null id counts as not held
     out. Rows of a repeated id each have their own result. With no training rows
     all counts are zero, N and V too, and the mix predicts from its start.
+    ``kept`` says how many grams' predictions go to all tasks; results don't
+    depend on it.
     """
     spark = docs.sparkSession
     prepare(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    trained = stored(plain.where("not held_out").select("text").mapInPandas(_train, "kind int, key long, n long, table binary"), "lm-trained")
+    trained = stored(plain.select("text", "held_out").mapInPandas(_train, "kind int, key long, n long, table binary"), "lm-trained")
     words = stored(trained.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = Model()
-    packed = trained.where("kind > 0").select((F.col("key") + 10 * F.col("kind")).alias("key"), "n", "table")
-    for row in _added_up(packed, trained.where("kind = 2").count()).collect():  # one row an order, one of weights
-        table = _unpack(row["table"])
-        if row["key"] >= 20:
-            size = model.weights.size
-            model.weights = (table[:size] / row["n"]).reshape(model.weights.shape)
-            model.apm = table[size:].reshape(model.apm.shape)
-        else:
-            model.counts[row["key"] - 10] = table
-    model.freeze()
+    valued = _valued(spark, trained)
+    discard(trained)
+    most = _most_frequent(valued, kept).orderBy("gram").toArrow()  # no more than kept rows
+    end = np.iinfo(np.uint64).max  # a last entry, so that searches end within the arrays
+    gram = np.append(most["gram"].to_numpy().view(np.uint64), end)
+    nats = np.stack([np.append(most[f"e{k}"].to_numpy(), np.float32(0)) for k in range(len(POWERS))], axis=1)
     frequent = words.where(F.col("c") * FREQUENT >= n).toArrow()  # no more than FREQUENT rows
     hashes = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    logs = np.log10(frequent["c"].to_numpy()[order] + 1.0)
-    handle = spark.sparkContext.broadcast((model, hashes[order], logs))
-    passed = plain.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_scorer(handle, uuid.uuid4().hex), SCORED)
+    logs = np.append(np.log10(frequent["c"].to_numpy()[order] + 1.0), 0)
+    handle = spark.sparkContext.broadcast((gram, nats, np.append(hashes[order], end), logs))
+    passed = plain.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_scorer(handle), SCORED)
     scored = stored(passed, "lm-scored")
     rest = scored.where("word is not null").select("row", "word", "times").join(words, F.col("word") == F.col("key"))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("also"))
-    joined = scored.where("word is null").drop("word", "times").join(rest, "row", "left")
+    experts = [f"e{k}" for k in range(len(POWERS))]
+    others = scored.where("gram is not null").select("row", "gram", "times").join(valued.select("gram", *(F.col(e).cast("double").alias(f"of_{e}") for e in experts)), "gram")
+    others = others.groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"of_{e}")).alias(f"of_{e}") for e in experts))
+    joined = scored.where("word is null and gram is null").drop("word", "gram", "times").join(rest, "row", "left").join(others, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    joined = joined.withColumns({e: F.col(e) + F.coalesce(f"of_{e}", F.lit(0.0)) for e in experts})
+    best = F.greatest(*experts)
+    mixed = (best + F.log(sum((F.exp(F.col(e) - best) for e in experts), F.lit(0.0)) / len(POWERS))) / float(np.log(10))
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), mixed.alias("score"))
