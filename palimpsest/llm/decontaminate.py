@@ -37,12 +37,16 @@ COVERAGE, LEAST_WORDS = 0.6, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of an item that one alignment takes; longer items align in pieces.
 PIECE_WORDS = 500
+#: Matched words that make a passage of a longer item a copy, where that is asked for, and what a step without a match costs there.
+PASSAGE_WORDS, PASSAGE_LOSS = 50, 4
 #: Items whose seeds one pass holds in memory.
 ITEMS_PER_PASS = 50_000
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(best local score, matched words on its path) of word hashes a (item) against b (window).
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(best local score, matched words on its path, and on its best passage) of word hashes a (item) against b (window).
+
+    The best passage is the stretch of the path with the greatest sum of 1 a matched word and -PASSAGE_LOSS another step.
 
     Row by row: a gap in b's direction is a running maximum of score + index.
     """
@@ -59,34 +63,47 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         rows.append(score)
     table = np.stack(rows)
     i, j = np.unravel_index(int(table.argmax()), table.shape)
-    top, matched = int(table[i, j]), 0
+    top, matched, sum_, since, best_sum, passage = int(table[i, j]), 0, 0, 0, 0, 0
     while i and j and table[i, j] > 0:
         here = table[i, j]
         if equal[i - 1, j - 1] and here == table[i - 1, j - 1] + MATCH:
-            matched, i, j = matched + 1, i - 1, j - 1
-        elif not equal[i - 1, j - 1] and here == table[i - 1, j - 1] + MISMATCH:
+            matched, sum_, since, i, j = matched + 1, sum_ + 1, since + 1, i - 1, j - 1
+            if sum_ > best_sum:
+                best_sum, passage = sum_, since
+            continue
+        sum_ -= PASSAGE_LOSS
+        if sum_ < 0:
+            sum_ = since = 0
+        if not equal[i - 1, j - 1] and here == table[i - 1, j - 1] + MISMATCH:
             i, j = i - 1, j - 1
         elif here == table[i - 1, j] + GAP:
             i -= 1
         else:
             j -= 1
-    return top, matched
+    return top, matched, passage
 
 
-def align_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def align_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """The best alignment of a with b, which is taken in overlapping parts if it is long."""
     step = max(64, 8 * len(a))
-    return max(align(a, b[s : s + step + 3 * len(a)]) for s in range(0, max(1, len(b) - 3 * len(a)), step))
+    found = [align(a, b[s : s + step + 3 * len(a)]) for s in range(0, max(1, len(b) - 3 * len(a)), step)]
+    return *max(f[:2] for f in found), max(f[2] for f in found)
 
 
-def align_item(a: np.ndarray, b: np.ndarray, coverage: float) -> tuple[int, int]:
-    """(score, matched words) of an item against a window, in memory that doesn't grow with the item: of an item of more
-    than PIECE_WORDS words, the sums over those of its equal pieces that match in that share of their words."""
-    if len(a) <= PIECE_WORDS:
-        return align_parts(a, b)
+def align_item(a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> tuple[int, int, int]:
+    """(score, matched words, matched words of the longest passage) of an item against a window, in memory that doesn't
+    grow with the item: of an item of more than PIECE_WORDS words, the sums over its equal pieces that match so many
+    words."""
     pieces = np.array_split(a, -(-len(a) // PIECE_WORDS))
-    found = [(score, matched) for p in pieces for score, matched in [align_parts(p, b)] if matched >= coverage * len(p)]
-    return sum(f[0] for f in found), sum(f[1] for f in found)
+    if len(pieces) > 1:  # a passage across the edge of two pieces lies in one that is moved by half
+        moved = [a[(len(p) + len(q)) // -4 + at : (len(p) + len(q)) // 4 + at] for p, q, at in zip(pieces, pieces[1:], np.cumsum([len(p) for p in pieces]), strict=False)]
+    else:
+        moved = []
+    found = [align_parts(p, b) for p in pieces]
+    passage = max(f[2] for f in [*found, *(align_parts(p, b) for p in moved)])
+    if len(pieces) > 1:
+        found = [f for f in found if f[1] >= least]
+    return sum(f[0] for f in found), sum(f[1] for f in found), passage
 
 
 class Seeds:
@@ -125,12 +142,12 @@ class Seeds:
         return at, np.repeat(lo, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def enough(matched: int, words: int, coverage: float, least: int) -> bool:
-    """Whether so many matched words of an item of so many make a copy."""
-    return matched >= min(least, words) and matched >= coverage * words
+def enough(matched: int, words: int, coverage: float, least: int, passage: int = 0, passage_words: int | None = None) -> bool:
+    """Whether so many matched words of an item of so many make a copy; or those of its longest passage."""
+    return (matched >= min(least, words) and matched >= coverage * words) or (passage_words is not None and passage >= passage_words)
 
 
-def _finder(handle, n: int, coverage: float, least: int):
+def _finder(handle, n: int, coverage: float, least: int, passage_words: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = handle.value
         for frame in frames:
@@ -165,14 +182,15 @@ def _finder(handle, n: int, coverage: float, least: int):
                 for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
                     lo, hi = max(starts[d[a]], p[a] - reach[a]), min(starts[d[a] + 1], p[b - 1] + n + reach[a])
                     window, i = w.hash[lo:hi], int(item[a])
-                    out.append((i, np.unique(seeds.hash[seed[a:b]]).view(np.int64), window.view(np.int64), enough(seeds.most(i, window), len(seeds.words[i]), coverage, least)))
+                    most = seeds.most(i, window)
+                    out.append((i, np.unique(seeds.hash[seed[a:b]]).view(np.int64), window.view(np.int64), enough(most, len(seeds.words[i]), coverage, least, most, passage_words)))
                 ids = frame["doc_id"].iloc[first + d[cut]].to_numpy()
                 yield pd.DataFrame({"doc_id": ids, "item_id": [x[0] for x in out], "seeds": [x[1] for x in out], "window": [x[2] for x in out], "close": [x[3] for x in out]})
 
     return run
 
 
-def _aligner(handle, coverage: float, least: int):
+def _aligner(handle, coverage: float, least: int, passage_words: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, known = handle.value.words, {}
         for frame in frames:
@@ -183,23 +201,25 @@ def _aligner(handle, coverage: float, least: int):
                 key = (item, b.tobytes())
                 found = known.get(key)
                 if found is None:
-                    found = align_item(a, b, coverage)
+                    found = align_item(a, b)
                     if len(known) < 20_000 and len(b) < 2000:
                         known[key] = found
-                score, matched = found
-                if enough(matched, len(a), coverage, least):
+                score, matched, passage = found
+                if enough(matched, len(a), coverage, least, passage, passage_words):
                     rows.append((doc, item, score, matched, matched / len(a)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched_words", "coverage"]).astype({"doc_id": "int64", "item_id": "int64", "score": "int64", "matched_words": "int64", "coverage": "float64"})
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_WORDS, rare_docs: int = RARE_DOCS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_WORDS, rare_docs: int = RARE_DOCS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, passage_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, score, matched_words, coverage), a row for each document and item it has a copy of.
 
     Null and empty texts and items match nothing; rows without an id are passed
     over. Repeated ids count as one: the best alignment stays. Very long items
-    align in pieces (align_item). Empty tables give an empty table.
+    align in pieces (align_item). Empty tables give an empty table. With
+    ``passage_words``, so many matched words of one passage are a copy as well,
+    whatever share of the item they are; coverage says that share.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -210,13 +230,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     for k in range(passes):
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow().to_pydict()
         handle = spark.sparkContext.broadcast(Seeds(list(zip(held["item_id"], held["text"], strict=True)), seed_words))
-        hits = stored(plain.mapInPandas(_finder(handle, seed_words, coverage, least_words), "doc_id long, item_id long, seeds array<long>, window array<long>, close boolean"), "hits")
+        hits = stored(plain.mapInPandas(_finder(handle, seed_words, coverage, least_words, passage_words), "doc_id long, item_id long, seeds array<long>, window array<long>, close boolean"), "hits")
         seen = hits.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("docs"))
         rank = F.row_number().over(Window.partitionBy("item_id").orderBy("docs", "seed"))
         rare = seen.withColumn("rank", rank).where((F.col("docs") <= rare_docs) | (F.col("rank") <= LEAST_SEEDS))
         chosen = rare.groupBy("item_id").agg(F.collect_set("seed").alias("rare"))  # at most an item's own seeds
         near = hits.join(F.broadcast(chosen), "item_id").where(F.col("close") | F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "window")
-        parts.append(near.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_aligner(handle, coverage, least_words), "doc_id long, item_id long, score long, matched_words long, coverage double"))
+        parts.append(near.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_aligner(handle, coverage, least_words, passage_words), "doc_id long, item_id long, score long, matched_words long, coverage double"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)

@@ -51,7 +51,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage_words=decontaminate.PASSAGE_WORDS)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination)}

@@ -220,6 +220,14 @@ def test_decontamination_of_very_long_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 7)] and found[0]["matched_words"] == sum(k % 9 > 0 for k in range(12_000))
 
 
+def test_decontamination_by_parts_of_long_items(spark):
+    long = [f"w{k}" for k in range(1000)]
+    rows = [(1, " ".join(long[:790])), (2, " ".join(long[:500])), (3, " ".join(long[475:535])), (4, " ".join(long[480:520])), (5, " ".join(w if k % 3 else "x" for k, w in enumerate(long[:160]))), (6, " ".join(w if k < 55 or k % 3 else "x" for k, w in enumerate(long[:160])))]
+    args = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(long))], "item_id long, text string")
+    assert [(r["doc_id"], r["matched_words"]) for r in decontaminate.contaminated(*args).collect()] == [(1, 790)]
+    assert {r["doc_id"] for r in decontaminate.contaminated(*args, passage_words=decontaminate.PASSAGE_WORDS).collect()} == {1, 2, 3, 6}
+
+
 def test_decontamination_of_edited_copies_in_many_documents(spark):
     r = random.Random(3)
     item, rows = [f"w{k}" for k in range(24)], []
