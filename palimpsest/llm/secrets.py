@@ -1,7 +1,9 @@
 """Secret scans: a random forest that tells secrets from other long tokens, in DataFrame operations only.
 
 Candidates are maximal runs of 12 and more letters, digits and ``_-+/`` that have
-a letter and a digit. The forest looks at a candidate's length and classes of
+a letter and a digit, and whatever is assigned to a name that ends in a word of
+SECRET_WORDS: a quoted value as a whole, others up to a blank, of any length and
+characters. The forest looks at a candidate's length and classes of
 characters, the transitions between them, how much of it dictionary words cover,
 whether it is part of a path, and the words beside it. It is trained from
 labelled findings, here made by a seeded generator, as no table holds any.
@@ -21,7 +23,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = r"A-Za-z0-9_\-+/"
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_\-+/]*+[0-9])(?=[0-9_\-+/]*+[A-Za-z])[{RUN}]{{12,}}+"
 MASK = "<SECRET>"
 THRESHOLD = 0.5
 TREES, DEPTH, SEED, FINDINGS = 15, 6, 11, 1600
@@ -32,6 +33,12 @@ BESIDE = 48
 DICTIONARY = ("access", "account", "admin", "api", "app", "base", "build", "cache", "class", "client", "code", "com", "config", "content", "count", "data", "date", "default", "dev", "doc", "error", "event", "example", "file", "font", "form", "group", "handler", "home", "html", "http", "icon", "image", "index", "item", "key", "lib", "line", "list", "local", "main", "manager", "message", "model", "module", "name", "number", "object", "option", "page", "path", "point", "prod", "project", "query", "release", "request", "report", "response", "result", "server", "service", "session", "size", "source", "state", "static", "string", "style", "table", "test", "text", "time", "token", "type", "user", "value", "version", "view", "web", "width", "window")
 SECRET_WORDS = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api key", "access_key", "access key", "private_key", "auth", "bearer", "credential", "aws")
 PLAIN_WORDS = ("commit", "sha", "checksum", "md5", "digest", "hash", "uuid", "guid", "version", "revision", "build", "file", "image", "id", "etag", "isbn", "page", "chapter")
+#: A name that ends in a word beside secrets, or with a number or one more part, and the sign that assigns; bounded, to look behind.
+KEYED = r"(?i:" + "|".join(SECRET_WORDS) + r")s?(?:[_\-0-9][A-Za-z0-9_\-]{0,16})?[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}"
+LONG = rf"(?<![{RUN}])(?=[A-Za-z_\-+/]*+[0-9])(?=[0-9_\-+/]*+[A-Za-z])[{RUN}]{{12,}}+"
+VALUES = "|".join((*(rf"(?<={KEYED}{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})(?<!{q})" for q in ('"', "'")), rf"(?<={KEYED})(?![=>:\"'])[^\s\"',;]++"))
+#: The first test looks at few characters, as it is made everywhere. Texts without KEYED have candidates of LONG only.
+CANDIDATE = rf"(?<=[=:>\s\"'])(?<=[=:>]\s{{0,3}}[\"']?)(?:{VALUES})|{LONG}"
 FEATURES = ("length", "digits", "upper", "hex", "changes", "covered", "slashes", "marks", "prefix", "secret_word", "plain_word", "assigned", "quoted", "in_path")
 
 
@@ -53,7 +60,7 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
         kept(r"[^/]++"),
         kept(r"[^_\-+]++"),
         flag(c.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox|eyJ|AIza|glpat-)")),
-        has(left, SECRET_WORDS),
+        F.greatest(has(left, SECRET_WORDS), flag(left.rlike(KEYED + "[\"']?$"))),
         has(left, PLAIN_WORDS),
         flag(near.rlike(r"[=:]\s*[\"']?$")),
         flag(F.left(after, F.lit(1)).isin('"', "'")),
@@ -95,9 +102,38 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     return out
 
 
+def keyed_findings(n: int = FINDINGS // 2, seed: int = SEED) -> list[tuple[str, str, str, float]]:
+    """As labelled_findings, of values assigned to names of secrets: passwords, and words, placeholders and code."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    out = []
+    for i in range(n):
+        key = r.choice(("", "db_", "my ", "the ")) + r.choice(SECRET_WORDS) + r.choice(("", "", "_id", "2"))
+        sign = r.choice((" = ", "=", ": ", ":", " := "))
+        if i % 2:
+            quote = r.choice(('"', '"', "'", ""))
+            body = (
+                lambda: r.choice(DICTIONARY) + pick(string.digits, r.randrange(1, 5)) + pick(string.ascii_lowercase + "!&#", r.randrange(3)),
+                lambda: r.choice(DICTIONARY).title() + pick("&!#%*@-", 1) + pick(string.digits, r.randrange(1, 4)) + r.choice(("", "-" + r.choice(DICTIONARY) + "!")),
+                lambda: pick(string.ascii_letters, r.randrange(10, 33)),
+                lambda: pick(string.ascii_letters + string.digits, r.randrange(6, 16)),
+                lambda: pick(string.ascii_letters + string.digits + "!&#%*@-$^.", r.randrange(8, 24)),
+            )[r.randrange(5)]()
+            out.append((key + sign + quote, body, quote + r.choice((" ", "\n", " and"))[: 3 if quote else 1], 1.0))
+        else:
+            body, quote = (
+                lambda: (pick(string.ascii_lowercase, r.randrange(1, 10)), ""),
+                lambda: (r.choice(DICTIONARY), ""),
+                lambda: (r.choice(("None", "null", "true", "false", "True", "False", "str", "string", "nil", "required", "optional", "Option", "basic", "Bearer", "changed", "expired")), ""),
+                lambda: (r.choice(("os.environ[", "get_", "config.", "self.", "$", "<your-", "{{")) + r.choice(DICTIONARY) + r.choice(("", ")", "()", "_name")), ""),
+            )[r.randrange(4)]()
+            out.append((key + sign + quote, body, quote + r.choice((" ", "\n", ",")), 0.0))
+    return out
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, float]] | None = None) -> str:
     """The forest as SQL over a struct f of FEATURES: the share of trees' votes for a secret."""
-    rows = spark.createDataFrame(findings if findings is not None else labelled_findings(), "before string, c string, after string, label double")
+    rows = spark.createDataFrame(findings if findings is not None else [*labelled_findings(), *keyed_findings()], "before string, c string, after string, label double")
     named = rows.select("label", *(x.cast("double").alias(k) for k, x in zip(FEATURES, features(F.col("c"), F.col("before"), F.col("after")), strict=True)))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(named.coalesce(1))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(vectors)
@@ -119,16 +155,22 @@ def scan(docs: DataFrame, text_col: str = "text", *, forest: str | None = None,
     unchanged. Existing columns of these names are replaced.
     """
     forest = forest or train(docs.sparkSession)
-    found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
-    with_parts = docs.withColumn("_found", found).withColumn("_parts", F.when(F.size("_found") > 0, F.split(F.col(text_col), CANDIDATE, -1)))
-    looked = F.transform("_found", lambda c, i: F.struct(*(x.cast("double").alias(k) for k, x in zip(FEATURES, features(c, F.get("_parts", i), F.get("_parts", i + 1)), strict=True))))
+    text = F.col(text_col)
+    found = F.when(F.col("_keyed"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(LONG), F.lit(0)))
+    parts = F.when(F.col("_keyed"), F.split(text, CANDIDATE, -1)).otherwise(F.split(text, LONG, -1))
+    with_parts = docs.withColumn("_keyed", text.rlike(KEYED)).withColumn("_found", found).withColumn("_parts", F.when(F.size("_found") > 0, parts))
+    # the text before a candidate, others in it; each part but the first follows a candidate of a code point or more
+    ends = lambda x: F.right(x, F.lit(BESIDE))
+    near = lambda i: F.transform(F.sequence(F.greatest(i - BESIDE, F.lit(0)), i), lambda j: F.concat(ends(F.get("_parts", j)), F.when(j < i, ends(F.get("_found", j))).otherwise("")))
+    with_parts = with_parts.withColumn("_near", F.when(F.size("_found") > 0, F.transform("_found", lambda c, i: F.struct(c.alias("c"), ends(F.array_join(near(i), "")).alias("before"), F.get("_parts", i + 1).alias("after")))))
+    looked = F.transform("_near", lambda x: F.struct(*(y.cast("double").alias(k) for k, y in zip(FEATURES, features(x["c"], x["before"], x["after"]), strict=True))))
     scored = with_parts.withColumn("_f", F.when(F.size("_found") > 0, looked)).withColumn("_p", F.expr(f"transform(_f, f -> {forest})"))
     secret = F.filter("_p", lambda p: p >= threshold)
     pieces = F.transform("_parts", lambda part, i: F.concat(part, F.when(F.get("_p", i) >= threshold, F.lit(MASK)).otherwise(F.coalesce(F.get("_found", i), F.lit("")))))
     out = scored.withColumn("n_candidates", F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found")).cast("long"))
     out = out.withColumn("n_secrets", F.when(F.col("_p").isNull(), 0).otherwise(F.size(secret)).cast("long"))
     out = out.withColumn("redacted", F.when(F.col("n_secrets") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)))
-    return out.drop("_found", "_parts", "_f", "_p")
+    return out.drop("_keyed", "_found", "_parts", "_near", "_f", "_p")
 
 
 def findings(docs: DataFrame, **options) -> DataFrame:

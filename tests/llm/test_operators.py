@@ -205,6 +205,16 @@ def test_secrets(spark, docs):
     assert secrets.findings(docs, forest=forest).count() == docs.count()
 
 
+def test_secrets_beside_key_words(spark):
+    values = {1: ("password = ", "hunter2x", ""), 2: ('"password": "', "Tr0ub4dor&3-horse!", '"'), 3: ("secret=", "qWmZkLpXvBnTyRdGhJsAeUiO", "\n"), 4: ('db2_access_token = "', "9f86d081884c7d659a2feaa0c55ad015", '"; x'), 5: ("a1b2c3d4e5f6g7 token='", "x9 k\\'Q7!zz", "' end")}
+    plain = {6: "the token: it is", 7: 'token = ""', 8: "author: John", 9: "password = None"}
+    rows = [*((i, "".join(v)) for i, v in values.items()), *plain.items()]
+    got = {r["doc_id"]: r["redacted"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (before, _, after) in values.items():
+        assert got[i].endswith(secrets.MASK + after) and (i == 5 or got[i] == before + secrets.MASK + after)
+    assert {i: got[i] for i in plain} == plain
+
+
 def test_licences(spark, docs):
     rows = [(1, "Code.\nLicensed under the Apache License, Version 2.0.\nMore"), (2, "Released under the MIT License."), (3, "He lost his driving license."), (4, None), (5, ""), (None, "Licensed under CC BY-NC 4.0."), (1, "x\ny")]
     got = {r["doc_id"]: (r["n_lines"], r["n_confirmed"], r["licences"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
