@@ -35,27 +35,33 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 FILLERS = ".-_*~'`^,:;/\\#%&"
 SIZE_BITS = 18
 TRAIN_ROWS = 8000
-#: Words of training rows that the character model counts at most.
-LM_ROWS = 1000
+#: Distinct words that a task counts before it passes their trigrams on.
+WORDS_HELD = 200_000
 THRESHOLD = 0.5
 #: Channel costs in nats: a mark for a letter, a mark left out, a run of letters for one or two, a mark for itself.
 SUBSTITUTED, LEFT_OUT, SHORTENED, KEPT = 1.0, 1.5, 0.7, 4.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def trigrams(words: Counter[str]) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for word, n in words.items():
+        s = f"  {word} "
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return out
+
+
 class CharModel:
     """Trigram counts of characters in words, smoothed with those of bigrams and single characters."""
 
-    def __init__(self, words: Counter[str]) -> None:
-        tri: Counter[str] = Counter()
+    def __init__(self, words: Counter[str], tri: Counter[str] | None = None) -> None:
+        tri = trigrams(words) if tri is None else tri
         bi: Counter[str] = Counter()
         one: Counter[str] = Counter()
-        for word, n in words.items():
-            s = f"  {word} "
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += n
-                bi[s[i - 1 : i + 1]] += n
-                one[s[i]] += n
+        for gram, n in tri.items():
+            bi[gram[1:]] += n
+            one[gram[2]] += n
         # contexts are counted as often as they are followed, so the shares of what follows them add up to one
         self.tri, self.bi, self.one = tri, bi, one
         self.after2, self.after1 = Counter(), Counter()
@@ -224,21 +230,32 @@ def _rows(handle):
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words: Counter[str] = Counter()
+
+    def passed() -> pd.DataFrame:
+        found = trigrams(words)
+        words.clear()
+        return pd.DataFrame({"gram": list(found), "n": list(found.values())}).astype({"gram": "str", "n": "int64"})
+
     for frame in frames:
-        words = Counter(x for t in frame["text"] if isinstance(t, str) for x in re.findall(r"[^\W\d_]+", t.lower()))
-        yield pd.DataFrame({"word": list(words), "n": list(words.values())}).astype({"word": "str", "n": "int64"})
+        for t in frame["text"]:
+            if isinstance(t, str):
+                words.update(re.findall(r"[^\W\d_]+", t.lower()))
+                if len(words) > WORDS_HELD:
+                    yield passed()
+    yield passed()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, out: int = 0, limit: int = TRAIN_ROWS, lm_rows: int = LM_ROWS) -> tuple[CharModel, np.ndarray, float]:
-    """(character model, weights, bias), all from labelled rows outside the held-out fold: ``lm_rows`` of them for the
-    character model and ``limit`` for the classifier, at most. Without usable labels: zero weights."""
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, out: int = 0, limit: int = TRAIN_ROWS) -> tuple[CharModel, np.ndarray, float]:
+    """(character model, weights, bias), none from the held-out fold: trigrams of all other documents, and a
+    classifier of ``limit`` labelled rows at most. Without usable labels: zero weights."""
     spark = docs.sparkSession
     prepare(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = sample_of_labels(labels, label, folds, out, limit)
-    few = sample_of_labels(labels, label, folds, out, lm_rows)
-    counted = plain.join(F.broadcast(few.select("doc_id")), "doc_id").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy("word").toArrow().to_pydict()
-    model = CharModel(Counter(dict(zip(counted["word"], counted["n"], strict=True))))
+    rest = plain.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != out, F.lit(True)))
+    counted = rest.select("text").mapInPandas(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # bounded by the alphabet
+    model = CharModel(Counter(), Counter(dict(sorted(zip(counted["gram"], counted["n"], strict=True)))))
     handle = spark.sparkContext.broadcast(model)
     found = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows(handle), "doc_id long, label int, index array<int>").toArrow().to_pandas()
     found = found.assign(n=found["index"].map(len), s=found["index"].map(lambda v: int(np.sum(v, dtype=np.int64)))).sort_values(["doc_id", "n", "s"], kind="stable")

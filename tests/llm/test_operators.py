@@ -144,6 +144,15 @@ def test_deobfuscation():
         assert restore.text(said) == meant
 
 
+def test_character_model_counts_all_documents(spark):
+    texts = {i: f"common words {'zyxgy' if i == 3999 else ''}" for i in range(4000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(df, known.where("doc_id < 3000"), limit=10)[0]
+    inside = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5]
+    assert model.tri == toxicity.trigrams(Counter(w for t in inside for w in t.split()))
+
+
 def test_media():
     r = random.Random(4)
     for n in (0, 1, 575, 576, 577, 40_000, 200_000):
