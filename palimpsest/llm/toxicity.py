@@ -84,14 +84,14 @@ class CharModel:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character, what it may stand for and at what cost."""
+    """For each run of a character, what it may stand for and at what cost. Marks at an edge may be left out."""
     out = []
-    for c, run in groupby(word):
-        n = len(list(run))
+    runs = [(c, len(list(run))) for c, run in groupby(word)]
+    for k, (c, n) in enumerate(runs):
         if _LETTER.match(c):
             out.append([(c * n, 0.0)] if n == 1 else [(c, SHORTENED), (c * 2, 0.0 if n == 2 else SHORTENED)])
         elif c in LOOKS_LIKE:
-            out.append([(x * k, SUBSTITUTED * n) for x in LOOKS_LIKE[c] for k in ([1] if n == 1 else [1, 2])] + [("", LEFT_OUT)] * (c in "!|+(<") + [(c * n, KEPT * n)])
+            out.append([(x * k, SUBSTITUTED * n) for x in LOOKS_LIKE[c] for k in ([1] if n == 1 else [1, 2])] + [("", LEFT_OUT)] * (c in "!|+(<" or c in "@$" and k in (0, len(runs) - 1)) + [(c * n, KEPT * n)])
         elif c in FILLERS:
             out.append([("", LEFT_OUT), (c * n, KEPT * n)])
         else:
@@ -127,8 +127,16 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in [*LOOKS_LIKE, *FILLERS]]] = True
 #: Bytes that a word's core may begin with and end with.
 _FIRST, _LAST = _LETTERS.copy(), _LETTERS.copy()
-_FIRST[[*range(48, 58), ord("@"), ord("$")]] = True
-_LAST[48:58] = True
+_LIKE = np.zeros(256, bool)
+_LIKE[[ord(c) for c in LOOKS_LIKE]] = True
+_FIRST |= _LIKE
+_LAST |= _LIKE
+_DIGITS = np.zeros(256, bool)
+_DIGITS[48:58] = True
+#: Bytes that a feature's word begins and ends with, once restored.
+_INNER = _LETTERS | _DIGITS
+#: Blanks between letters that are one spaced word, at most, and look-alike marks of a core without any letter, at least.
+BLANKS, MARKS_ALONE = 3, 3
 
 
 class Restorer:
@@ -159,13 +167,15 @@ class Restorer:
         letter = _LETTERS[raw]
         triple = np.zeros(len(raw), np.int32)
         triple[2:] = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] < 128)
-        letters, marks, triples = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (letter, _MARKS[raw], triple))
-        flagged = (letters[end] > letters[at]) & ((marks[end] > marks[at]) | (triples[end] > triples[np.minimum(at + 2, end)]))
-        single = (w.end - w.at == 1) & letter[w.at]
+        letters, marks, triples, digits, like = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (letter, _MARKS[raw], triple, _DIGITS[raw], _LIKE[raw]))
+        alone = (end - at >= MARKS_ALONE) & (like[end] - like[at] == end - at) & (digits[end] == digits[at])
+        flagged = alone | (letters[end] > letters[at]) & ((marks[end] > marks[at]) | (triples[end] > triples[np.minimum(at + 2, end)]))
+        single = (w.end - w.at == 1) & (letter | _LIKE[raw])[w.at]
         apart = np.ones(n, bool)
-        apart[1:] = ~(single[1:] & single[:-1] & (w.at[1:] == w.end[:-1] + 1) & (w.doc[1:] == w.doc[:-1]))
+        apart[1:] = ~(single[1:] & single[:-1] & (w.at[1:] <= w.end[:-1] + BLANKS) & (w.doc[1:] == w.doc[:-1]))
         group = np.cumsum(apart) - 1
-        spaced = (np.bincount(group)[group] >= 3) & single
+        of_letters = np.bincount(group, letter[w.at] & single)  # two of them at least, so that rows of numbers stand
+        spaced = ((np.bincount(group) >= 3) & (of_letters >= 2))[group] & single
         todo = np.flatnonzero(flagged | (spaced & apart))
         if not len(todo):
             return texts
@@ -180,7 +190,7 @@ class Restorer:
                     core = data[a:b]
                 else:
                     a, b = int(w.at[i]), int(w.end[ends_of_group[group[i]]])
-                    core = data[a:b].replace(b" ", b"")
+                    core = b"".join(data[a:b].split())
                 parts += [data[here:a], self.read(core)]
                 here = b
             out[d] = b"".join([*parts, data[here : int(starts[d + 1]) - 1]])
@@ -198,7 +208,7 @@ class Restorer:
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(doc, index) of words and of their first four and five bytes, marks at the ends aside."""
     w = words_of(texts)
-    inner = np.flatnonzero(_LAST[w.raw])
+    inner = np.flatnonzero(_INNER[w.raw])
     at = np.append(inner, len(w.raw))[np.searchsorted(inner, w.at)]
     end = np.concatenate([[-1], inner])[np.searchsorted(inner, w.end)] + 1
     docs, index = [], []

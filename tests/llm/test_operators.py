@@ -144,6 +144,13 @@ def test_deobfuscation():
         assert restore.text(said) == meant
 
 
+def test_deobfuscation_at_edges_and_between_blanks():
+    model = toxicity.CharModel(Counter({"the": 50, "idiot": 5, "trash": 5, "ass": 5, "stop": 9, "village": 8}))
+    restore = toxicity.Restorer(model)
+    for said, meant in (("!diot", "idiot"), ("+rash", "trash"), ("idio+", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("i d 1 o t", "idiot"), ("i d  i o t", "idiot"), ("the 1 2 3", "the 1 2 3"), ("2024", "2024"), ("stop!", "stop")):
+        assert restore.text(said) == meant
+
+
 def test_character_model_counts_all_documents(spark):
     texts = {i: f"common words {'zyxgy' if i == 3999 else ''}" for i in range(4000)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
