@@ -107,11 +107,11 @@ def align_item(a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> tuple[
 
 
 class Seeds:
-    """Sorted seed hashes with the items that hold them."""
+    """Sorted seed hashes with the items that hold them; an item is the place of a (item_id, text) among those given."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        self.words, pairs = {}, set()
-        for item, text in items:
+        self.words, pairs, self.ids = {}, set(), [item for item, _ in items]
+        for item, (_, text) in enumerate(items):
             w = words_of([(text or "").encode("utf-8", "surrogatepass")])
             if len(w.hash):
                 self.words[item] = w.hash
@@ -192,7 +192,7 @@ def _finder(handle, n: int, coverage: float, least: int, passage_words: int | No
 
 def _aligner(handle, coverage: float, least: int, passage_words: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, known = handle.value.words, {}
+        words, ids, known = handle.value.words, handle.value.ids, {}
         for frame in frames:
             rows = []
             for doc, item, window in zip(frame["doc_id"], frame["item_id"], frame["window"], strict=True):
@@ -206,7 +206,7 @@ def _aligner(handle, coverage: float, least: int, passage_words: int | None):
                         known[key] = found
                 score, matched, passage = found
                 if enough(matched, len(a), coverage, least, passage, passage_words):
-                    rows.append((doc, item, score, matched, matched / len(a)))
+                    rows.append((doc, ids[item], score, matched, matched / len(a)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched_words", "coverage"]).astype({"doc_id": "int64", "item_id": "int64", "score": "int64", "matched_words": "int64", "coverage": "float64"})
 
     return run
@@ -216,7 +216,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     """(doc_id, item_id, score, matched_words, coverage), a row for each document and item it has a copy of.
 
     Null and empty texts and items match nothing; rows without an id are passed
-    over. Repeated ids count as one: the best alignment stays. Very long items
+    over. Different texts of an item_id are aligned each for itself;
+    of repeated ids the best alignment stays. Very long items
     align in pieces (align_item). Empty tables give an empty table. With
     ``passage_words``, so many matched words of one passage are a copy as well,
     whatever share of the item they are; coverage says that share.
@@ -224,11 +225,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     spark = docs.sparkSession
     prepare(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
     parts = []
     for k in range(passes):
-        held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow().to_pydict()
+        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow().to_pydict()
         handle = spark.sparkContext.broadcast(Seeds(list(zip(held["item_id"], held["text"], strict=True)), seed_words))
         hits = stored(plain.mapInPandas(_finder(handle, seed_words, coverage, least_words, passage_words), "doc_id long, item_id long, seeds array<long>, window array<long>, close boolean"), "hits")
         seen = hits.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("docs"))

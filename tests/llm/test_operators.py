@@ -254,6 +254,12 @@ def test_decontamination_by_parts_of_long_items(spark):
     assert {r["doc_id"] for r in decontaminate.contaminated(*args, passage_words=decontaminate.PASSAGE_WORDS).collect()} == {1, 2, 3, 6}
 
 
+def test_decontamination_of_repeated_item_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched_words"]) for r in found) == [(k, 7, 20) for k in range(3)]
+
+
 def test_decontamination_of_edited_copies_in_many_documents(spark):
     r = random.Random(3)
     item, rows = [f"w{k}" for k in range(24)], []
