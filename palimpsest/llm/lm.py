@@ -1,27 +1,31 @@
 """Language-model scoring: online logistic context mixing.
 
 A byte is eight binary decisions. For each of several contexts (the last one
-to five bytes) counts of zeros and ones predict the next bit. Predictions are
+to six bytes) counts of zeros and ones predict the next bit. Predictions are
 mixed in the logistic domain by one of several sets of weights, which the gate
-picks from the bit's position and from how much the longest contexts have been
-seen. Weights are trained online, by gradient steps in the order of the text; an
-adaptive map then refines the mixed probability from what bits turned out to be.
-
-Training reads every text once, spread over all tasks. A task goes through its
-training texts block by block: it predicts a block from what it has counted so
-far, takes a gradient step, then counts the block. For that it has hashed tables
-of its own texts; they serve the weights only, which are averaged by the bytes
-they saw. Scores come from exact counts of the whole corpus: a table keyed by
-gram (a byte with the five before it), which grows with the corpus. It is dealt
-by the last three bytes of context, so that a task holds all counts of its
-contexts of three to five bytes; shorter ones are few, by the alphabet, and are
-broadcast. So each distinct gram is predicted once, from counts of its own
-contexts alone. The most frequent grams go to the tasks that score texts, and
-texts' other grams are joined to theirs.
-
-While scoring, several refinements (plain, sharpened, flattened) compete: a
-Bayesian mixture over them adapts to each text as it goes, so the result is a
-proper probability of the whole text.
+picks from the bit's position and from how much the longer contexts have been
+seen. Weights are trained online, by gradient steps; an adaptive map then
+refines the mixed probability from what bits turned out to be. While scoring,
+several refinements (plain, sharpened, flattened) compete: a Bayesian mixture
+over them, whose weights follow the text as it goes, gives a proper probability
+of the whole text.
+
+All counts are exact counts of the whole corpus, in a table keyed by gram (a
+byte with the six before it), which grows with the corpus. It is dealt by the
+last three bytes of context, so that a task holds all counts of its contexts of
+three to six bytes; shorter ones are few, by the alphabet, and are broadcast.
+
+Training goes over this table: a step takes some distinct grams, each weighed by
+how often it occurs, and predicts every occurrence from the counts of all other
+occurrences. So what a step predicts hasn't been counted, as it hasn't in
+training along the text, yet counts are those of the whole corpus, as they are in
+scoring. Steps go in a fixed shuffled order within a partition, not in the order
+of the texts; partitions' weights are averaged by what they saw. The adaptive
+map is counted in a second pass, under the averaged weights that it refines. The
+number of partitions follows from the number of grams alone, not from the cluster.
+
+Then each distinct gram is valued once. The most frequent grams go to the tasks
+that score texts, and texts' other grams are joined to theirs.
 
 The base score is the unigram model of the whole corpus: counts of lower-cased
 words and of one end a text, smoothed by one.
@@ -34,28 +38,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, prepare, stored
-from .textkernel import blocks, mix, words_of
+from .textkernel import blocks, words_of
 
-#: Bytes of context of each predictor, and the bits of the slots of the table that a task trains its weights with.
-ORDERS, SLOT_BITS = (1, 2, 3, 4, 5), (18, 20, 22, 22, 22)
+#: Bytes of context of each predictor.
+ORDERS = (1, 2, 3, 4, 5, 6)
 CONTEXT = max(ORDERS)
-SURE = len(ORDERS)
+#: How many of the contexts of two bytes and more have been seen often enough: none to all of them.
+SURE, OFTEN = len(ORDERS), 2
 SETS = 8 * SURE
 #: Contexts of so many bytes and fewer are broadcast; of more, dealt by the last BROADCAST + 1 bytes.
 BROADCAST = 2
-RATE = 0.3
+#: Learning rate, distinct grams in a step, weights at the start, and what is added to each count.
+RATE, STEP_GRAMS, START, ADDED = 0.3, 1000, 0.25, 0.4
 BINS = 33
-#: Bytes of text between two online steps of a task; steps take distinct contexts in parts.
-STEP_BYTES = 6 << 20
+#: Grams that a partition holds on average, and that it values at a time.
+PART_GRAMS, VALUED_GRAMS = 150_000, 20_000
 #: A word with a share of the tokens of at least 1 in so many is frequent: no more than so many words are.
 FREQUENT = 1 << 20
-#: Grams whose predictions go to all tasks, the most frequent ones, and grams that one task predicts on average.
-KEPT, PART_GRAMS = 1 << 20, 300_000
+#: Grams whose predictions go to all tasks: the most frequent ones.
+KEPT = 1 << 20
 #: Grams, and words, that a task gathers before it adds up equal ones; it passes them on if two thirds are distinct.
 GATHERED = 3 << 19
 END = np.uint64(0xA5A5F00D12345678)
@@ -63,7 +68,7 @@ POWERS = (1.0, 0.9, 1.1)
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, the five before it above.
+    """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, those before it above.
     A text starts after, and ends with, a byte 0xFF, which UTF-8 doesn't have."""
     data = np.frombuffer(b"".join(b"\xff" * CONTEXT + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
     gram = data.copy()
@@ -75,25 +80,16 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc, gram[at]
 
 
-def slots(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """n x 8 table slots: for each bit, the hashed context of so many bytes with the byte's bits before it."""
-    byte = (gram & np.uint64(255)).astype(np.int64)
-    context = (gram >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    base = mix(context * np.uint64(0x2545F4914F6CDD1D) + np.uint64(order + 1))
-    nodes = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)], axis=1).astype(np.uint64)
-    h = (base[:, None] ^ (nodes * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def places_of(gram: np.ndarray) -> list[np.ndarray]:
-    return [slots(gram, order, bits) for order, bits in zip(ORDERS, SLOT_BITS, strict=True)]
+def cuts_of(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
 
 
 def summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their times."""
     order = np.argsort(key, kind="stable")
     key, times = key[order], times[order]
-    cut = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    cut = cuts_of(key)
     return key[cut], np.add.reduceat(times, cut) if len(cut) else times
 
 
@@ -103,33 +99,26 @@ def keys_of(gram: np.ndarray, order: int) -> np.ndarray:
 
 
 class Counted:
-    """Exact counts: for each order the distinct (context, byte) in order, and running sums of how often they occur."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
-        tables = tables or [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(ORDERS)
-        self.tables = [(key, np.concatenate([[0], np.cumsum(times)])) for key, times in tables]
-
-    def nodes(self, k: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n0, n1), n x 8: zeros and ones that the corpus has at each bit, after the context and the bits before it."""
-        key, sums = self.tables[k]
-        own, where = np.unique(keys_of(gram, ORDERS[k]), return_inverse=True)
-        below = lambda x: sums[np.searchsorted(key, x)]
-        at = own & ~np.uint64(255)
-        low, high = below(at), below(at + np.uint64(256))
-        n0, n1 = np.empty((len(own), 8), np.float32), np.empty((len(own), 8), np.float32)
-        for bit in range(8):
-            half = np.uint64(128 >> bit)
-            middle = below(at + half)
-            n0[:, bit], n1[:, bit] = middle - low, high - middle
-            one = (own & half) > 0
-            at = np.where(one, at + half, at)
-            low, high = np.where(one, middle, low), np.where(one, high, middle)
-        return n0[where], n1[where]
-
-
-def bits_of(gram: np.ndarray) -> np.ndarray:
+    """Counts of one order. seen[b] of a (context, byte): how often the context occurs before a byte that begins with
+    the byte's first b bits."""
+
+    def __init__(self, key: np.ndarray, times: np.ndarray) -> None:
+        """key: distinct, in order; every key that is asked for must be among them, if with no times."""
+        self.key, self.seen = key, np.empty((9, len(key)), np.float32)
+        sums = np.concatenate([[0], np.cumsum(times)])
+        for b in range(9):
+            cut = cuts_of(key >> np.uint64(8 - b))
+            end = np.append(cut[1:], len(key))
+            self.seen[b] = np.repeat((sums[end] - sums[cut]).astype(np.float32), end - cut)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return self.seen[:, np.searchsorted(self.key, key)]
+
+
+def signs_of(gram: np.ndarray) -> np.ndarray:
+    """8 x n: 1 where a bit of the byte is one, else -1."""
     byte = (gram & np.uint64(255)).astype(np.int64)
-    return np.stack([(byte >> (7 - k)) & 1 for k in range(8)], axis=1)
+    return np.stack([((byte >> (7 - k)) & 1) * 2 - 1 for k in range(8)]).astype(np.float32)
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -140,71 +129,58 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+def inputs(gram: np.ndarray, counted: list[Counted], left_out: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """(an array 8 x n for each order and one for the bias, 8 x n gates). An input says how likely the order's counts hold
+    the bits that the gram's byte does have. left_out: occurrences of the gram itself that don't count."""
+    x, sure, less = [], np.zeros((8, len(gram)), np.int64), np.float32(left_out)
+    for order, table in zip(ORDERS, counted, strict=True):
+        seen = table.of(keys_of(gram, order)) - less
+        own, all_ = seen[1:], seen[:-1]
+        x.append(np.log((own + np.float32(ADDED)) / (all_ - own + np.float32(ADDED))))
+        if order >= 2:
+            sure += all_ > OFTEN
+    return [*x, np.float32(0.3) * signs_of(gram)], np.arange(8)[:, None] * SURE + sure
+
+
 class Model:
-    """While training, hashed tables of a task's own counts; frozen, exact counts."""
+    """Weights, a set for each gate, and the adaptive map: zeros and ones met at each gate and bin of the mixed prediction."""
 
     def __init__(self) -> None:
-        self.counts: list[np.ndarray] | None = [np.zeros(2 << bits, np.float32) for bits in SLOT_BITS]
-        self.counted = Counted()
-        self.weights = np.full((SETS, len(ORDERS) + 1), 0.25, np.float64)
+        self.weights = np.full((SETS, len(ORDERS) + 1), START, np.float64)
         self.weights[:, -1] = 0
-        self.apm = np.zeros((SETS, BINS, 2), np.float64)
-
-    def freeze(self, counted: Counted | None = None) -> None:
-        """From here on predictions come from these counts; without any, from the weights alone."""
-        self.counts, self.counted = None, counted or Counted()
-
-    def inputs(self, gram: np.ndarray, places: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-        """(an array n x 8 for each order, n x 8 gates)."""
-        x, sure = [], np.zeros((len(gram), 8), np.int64)
-        places = places or (places_of(gram) if self.counts is not None else None)
-        for k, order in enumerate(ORDERS):
-            if self.counts is None:
-                n0, n1 = self.counted.nodes(k, gram)
-            else:
-                both = np.take(self.counts[k].reshape(-1, 2), places[k], axis=0)
-                n0, n1 = both[..., 0], both[..., 1]
-            x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
-            if order >= 2:
-                sure += n0 + n1 > 2
-        return x, np.arange(8)[None, :] * SURE + sure
+        self.map = np.zeros((SETS, BINS, 2), np.float64)
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         weights = self.weights.astype(np.float32)
-        z = np.take(weights[:, -1] * np.float32(0.3), gate)
-        for k, values in enumerate(x):
-            z += values * np.take(np.ascontiguousarray(weights[:, k]), gate)
-        return np.clip(z, -12, 12)
-
-    def bin_of(self, z: np.ndarray) -> np.ndarray:
-        return np.clip(np.round((z + 8) * 2), 0, BINS - 1).astype(np.int64)
-
-    def learn(self, gram: np.ndarray, own: np.ndarray) -> None:
-        """One online step on a block's distinct grams, weighed by how often they occur; then they are counted."""
-        places, bits, times = places_of(gram), bits_of(gram), np.repeat(own, 8)
-        x, gate = self.inputs(gram, places)
-        z = self.mixed(x, gate)
-        error = (bits - squash(z)) * own[:, None]
-        total = np.bincount(gate.ravel(), times, minlength=SETS) + 1
-        step = np.stack([np.bincount(gate.ravel(), (error * values).ravel(), minlength=SETS) for values in [*x, np.float32(0.3)]], axis=1)
-        self.weights += RATE * step / total[:, None]
-        cell = (gate * BINS + self.bin_of(z)) * 2 + bits
-        self.apm += np.bincount(cell.ravel(), times, minlength=self.apm.size).reshape(self.apm.shape)
-        times = times.astype(np.float32)
-        for k, s in enumerate(places):
-            np.add.at(self.counts[k], (s * 2 + bits).ravel(), times)
-
-    def nats(self, gram: np.ndarray) -> np.ndarray:
+        return np.clip(sum(values * np.take(np.ascontiguousarray(weights[:, k]), gate) for k, values in enumerate(x)), -12, 12)
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """One online step on grams that occur so many times; returns how much each set saw."""
+        error = times / (1 + np.exp(self.mixed(x, gate)))
+        at = gate.ravel()
+        total = np.bincount(at, np.broadcast_to(times, gate.shape).ravel(), minlength=SETS)
+        step = np.stack([np.bincount(at, (error * values).ravel(), minlength=SETS) for values in x], axis=1)
+        self.weights += RATE * step / (total[:, None] + 1)
+        return total
+
+    def cells(self, z: np.ndarray, gate: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Bins are of the prediction that the bit is one."""
+        return gate * BINS + np.clip(np.round((z * sign + 8) * 2), 0, BINS - 1).astype(np.int64)
+
+    def met(self, x: list[np.ndarray], gate: np.ndarray, sign: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """What grams that occur so many times add to the map."""
+        cell = self.cells(self.mixed(x, gate), gate, sign) * 2 + (sign > 0)
+        return np.bincount(cell.ravel(), np.broadcast_to(times, cell.shape).ravel(), minlength=self.map.size)
+
+    def nats(self, x: list[np.ndarray], gate: np.ndarray, sign: np.ndarray) -> np.ndarray:
         """n x experts: log probabilities of each gram's byte after its context."""
-        x, gate = self.inputs(gram)
         z = self.mixed(x, gate)
-        p = squash(z)
-        refined = ((self.apm[:, :, 1]) / (self.apm.sum(axis=2) + 8)).astype(np.float32)
-        trust = (8 / (self.apm.sum(axis=2) + 8)).astype(np.float32)
-        cell = gate * BINS + self.bin_of(z)
-        both = stretch(np.clip((p + np.take(refined, cell) + np.take(trust, cell) * p) / 2, np.float32(1e-6), np.float32(1 - 1e-6)))
-        both *= (1 - 2 * bits_of(gram)).astype(np.float32)
-        return np.stack([-np.log1p(np.exp(both * np.float32(power))).sum(axis=1, dtype=np.float64) for power in POWERS], axis=1)
+        one = squash(z * sign)
+        all_ = self.map.sum(axis=2)
+        refined, trust = (self.map[:, :, 1] / (all_ + 8)).astype(np.float32), (8 / (all_ + 8)).astype(np.float32)
+        cell = self.cells(z, gate, sign)
+        both = stretch(np.clip((one + np.take(refined, cell) + np.take(trust, cell) * one) / 2, np.float32(1e-6), np.float32(1 - 1e-6))) * sign
+        return np.stack([-np.log1p(np.exp(-both * np.float32(power))).sum(axis=0, dtype=np.float64) for power in POWERS], axis=1)
 
 
 class Known:
@@ -249,26 +225,13 @@ class Tally:
             if last or self.size() > GATHERED * 2 // 3:
                 (key, n), self.parts = self.parts[0], []
                 for a in range(0, len(key), 100_000):
-                    yield pd.DataFrame({"kind": kind, "key": key[a : a + 100_000].view(np.int64), "n": n[a : a + 100_000], "table": None})
+                    yield pd.DataFrame({"kind": kind, "key": key[a : a + 100_000].view(np.int64), "n": n[a : a + 100_000]})
 
 
-def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of kind 0: words (key: the hash) and how often; of kind 1: grams and how often, those of held-out texts no
-    times; of kind 2: a task's weights and refinements."""
-    model, total = Model(), 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    times."""
     words, grams = Tally(), Tally()
-
-    def learn() -> int:
-        gram, own = summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))
-        mixed = np.random.default_rng(len(gram)).permutation(len(gram))  # grams of one context apart, as in a text
-        for a in range(0, len(gram), 8_000):
-            at = mixed[a : a + 8_000]
-            model.learn(gram[at], own[at].astype(np.float64))
-        held.clear()
-        grams.add(gram, own)
-        return int(own.sum())
-
     for frame in frames:
         for first, texts in blocks(frame["text"]):
             out = frame["held_out"].to_numpy()[first : first + len(texts)].astype(bool)
@@ -279,74 +242,72 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if texts:
                 w = words_of(texts)
                 words.add(*np.unique(np.concatenate([w.hash, np.full(len(texts), END)]), return_counts=True))
-                held.append(np.unique(grams_of(texts)[1], return_counts=True))
-                if sum(int(n.sum()) for _, n in held) >= STEP_BYTES:
-                    total += learn()
+                grams.add(*np.unique(grams_of(texts)[1], return_counts=True))
             yield from words.rows(0)
             yield from grams.rows(1)
-    if held:
-        total += learn()
-    model.counts = None
     yield from words.rows(0, last=True)
     yield from grams.rows(1, last=True)
-    if total:
-        yield pd.DataFrame({"kind": 2, "key": 0, "n": [total], "table": [_pack(np.concatenate([model.weights.ravel() * total, model.apm.ravel()]))]})
 
 
-def _valuer(handle):
+def _held(batches: Iterator[pa.RecordBatch], low: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[Counted]]:
+    """(grams in order, times, counts of all orders) of a partition, which holds all of its contexts of more than
+    BROADCAST bytes."""
+    rows = [(b["gram"].to_numpy(), b["c"].to_numpy()) for b in batches]
+    gram = np.concatenate([np.empty(0, np.int64), *(g for g, _ in rows)]).view(np.uint64)
+    times = np.concatenate([np.empty(0, np.int64), *(c for _, c in rows)])
+    order = np.argsort(gram)
+    gram, times = gram[order], times[order]
+    return gram, times, [Counted(*t) for t in [*low, *(summed(keys_of(gram, k), times) for k in ORDERS if k > BROADCAST)]]
+
+
+def _trainer(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each gram of a partition, which holds all of its contexts of more than BROADCAST bytes, with its log
-        probabilities."""
-        model, low = handle.value
-        rows = [(b["gram"].to_numpy(), b["c"].to_numpy()) for b in batches]
-        if not rows:
+        """A partition's weights: for each set what it saw (place 0) and that times each weight."""
+        gram, times, counted = _held(batches, handle.value)
+        gram, times = gram[times > 0], times[times > 0].astype(np.float32)
+        if not len(gram):
             return
-        gram, times = np.concatenate([g for g, _ in rows]).view(np.uint64), np.concatenate([c for _, c in rows])
-        order = np.argsort(gram)
-        gram, times = gram[order], times[order]
-        model.freeze(Counted([*low, *(summed(keys_of(gram, k), times) for k in ORDERS if k > BROADCAST)]))
-        for a in range(0, len(gram), 20_000):
-            part = gram[a : a + 20_000]
-            nats = model.nats(part).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"gram": part.view(np.int64), "c": times[a : a + 20_000]} | {f"e{k}": np.ascontiguousarray(nats[:, k]) for k in range(len(POWERS))})
+        order = np.random.default_rng(len(gram)).permutation(len(gram))
+        model, saw = Model(), np.zeros(SETS)
+        for a in range(0, len(gram), VALUED_GRAMS):
+            at = order[a : a + VALUED_GRAMS]
+            x, gate = inputs(gram[at], counted, left_out=1)
+            for b in range(0, len(at), STEP_GRAMS):
+                s = slice(b, b + STEP_GRAMS)
+                saw += model.learn([values[:, s] for values in x], gate[:, s], times[at[s]])
+        value = np.concatenate([saw[:, None], model.weights * saw[:, None]], axis=1).ravel()
+        yield pa.RecordBatch.from_pydict({"place": np.arange(len(value)), "value": value})
 
     return run
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Whole numbers below 65,536, as most tables of one task hold, take two bytes each, others four."""
-    if a.size and a.max() < 65_536 and a.min() >= 0 and (a == np.floor(a)).all():
-        return b"H" + zstandard.compress(a.astype(np.uint16).tobytes(), 1)
-    return a.dtype.char.encode() + zstandard.compress(a.tobytes(), 1)
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    a = np.frombuffer(zstandard.decompress(b[1:]), np.dtype(b[:1].decode()))
-    return a.astype(np.float32) if a.dtype == np.uint16 else a
-
-
-def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up the tables of each key in a partition; more groups of a key than one there become one."""
-    sums: dict[int, np.ndarray] = {}
-    seen: dict[int, int] = {}
-    for frame in frames:
-        for key, n, table in zip(frame["key"], frame["n"], frame["table"], strict=True):
-            a = _unpack(table)
-            sums[key] = sums[key] + a if key in sums else a
-            seen[key] = seen.get(key, 0) + int(n)
-    yield pd.DataFrame({"key": list(sums), "n": [seen[k] for k in sums], "table": [_pack(a) for a in sums.values()]}).astype({"key": "int64", "n": "int64"})
+def _mapper(handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a partition adds to each place of the map."""
+        model, low = handle.value
+        gram, times, counted = _held(batches, low)
+        gram, times = gram[times > 0], times[times > 0].astype(np.float64)
+        value = np.zeros(model.map.size)
+        for a in range(0, len(gram), VALUED_GRAMS):
+            part = gram[a : a + VALUED_GRAMS]
+            value += model.met(*inputs(part, counted, left_out=1), signs_of(part), times[a : a + VALUED_GRAMS])
+        place = np.flatnonzero(value)
+        yield pa.RecordBatch.from_pydict({"place": place, "value": value[place]})
 
+    return run
 
-#: Tables that one task adds up.
-FAN_IN = 16
 
+def _valuer(handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each gram of a partition with its log probabilities."""
+        model, low = handle.value
+        gram, times, counted = _held(batches, low)
+        for a in range(0, len(gram), VALUED_GRAMS):
+            part = gram[a : a + VALUED_GRAMS]
+            nats = model.nats(*inputs(part, counted), signs_of(part)).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"gram": part.view(np.int64), "c": times[a : a + VALUED_GRAMS]} | {f"e{k}": np.ascontiguousarray(nats[:, k]) for k in range(len(POWERS))})
 
-def _added_up(df: DataFrame, tables: int) -> DataFrame:
-    """Tables (key, n, table) of each key added up by levels of FAN_IN; tables: how many a key has at most."""
-    while tables > 1:
-        tables = -(-tables // FAN_IN)
-        df = df.withColumn("_g", F.pmod(F.xxhash64("table"), F.lit(tables))).repartition("key", "_g").select("key", "n", "table").mapInPandas(_added, "key long, n long, table binary")
-    return df
+    return run
 
 
 def _of_texts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,23 +352,30 @@ def _scorer(handle):
 SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
 
 
-def _valued(spark: SparkSession, trained: DataFrame) -> DataFrame:
+def _places(dealt: DataFrame, run, size: int) -> np.ndarray:
+    """Sums of what partitions give for each of so many places."""
+    out = np.zeros(size)
+    for row in dealt.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():  # size rows at most
+        out[row["place"]] = row["value"]
+    return out
+
+
+def _valued(spark: SparkSession, counted: DataFrame) -> DataFrame:
     """(gram, c, e0, e1, e2): how often each gram of the corpus occurs in training texts, and its log probabilities."""
-    grams = stored(trained.where("kind = 1").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("c")), "lm-grams")
-    model = Model()
-    weights = trained.where("kind = 2").select("key", "n", "table")
-    for row in _added_up(weights, weights.count()).collect():  # one row at most
-        table = _unpack(row["table"])
-        size = model.weights.size
-        model.weights = (table[:size] / row["n"]).reshape(model.weights.shape)
-        model.apm = table[size:].reshape(model.apm.shape)
-    model.freeze()
-    short = grams.where("c > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * BROADCAST + 8)) - 1)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
+    grams = stored(counted.where("kind = 1").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("c")), "lm-grams")
+    context = (1 << (8 * BROADCAST + 8)) - 1
+    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit(context)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
     key, times = short["key"].to_numpy().view(np.uint64), short["c"].to_numpy()
-    handle = spark.sparkContext.broadcast((model, [summed(keys_of(key, k), times) for k in ORDERS if k <= BROADCAST]))
-    parts = max(spark.sparkContext.defaultParallelism, -(-grams.count() // PART_GRAMS))
-    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * BROADCAST + 8)) - 1))
-    return stored(grams.repartition(parts, context).mapInArrow(_valuer(handle), "gram long, c long, e0 float, e1 float, e2 float"), "lm-valued")
+    low = [summed(keys_of(key, k), times) for k in ORDERS if k <= BROADCAST]
+    parts = max(1, -(-grams.count() // PART_GRAMS))
+    dealt = grams.repartition(parts, F.shiftright("gram", 8).bitwiseAND(F.lit(context)))
+    model = Model()
+    sums = _places(dealt, _trainer(spark.sparkContext.broadcast(low)), SETS * (len(ORDERS) + 2)).reshape(SETS, -1)
+    saw = sums[:, :1]
+    model.weights = np.where(saw > 0, sums[:, 1:] / np.maximum(saw, 1), model.weights)
+    model.map = _places(dealt, _mapper(spark.sparkContext.broadcast((model, low))), model.map.size).reshape(model.map.shape)
+    handle = spark.sparkContext.broadcast((model, low))
+    return stored(dealt.mapInArrow(_valuer(handle), "gram long, c long, e0 float, e1 float, e2 float"), "lm-valued")
 
 
 def _most_frequent(valued: DataFrame, kept: int) -> DataFrame:
@@ -435,11 +403,11 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     prepare(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    trained = stored(plain.select("text", "held_out").mapInPandas(_train, "kind int, key long, n long, table binary"), "lm-trained")
-    words = stored(trained.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
+    counted = stored(plain.select("text", "held_out").mapInPandas(_count, "kind int, key long, n long"), "lm-counted")
+    words = stored(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    valued = _valued(spark, trained)
-    discard(trained)
+    valued = _valued(spark, counted)
+    discard(counted)
     most = _most_frequent(valued, kept).orderBy("gram").toArrow()  # no more than kept rows
     end = np.iinfo(np.uint64).max  # a last entry, so that searches end within the arrays
     gram = np.append(most["gram"].to_numpy().view(np.uint64), end)

@@ -291,42 +291,6 @@ def test_language_model(docs):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_language_model_beats_its_base_on_held_out_texts(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    held = lm.score(df).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
-    assert held["score"] > held["base"]
-
-
-def test_language_model_is_a_distribution():
-    model = lm.Model()
-    gram, own = np.unique(lm.grams_of([b"the cat sat on the mat " * 50])[1], return_counts=True)
-    for _ in range(5):
-        model.learn(gram, own.astype(float))
-    context = int(gram[3]) & ~255
-    every = np.array([context | b for b in range(256)], np.uint64)
-    for _ in range(2):
-        assert np.allclose(np.exp(model.nats(every)).sum(axis=0), 1, atol=1e-6)
-        model.freeze() if model.counts is not None else None
-
-
-def test_language_model_counts_each_context_for_itself():
-    r = np.random.default_rng(8)
-    gram, times = lm.summed(r.integers(0, 1 << 48, 400_000).astype(np.uint64), np.ones(400_000, np.int64))
-    gram[:300] = (gram[:300] & np.uint64(255)) | np.uint64(0x616263646500)  # one context of many bytes
-    gram, times = lm.summed(gram, times)
-    counted = lm.Counted([lm.summed(lm.keys_of(gram, k), times) for k in lm.ORDERS])
-    for k, order in enumerate(lm.ORDERS):
-        some = np.concatenate([gram[r.integers(0, len(gram), 20)], np.array([0x6162636465FE, 1], np.uint64)])
-        n0, n1 = counted.nodes(k, some)
-        for i, g in enumerate(some):
-            same = lm.keys_of(gram, order) >> np.uint64(8) == lm.keys_of(g, order) >> np.uint64(8)
-            byte, own = (gram[same] & np.uint64(255)).astype(int), int(g) & 255
-            for bit in range(8):
-                node = (byte >> (8 - bit)) == (own >> (8 - bit))
-                one = (byte >> (7 - bit)) & 1
-                assert (n0[i, bit], n1[i, bit]) == (times[same][node & (one == 0)].sum(), times[same][node & (one == 1)].sum())
-
-
 def test_language_model_joins_grams_that_are_not_kept(docs):
     whole, joined = ({(r["doc_id"], r["n_tokens"], r["held_out"]): r["score"] for r in lm.score(docs, **o).collect()} for o in ({}, {"kept": 60}))
     assert whole.keys() == joined.keys() and all(whole[k] == pytest.approx(joined[k], rel=1e-6) for k in whole)
