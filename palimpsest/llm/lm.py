@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, prepare, stored
+from .shared import prepare, stored
 from .textkernel import blocks, words_of
 
 #: Bytes of context of each predictor.
@@ -59,10 +59,10 @@ BINS = 33
 PART_GRAMS, VALUED_GRAMS = 150_000, 20_000
 #: A word with a share of the tokens of at least 1 in so many is frequent: no more than so many words are.
 FREQUENT = 1 << 20
-#: Grams whose predictions go to all tasks: the most frequent ones.
-KEPT = 1 << 20
+#: Grams whose predictions go to all tasks: the most frequent ones, 20 bytes each.
+KEPT = 3 << 20
 #: Grams, and words, that a task gathers before it adds up equal ones; it passes them on if two thirds are distinct.
-GATHERED = 3 << 19
+GATHERED = 4 << 20
 END = np.uint64(0xA5A5F00D12345678)
 POWERS = (1.0, 0.9, 1.1)
 
@@ -186,7 +186,7 @@ class Model:
 class Known:
     """Log probabilities of frequent grams, found by a hashed slot; of grams that share one, by search."""
 
-    def __init__(self, gram: np.ndarray, nats: np.ndarray, bits: int = 21) -> None:
+    def __init__(self, gram: np.ndarray, nats: np.ndarray, bits: int = 23) -> None:
         """gram: in order, the last one no gram's number."""
         self.gram, self.nats, self.shift = gram, nats, np.uint64(64 - bits)
         self.slot = np.full(1 << bits, len(gram) - 1, np.int32)
@@ -360,9 +360,9 @@ def _places(dealt: DataFrame, run, size: int) -> np.ndarray:
     return out
 
 
-def _valued(spark: SparkSession, counted: DataFrame) -> DataFrame:
-    """(gram, c, e0, e1, e2): how often each gram of the corpus occurs in training texts, and its log probabilities."""
-    grams = stored(counted.where("kind = 1").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("c")), "lm-grams")
+def _valued(spark: SparkSession, grams: DataFrame) -> DataFrame:
+    """(gram, c, e0, e1, e2) from (gram, c): how often each gram of the corpus occurs in training texts, and its log
+    probabilities."""
     context = (1 << (8 * BROADCAST + 8)) - 1
     short = grams.groupBy(F.col("gram").bitwiseAND(F.lit(context)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
     key, times = short["key"].to_numpy().view(np.uint64), short["c"].to_numpy()
@@ -403,11 +403,10 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     prepare(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    counted = stored(plain.select("text", "held_out").mapInPandas(_count, "kind int, key long, n long"), "lm-counted")
-    words = stored(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
+    counted = stored(plain.select("text", "held_out").mapInPandas(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("c")), "lm-counted")
+    words = counted.where("kind = 0").select("key", "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    valued = _valued(spark, counted)
-    discard(counted)
+    valued = _valued(spark, counted.where("kind = 1").select(F.col("key").alias("gram"), "c"))
     most = _most_frequent(valued, kept).orderBy("gram").toArrow()  # no more than kept rows
     end = np.iinfo(np.uint64).max  # a last entry, so that searches end within the arrays
     gram = np.append(most["gram"].to_numpy().view(np.uint64), end)
