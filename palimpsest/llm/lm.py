@@ -11,18 +11,19 @@ over them, whose weights follow the text as it goes, gives a proper probability
 of the whole text.
 
 All counts are exact counts of the whole corpus, in a table keyed by gram (a
-byte with the six before it), which grows with the corpus. It is dealt by the
-last three bytes of context, so that a task holds all counts of its contexts of
-three to six bytes; shorter ones are few, by the alphabet, and are broadcast.
+byte with the six before it), which grows with the corpus. It is dealt into parts
+by the last three bytes of context, so that a part holds all counts of its contexts
+of three to six bytes; shorter ones are few, by the alphabet, and are broadcast. A
+part is one row, its grams in order and compressed; the number of parts follows
+from the size of the corpus alone, not from the cluster.
 
 Training goes over this table: a step takes some distinct grams, each weighed by
 how often it occurs, and predicts every occurrence from the counts of all other
 occurrences. So what a step predicts hasn't been counted, as it hasn't in
 training along the text, yet counts are those of the whole corpus, as they are in
-scoring. Steps go in a fixed shuffled order within a partition, not in the order
-of the texts; partitions' weights are averaged by what they saw. The adaptive
-map is counted in a second pass, under the averaged weights that it refines. The
-number of partitions follows from the number of grams alone, not from the cluster.
+scoring. Steps go in a fixed shuffled order within a part, not in the order of the
+texts; parts' weights are averaged by what they saw. The adaptive map is counted
+in a second pass, under the averaged weights that it refines.
 
 Then each distinct gram is valued once. The most frequent grams go to the tasks
 that score texts, and texts' other grams are joined to theirs.
@@ -38,11 +39,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import prepare, stored
-from .textkernel import blocks, words_of
+from .textkernel import blocks, mix, words_of
 
 #: Bytes of context of each predictor.
 ORDERS = (1, 2, 3, 4, 5, 6)
@@ -54,9 +56,10 @@ SETS = 8 * SURE
 BROADCAST = 2
 #: Learning rate, distinct grams in a step, weights at the start, and what is added to each count.
 RATE, STEP_GRAMS, START, ADDED = 0.3, 1000, 0.25, 0.4
-BINS = 33
-#: Grams that a partition holds on average, and that it values at a time.
-PART_GRAMS, VALUED_GRAMS = 150_000, 20_000
+#: Bins of the adaptive map, and classes of how often grams occur.
+BINS, SIZES = 33, 256
+#: Bytes of the corpus that a part's grams come from, on average, and grams that are valued at a time.
+PART_BYTES, VALUED_GRAMS = 8 << 20, 20_000
 #: A word with a share of the tokens of at least 1 in so many is frequent: no more than so many words are.
 FREQUENT = 1 << 20
 #: Grams whose predictions go to all tasks: the most frequent ones, 20 bytes each.
@@ -206,6 +209,18 @@ class Known:
         return self.nats[at], miss[strange]
 
 
+def packed(key: np.ndarray, times: np.ndarray) -> bytes:
+    """Keys in order and their times, compressed: bytes of differences by their place."""
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T) for x in (np.diff(key, prepend=np.uint64(0)), times)]
+    return zstandard.compress(b"".join(x.tobytes() for x in planes), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, 8, -1)
+    key, times = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes)
+    return np.cumsum(key, dtype=np.uint64), times.astype(np.int64)
+
+
 class Tally:
     """Keys and how often they occur; equal ones are added up when many have gathered."""
 
@@ -218,94 +233,148 @@ class Tally:
     def size(self) -> int:
         return sum(len(k) for k, _ in self.parts)
 
-    def rows(self, kind: int, last: bool = False) -> Iterator[pd.DataFrame]:
-        """What is to be passed on; if it is the last time, all."""
+    def taken(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What is to be passed on, in order; if it is the last time, all."""
         if self.size() > (0 if last else GATHERED):
             self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
             if last or self.size() > GATHERED * 2 // 3:
-                (key, n), self.parts = self.parts[0], []
-                for a in range(0, len(key), 100_000):
-                    yield pd.DataFrame({"kind": kind, "key": key[a : a + 100_000].view(np.int64), "n": n[a : a + 100_000]})
+                yield self.parts.pop()
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of kind 0: words (key: the hash) and how often; of kind 1: grams and how often, those of held-out texts no
-    times."""
-    words, grams = Tally(), Tally()
-    for frame in frames:
-        for first, texts in blocks(frame["text"]):
-            out = frame["held_out"].to_numpy()[first : first + len(texts)].astype(bool)
-            if out.any():
-                gram = np.unique(grams_of([t for t, o in zip(texts, out, strict=True) if o])[1])
-                grams.add(gram, np.zeros(len(gram), np.int64))
-                texts = [t for t, o in zip(texts, out, strict=True) if not o]
-            if texts:
-                w = words_of(texts)
-                words.add(*np.unique(np.concatenate([w.hash, np.full(len(texts), END)]), return_counts=True))
-                grams.add(*np.unique(grams_of(texts)[1], return_counts=True))
-            yield from words.rows(0)
-            yield from grams.rows(1)
-    yield from words.rows(0, last=True)
-    yield from grams.rows(1, last=True)
+COUNTED = "kind int, key long, n long, grams binary"
+
 
+def _words(key: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
+    for a in range(0, len(key), 100_000):
+        yield pd.DataFrame({"kind": 0, "key": key[a : a + 100_000].view(np.int64), "n": times[a : a + 100_000], "grams": None})
 
-def _held(batches: Iterator[pa.RecordBatch], low: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[Counted]]:
-    """(grams in order, times, counts of all orders) of a partition, which holds all of its contexts of more than
-    BROADCAST bytes."""
-    rows = [(b["gram"].to_numpy(), b["c"].to_numpy()) for b in batches]
-    gram = np.concatenate([np.empty(0, np.int64), *(g for g, _ in rows)]).view(np.uint64)
-    times = np.concatenate([np.empty(0, np.int64), *(c for _, c in rows)])
-    order = np.argsort(gram)
-    gram, times = gram[order], times[order]
-    return gram, times, [Counted(*t) for t in [*low, *(summed(keys_of(gram, k), times) for k in ORDERS if k > BROADCAST)]]
+
+def _grams(gram: np.ndarray, times: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
+    """Grams, in order, by part."""
+    part = (mix((gram >> np.uint64(8)) & np.uint64((1 << (8 * BROADCAST + 8)) - 1)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    gram, times, part = gram[order], times[order], part[order]
+    cut = cuts_of(part)
+    for a in range(0, len(cut), 1000):
+        pieces = [(int(part[x]), packed(gram[x:y], times[x:y])) for x, y in zip(cut[a : a + 1000], np.append(cut, len(gram))[a + 1 : a + 1001], strict=True)]
+        yield pd.DataFrame({"kind": 1, "key": [k for k, _ in pieces], "n": 0, "grams": [g for _, g in pieces]})
+
+
+def _counter(parts: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of kind 0: words (key: the hash) and how often; of kind 1: a part's grams and how often, those of held-out
+        texts no times."""
+        words, grams = Tally(), Tally()
+        for frame in frames:
+            for first, texts in blocks(frame["text"]):
+                out = frame["held_out"].to_numpy()[first : first + len(texts)].astype(bool)
+                if out.any():
+                    gram = np.unique(grams_of([t for t, o in zip(texts, out, strict=True) if o])[1])
+                    grams.add(gram, np.zeros(len(gram), np.int64))
+                    texts = [t for t, o in zip(texts, out, strict=True) if not o]
+                if texts:
+                    w = words_of(texts)
+                    words.add(*np.unique(np.concatenate([w.hash, np.full(len(texts), END)]), return_counts=True))
+                    grams.add(*np.unique(grams_of(texts)[1], return_counts=True))
+                for key, times in words.taken():
+                    yield from _words(key, times)
+                for key, times in grams.taken():
+                    yield from _grams(key, times, parts)
+        for key, times in words.taken(last=True):
+            yield from _words(key, times)
+        for key, times in grams.taken(last=True):
+            yield from _grams(key, times, parts)
+
+    return run
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds up the rows of each key, all of which are here."""
+    words, grams = Tally(), {}
+    for frame in frames:
+        of_words = frame["kind"].to_numpy() == 0
+        if of_words.any():
+            words.add(frame["key"].to_numpy()[of_words].astype(np.int64).view(np.uint64), frame["n"].to_numpy()[of_words].astype(np.int64))
+            if words.size() > GATHERED:
+                words.parts = [summed(np.concatenate([k for k, _ in words.parts]), np.concatenate([n for _, n in words.parts]))]
+        for part, data in zip(frame["key"][~of_words], frame["grams"][~of_words], strict=True):
+            grams.setdefault(int(part), []).append(data)
+    for key, times in words.taken(last=True):
+        yield from _words(key, times)
+    for part, pieces in sorted(grams.items()):
+        held = [unpacked(data) for data in pieces]
+        key, times = summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+        yield pd.DataFrame({"kind": 1, "key": [part], "n": [len(key)], "grams": [packed(key, times)]})
+
+
+def _held(batches: Iterator[pa.RecordBatch], low: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[Counted]]]:
+    """(grams in order, times, counts of all orders) of each part."""
+    short = [Counted(*t) for t in low]
+    for batch in batches:
+        for data in batch["grams"]:
+            gram, times = unpacked(data.as_py())
+            yield gram, times, [*short, *(Counted(*summed(keys_of(gram, k), times)) for k in ORDERS if k > BROADCAST)]
+
+
+def _shortener(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the longest contexts that are broadcast, and how often, in each part."""
+    for batch in batches:
+        for data in batch["grams"]:
+            gram, times = unpacked(data.as_py())
+            key, times = summed(keys_of(gram, BROADCAST), times)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "c": times})
 
 
 def _trainer(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's weights: for each set what it saw (place 0) and that times each weight."""
-        gram, times, counted = _held(batches, handle.value)
-        gram, times = gram[times > 0], times[times > 0].astype(np.float32)
-        if not len(gram):
-            return
-        order = np.random.default_rng(len(gram)).permutation(len(gram))
-        model, saw = Model(), np.zeros(SETS)
-        for a in range(0, len(gram), VALUED_GRAMS):
-            at = order[a : a + VALUED_GRAMS]
-            x, gate = inputs(gram[at], counted, left_out=1)
-            for b in range(0, len(at), STEP_GRAMS):
-                s = slice(b, b + STEP_GRAMS)
-                saw += model.learn([values[:, s] for values in x], gate[:, s], times[at[s]])
-        value = np.concatenate([saw[:, None], model.weights * saw[:, None]], axis=1).ravel()
-        yield pa.RecordBatch.from_pydict({"place": np.arange(len(value)), "value": value})
+        """Each part's weights: for each set what it saw (place 0) and that times each weight."""
+        for gram, times, counted in _held(batches, handle.value):
+            gram, times = gram[times > 0], times[times > 0].astype(np.float32)
+            order = np.random.default_rng(len(gram)).permutation(len(gram))
+            model, saw = Model(), np.zeros(SETS)
+            for a in range(0, len(gram), VALUED_GRAMS):
+                at = order[a : a + VALUED_GRAMS]
+                x, gate = inputs(gram[at], counted, left_out=1)
+                for b in range(0, len(at), STEP_GRAMS):
+                    s = slice(b, b + STEP_GRAMS)
+                    saw += model.learn([values[:, s] for values in x], gate[:, s], times[at[s]])
+            value = np.concatenate([saw[:, None], model.weights * saw[:, None]], axis=1).ravel()
+            yield pa.RecordBatch.from_pydict({"place": np.arange(len(value)), "value": value})
 
     return run
 
 
+def sizes_of(times: np.ndarray) -> np.ndarray:
+    """Classes of how often grams occur, each a quarter of a factor of two."""
+    return np.floor(np.log2(times + 1.0) * 4).astype(np.int64)
+
+
 def _mapper(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a partition adds to each place of the map."""
+        """What each part adds to each place of the map; after it, how many grams there are of each class of sizes."""
         model, low = handle.value
-        gram, times, counted = _held(batches, low)
-        gram, times = gram[times > 0], times[times > 0].astype(np.float64)
-        value = np.zeros(model.map.size)
-        for a in range(0, len(gram), VALUED_GRAMS):
-            part = gram[a : a + VALUED_GRAMS]
-            value += model.met(*inputs(part, counted, left_out=1), signs_of(part), times[a : a + VALUED_GRAMS])
-        place = np.flatnonzero(value)
-        yield pa.RecordBatch.from_pydict({"place": place, "value": value[place]})
+        for gram, times, counted in _held(batches, low):
+            value = np.concatenate([np.zeros(model.map.size), np.bincount(sizes_of(times), minlength=SIZES)])
+            gram, times = gram[times > 0], times[times > 0].astype(np.float64)
+            for a in range(0, len(gram), VALUED_GRAMS):
+                part = gram[a : a + VALUED_GRAMS]
+                value[: model.map.size] += model.met(*inputs(part, counted, left_out=1), signs_of(part), times[a : a + VALUED_GRAMS])
+            place = np.flatnonzero(value)
+            yield pa.RecordBatch.from_pydict({"place": place, "value": value[place]})
 
     return run
 
 
 def _valuer(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each gram of a partition with its log probabilities."""
-        model, low = handle.value
-        gram, times, counted = _held(batches, low)
-        for a in range(0, len(gram), VALUED_GRAMS):
-            part = gram[a : a + VALUED_GRAMS]
-            nats = model.nats(*inputs(part, counted), signs_of(part)).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"gram": part.view(np.int64), "c": times[a : a + VALUED_GRAMS]} | {f"e{k}": np.ascontiguousarray(nats[:, k]) for k in range(len(POWERS))})
+        """Each gram with its log probabilities and whether it is kept."""
+        model, low, least = handle.value
+        for gram, times, counted in _held(batches, low):
+            kept = sizes_of(times) >= least
+            for a in range(0, len(gram), VALUED_GRAMS):
+                part = gram[a : a + VALUED_GRAMS]
+                nats = model.nats(*inputs(part, counted), signs_of(part)).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"gram": part.view(np.int64), "kept": kept[a : a + VALUED_GRAMS]} | {f"e{k}": np.ascontiguousarray(nats[:, k]) for k in range(len(POWERS))})
 
     return run
 
@@ -352,42 +421,33 @@ def _scorer(handle):
 SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
 
 
-def _places(dealt: DataFrame, run, size: int) -> np.ndarray:
-    """Sums of what partitions give for each of so many places."""
+def _places(parts: DataFrame, run, size: int) -> np.ndarray:
+    """Sums of what parts give for each of so many places."""
     out = np.zeros(size)
-    for row in dealt.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():  # size rows at most
+    for row in parts.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():  # size rows at most
         out[row["place"]] = row["value"]
     return out
 
 
-def _valued(spark: SparkSession, grams: DataFrame) -> DataFrame:
-    """(gram, c, e0, e1, e2) from (gram, c): how often each gram of the corpus occurs in training texts, and its log
-    probabilities."""
-    context = (1 << (8 * BROADCAST + 8)) - 1
-    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit(context)).alias("key")).agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
+def _least(classes: np.ndarray, kept: int) -> int:
+    """The least class of sizes whose grams, and all of greater classes, are no more than so many."""
+    fits = np.flatnonzero(np.cumsum(classes[::-1]) <= kept)
+    return len(classes) - 1 - int(fits[-1]) if len(fits) else len(classes)
+
+
+def _valued(spark: SparkSession, parts: DataFrame, kept: int) -> DataFrame:
+    """(gram, kept, e0, e1, e2) of each gram of the corpus: log probabilities, and whether it is among the most frequent."""
+    short = parts.mapInArrow(_shortener, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()  # bounded by the alphabet
     key, times = short["key"].to_numpy().view(np.uint64), short["c"].to_numpy()
     low = [summed(keys_of(key, k), times) for k in ORDERS if k <= BROADCAST]
-    parts = max(1, -(-grams.count() // PART_GRAMS))
-    dealt = grams.repartition(parts, F.shiftright("gram", 8).bitwiseAND(F.lit(context)))
     model = Model()
-    sums = _places(dealt, _trainer(spark.sparkContext.broadcast(low)), SETS * (len(ORDERS) + 2)).reshape(SETS, -1)
+    sums = _places(parts, _trainer(spark.sparkContext.broadcast(low)), SETS * (len(ORDERS) + 2)).reshape(SETS, -1)
     saw = sums[:, :1]
     model.weights = np.where(saw > 0, sums[:, 1:] / np.maximum(saw, 1), model.weights)
-    model.map = _places(dealt, _mapper(spark.sparkContext.broadcast((model, low))), model.map.size).reshape(model.map.shape)
-    handle = spark.sparkContext.broadcast((model, low))
-    return stored(dealt.mapInArrow(_valuer(handle), "gram long, c long, e0 float, e1 float, e2 float"), "lm-valued")
-
-
-def _most_frequent(valued: DataFrame, kept: int) -> DataFrame:
-    """As many of the most frequent grams as classes of a quarter of a factor of two allow, no more than so many."""
-    size = F.floor(F.log2(F.col("c") + 1) * 4)
-    least, have = None, 0
-    for row in sorted(valued.groupBy(size.alias("size")).count().collect(), reverse=True):  # a few hundred classes at most
-        have += row["count"]
-        if have > kept:
-            break
-        least = row["size"]
-    return valued.where(size >= least if least is not None else F.lit(False))
+    met = _places(parts, _mapper(spark.sparkContext.broadcast((model, low))), model.map.size + SIZES)
+    model.map = met[: model.map.size].reshape(model.map.shape)
+    handle = spark.sparkContext.broadcast((model, low, _least(met[model.map.size :], kept)))
+    return stored(parts.mapInArrow(_valuer(handle), "gram long, kept boolean, e0 float, e1 float, e2 float"), "lm-valued")
 
 
 def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) -> DataFrame:
@@ -403,11 +463,16 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     prepare(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    counted = stored(plain.select("text", "held_out").mapInPandas(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("c")), "lm-counted")
-    words = counted.where("kind = 0").select("key", "c")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    counted = plain.select("text", "held_out").mapInPandas(_counter(parts), COUNTED)
+    dealt = counted.repartition(max(parts, spark.sparkContext.defaultParallelism), "kind", "key")
+    counted = stored(dealt.mapInPandas(_added, COUNTED), "lm-counted")
+    words = counted.where("kind = 0").select("key", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    valued = _valued(spark, counted.where("kind = 1").select(F.col("key").alias("gram"), "c"))
-    most = _most_frequent(valued, kept).orderBy("gram").toArrow()  # no more than kept rows
+    grams = counted.where("kind = 1").select("grams").repartition(max(parts, spark.sparkContext.defaultParallelism))
+    valued = _valued(spark, grams, kept)
+    most = valued.where("kept").orderBy("gram").toArrow()  # no more than kept rows
     end = np.iinfo(np.uint64).max  # a last entry, so that searches end within the arrays
     gram = np.append(most["gram"].to_numpy().view(np.uint64), end)
     nats = np.stack([np.append(most[f"e{k}"].to_numpy(), np.float32(0)) for k in range(len(POWERS))], axis=1)
@@ -421,8 +486,9 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     rest = scored.where("word is not null").select("row", "word", "times").join(words, F.col("word") == F.col("key"))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("also"))
     experts = [f"e{k}" for k in range(len(POWERS))]
-    others = scored.where("gram is not null").select("row", "gram", "times").join(valued.select("gram", *(F.col(e).cast("double").alias(f"of_{e}") for e in experts)), "gram")
-    others = others.groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"of_{e}")).alias(f"of_{e}") for e in experts))
+    rest_valued = valued.where("not kept").select("gram", *(F.col(e).alias(f"of_{e}") for e in experts))
+    others = scored.where("gram is not null").select("row", "gram", "times").join(rest_valued, "gram")
+    others = others.groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"of_{e}").cast("double")).alias(f"of_{e}") for e in experts))
     joined = scored.where("word is null and gram is null").drop("word", "gram", "times").join(rest, "row", "left").join(others, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     joined = joined.withColumns({e: F.col(e) + F.coalesce(f"of_{e}", F.lit(0.0)) for e in experts})

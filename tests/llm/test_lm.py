@@ -139,11 +139,25 @@ def test_model_beats_its_base_on_most_held_out_texts(spark):
     assert held["score"] > held["base"] and held["better"] > 0.7
 
 
-def test_partitions_of_grams_hold_whole_contexts(spark, monkeypatch):
-    """Many small partitions and one give the same counts, so scores differ only by the weights' averaging."""
+def test_parts_hold_whole_contexts(spark, monkeypatch):
+    """Many small parts and one give the same counts, so scores differ only by the weights' averaging."""
     rows = [(i, t.decode()) for i, t in enumerate(TEXTS * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
-    monkeypatch.setattr(lm, "PART_GRAMS", 20)
+    monkeypatch.setattr(lm, "PART_BYTES", 200)
     many = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
     assert all(many[i] == pytest.approx(one[i], rel=0.35, abs=1.0) for i in one)
+
+
+def test_packing():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 5000):
+        key = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        times = r.integers(0, 1 << 40, len(key))
+        back = lm.unpacked(lm.packed(key, times))
+        assert (back[0] == key).all() and (back[1] == times).all()
+
+
+def test_most_frequent_grams_are_no_more_than_asked_for():
+    classes = np.array([50, 30, 10, 5, 1])
+    assert [lm._least(classes, k) for k in (0, 1, 6, 15, 16, 1000)] == [5, 4, 3, 3, 2, 0]
