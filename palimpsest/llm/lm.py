@@ -37,7 +37,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -187,7 +186,7 @@ class Model:
 
 
 class Known:
-    """Log probabilities of frequent grams, found by a hashed slot; of grams that share one, by search."""
+    """Log probabilities of frequent grams or words, found by a hashed slot; of those that share one, by search."""
 
     def __init__(self, gram: np.ndarray, nats: np.ndarray, bits: int = 23) -> None:
         """gram: in order, the last one no gram's number."""
@@ -233,23 +232,36 @@ class Tally:
     def size(self) -> int:
         return sum(len(k) for k, _ in self.parts)
 
+    def add_up(self, least: int = GATHERED) -> bool:
+        """Whether more than so many had gathered."""
+        if self.size() <= least:
+            return False
+        self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
+        return True
+
     def taken(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """What is to be passed on, in order; if it is the last time, all."""
-        if self.size() > (0 if last else GATHERED):
-            self.parts = [summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
-            if last or self.size() > GATHERED * 2 // 3:
-                yield self.parts.pop()
+        if self.add_up(0 if last else GATHERED) and (last or self.size() > GATHERED * 2 // 3):
+            yield self.parts.pop()
 
 
 COUNTED = "kind int, key long, n long, grams binary"
+_COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
+
+
+def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """Columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _words(key: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
+def _words(key: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(key), 100_000):
-        yield pd.DataFrame({"kind": 0, "key": key[a : a + 100_000].view(np.int64), "n": times[a : a + 100_000], "grams": None})
+        part = key[a : a + 100_000].view(np.int64)
+        yield batch_of(_COUNTED, kind=np.zeros(len(part), np.int32), key=part, n=times[a : a + 100_000])
 
 
-def _grams(gram: np.ndarray, times: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
+def _grams(gram: np.ndarray, times: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Grams, in order, by part."""
     part = (mix((gram >> np.uint64(8)) & np.uint64((1 << (8 * BROADCAST + 8)) - 1)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -257,17 +269,18 @@ def _grams(gram: np.ndarray, times: np.ndarray, parts: int) -> Iterator[pd.DataF
     cut = cuts_of(part)
     for a in range(0, len(cut), 1000):
         pieces = [(int(part[x]), packed(gram[x:y], times[x:y])) for x, y in zip(cut[a : a + 1000], np.append(cut, len(gram))[a + 1 : a + 1001], strict=True)]
-        yield pd.DataFrame({"kind": 1, "key": [k for k, _ in pieces], "n": 0, "grams": [g for _, g in pieces]})
+        yield batch_of(_COUNTED, kind=np.ones(len(pieces), np.int32), key=[k for k, _ in pieces], n=np.zeros(len(pieces), np.int64), grams=[g for _, g in pieces])
 
 
 def _counter(parts: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of kind 0: words (key: the hash) and how often; of kind 1: a part's grams and how often, those of held-out
         texts no times."""
         words, grams = Tally(), Tally()
-        for frame in frames:
-            for first, texts in blocks(frame["text"]):
-                out = frame["held_out"].to_numpy()[first : first + len(texts)].astype(bool)
+        for batch in batches:
+            held = batch["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+            for first, texts in blocks(batch["text"].to_pylist()):
+                out = held[first : first + len(texts)]
                 if out.any():
                     gram = np.unique(grams_of([t for t, o in zip(texts, out, strict=True) if o])[1])
                     grams.add(gram, np.zeros(len(gram), np.int64))
@@ -288,23 +301,23 @@ def _counter(parts: int):
     return run
 
 
-def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the rows of each key, all of which are here."""
     words, grams = Tally(), {}
-    for frame in frames:
-        of_words = frame["kind"].to_numpy() == 0
+    for batch in batches:
+        of_words = batch["kind"].to_numpy() == 0
+        key = batch["key"].to_numpy()
         if of_words.any():
-            words.add(frame["key"].to_numpy()[of_words].astype(np.int64).view(np.uint64), frame["n"].to_numpy()[of_words].astype(np.int64))
-            if words.size() > GATHERED:
-                words.parts = [summed(np.concatenate([k for k, _ in words.parts]), np.concatenate([n for _, n in words.parts]))]
-        for part, data in zip(frame["key"][~of_words], frame["grams"][~of_words], strict=True):
-            grams.setdefault(int(part), []).append(data)
+            words.add(key[of_words].view(np.uint64), batch["n"].to_numpy()[of_words])
+            words.add_up()
+        for i in np.flatnonzero(~of_words).tolist():
+            grams.setdefault(int(key[i]), []).append(batch["grams"][i].as_py())
     for key, times in words.taken(last=True):
         yield from _words(key, times)
     for part, pieces in sorted(grams.items()):
         held = [unpacked(data) for data in pieces]
         key, times = summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-        yield pd.DataFrame({"kind": 1, "key": [part], "n": [len(key)], "grams": [packed(key, times)]})
+        yield batch_of(_COUNTED, kind=np.ones(1, np.int32), key=[part], n=[len(key)], grams=[packed(key, times)])
 
 
 def _held(batches: Iterator[pa.RecordBatch], low: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[Counted]]]:
@@ -380,22 +393,26 @@ def _valuer(handle):
 
 
 def _of_texts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, key) and how often they occur."""
-    order = np.lexsort((key, doc))
+    """(doc, key) and how often they occur; equal ones that a hash parts may come again."""
+    order = np.argsort(key * np.uint64(0x9E3779B97F4A7C15) ^ mix(doc.astype(np.uint64)))
     doc, key = doc[order], key[order]
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
     return doc[cut], key[cut], np.diff(np.append(cut, len(key)))
 
 
+SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
+_SCORED = pa.schema([(name, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in SCORED.split(", "))])
+
+
 def _scorer(handle):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text (word and gram null), a row per distinct word of a text that isn't frequent, and one per
         distinct gram of a text that isn't kept."""
         kept, nats, hashes, logs = handle.value
-        known = Known(kept, nats)
-        none = dict.fromkeys(("doc_id", "held_out", "word", "gram", "n_tokens", "n_known", "base", "e0", "e1", "e2"))
-        for frame in frames:
-            for first, texts in blocks(frame["text"]):
+        known, frequent = Known(kept, nats), Known(hashes, logs)
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for first, texts in blocks(batch["text"].to_pylist()):
                 k = len(texts)
                 of, gram = grams_of(texts)
                 starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
@@ -403,24 +420,21 @@ def _scorer(handle):
                 each = np.add.reduceat(found, starts, axis=0, dtype=np.float64)
                 w = words_of(texts)
                 doc, h = np.concatenate([w.doc, np.arange(k)]), np.concatenate([w.hash, np.full(k, END)])
-                at = np.searchsorted(hashes, h)
-                found = hashes[at] == h
-                part = frame.iloc[first : first + k]
-                row = part["row"].to_numpy()
-                yield pd.DataFrame(none | {"row": row, "doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "times": 0, "n_tokens": w.per_doc() + 1, "n_known": np.bincount(doc[found], minlength=k), "base": np.bincount(doc[found], logs[at[found]], minlength=k), "e0": each[:, 0], "e1": each[:, 1], "e2": each[:, 2]})
+                log, rare = frequent.look_up(h)
+                found = np.ones(len(h), bool)
+                found[rare] = False
+                row = rows[first : first + k]
+                yield batch_of(_SCORED, row=row, doc_id=batch["doc_id"][first : first + k], held_out=batch["held_out"][first : first + k], times=np.zeros(k, np.int64), n_tokens=w.per_doc() + 1, n_known=np.bincount(doc[found], minlength=k), base=np.bincount(doc, log, minlength=k), e0=each[:, 0], e1=each[:, 1], e2=each[:, 2])
                 if not found.all():
                     doc, h, times = _of_texts(doc[~found], h[~found])
-                    yield pd.DataFrame(none | {"row": row[doc], "word": h.view(np.int64), "times": times})
+                    yield batch_of(_SCORED, row=row[doc], word=h.view(np.int64), times=times)
                 if len(strange):
                     doc, h, times = _of_texts(of[strange], gram[strange])
-                    yield pd.DataFrame(none | {"row": row[doc], "gram": h.view(np.int64), "times": times})
+                    yield batch_of(_SCORED, row=row[doc], gram=h.view(np.int64), times=times)
 
     return run
 
 
-SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
-
-
 def _places(parts: DataFrame, run, size: int) -> np.ndarray:
     """Sums of what parts give for each of so many places."""
     out = np.zeros(size)
@@ -465,9 +479,9 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    counted = plain.select("text", "held_out").mapInPandas(_counter(parts), COUNTED)
+    counted = plain.select("text", "held_out").mapInArrow(_counter(parts), COUNTED)
     dealt = counted.repartition(max(parts, spark.sparkContext.defaultParallelism), "kind", "key")
-    counted = stored(dealt.mapInPandas(_added, COUNTED), "lm-counted")
+    counted = stored(dealt.mapInArrow(_added, COUNTED), "lm-counted")
     words = counted.where("kind = 0").select("key", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     grams = counted.where("kind = 1").select("grams").repartition(max(parts, spark.sparkContext.defaultParallelism))
@@ -481,7 +495,7 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     order = np.argsort(hashes)
     logs = np.append(np.log10(frequent["c"].to_numpy()[order] + 1.0), 0)
     handle = spark.sparkContext.broadcast((gram, nats, np.append(hashes[order], end), logs))
-    passed = plain.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_scorer(handle), SCORED)
+    passed = plain.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(handle), SCORED)
     scored = stored(passed, "lm-scored")
     rest = scored.where("word is not null").select("row", "word", "times").join(words, F.col("word") == F.col("key"))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("also"))
