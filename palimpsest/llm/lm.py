@@ -59,6 +59,8 @@ RATE, STEP_GRAMS, START, ADDED = 0.3, 1000, 0.25, 0.4
 BINS, SIZES = 33, 256
 #: Bytes of the corpus that a part's grams come from, on average, and grams that are valued at a time.
 PART_BYTES, VALUED_GRAMS = 8 << 20, 20_000
+#: Parts that a task goes through, one after the other.
+PARTS_A_TASK = 4
 #: A word with a share of the tokens of at least 1 in so many is frequent: no more than so many words are.
 FREQUENT = 1 << 20
 #: Grams whose predictions go to all tasks: the most frequent ones, 20 bytes each.
@@ -480,11 +482,12 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     counted = plain.select("text", "held_out").mapInArrow(_counter(parts), COUNTED)
-    dealt = counted.repartition(max(parts, spark.sparkContext.defaultParallelism), "kind", "key")
+    tasks = max(-(-parts // PARTS_A_TASK), spark.sparkContext.defaultParallelism)
+    dealt = counted.repartition(tasks, "kind", "key")
     counted = stored(dealt.mapInArrow(_added, COUNTED), "lm-counted")
     words = counted.where("kind = 0").select("key", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = counted.where("kind = 1").select("grams").repartition(max(parts, spark.sparkContext.defaultParallelism))
+    grams = counted.where("kind = 1").select("grams").repartition(tasks)
     valued = _valued(spark, grams, kept)
     most = valued.where("kept").orderBy("gram").toArrow()  # no more than kept rows
     end = np.iinfo(np.uint64).max  # a last entry, so that searches end within the arrays
