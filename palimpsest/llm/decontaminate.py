@@ -2,17 +2,19 @@
 to test items, then Smith-Waterman alignment over words scores them, so that
 edited and paraphrased copies are found as well as exact ones.
 
-Steps: (1) all word n-grams of the items are seeds; (2) one pass over the whole
-texts finds seed hits and cuts, for each (document, item), the window of words
-around each cluster of hits; (3) a seed is rare if few documents have it, and
-an item's least frequent seeds count as rare however frequent they are; (4)
-windows with a rare seed are aligned with the item. So are those with frequent
-seeds alone that share enough words with the item, in any order, for an
-alignment to reach the coverage: the others provably can't, so no copy is lost
-however many documents hold it. A window is as wide as the item allows: twice
-its length on both sides of the hits.
-
-The seeds go to the tasks in blocks of a fixed number of items, so that a large
+Steps: (1) seeds are four words of an item, in one of a few shapes: together, or
+with other words between them, so that copies with an edit in every few words
+still share some; (2) a first pass over the whole texts counts in how many
+documents each seed occurs; (3) a seed is rare if few documents have it, and an
+item's least frequent seeds count as rare however frequent they are; (4) a second
+pass cuts, for each (document, item), the window of words around each cluster of
+hits that has a rare seed, or frequent ones at places apart: a stock phrase that
+many documents share, alone, opens no window; (5) windows are aligned with their
+items, but for those that share too few words with the item, in any order, for
+any alignment to reach the coverage. A window is as wide as the item allows:
+twice its length on both sides of the hits.
+
+The seeds go to the tasks in blocks of items of bounded bytes, so that a large
 benchmark costs further passes, not memory. Equal windows are aligned once in a
 task.
 """
@@ -23,15 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, stored
-from .textkernel import blocks, ngrams, words_of
+from .shared import prepare
+from .textkernel import Words, blocks, mix, words_of
 
-SEED_WORDS = 4
-#: A seed in so many documents or fewer is rare, and each item's rarest seeds are; windows without one must share words.
-RARE_DOCS, LEAST_SEEDS = 50, 4
+#: Places of a seed's words.
+SHAPES = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 4, 5), (0, 1, 3, 6))
+SEED_WORDS = len(SHAPES[0])
+#: A seed in so many documents or fewer is rare, and so are each item's rarest seeds, and all of items of so few words.
+RARE_DOCS, LEAST_SEEDS, SHORT_ITEM = 50, 4, 8
+#: Frequent seeds open a window if the first and the last are so many words apart.
+APART = 4
 #: Share of an item's words that an alignment must match, and the least number of words.
 COVERAGE, LEAST_WORDS = 0.6, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -39,8 +45,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 PIECE_WORDS = 500
 #: Matched words that make a passage of a longer item a copy, where that is asked for, and what a step without a match costs there.
 PASSAGE_WORDS, PASSAGE_LOSS = 50, 4
-#: Items whose seeds one pass holds in memory.
-ITEMS_PER_PASS = 50_000
+#: Bytes of items whose seeds one pass holds in memory, but for a longer item, which has a pass of its own.
+PASS_BYTES = 4 << 20
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -106,23 +112,58 @@ def align_item(a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> tuple[
     return sum(f[0] for f in found), sum(f[1] for f in found), passage
 
 
+def seeds_in(w: Words, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, place among all words, hash) of every seed of a block of texts; short: runs of fewer words as well."""
+    out, n = [], len(w.hash)
+    for shape in (*SHAPES, *(tuple(range(k)) for k in range(1, SEED_WORDS if short else 1))):
+        m = n - shape[-1]
+        if m <= 0:
+            continue
+        h = np.full(m, np.uint64(sum(7 ** (at + 1) for at in shape) * 1_000_003), np.uint64)
+        for at in shape:
+            h = h * np.uint64(0x9FB21C651E98DF25) + w.hash[at : at + m]
+        place = np.flatnonzero(w.doc[:m] == w.doc[shape[-1] :])
+        out.append((w.doc[place], place, mix(h[place])))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Seeds:
     """Sorted seed hashes with the items that hold them; an item is the place of a (item_id, text) among those given."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        self.words, pairs, self.ids = {}, set(), [item for item, _ in items]
-        for item, (_, text) in enumerate(items):
-            w = words_of([(text or "").encode("utf-8", "surrogatepass")])
-            if len(w.hash):
-                self.words[item] = w.hash
-                pairs |= {(int(h), item) for h in ngrams(w, n, whole_if_short=True)[1]}
-        pairs = sorted(pairs)
-        self.hash = np.array([p[0] for p in pairs], np.uint64)
-        self.item = np.array([p[1] for p in pairs], np.int64)
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.ids = [item for item, _ in items]
+        w = words_of([(text or "").encode("utf-8", "surrogatepass") for _, text in items])
+        cuts = np.searchsorted(w.doc, np.arange(len(items) + 1))
+        self.words = {i: w.hash[a:b] for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a}
+        size = np.diff(cuts)
+        self.short = bool(((size > 0) & (size < SEED_WORDS)).any())
+        item, _, h = seeds_in(w, False)
+        for i in np.flatnonzero((size > 0) & (size < SEED_WORDS)):  # an item of fewer words than a seed has is a seed as a whole
+            whole = seeds_in(words_of([items[i][1].encode("utf-8", "surrogatepass")]), True)[2][-1:]
+            item, h = np.append(item, i), np.append(h, whole)
+        order = np.lexsort((item, h))
+        item, h = item[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+        self.item, self.hash = item[new].astype(np.int64), h[new]
+        self.reach = 2 * size
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-        self.bags = {i: np.unique(w, return_counts=True) for i, w in self.words.items()}
-        self.short = min((len(w) for w in self.words.values()), default=n) < n
+        self.bags = {i: np.unique(x, return_counts=True) for i, x in self.words.items()}
+        self.first = np.flatnonzero(np.concatenate([np.ones(min(1, len(self.hash)), bool), self.hash[1:] != self.hash[:-1]]))
+        self.rare = np.ones(len(self.hash), bool)
+
+    def choose(self, docs: np.ndarray, rare_docs: int) -> None:
+        """Which seeds are rare, from the documents that each distinct hash occurs in."""
+        docs = np.repeat(docs, np.diff(np.append(self.first, len(self.hash))))
+        order = np.lexsort((self.hash, docs, self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        self.rare = docs <= rare_docs
+        self.rare[order[rank < LEAST_SEEDS]] = True
+        self.rare |= self.reach[self.item] < 2 * SHORT_ITEM
 
     def most(self, item: int, window: np.ndarray) -> int:
         """No alignment of the item with the window can match more words than this."""
@@ -133,12 +174,20 @@ class Seeds:
             return int(times[have > 0].sum())
         return int(np.minimum(have, times).sum())
 
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into h, index into the distinct hashes) of those that are seeds."""
+        maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
+        known = self.hash[self.first]
+        at = np.minimum(np.searchsorted(known, h[maybe]), max(0, len(known) - 1))
+        ok = known[at] == h[maybe] if len(known) else np.zeros(len(maybe), bool)
+        return maybe[ok], at[ok]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, row of the seed table) of every hit."""
-        maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, h[maybe]), np.searchsorted(self.hash, h[maybe], side="right")
-        count = hi - lo
-        at = np.repeat(maybe, count)
+        at, key = self.hits(h)
+        lo = self.first[key]
+        count = np.append(self.first[1:], len(self.hash))[key] - lo
+        at = np.repeat(at, count)
         return at, np.repeat(lo, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
 
@@ -147,45 +196,53 @@ def enough(matched: int, words: int, coverage: float, least: int, passage: int =
     return (matched >= min(least, words) and matched >= coverage * words) or (passage_words is not None and passage >= passage_words)
 
 
-def _finder(handle, n: int, coverage: float, least: int, passage_words: int | None):
+def _counter(handle):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(seed, docs): a task's documents with each distinct hash."""
+        seeds = handle.value
+        docs = np.zeros(len(seeds.first), np.int64)
+        for frame in frames:
+            for _, texts in blocks(frame["text"]):
+                doc, _, h = seeds_in(words_of(texts), seeds.short)
+                at, key = seeds.hits(h)
+                pair = np.unique(doc[at] * len(docs) + key)
+                docs += np.bincount(pair % max(1, len(docs)), minlength=len(docs))
+        seed = np.flatnonzero(docs)
+        yield pd.DataFrame({"seed": seed, "docs": docs[seed]})
+
+    return run
+
+
+def _finder(handle, coverage: float, least: int, passage_words: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = handle.value
         for frame in frames:
             for first, texts in blocks(frame["text"]):
                 w = words_of(texts)
-                count = w.per_doc()
-                starts = np.concatenate([[0], np.cumsum(count)])
-                doc, h = ngrams(w, n)
-                pos = np.arange(len(w.hash))[: max(0, len(w.hash) - n + 1)][w.doc[: max(0, len(w.hash) - n + 1)] == w.doc[n - 1 :]]
-                if seeds.short:  # items of fewer words than a seed has: runs of just so many
-                    for k in range(1, n):
-                        m = len(w.hash) - k + 1
-                        if m > 0:
-                            x = np.full(m, np.uint64(k), np.uint64)
-                            for i in range(k):
-                                x = x * np.uint64(0x9FB21C651E98DF25) + w.hash[i : i + m]
-                            from .textkernel import mix
-
-                            ok = w.doc[:m] == w.doc[k - 1 :]
-                            doc, h, pos = np.concatenate([doc, w.doc[:m][ok]]), np.concatenate([h, mix(x[ok])]), np.concatenate([pos, np.flatnonzero(ok)])
+                starts = np.concatenate([[0], np.cumsum(w.per_doc())])
+                doc, place, h = seeds_in(w, seeds.short)
                 at, seed = seeds.find(h)
                 if not len(at):
                     continue
-                d, p, item = doc[at], pos[at], seeds.item[seed]
+                d, p, item = doc[at], place[at], seeds.item[seed]
                 order = np.lexsort((p, item, d))
-                d, p, item, seed = d[order], p[order], item[order], seed[order]
-                reach = np.array([2 * len(seeds.words[i]) for i in item])
+                d, p, item, rare = d[order], p[order], item[order], seeds.rare[seed[order]]
+                reach = seeds.reach[item]
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] - p[:-1] > reach[1:])
                 cut = np.flatnonzero(new)
+                last = np.append(cut[1:], len(d)) - 1
+                opens = np.logical_or.reduceat(rare, cut) | (p[last] - p[cut] >= APART)
                 out = []
-                for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
-                    lo, hi = max(starts[d[a]], p[a] - reach[a]), min(starts[d[a] + 1], p[b - 1] + n + reach[a])
-                    window, i = w.hash[lo:hi], int(item[a])
+                for a, b in zip(cut[opens].tolist(), last[opens].tolist(), strict=True):
+                    lo, hi, i = max(starts[d[a]], p[a] - reach[a]), min(starts[d[a] + 1], p[b] + SHAPES[-1][-1] + 1 + reach[a]), int(item[a])
+                    window = w.hash[lo:hi]
                     most = seeds.most(i, window)
-                    out.append((i, np.unique(seeds.hash[seed[a:b]]).view(np.int64), window.view(np.int64), enough(most, len(seeds.words[i]), coverage, least, most, passage_words)))
-                ids = frame["doc_id"].iloc[first + d[cut]].to_numpy()
-                yield pd.DataFrame({"doc_id": ids, "item_id": [x[0] for x in out], "seeds": [x[1] for x in out], "window": [x[2] for x in out], "close": [x[3] for x in out]})
+                    if enough(most, len(seeds.words[i]), coverage, least, most, passage_words):
+                        out.append((d[a], i, window.view(np.int64)))
+                ids = frame["doc_id"].to_numpy()
+                if out:
+                    yield pd.DataFrame({"doc_id": [ids[first + x[0]] for x in out], "item_id": [x[1] for x in out], "window": [x[2] for x in out]})
 
     return run
 
@@ -212,7 +269,7 @@ def _aligner(handle, coverage: float, least: int, passage_words: int | None):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEED_WORDS, rare_docs: int = RARE_DOCS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, passage_words: int | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, rare_docs: int = RARE_DOCS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, passage_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, score, matched_words, coverage), a row for each document and item it has a copy of.
 
     Null and empty texts and items match nothing; rows without an id are passed
@@ -226,18 +283,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, seed_words: int = SEE
     prepare(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = []
     for k in range(passes):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow().to_pydict()
-        handle = spark.sparkContext.broadcast(Seeds(list(zip(held["item_id"], held["text"], strict=True)), seed_words))
-        hits = stored(plain.mapInPandas(_finder(handle, seed_words, coverage, least_words, passage_words), "doc_id long, item_id long, seeds array<long>, window array<long>, close boolean"), "hits")
-        seen = hits.select("doc_id", "item_id", F.explode("seeds").alias("seed")).groupBy("item_id", "seed").agg(F.approx_count_distinct("doc_id").alias("docs"))
-        rank = F.row_number().over(Window.partitionBy("item_id").orderBy("docs", "seed"))
-        rare = seen.withColumn("rank", rank).where((F.col("docs") <= rare_docs) | (F.col("rank") <= LEAST_SEEDS))
-        chosen = rare.groupBy("item_id").agg(F.collect_set("seed").alias("rare"))  # at most an item's own seeds
-        near = hits.join(F.broadcast(chosen), "item_id").where(F.col("close") | F.arrays_overlap("seeds", "rare")).select("doc_id", "item_id", "window")
-        parts.append(near.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_aligner(handle, coverage, least_words, passage_words), "doc_id long, item_id long, score long, matched_words long, coverage double"))
+        seeds = Seeds(list(zip(held["item_id"], held["text"], strict=True)))
+        counts = np.zeros(len(seeds.first), np.int64)
+        for row in plain.mapInPandas(_counter(spark.sparkContext.broadcast(seeds)), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toLocalIterator():  # seeds of the pass at most
+            counts[row["seed"]] = row["docs"]
+        seeds.choose(counts, rare_docs)
+        handle = spark.sparkContext.broadcast(seeds)
+        near = plain.mapInPandas(_finder(handle, coverage, least_words, passage_words), "doc_id long, item_id long, window array<long>")
+        parts.append(near.repartition(tasks).mapInPandas(_aligner(handle, coverage, least_words, passage_words), "doc_id long, item_id long, score long, matched_words long, coverage double"))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)
