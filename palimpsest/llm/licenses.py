@@ -1,27 +1,38 @@
 """Licence scans: a trained classifier of paragraphs, in DataFrame operations only.
 
-A paragraph is a line. Those that have a word of LICENCE_WORDS are scored, all
-others can't be confirmed (each template's comparison needs such a word). Words
-and pairs of words are features of a softmax regression over licence families
-and a class for anything else; probabilities are calibrated by a temperature
-fitted on held-out examples, and a paragraph is unknown if its best family has
-less than THRESHOLD. A prediction counts if enough of the paragraph's pairs of
-words stand in the family's template.
+Paragraphs are parted by blank lines. As a notice may be wrapped over lines, or
+stand among other lines of its paragraph, passages are classified: each line of a
+paragraph with up to WINDOW - 1 lines that follow it. Words and pairs of words are
+features of a softmax regression over licence families and a class for anything
+else; a passage is unknown if that class is likelier than each family, or if the best
+family has a calibrated probability of less than THRESHOLD. A prediction counts if enough of the passage's pairs of words
+stand in the family's templates. Of confirmed passages that overlap, the first
+stays, and of those that begin at a line the one most like the templates.
+
+Every word of every text is looked at. A passage goes to the classifier if enough
+of its pairs stand in templates of any family; all others have too little
+similarity with each family, so that no prediction for them could be confirmed.
 
 Training examples are made from the templates: whole ones, parts, ones with
-words left out or put in, and prose about other matters. Weights are a table of
-a few thousand rows at most, whatever the input; it is broadcast.
+words left out or put in; the class for anything else has prose about other
+matters and notices of licences outside the families. The temperature that
+calibrates probabilities is fitted on examples of templates that were left out of
+training, by turns. Weights are a table of a few thousand rows at most, whatever
+the input; it is broadcast.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 # Notices that name a licence, by family.
 TEMPLATES = {
     "apache-2.0": ("licensed under the apache license, version 2.0.", "you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0", "released under the apache license 2.0", "spdx-license-identifier: apache-2.0"),
@@ -36,10 +47,14 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", "spdx-license-identifier: unlicense"),
 }
 OTHER = ("all rights reserved", "he lost his driving license in the accident", "a license fee applies to every copy sold", "the software requires a valid license key", "copyright by the author", "permission was refused by the council", "the warranty covers parts and labour for a year", "license plates are issued by the state", "released under a pseudonym last year", "licensed under a private agreement with the publisher", "the public domain of knowledge is open to everyone", "under the terms of the contract version 2", "fishing license number four", "see the license terms of the vendor", "commercial license available on request", "they are a licensed trader under the law of the city")
+# Notices of licences that are none of the families.
+OTHER_LICENCES = ("licensed under the eclipse public license 2.0", "spdx-license-identifier: epl-2.0", "gnu affero general public license version 3", "licensed under the gnu affero general public license, version 3.", "spdx-license-identifier: agpl-3.0-only", "licensed under the european union public licence 1.2", "spdx-license-identifier: eupl-1.2", "released under the artistic license 2.0", "released under the isc license", "distributed under the boost software license, version 1.0", "licensed under the zlib license", "licensed under the microsoft public license", "released under the common development and distribution license 1.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "licensed under cc by-sa 4.0", "licensed under cc by-nd 4.0", "licensed under the open database license 1.0", "released under the postgresql license", "licensed under the python software foundation license version 2", "licensed under the gnu free documentation license, version 1.3", "dedicated to the public domain under cc0 1.0 universal", "all rights reserved by the copyright holders of this software", "licensed under a proprietary license of the company")
 FAMILIES = tuple(TEMPLATES)
-LICENCE_WORDS = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|gpl|mozilla|creative commons|unencumbered"
-THRESHOLD, SIMILARITY = 0.5, 0.5
+THRESHOLD, SIMILARITY = 0.3, 0.7
+#: Lines that a passage has at most, and groups of templates that are left out by turns to calibrate.
+WINDOW, TURNS = 8, 4
 SEED, EXAMPLES = 5, 40
+BLANK = r"(?:\r?\n[ \t]*+){2,}"
 TOKEN = r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*"
 
 
@@ -52,52 +67,69 @@ def features_of(words: list[str]) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
 
 
-def examples(seed: int = SEED, each: int = EXAMPLES) -> list[tuple[list[str], int]]:
-    """(words, class); the class after the families is for anything else."""
-    r, out = random.Random(seed), []
-    pool = sorted({w for texts in (*TEMPLATES.values(), OTHER) for t in texts for w in words_of(t)})
-    for k, texts in enumerate((*TEMPLATES.values(), OTHER)):
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def examples(seed: int = SEED, each: int = EXAMPLES) -> list[tuple[list[str], int, int]]:
+    """(words, class, template); the class after the families is for anything else."""
+    r, out, template = random.Random(seed), [], 0
+    classes = (*TEMPLATES.values(), (*OTHER, *OTHER_LICENCES))
+    pool = sorted({w for texts in classes for t in texts for w in words_of(t)})
+    for k, texts in enumerate(classes):
         for t in texts:
             words = words_of(t)
-            out.append((words, k))
+            out.append((words, k, template))
             for _ in range(each // len(texts) + 2):
                 a = r.randrange(0, max(1, len(words) // 4 + 1))
                 part = [w for w in words[a : len(words) - r.randrange(0, max(1, len(words) // 5 + 1))] if r.random() > 0.05]
                 for _ in range(r.randrange(3)):
                     part.insert(r.randrange(len(part) + 1), r.choice(pool))
-                out.append((part if k < len(TEMPLATES) else words + [r.choice(pool)] * r.randrange(2), k))
+                out.append((part if k < len(TEMPLATES) else words + [r.choice(pool)] * r.randrange(2), k, template))
+            template += 1
     for _ in range(3 * each):
-        out.append(([r.choice(pool) for _ in range(r.randrange(3, 15))], len(TEMPLATES)))
+        out.append(([r.choice(pool) for _ in range(r.randrange(3, 15))], len(TEMPLATES), template))
+        template += 1
     return out
 
 
-def train(seed: int = SEED, rounds: int = 300) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """(weights of features by class, biases, temperature). A fifth of the examples calibrates the temperature."""
-    data = examples(seed)
-    random.Random(seed).shuffle(data)
-    held, fit = data[: len(data) // 5], data[len(data) // 5 :]
-    names = sorted({f for w, _ in fit for f in features_of(w)})
+def _fit(data: list[tuple[list[str], int, int]], rounds: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    names = sorted({f for w, *_ in data for f in features_of(w)})
     place = {f: i for i, f in enumerate(names)}
-
-    def matrix(rows):
-        x = np.zeros((len(rows), len(names)))
-        for i, (w, _) in enumerate(rows):
-            own = features_of(w)
-            for f in own:
-                if f in place:
-                    x[i, place[f]] = 1 / np.sqrt(len(own))
-        return x, np.array([k for _, k in rows])
-
-    x, y = matrix(fit)
-    w, b = np.zeros((len(names), len(FAMILIES) + 1)), np.zeros(len(FAMILIES) + 1)
+    x, y = _matrix(data, place)
+    w, b = np.zeros((len(names), len(FAMILIES) + 1), np.float32), np.zeros(len(FAMILIES) + 1, np.float32)
     for _ in range(rounds):
         p = _softmax(x @ w + b)
         p[np.arange(len(y)), y] -= 1
-        w -= 8.0 * (x.T @ p / len(y) + 2e-5 * w)
-        b -= 1.0 * p.mean(axis=0)
-    hx, hy = matrix(held)
-    z = hx @ w + b
-    heat = min((0.5 + 0.1 * k for k in range(30)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(hy)), hy] + 1e-12).mean())
+        w -= np.float32(8) * (x.T @ p / np.float32(len(y)) + np.float32(2e-5) * w)
+        b -= p.mean(axis=0)
+    return place, w, b
+
+
+def _matrix(data: list[tuple[list[str], int, int]], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(data), len(place)), np.float32)
+    for i, (w, *_) in enumerate(data):
+        own = features_of(w)
+        for f in own:
+            if f in place:
+                x[i, place[f]] = 1 / np.sqrt(len(own))
+    return x, np.array([k for _, k, _ in data])
+
+
+@lru_cache(maxsize=4)
+def train(seed: int = SEED, rounds: int = 200) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """(weights of features by class, biases, temperature)."""
+    data = examples(seed)
+    z, y = [], []
+    for turn in range(TURNS):
+        held = [d for d in data if d[2] % TURNS == turn]
+        place, w, b = _fit([d for d in data if d[2] % TURNS != turn], rounds)
+        x, k = _matrix(held, place)
+        z.append(x @ w + b)
+        y.append(k)
+    z, y = np.concatenate(z), np.concatenate(y)
+    heat = min((0.5 + 0.1 * k for k in range(40)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean())
+    place, w, b = _fit(data, rounds)
     return {f: w[i] for f, i in place.items()}, b, float(heat)
 
 
@@ -127,43 +159,89 @@ def model_table(spark: SparkSession) -> tuple[DataFrame, np.ndarray, float]:
     return spark.createDataFrame(rows, schema), bias, heat
 
 
-def _features(words: Column) -> Column:
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs))
+def _pairs(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often functions over arrays ask for it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed) of every paragraph with a licence word; family is null
-    where the class is unknown."""
-    table, bias, heat = model_table(docs.sparkSession)
-    lines = docs.where(F.col("text").rlike(LICENCE_WORDS)).select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line", "said")).where(F.col("said").rlike(LICENCE_WORDS))
-    # equal lines of different documents are scored once
-    said = lines.select("said").distinct()
-    words = said.select("said", F.regexp_extract_all(F.lower("said"), F.lit(TOKEN), F.lit(0)).alias("words"))
-    sized = words.select("said", _features(F.col("words")).alias("f"), F.array_size(F.array_distinct(F.filter(_features(F.col("words")), lambda f: f.contains(" ")))).alias("pairs"))
-    hits = sized.select("said", "pairs", F.size("f").alias("n"), F.explode("f").alias("feature")).join(F.broadcast(table), "feature")
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, block, line, lines, said) of each passage of (doc_id, text) that may be like a template: lines of a
+    paragraph from its first line with words, as words joined by blanks."""
+    known = sorted(template_pairs())
+    blocks = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", BLANK)).alias("block", "said"))
+    by_line = F.filter(F.transform(F.split(F.lower("said"), r"\r?\n"), lambda line: F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))), lambda w: F.size(w) > 0)
+    worded = _held(blocks, "words", by_line).drop("said").where(F.size("words") > 0)
+
+    def mark(i: Column) -> Column:
+        own, after = F.get("words", i), F.get("words", i + 1)
+        pairs = _pairs(own)
+        over = F.concat(F.get(own, F.size(own) - 1), F.lit(" "), F.get(after, F.lit(0)))
+        return F.struct(F.size(pairs).alias("pairs"), F.size(F.filter(pairs, lambda p: p.isin(known))).alias("hits"), over.isin(known).alias("over"))
+
+    marked = _held(worded, "marks", F.transform(F.sequence(F.lit(0), F.size("words") - 1), mark)).where(F.exists("marks", lambda m: (m["hits"] > 0) | F.coalesce(m["over"], F.lit(False))))
+    added = lambda part, value: F.aggregate(part, F.lit(0), lambda s, m: s + value(m))
+
+    def window(i: Column, n: Column) -> Column:
+        own, inner = F.slice("marks", i + 1, n), F.slice("marks", i + 1, n - 1)
+        return F.struct(i.alias("line"), n.alias("lines"), (added(own, lambda m: m["pairs"]) + n - 1).alias("pairs"), (added(own, lambda m: m["hits"]) + added(inner, lambda m: m["over"].cast("int"))).alias("hits"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("words") - i)), lambda n: window(i, n))))
+    like = F.filter(every, lambda w: (w["pairs"] > 0) & (w["hits"] >= w["pairs"] * SIMILARITY))
+    found = marked.select("doc_id", "row", "block", "words", F.explode(like).alias("w"))
+    return found.select("doc_id", "row", "block", "w.line", "w.lines", F.array_join(F.flatten(F.slice("words", F.col("w.line") + 1, F.col("w.lines"))), " ").alias("said"))
+
+
+def judged(said: DataFrame) -> DataFrame:
+    """(said, family, probability, similarity, confirmed) of passages (said: words joined by blanks), each once."""
+    table, bias, heat = model_table(said.sparkSession)
+    words = _held(said.select("said"), "words", F.split("said", " "))
+    pairs = _pairs(F.col("words"))
+    each = F.array_distinct(F.concat("words", pairs))
+    # features count once each, pairs are compared as often as they occur
+    both = F.concat(F.transform(each, lambda f: F.struct(f.alias("feature"), F.lit(1).alias("is"), F.lit(0).alias("of"))), F.transform(pairs, lambda f: F.struct(f.alias("feature"), F.lit(0).alias("is"), F.lit(1).alias("of"))))
+    hits = words.select("said", F.size(pairs).alias("pairs"), F.size(each).alias("n"), F.explode(both).alias("x")).select("said", "pairs", "n", "x.*").join(F.broadcast(table), "feature", "left")
     k = len(FAMILIES)
-    sums = hits.groupBy("said", "pairs", "n").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(k + 1)), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(k)))
+    sums = hits.groupBy("said", "pairs", "n").agg(*(F.coalesce(F.sum(F.col("is") * F.col(f"w{i}")), F.lit(0.0)).alias(f"w{i}") for i in range(k + 1)), *(F.coalesce(F.sum(F.col("of") * F.col(f"t{i}")), F.lit(0)).alias(f"t{i}") for i in range(k)))
     z = F.array(*((F.col(f"w{i}") / F.sqrt("n") + float(bias[i])) / heat for i in range(k + 1)))
     share = F.array(*(F.col(f"t{i}") / F.greatest(F.col("pairs"), F.lit(1)) for i in range(k)))
-    judged = sums.select("said", z.alias("z"), share.alias("share"))
-    judged = judged.select("said", "share", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-    judged = judged.select("said", "share", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
-    judged = judged.select("said", "share", F.slice("p", 1, k).alias("p")).withColumn("at", F.array_position("p", F.array_max("p")).cast("int"))
+    out = sums.select("said", z.alias("z"), share.alias("share"))
+    out = out.select("said", "share", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+    out = out.select("said", "share", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
+    out = out.select("said", "share", F.element_at("p", k + 1).alias("other"), F.slice("p", 1, k).alias("p")).withColumn("at", F.array_position("p", F.array_max("p")).cast("int"))
     families = F.array(*map(F.lit, FAMILIES))
-    judged = judged.select("said", F.element_at("p", F.col("at")).alias("probability"), F.element_at(families, F.col("at")).alias("family"), F.element_at("share", F.col("at")).alias("similarity"))
-    sure = F.col("probability") >= THRESHOLD
-    judged = judged.select("said", F.when(sure, F.col("family")).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= SIMILARITY)).alias("confirmed"))
-    return lines.join(judged, "said").select("doc_id", "line", "family", "probability", "similarity", "confirmed")
+    out = out.select("said", "other", F.element_at("p", F.col("at")).alias("probability"), F.element_at(families, F.col("at")).alias("family"), F.element_at("share", F.col("at")).alias("similarity"))
+    sure = (F.col("probability") >= THRESHOLD) & (F.col("probability") > F.col("other"))
+    return out.select("said", F.when(sure, F.col("family")).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= SIMILARITY)).alias("confirmed"))
+
+
+#: Rows of one passage go to so many tasks.
+SALTS = 16
+
+
+def confirmed(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, lines, family, probability, similarity) of each confirmed passage of (doc_id, text) that no earlier
+    one of its paragraph overlaps; line counts the paragraph's lines with words from 0."""
+    found = stored(passages(docs), "licence-passages")
+    salted = judged(found.select("said").distinct()).where("confirmed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = found.withColumn("salt", F.pmod(F.xxhash64("row", "block", "line"), F.lit(SALTS)).cast("int")).join(salted, ["said", "salt"])
+    entry = F.struct("line", (-F.floor(F.col("similarity") * 10)).alias("unlike"), (-F.col("lines")).alias("short"), "lines", "family", "probability", "similarity")
+    by_block = named.groupBy("doc_id", "row", "block").agg(F.sort_array(F.collect_list(entry)).alias("w"))
+    kept = "aggregate(w, struct(-1 as until, cast(array() as {0}) as out), (s, x) -> if(x.line >= s.until, struct(x.line + x.lines as until, array_append(s.out, x) as out), s), s -> s.out)"
+    kind = by_block.schema["w"].dataType.simpleString()
+    return by_block.select("doc_id", F.explode(F.expr(kept.format(kind))).alias("x")).select("doc_id", "x.line", "x.lines", "x.family", "x.probability", "x.similarity")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_paragraphs, n_confirmed, licences, probability, similarity), one row per distinct doc_id, null
-    among them: paragraphs that were scored and confirmed, confirmed families in order joined by commas, and the highest
-    figures of confirmed ones. Null texts have no lines; rows of a repeated id count together. An empty table gives none."""
+    among them: paragraphs with words, confirmed passages, their families in order joined by commas, and their highest
+    figures. Null texts have no lines; rows of a repeated id count together. An empty table gives none."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = plain.groupBy("doc_id").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))).cast("long").alias("n_lines"))
-    yes = F.col("confirmed")
-    found = paragraphs(plain).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(yes.cast("long")).alias("n_confirmed"), F.array_join(F.sort_array(F.collect_set(F.when(yes, F.col("family")))), ",").alias("licences"), F.max(F.when(yes, F.round("probability", 6))).alias("probability"), F.max(F.when(yes, F.round("similarity", 6))).alias("similarity"))
-    joined = lines.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("licences", F.lit("")).alias("licences"), "probability", "similarity")
+    paragraphs = F.size(F.filter(F.split("text", BLANK), lambda b: b.rlike("(?i)[a-z0-9]")))
+    counted = plain.groupBy("doc_id").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))).cast("long").alias("n_lines"), F.sum(F.when(F.col("text").isNull(), 0).otherwise(paragraphs)).cast("long").alias("n_paragraphs"))
+    found = confirmed(plain).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_confirmed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"), F.max(F.round("probability", 6)).alias("probability"), F.max(F.round("similarity", 6)).alias("similarity"))
+    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("doc_id", "n_lines", "n_paragraphs", F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.coalesce("licences", F.lit("")).alias("licences"), "probability", "similarity")
