@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import groups, join
-from palimpsest.plans.storage import kept
 from palimpsest.sources import files
 from palimpsest.spec import DCT, DHASH, HashSpec
 
@@ -25,8 +24,7 @@ def duplicates(spark: SparkSession, spec: HashSpec, paths: DataFrame | Iterable[
     paths are strings, or a DataFrame (id, path[, content]). The same path twice is two items at distance 0.
     """
     prints, errors = files.fingerprints(_listed(spark, paths), spec)
-    edges = kept(join.within(prints, spec.threshold), "links")
-    named = groups.members(edges).join(prints.select("id", "path"), "id")
+    named = groups.members_of(prints, spec.threshold).join(prints.select("id", "path"), "id")
     return named.select("group_id", "ord", "id", "path", "dist"), errors
 
 

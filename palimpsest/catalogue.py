@@ -2,7 +2,8 @@
 
 The tables hold no images, so embeddings stand in: the signs of their 64 values
 are a fingerprint, their values an 8 x 8 grey raster, and sixteen of them in the
-order of ids a 32 x 32 one.
+order of ids a 32 x 32 one, the last one filled up by zeros, or a 16 x 16 one of
+red, green, blue and alpha.
 """
 
 from __future__ import annotations
@@ -121,12 +122,12 @@ def compare_relisted_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, seed, array_to_string(list(id ORDER BY ord), ',') AS members FROM m GROUP BY group_id, seed")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = groups.groups(kept(edges(spark, sf_dir), "links"))
+    g = groups.groups(_members(spark, sf_dir))
     return g.select("group_id", "seed", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.members(kept(edges(spark, sf_dir), "links"))
+    return groups.members_of(prints(spark, sf_dir), T)
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, seed, CAST(ord AS INTEGER) AS ord, id, dist FROM m")
@@ -136,7 +137,7 @@ def dup_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT count(*) AS total FROM m")
 def dup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.total(groups.groups(kept(edges(spark, sf_dir), "links")), "members")
+    return sinks.total(_members(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES} SELECT a AS id FROM e UNION SELECT b FROM e")
@@ -225,7 +226,7 @@ def _resized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _resize_sql(name: str) -> str:
     rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 8, raster.FILTERS[name])) for u, w in r)
-    round_ = "CAST(trunc(sum(v * (255 * w)) / sum(255 * w) + 0.5) AS BIGINT)"
+    round_ = "CAST(trunc(sum(v * (255 * w)) * (1 / sum(255 * w)) + 0.5) AS BIGINT)"
     return f"""WITH w(d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
         h AS (SELECT vec_id, y, d AS x, {round_} AS v FROM px JOIN w ON s = x GROUP BY vec_id, y, d)
         SELECT vec_id, d * 9 + x AS pixel, {round_} AS value FROM h JOIN w ON s = y GROUP BY vec_id, d, x"""
@@ -267,14 +268,62 @@ def dhash_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.mapInPandas(_hash_rows("dhash", 8), "id long, w0 long, w1 long")
 
 
+def _rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 x 16 pixels of four channels from the vectors of sixteen ids; what is missing is 0, so transparent."""
+    return _r32(spark, sf_dir)
+
+
+def _rgba_rows(run_one, names: list[str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [row for i, px in zip(frame["id"], frame["px"], strict=True) for row in run_one(i, np.asarray(px, np.uint8).reshape(16, 16, 4))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def _reduced_sql(name: str) -> str:
+    """Both passes from 16 to 9, colours weighed by alpha, bytes between: (id, y, x, r, g, b, a)."""
+    rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 16, raster.FILTERS[name])) for u, w in r)
+    byte = lambda x: f"CAST(least(255, greatest(0, trunc({x} + 0.5))) AS BIGINT)"
+    added = lambda x: f"list_reduce(list({x} ORDER BY s), lambda p, q: p + q, 0.0::DOUBLE)"  # noqa: E731  (in order: halves round by the last bit)
+    mixed = lambda c: f"CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added(f'{c} * (a * w)') + ' * (1 / ' + added('a * w') + ')')} END AS {c}"
+    sums = ", ".join(mixed(c) for c in "rgb") + f", CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added('a * w'))} END AS a"
+    channel = lambda k, c: f"max(v) FILTER (WHERE spot % 4 = {k}) AS {c}"
+    return f"""taps(d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+        rgba AS (SELECT id, spot // 64 AS y, spot // 4 % 16 AS x, {", ".join(channel(k, c) for k, c in enumerate("rgba"))} FROM px GROUP BY id, spot // 64, spot // 4 % 16),
+        h AS (SELECT id, y, d AS x, {sums} FROM rgba JOIN taps ON s = x GROUP BY id, y, d),
+        v AS (SELECT id, d AS y, x, {sums} FROM h JOIN taps ON s = y GROUP BY id, d, x)"""
+
+
+for _name in ("linear", "box", "lanczos"):
+    _f = lambda spark, sf_dir, n=_name: _rgba16(spark, sf_dir).mapInPandas(_rgba_rows(lambda i, px: [(i, y, x, *map(int, p)) for y, line in enumerate(raster.resize(px, 9, 9, raster.FILTERS[n])) for x, p in enumerate(line)], ["id", "y", "x", "r", "g", "b", "a"]), "id long, y long, x long, r long, g long, b long, a long")
+    _f.__name__ = f"resize_rgba16_9x9_{_name}"
+    query(f"WITH {_reduced_sql(_name)} SELECT i.id, yy.y, xx.x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x")(_f)
+
+
+_GREYS = "0.299::DOUBLE * (257 * r * a // 255) + 0.587::DOUBLE * (257 * g * a // 255) + 0.114::DOUBLE * (257 * b * a // 255)"
+
+
+@query(f"""WITH {_reduced_sql("linear")}, every AS (SELECT i.id, yy.y, xx.x, coalesce({_GREYS}, 0) AS grey FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x),
+    u AS (SELECT l.id, 0 AS k, l.y, l.x, l.grey < r.grey AS darker FROM every l JOIN every r ON r.id = l.id AND r.y = l.y AND r.x = l.x + 1 WHERE l.y < 8
+        UNION ALL SELECT l.id, 1, l.y, l.x, l.grey < r.grey FROM every l JOIN every r ON r.id = l.id AND r.y = l.y + 1 AND r.x = l.x WHERE l.x < 8),
+    w AS (SELECT id, k, CAST(CAST(string_agg(CASE WHEN darker THEN '1' ELSE '0' END, '' ORDER BY 8 * y + x DESC) AS BIT) AS BIGINT) AS word FROM u GROUP BY id, k)
+    SELECT id, max(word) FILTER (WHERE k = 0) AS w0, max(word) FILTER (WHERE k = 1) AS w1 FROM w GROUP BY id""")
+def dhash_rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rgba16(spark, sf_dir).mapInPandas(_rgba_rows(lambda i, px: [(i, *raster.hashes("dhash", px))], ["id", "w0", "w1"]), "id long, w0 long, w1 long")
+
+
 def _r32(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("id"), "vec_id", _pixels().alias("px"))
-    g = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("m")).where(F.size("m") == 16)
-    return g.select("id", F.flatten(F.transform("m", lambda x: x["px"])).alias("px"))
+    g = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("m"))
+    px = F.flatten(F.transform("m", lambda x: x["px"]))
+    return g.select("id", F.concat(px, F.array_repeat(F.lit(0), 1024 - F.size(px))).alias("px"))
 
 
 _COEFFICIENTS = f"""px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
-    g AS (SELECT id, spot // 32 AS y, spot % 32 AS x, 0.299::DOUBLE * (257 * v) + 0.587::DOUBLE * (257 * v) + 0.114::DOUBLE * (257 * v) AS v FROM px WHERE id IN (SELECT id FROM px GROUP BY id HAVING count(*) = 1024)),
+    g AS (SELECT i.id, n // 32 AS y, n % 32 AS x, 0.299::DOUBLE * (257 * coalesce(px.v, 0)) + 0.587::DOUBLE * (257 * coalesce(px.v, 0)) + 0.114::DOUBLE * (257 * coalesce(px.v, 0)) AS v
+        FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(1024) r(n) LEFT JOIN px ON px.id = i.id AND px.spot = n),
     k AS (SELECT u, v, x, y, cos((2 * x + 1) * u / 64.0::DOUBLE * pi()) * cos((2 * y + 1) * v / 64.0::DOUBLE * pi()) AS c FROM range(1, 9) a(u), range(1, 9) b(v), range(32) d(x), range(32) f(y)),
     c AS (SELECT id, k.u, k.v, 0.25 * sum(k.c * g.v) AS f FROM g JOIN k USING (x, y) GROUP BY id, k.u, k.v)"""
 

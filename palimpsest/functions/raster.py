@@ -110,7 +110,7 @@ def _along_rows(raster: np.ndarray, dst: int, f: Filter) -> np.ndarray:
         total += aw
     ok = total != 0
     out = np.zeros((raster.shape[0], dst, 4), np.uint8)
-    out[..., :3][ok] = clamp(sums[ok] / total[ok][:, None])
+    out[..., :3][ok] = clamp(sums[ok] * (1 / total[ok])[:, None])  # by the reciprocal: a quotient rounds some halves otherwise
     out[..., 3][ok] = clamp(total[ok])
     return out
 

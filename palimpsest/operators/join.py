@@ -4,7 +4,9 @@ Strategies, all exact:
   broadcast  a nested loop against a broadcast side, only up to a checked size
   band       radius r over r + 1 disjoint bands: a match has an equal band, so an equi-join on bands finds it
   block      rows go to block pairs; each pair is an equi-join group with the distance as residual
-Equal fingerprints collapse before bands and blocks, and links spread to copies at the end, so copies are compared once.
+Equal fingerprints are one kind: kinds are compared, and links spread to copies at the end, if at all. A row goes to as
+many block pairs as there are blocks of BLOCK_ROWS kinds: at radii for which bands are too narrow, work grows with the
+square of the number of kinds, and what moves with its square by BLOCK_ROWS.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import band, distance
+from palimpsest.plans.skew import join_counted
 
 #: Rows of a side that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 20_000
@@ -42,34 +45,70 @@ def choose(n: int, threshold: float, words: int) -> str:
     return "band" if radius + 1 <= 64 * words and min(size for _, size in band_plan(radius, words)) >= BAND_BITS else "block"
 
 
-def within(fingerprints: DataFrame, threshold: float, strategy: str | None = None) -> DataFrame:
-    """(a, b, dist) of all pairs a < b with dist < threshold. Null fingerprints match nothing; a repeated id is one item
-    a row, but pairs of one id with itself don't count."""
-    words = words_of(fingerprints)
-    rows = fingerprints.select("id", *words).dropna()
-    strategy = strategy or choose(rows.limit(BROADCAST_ROWS + 1).count(), threshold, len(words))
+def _near(x: DataFrame, y: DataFrame, words: list[str], threshold: float, strategy: str, blocks: int) -> DataFrame:
+    """(a, b, dist) of pairs of a row of x and another of y with dist < threshold; both (id, words), of distinct prints."""
     left, right = ["a", *(f"a{w}" for w in words)], ["b", *(f"b{w}" for w in words)]
     dist = distance([F.col(c) for c in left[1:]], [F.col(c) for c in right[1:]])
+    x, y = x.select("id", *words).toDF(*left), y.select("id", *words).toDF(*right)
+    other = F.col("a") != F.col("b")
     if strategy == "broadcast":
-        pairs = rows.toDF(*left).join(F.broadcast(rows.toDF(*right)), (F.col("a") < F.col("b")) & (dist < threshold))
-        return pairs.select("a", "b", dist.alias("dist"))
-    kinds = rows.groupBy(*words).agg(F.min("id").alias("rep"))
-    x, y = kinds.select(F.col("rep").alias("a"), *(F.col(w).alias(f"a{w}") for w in words)), kinds.select(F.col("rep").alias("b"), *(F.col(w).alias(f"b{w}") for w in words))
+        return x.join(F.broadcast(y), other & (dist < threshold)).select("a", "b", dist.alias("dist"))
     if strategy == "band":
         plan = band_plan(int(-(-threshold // 1)) - 1, len(words))
         keyed = lambda t, names: t.withColumn("key", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band([F.col(c) for c in names], first, size).alias("v")) for k, (first, size) in enumerate(plan)))))
-        joined = keyed(x, left[1:]).join(keyed(y, right[1:]), "key").where(F.col("a") < F.col("b"))
+        joined = keyed(x, left[1:]).join(keyed(y, right[1:]), "key")
     else:
-        blocks = max(1, -(-kinds.count() // BLOCK_ROWS))
         spread = lambda t, c, first: t.withColumn("_block", F.pmod(F.xxhash64(c), F.lit(blocks))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("p", F.col("_block") if first else F.col("_other")).withColumn("q", F.col("_other") if first else F.col("_block")).drop("_block", "_other")
-        joined = spread(x, "a", True).join(spread(y, "b", False), ["p", "q"]).where(F.col("a") < F.col("b"))
-    near = joined.where(dist < threshold).select("a", "b", dist.alias("dist")).distinct()
-    names = rows.join(kinds, words).select("id", "rep")
+        joined = spread(x, "a", True).join(spread(y, "b", False), ["p", "q"])
+    near = joined.where(other & (dist < threshold)).select("a", "b", dist.alias("dist"))
+    return near.distinct() if strategy == "band" else near
+
+
+def kinds_of(fingerprints: DataFrame) -> DataFrame:
+    """(id, words, copies): a row for each distinct fingerprint, with the least id that has it."""
+    words = words_of(fingerprints)
+    return fingerprints.select("id", *words).dropna().groupBy(*words).agg(F.min("id").alias("id"), F.countDistinct("id").alias("copies"))
+
+
+def within_kinds(kinds: DataFrame, threshold: float, strategy: str | None = None) -> DataFrame:
+    """(a, b, dist) of all pairs a < b of distinct fingerprints (id, words) with dist < threshold."""
+    words = words_of(kinds)
+    few = kinds.limit(BROADCAST_ROWS + 1).count()
+    strategy = strategy or choose(few, threshold, len(words))
+    blocks = max(1, -(-kinds.count() // BLOCK_ROWS)) if strategy == "block" else 1
+    return _near(kinds, kinds, words, threshold, strategy, blocks).where("a < b")
+
+
+def items_of(fingerprints: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(id, rep): distinct items, and the least id that has the same fingerprint."""
+    words = words_of(fingerprints)
+    copies = kinds.select(*words, F.col("id").alias("rep"), "copies")
+    return join_counted(fingerprints.select("id", *words).dropna().distinct(), copies, words, "copies", fingerprints.count()).select("id", "rep")
+
+
+def within(fingerprints: DataFrame, threshold: float, strategy: str | None = None) -> DataFrame:
+    """(a, b, dist) of all pairs a < b with dist < threshold. Null fingerprints match nothing; a repeated id is one item,
+    and pairs of one id with itself don't count. Copies of a fingerprint make a row a pair here, as asked for; groups and
+    whoever needs no pairs of copies take within_kinds() and items_of()."""
+    kinds = kinds_of(fingerprints)
+    near, names = within_kinds(kinds, threshold, strategy), items_of(fingerprints, kinds)
     own = names.select(F.col("id").alias("a"), "rep").join(names.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b", F.lit(0).alias("dist"))
     spread_out = near.join(names.toDF("i", "a"), "a").join(names.toDF("j", "b"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "dist").where("a < b")
     return spread_out.unionAll(own if threshold > 0 else own.limit(0))
 
 
+def between(new: DataFrame, old: DataFrame, threshold: float, strategy: str | None = None) -> DataFrame:
+    """(a, b, dist), a < b, of all pairs of a row of new and a row of old with dist < threshold: old rows aren't compared
+    with each other."""
+    words = words_of(new)
+    x, y = (t.select("id", *words).dropna().distinct() for t in (new, old))
+    few = x.limit(BROADCAST_ROWS + 1).count()
+    strategy = strategy or choose(few, threshold, len(words))
+    blocks = max(1, -(-max(x.count(), y.count()) // BLOCK_ROWS)) if strategy == "block" else 1
+    near = _near(y, x, words, threshold, strategy, blocks)  # the new side is the one that may be broadcast
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").distinct()
+
+
 def probe(target: DataFrame, fingerprints: DataFrame, threshold: float) -> DataFrame:
     """Rows of fingerprints (id, dist) near a target of one row (words only): farthest first, then by id. The target has
     no id, so an item of the same picture does match."""

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.plans.storage import kept
 
 
-def numbered(df: DataFrame, by: str, name: str, start: int = 0) -> DataFrame:
-    """df with numbers from ``start`` in the order of a column: sorted ranges, numbered each for itself, moved on by the
+def numbered(df: DataFrame, by: str | list[str], name: str, start: int = 0) -> DataFrame:
+    """df with numbers from ``start`` in the order of columns: sorted ranges, numbered each for itself, moved on by the
     sizes of the ranges before (one row a partition)."""
-    ranged = kept(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    by = [by] if isinstance(by, str) else by
+    ranged = kept(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("_id", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

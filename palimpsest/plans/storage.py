@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a new temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.engine.dir", None)
+    """The folder that spark.checkpoint.dir names. Where that is unset: a new temporary one in local mode, as in tests; an
+    error on a cluster, whose machines don't see each other's folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.engine.dir", found)
+        spark.conf.set("palimpsest.shared.dir", found)
     return found.rstrip("/")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder as Parquet and reads it again: later steps don't depend on executors that held it,
+    and nothing is computed twice. Removed by discard(), or when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _own[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by kept() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path in _own:
+            _delete(_own.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _end() -> None:
+    for path, spark in _own.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may have ended already
+            return
+
+
+atexit.register(_end)

@@ -24,17 +24,30 @@ def is_image_name(name: str) -> bool:
 
 
 def find_images(root: str, recursive: bool = False) -> list[str]:
-    """Image files below a local folder in lexical order; folders named like images aren't files and are left out."""
-    out = []
-    for entry in sorted(os.scandir(root), key=lambda e: e.name):
-        if entry.is_dir(follow_symlinks=False):
-            if recursive:
-                out += find_images(entry.path, True)
-        elif is_image_name(entry.name):
-            out.append(entry.path)
+    """What is named like an image below a local folder, the folder itself and folders among it, in lexical order. The
+    first folder that can't be read ends the list."""
+    out = [root] if is_image_name(os.path.basename(os.path.normpath(root))) else []
+    todo = [_entries(root)]
+    while todo:
+        try:
+            entry = next(todo[-1], None)
+            if entry is None:
+                todo.pop()
+                continue
+            if is_image_name(entry.name):
+                out.append(entry.path)
+            if recursive and entry.is_dir(follow_symlinks=False):
+                todo.append(_entries(entry.path))
+        except OSError:
+            break
     return out
 
 
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """In order; what goes wrong is raised when the first is asked for."""
+    yield from sorted(os.scandir(folder), key=lambda e: e.name)
+
+
 def image_or_dir(path: str) -> tuple[str, bool, bool]:
     """(absolute path, whether it is an image file, whether it is a folder)."""
     full = os.path.abspath(path) if path else ""

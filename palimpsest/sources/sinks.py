@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions.columns import base_name, csv_row, group_dir
 
 
+# What is said before the rows.
+NONE, FOUND, OF_TARGET = "No duplicate images found", "These {} images are duplicates", "These {} images are duplicates of {}"
+
+
 def csv_rows(groups: DataFrame, members: str = "paths") -> DataFrame:
     """(group_id, value): a row of fields for each group, of its own width."""
     return groups.select("group_id", csv_row(F.col(members)).alias("value"))
@@ -21,9 +25,9 @@ def write_csv(groups: DataFrame, path: str, members: str = "paths") -> None:
     csv_rows(groups, members).orderBy("group_id").select("value").write.text(path)
 
 
-def total(groups: DataFrame, members: str = "paths") -> DataFrame:
-    """Members of all groups; one in two groups counts twice."""
-    return groups.agg(F.coalesce(F.sum(F.size(members)), F.lit(0)).cast("long").alias("total"))
+def total(members: DataFrame) -> DataFrame:
+    """Rows of all groups' members; one in two groups counts twice."""
+    return members.agg(F.count("*").alias("total"))
 
 
 def move_plan(members: DataFrame, folder: str) -> DataFrame:
@@ -42,8 +46,8 @@ def delete_plan(members: DataFrame, every: bool = False) -> DataFrame:
 
 def summary(n: int, target: str | None = None) -> str:
     if n == 0:
-        return "No duplicates found"
-    return f"Found {n} duplicates of {target}" if target else f"Found {n} duplicates"
+        return NONE
+    return OF_TARGET.format(n, target) if target else FOUND.format(n)
 
 
 def _each(items: Iterable, act) -> list[OSError]:

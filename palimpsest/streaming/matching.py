@@ -9,7 +9,8 @@ from palimpsest.operators import join
 
 
 def match_batch(new: DataFrame, stored_path: str, links_path: str, threshold: float, batch: int) -> None:
-    """Writes links of the batch with itself and with what was stored before, then the batch. A batch that runs again
+    """Writes links of the batch with itself and with what was stored before, whose rows aren't compared again, then the
+    batch. A batch that runs again
     overwrites its own folders, so its rows appear once."""
     spark = new.sparkSession
     words = join.words_of(new)
@@ -20,10 +21,8 @@ def match_batch(new: DataFrame, stored_path: str, links_path: str, threshold: fl
         if "PATH_NOT_FOUND" not in str(x) and "UNABLE_TO_INFER_SCHEMA" not in str(x):
             raise
         before = rows.limit(0)
-    links = join.within(rows.unionAll(before), threshold)
-    mine = rows.select("id").distinct()
-    touching = links.join(mine.toDF("a"), "a", "left_semi").unionAll(links.join(mine.toDF("a"), "a", "left_anti").join(mine.toDF("b"), "b", "left_semi").select("a", "b", "dist"))
-    touching.write.mode("overwrite").parquet(f"{links_path}/batch={batch}")
+    links = join.within(rows, threshold).unionAll(join.between(rows, before, threshold)).distinct()
+    links.write.mode("overwrite").parquet(f"{links_path}/batch={batch}")
     rows.write.mode("overwrite").parquet(f"{stored_path}/batch={batch}")
 
 

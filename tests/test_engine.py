@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import api, cli
 from palimpsest.functions import raster
@@ -9,11 +10,10 @@ from palimpsest.functions.columns import array_distance, csv_field, hamming
 from palimpsest.operators import groups, join
 from palimpsest.sources import files, png, sinks
 from palimpsest.spec import DCT, DHASH, spec_named
+from palimpsest.streaming import matching
 
 
 def test_hamming(spark):
-    from pyspark.sql import functions as F
-
     cases = [(10, 10, 0), (0, 15, 4), (15, 0, 4), (0, -1, 64), (0, 30, 4), (15, 30, 2)]
     df = spark.createDataFrame(cases, "a long, b long, d int")
     assert all(r[0] == r[1] for r in df.select(hamming(F.col("a"), F.col("b")), "d").collect())
@@ -71,15 +71,79 @@ def plain_groups(pairs):
     return out
 
 
-def test_groups(spark):
+def test_groups(spark, monkeypatch):
     r = random.Random(5)
     for n, m in ((3, 2), (40, 50), (60, 150)):
         pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m)) if a != b})
         pairs = [(a, b, (a * 7 + b) % 5) for a, b in pairs]
         df = spark.createDataFrame(pairs, "a long, b long, dist int")
-        got = [x["members"] for x in groups.groups(df).orderBy("group_id").collect()]
-        assert got == plain_groups(pairs)
-    assert groups.groups(df.limit(0)).count() == 0
+        for few in (groups.FEW, 0):
+            monkeypatch.setattr(groups, "FEW", few)
+            got = [x["members"] for x in groups.groups(groups.members(df)).orderBy("group_id").collect()]
+            assert got == plain_groups(pairs)
+    assert groups.groups(groups.members(df.limit(0))).count() == 0
+
+
+def test_groups_by_rounds(spark, monkeypatch):
+    """Components that count as large shrink by rounds before what is left is walked."""
+    monkeypatch.setattr(groups, "FEW", 0)
+    monkeypatch.setattr(groups, "LARGE", 20)
+    r = random.Random(8)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(160)) if a != b})
+    df = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, dist int")
+    want = {g[0] for g in plain_groups([(a, b, 1) for a, b in pairs])}
+    assert {x["seed"] for x in groups.seeds_of(df).collect()} == want
+
+
+@pytest.mark.parametrize("few", [groups.FEW, 0])
+def test_a_long_chain_settles(spark, monkeypatch, few):
+    """Items in order that each match the next only, as frames of a film do."""
+    monkeypatch.setattr(groups, "FEW", few)
+    df = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("dist"))
+    got = groups.members(df)
+    assert sorted(x["seed"] for x in got.where("ord = 0").collect()) == list(range(0, 5001, 2))
+    assert got.groupBy("seed").count().where("count > 3").count() == 0
+
+
+def test_groups_of_copies(spark):
+    """Equal fingerprints are compared once and no pairs of them are made; groups are those of all items."""
+    r = random.Random(2)
+    base = [r.getrandbits(63) for _ in range(6)] + [3, 7, 1]
+    rows = [(i, r.choice(base)) for i in range(300)] + [(500, 3), (501, 1 << 62)]
+    df = spark.createDataFrame(rows, "id long, w0 long")
+    got = [x["members"] for x in groups.groups(groups.members_of(df, 3)).orderBy("group_id").collect()]
+    assert got == plain_groups(sorted(brute(rows, 3)))
+
+
+def test_many_blank_images(spark):
+    df = spark.range(200_000).select("id", F.lit(0).cast("long").alias("w0"))
+    assert groups.members_of(df, 22).agg(F.count("*"), F.max("ord"), F.countDistinct("group_id")).first()[:] == (200_000, 199_999, 1)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "band", "block"])
+def test_between_tables(spark, strategy):
+    r = random.Random(4)
+    base = [r.getrandbits(63) for _ in range(8)]
+    rows = [(i, r.choice(base) ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63))) for i in range(120)]
+    new, old = rows[:30], rows[30:]
+    got = {tuple(x) for x in join.between(*(spark.createDataFrame(t, "id long, w0 long") for t in (new, old)), 5, strategy).collect()}
+    ids = {i for i, _ in new}
+    assert got == {(a, b, d) for a, b, d in brute(rows, 5) if (a in ids) != (b in ids)}
+
+
+def test_streaming_matches_batches_with_all_before(spark, tmp_path):
+    r = random.Random(7)
+    base = [r.getrandbits(63) for _ in range(5)]
+    rows = [(i, r.choice(base) ^ (1 << r.randrange(63))) for i in range(60)]
+    (tmp_path / "in").mkdir()
+    stored, found = str(tmp_path / "stored"), str(tmp_path / "links")
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], "id long, w0 long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long, w0 long").parquet(str(tmp_path / "in"))
+        matching.match_stream(stream, stored, found, 4, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(x) for x in matching.links(spark, found).collect()} == brute(rows, 4)
+    matching.match_batch(spark.createDataFrame(rows[40:], "id long, w0 long"), stored, found, 4, 2)  # a batch that runs again
+    assert matching.links(spark, found).count() == len(brute(rows, 4))
 
 
 def test_csv_field(spark):

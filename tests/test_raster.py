@@ -55,3 +55,31 @@ def test_png_round_trip_and_errors():
     for broken in (b"", b"junk", data[:40], data[:-30]):
         with pytest.raises(png.PngError):
             png.decode(broken)
+
+
+def plain_pass(rows, dst, f):
+    """One pass over rows of pixels, number by number."""
+    out = []
+    for row in rows:
+        line = []
+        for each in raster.taps(dst, len(row), f):
+            r = g = b = a = 0.0
+            for u, w in each:
+                aw = row[u][3] * w
+                r, g, b, a = r + row[u][0] * aw, g + row[u][1] * aw, b + row[u][2] * aw, a + aw
+            byte = lambda x: int(min(255, max(0, int(x + 0.5))))
+            line.append([byte(r * (1 / a)), byte(g * (1 / a)), byte(b * (1 / a)), byte(a)] if a else [0, 0, 0, 0])
+        out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("name", ["linear", "box", "lanczos"])
+def test_reductions_are_those_of_a_plain_loop(name):
+    r, f = np.random.default_rng(11), raster.FILTERS[name]
+    for n in range(12):
+        a = r.integers(0, 256, (r.integers(9, 70), r.integers(9, 70), 4)).astype(np.uint8)
+        if n % 2:
+            a[..., 3] = 255
+        across = plain_pass(a.tolist(), 9, f)
+        down = plain_pass(np.array(across).transpose(1, 0, 2).tolist(), 9, f)
+        assert np.array_equal(raster.resize(a, 9, 9, f), np.array(down).transpose(1, 0, 2))
