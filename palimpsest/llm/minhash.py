@@ -10,10 +10,16 @@ that share one are candidates.
 Texts of equal shingle sets are one representative from the start. Within a
 band's key, every representative pairs with the least one (a star, not all
 pairs); components of the stars are the candidate groups. Groups are verified
-on full sets of 64-bit shingle hashes: exact intersection sizes from incidence
-products of blocks of the group, for each pair of blocks in a task of its own,
-so that no task holds a large group. A task returns a spanning forest of its
-links only. Components of the links are the result.
+on full sets of 64-bit shingle hashes, in two steps. First every representative
+is compared with the hub that it shares most keys with: a group's sets move once,
+and each hub's once a block of them. What so links is one class. Where a group
+still has several classes, each sends one text to every key's bucket, which are
+compared with one of them, by turns, as long as that merges many classes. Only
+then are all texts outside a group's largest class compared with all of the group: exact intersection sizes from incidence products,
+for each pair of blocks in a task of its own, so that no task holds a large group.
+A task returns a spanning forest of its links only. Components of the links are
+the result. A group of m texts of which u don't link to the largest class moves
+m * u / BLOCK_TEXTS sets, so one whose texts are near to a common one moves m.
 
 With the default 40 bands of 8 coordinates, a pair at the threshold 0.85 is
 missed by all bands with probability 3e-6, and then still found if the stars of
@@ -29,12 +35,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import prepare, stored, with_ids_of
+from palimpsest.operators.components import connected_components
+from palimpsest.plans.skew import join_counted
+
+from .shared import discard, prepare, stored, with_ids_of
 from .textkernel import blocks, mix, ngrams, seeded, words_of
 
 BANDS, ROWS = 40, 8
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
+#: Classes of a group merge by turns while each turn merges such a share of them.
+MERGED = 0.1
 #: Elements (shingles) of a group that one block of verification holds, and texts.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 1000
 
@@ -101,14 +111,38 @@ def _setter(n: int):
             for first, texts in blocks(frame["text"]):
                 doc, h = sets_of(texts, n)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-                ids = frame["rep"].iloc[first : first + len(texts)]
-                yield pd.DataFrame({"rep": ids.to_numpy(), "cluster": frame["cluster"].iloc[first : first + len(texts)].to_numpy(), "blocks": frame["blocks"].iloc[first : first + len(texts)].to_numpy(), "block": frame["block"].iloc[first : first + len(texts)].to_numpy(), "shingles": [_signed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+                yield pd.DataFrame({"rep": frame["rep"].to_numpy()[first : first + len(texts)], "shingles": [_signed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    return run
+
+
+def _linked(a: np.ndarray, b: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Of two sorted sets."""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return denominator * both >= numerator * (len(a) + len(b) - both)
+
+
+def _star_verifier(numerator: int, denominator: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by (hub, block, side); a hub's own sets come first, with side 0."""
+        key, hubs = None, []
+        for frame in frames:
+            out = []
+            for rep, hub, block, side, s in zip(frame["rep"], frame["hub"], frame["block"], frame["side"], frame["shingles"], strict=True):
+                s = np.sort(np.asarray(s))
+                if key != (hub, block):
+                    key, hubs = (hub, block), []
+                if side == 0:
+                    hubs.append(s)
+                elif any(_linked(s, h, numerator, denominator) for h in hubs):
+                    out.append((rep, hub))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def spanning_links(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among the sets; cross: only links between side 0 and side 1 count."""
+def spanning_links(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest among the sets; only links between side 0 and side 1 count."""
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(sets)
     _, col = np.unique(np.concatenate(sets), return_inverse=True)
@@ -128,8 +162,7 @@ def spanning_links(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, c
         both += m @ m.T
     inter = both.astype(np.int64)
     linked = denominator * inter >= numerator * (sizes[:, None] + sizes[None, :] - inter)
-    if cross:
-        linked &= side[:, None] != side[None, :]
+    linked &= side[:, None] != side[None, :]
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -155,7 +188,7 @@ def _verifier(numerator: int, denominator: int):
 
         def done() -> pd.DataFrame:
             block = np.array([x[1] for x in held])
-            found = spanning_links(np.array([x[0] for x in held]), [x[2] for x in held], block, key[1] != key[2], numerator, denominator) if len(held) > 1 else []
+            found = spanning_links(np.array([x[0] for x in held]), [x[2] for x in held], block, numerator, denominator) if len(held) > 1 else []
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for frame in frames:
@@ -171,6 +204,33 @@ def _verifier(numerator: int, denominator: int):
     return run
 
 
+def _several(placed: DataFrame, n_reps: int) -> DataFrame:
+    """placed (rep, cluster, class, n) of the clusters that have several classes, and whether a row is out of the largest."""
+    kinds = placed.groupBy("cluster", "class").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "class")).alias("most"), F.count("*").alias("kinds"), F.sum("k").alias("texts"))
+    several = kinds.where("kinds > 1").select("cluster", F.col("most.class").alias("main"), "texts")
+    return stored(join_counted(placed, several, ["cluster"], "texts", n_reps).select("rep", "cluster", "class", "n", (F.col("class") != F.col("main")).alias("out")), "several")
+
+
+def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_reps: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b, class_a, class_b): links between classes. In each bucket a class sends one of its texts, by a hash, and those
+    are compared with one of them all."""
+    own = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("h"), "rep")
+    sent = keys.join(placed.select("rep", "class"), "rep").groupBy("band", "key", "class").agg(F.min(own).alias("d"))
+    hubs = sent.groupBy("band", "key").agg(F.min(F.struct("d", "class")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    met = join_counted(sent, hubs, ["band", "key"], "m", 4 * n_reps).where(F.col("class") != F.col("hub.class"))
+    pairs = met.select(F.col("d.rep").alias("a"), F.col("hub.d.rep").alias("b"), F.col("class").alias("class_a"), F.col("hub.class").alias("class_b")).distinct()
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = both.where(denominator * shared >= numerator * (F.size("x") + F.size("y") - shared))
+    return stored(linked.select("a", "b", "class_a", "class_b"), "delegates")
+
+
+def _blocks_of(texts: DataFrame, of: str, shingles: str) -> DataFrame:
+    """(group, texts, blocks): blocks of a group so that none has many texts or shingles, on average."""
+    counted = texts.groupBy(of).agg(F.count("*").alias("texts"), F.sum(shingles).alias("_s"))
+    return counted.select(of, "texts", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = SHINGLE_WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of docs; texts link at
     denominator * |A and B| >= numerator * |A or B|.
@@ -186,24 +246,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = ["n_shingles", "one", "two"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+    n_reps = reps.count()
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "key", "hub")
-    stars = keys.join(hubs, ["band", "key"]).where("rep <> hub").select("rep", "hub").distinct()
+    hubs = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    shared = join_counted(keys, hubs, ["band", "key"], "m", n_reps * bands).where("rep <> hub")
+    stars = stored(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
     clusters = stored(connected_components(stars, "rep", "hub").withColumnRenamed("node", "rep"), "clusters")
-
-    sizes = reps.select("rep", "n_shingles").join(clusters, "rep")
-    counted = sizes.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("total"))
-    counted = counted.select("component", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(counted, "component").select("rep", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    texts = with_ids_of(plain, "doc_id", placed, "rep").join(placed, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "blocks", "block", "text")
-    sets = texts.mapInPandas(_setter(shingle_words), "rep long, cluster long, blocks int, block int, shingles array<long>")
-    # every pair of blocks is a task's group; a cluster of one block is the pair (0, 0)
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "shingles")
-    grouped = paired.repartition(F.col("cluster"), F.col("p"), F.col("q")).sortWithinPartitions("cluster", "p", "q")
-    links = grouped.mapInPandas(_verifier(numerator, denominator), "a long, b long")
+    texts = with_ids_of(plain, "doc_id", clusters, "rep").join(clusters.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
+    sets = stored(texts.mapInPandas(_setter(shingle_words), "rep long, shingles array<long>"), "sets")
+
+    # each with the hub that it shares most keys with
+    best = stars.groupBy("rep").agg(F.max(F.struct("keys", (-F.col("hub")).alias("hub"))).alias("best")).select("rep", (-F.col("best.hub")).alias("hub"))
+    sized = best.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep")
+    spokes = _blocks_of(sized, "hub", "n")
+    members = join_counted(sized, spokes, ["hub"], "texts", n_reps).select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    members = members.join(sets, "rep").select("rep", "hub", "block", F.lit(1).alias("side"), "shingles")
+    centres = spokes.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets, "rep").select("rep", "hub", "block", F.lit(0).alias("side"), "shingles")
+    dealt = members.unionAll(centres).repartition("hub", "block").sortWithinPartitions("hub", "block", "side")
+    near = stored(dealt.mapInPandas(_star_verifier(numerator, denominator), "a long, b long"), "near")
+    classes = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+
+    # groups of several classes: those that link with each other become one, and the rest is compared block by block
+    placed = clusters.join(classes, "rep", "left").select("rep", F.col("component").alias("cluster"), F.coalesce("class", "rep").alias("class"))
+    placed = stored(placed.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "placed")
+    left, links, kinds = _several(placed, n_reps), near, None
+    held = stored(keys.join(left.select("rep").distinct(), "rep", "left_semi"), "left-keys")
+    for turn in range(bands):
+        before, kinds = kinds, left.select("cluster", "class").distinct().count()
+        if not kinds or (before and kinds > (1 - MERGED) * before):
+            break
+        more = _delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_reps, numerator, denominator)
+        merged = connected_components(more, "class_a", "class_b").select(F.col("node").alias("class"), "component")
+        left = _several(stored(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps)
+        links = links.unionAll(more.select("a", "b"))
+    left = stored(left.select("rep", "cluster", "n", "out"), "left")
+    both = _blocks_of(left, "cluster", "n").withColumnRenamed("blocks", "q_blocks")
+    both = both.join(_blocks_of(left.where("out"), "cluster", "n").select("cluster", F.col("blocks").alias("p_blocks")), "cluster")
+    dealt_left = join_counted(left, both, ["cluster"], "texts", n_reps)
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    ps = dealt_left.where("out").select("rep", "cluster", own("p_blocks").alias("p"), every("q_blocks").alias("q"), F.lit(0).alias("block"))
+    qs = dealt_left.select("rep", "cluster", every("p_blocks").alias("p"), own("q_blocks").alias("q"), F.lit(1).alias("block"))
+    paired = ps.unionByName(qs).join(sets, "rep").select("rep", "cluster", "p", "q", "block", "shingles")
+    grouped = paired.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    far = grouped.mapInPandas(_verifier(numerator, denominator), "a long, b long")
+    links = links.unionAll(far)
     found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    named = reps.select(*digest, "rep").join(found, "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", *digest).join(named, digest, "left")
+    named = reps.select(*digest, "rep", "copies").join(found, "rep", "left").select(*digest, "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_counted(signed.select("doc_id", *digest), named, digest, "copies", signed.count(), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

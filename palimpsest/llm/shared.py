@@ -1,54 +1,25 @@
-"""Where jobs keep what several steps read, and settings that bound memory."""
+"""Settings that bound memory, and joins that move little of a table."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; kernels split batches further, by bytes.
-ARROW_ROWS = 512
-_own: list[tuple[SparkSession, str]] = []
+from palimpsest.plans.storage import discard, shared_dir
+from palimpsest.plans.storage import kept as stored
 
+__all__ = ["discard", "prepare", "shared_dir", "stored", "with_ids_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where that is unset, as in tests, a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("palimpsest.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.shared.dir", found)
-    return found.rstrip("/")
+#: Rows and bytes of an Arrow batch, so that a task holds little of a table of long texts; a longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: texts may be long."""
+    """Bounds Arrow batches by rows and bytes for the session, where they are at Spark's defaults."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: later steps don't depend on executors that held
-    it, and nothing is computed twice. Removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _own.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by stored() that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        for item in list(_own):
-            if item[1].rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]:
-                _own.remove(item)
-                _delete(*item)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 #: 64-bit words of the filter below: its broadcast has so many rows at most, whatever the input.
@@ -64,19 +35,3 @@ def with_ids_of(df: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str)
     own = df.withColumn("_h", F.xxhash64(F.col(id_col).cast("long")))
     hit = own.join(F.broadcast(words), F.shiftrightunsigned("_h", 46) == F.col("_word"))
     return hit.where("_bits & shiftleft(1L, cast(_h & 63 as int)) <> 0").select(*(F.col(c) for c in df.columns))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _end() -> None:
-    for spark, path in _own:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended already
-            return
-
-
-atexit.register(_end)
