@@ -34,22 +34,32 @@ NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, (192, 16)
 
 
+#: Bytes of samples that a page may have, and pages that a file may have; more are an error.
+PAGE_BYTES, FILE_PAGES = 1 << 30, 1 << 16
+#: Bytes of pages that are passed on together.
+BATCH_BYTES = 16 << 20
+
+
 class TiffError(ValueError):
     pass
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
+    """Of the output no more than the run goes on in which it reaches so many bytes."""
+    out, i, n, size = [], 0, len(data), 0
+    while i < n and (most is None or size < most):
         k = data[i]
         if k < 128:
-            out.append(data[i + 1 : i + 2 + k])
+            part = data[i + 1 : i + 2 + k]
             i += k + 2
         elif k > 128:
-            out.append(data[i + 1 : i + 2] * (257 - k))
+            part = data[i + 1 : i + 2] * (257 - k)
             i += 2
         else:
             i += 1
+            continue
+        out.append(part)
+        size += len(part)
     return b"".join(out)
 
 
@@ -77,9 +87,10 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-#: Codes between two clear codes, and the width of each: 9 to 12 bits, each width left one code early.
-RUN = 4093 - 258 + 1
-_WIDTHS = np.array([9 if k < 254 else 10 if k < 766 else 11 if k < 1790 else 12 for k in range(RUN + 2)])
+#: Codes between two clear codes as written here, and the width of each: 9 to 12 bits, each width left one code early.
+#: Other writers' runs may go on until the table is full, and some codes further.
+RUN, LONGEST = 4093 - 258 + 1, 4096 - 258 + 4096
+_WIDTHS = np.array([9 if k < 254 else 10 if k < 766 else 11 if k < 1790 else 12 for k in range(LONGEST)])
 _ENDS = np.cumsum(_WIDTHS)
 
 
@@ -121,11 +132,12 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) >= 12 - width[:, None]].astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Within a run all widths are known, so its codes are cut out at once; strings are then looked up one by one."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Within a run all widths are known, so its codes are cut out at once; strings are then looked up one by one. Stops
+    after the run in which so many bytes are reached, or with an error far beyond them."""
     padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
-    total, at, out = 8 * len(data), 0, []
-    while at + 9 <= total:
+    total, at, out, have = 8 * len(data), 0, [], 0
+    while at + 9 <= total and (most is None or have < most):
         ends = at + _ENDS
         ends = ends[ends <= total]
         first = ends - _WIDTHS[: len(ends)]
@@ -139,19 +151,25 @@ def lzw_decode(data: bytes) -> bytes:
         size = 258
         for k, code in enumerate(codes[:n].tolist()):
             if k == 0:
+                if code >= size:
+                    raise TiffError("broken LZW data")
                 last = table[code]
             else:
                 if code < size:
                     entry = table[code]
-                    add(last + entry[:1])
-                elif code == size:
+                    if size < 4096:
+                        add(last + entry[:1])
+                elif code == size < 4096:
                     entry = last + last[:1]
                     add(entry)
                 else:
                     raise TiffError("broken LZW data")
-                size += 1
+                size += size < 4096
                 last = entry
             out.append(last)
+            have += len(last)
+            if most is not None and have > most + 4096:
+                break
         if not len(stop) or codes[n] == 257:
             break
         at = int(ends[n])
@@ -161,15 +179,15 @@ def lzw_decode(data: bytes) -> bytes:
 _START = [bytes([i]) for i in range(256)] + [b"", b""]
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, most: int) -> bytes:
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise TiffError(f"compression {compression} isn't supported")
 
 
@@ -205,9 +223,13 @@ def _directory(data: bytes, at: int, e: str) -> tuple[dict[int, tuple], int]:
 
 
 def _segment(data: bytes, rows: int, width: int, samples: int, bits: int, compression: int, predictor: int, e: str) -> np.ndarray:
-    raw = _unpacked(data, compression)
+    raw = _unpacked(data, compression, rows * ((width * samples * bits + 7) // 8))
     if bits == 1:
+        if predictor != 1:
+            raise TiffError("a predictor of single bits")
         line = (width * samples + 7) // 8
+        if len(raw) < rows * line:
+            raise TiffError("a strip or tile is short")
         a = np.frombuffer(raw, np.uint8, min(len(raw), rows * line)).reshape(-1, line)
         out = np.unpackbits(a, axis=1)[:, : width * samples].reshape(-1, width, samples)
     else:
@@ -224,26 +246,40 @@ def _segment(data: bytes, rows: int, width: int, samples: int, bits: int, compre
     return out
 
 
+def _whole(tags: dict[int, tuple], tag: int) -> tuple[int, ...] | None:
+    """A field's values, which must be whole numbers that aren't negative."""
+    found = tags.get(tag)
+    if found is not None and not (found and all(isinstance(x, int) and x >= 0 for x in found)):
+        raise TiffError(f"field {tag} isn't of whole numbers")
+    return found
+
+
 def _page(data: bytes, tags: dict[int, tuple], e: str) -> Page:
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+    one = lambda tag, default=None: (_whole(tags, tag) or (default,))[0]
     width, height = one(WIDTH), one(HEIGHT)
     if not width or not height:
         raise TiffError("a page without size")
     samples, compression, predictor, planar = one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    bits = set(tags.get(BITS, (1,)))
+    if not samples or planar not in (1, 2) or compression not in NAMES:
+        raise TiffError(f"{samples} samples in layout {planar}, or compression {compression}, aren't supported")
+    bits = set(_whole(tags, BITS) or (1,))
     if len(bits) != 1 or not bits <= {1, 8, 16}:
         raise TiffError(f"{sorted(bits)} bits a sample aren't supported")
     (bits,) = bits
     tiled = TILE_OFFSETS in tags
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
-    pixels = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
-    offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS)
+    if width * height * samples * max(1, bits // 8) > PAGE_BYTES:
+        raise TiffError(f"a page of {width} x {height} x {samples} samples is too large")
+    offsets, counts = _whole(tags, TILE_OFFSETS if tiled else STRIP_OFFSETS), _whole(tags, TILE_COUNTS if tiled else STRIP_COUNTS)
     if offsets is None or counts is None or len(offsets) != len(counts):
         raise TiffError("no strips or tiles")
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if not w or not h or (tiled and (w > 2 * width + 4096 or h > 2 * height + 4096)):
+        raise TiffError(f"strips or tiles of {w} x {h}")
     across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down * planes:
         raise TiffError("too few strips or tiles")
+    pixels = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
@@ -271,16 +307,20 @@ def read(data: bytes) -> Iterator[Page | str]:
         if at in met:
             yield "image directories form a loop"
             return
+        if len(met) >= FILE_PAGES:
+            yield f"more than {FILE_PAGES} pages"
+            return
         met.add(at)
         try:
             tags, at = _directory(data, at, e)
-        except (TiffError, struct.error) as x:
+        except Exception as x:  # a file may be broken in any way; what can't be read is said in a row
             yield f"broken image directory: {x}"
             return
         try:
-            yield _page(data, tags, e)
-        except (TiffError, ValueError, zlib.error, IndexError) as x:
-            yield str(x)
+            page: Page | str = _page(data, tags, e)
+        except Exception as x:
+            page = f"broken page: {x}"
+        yield page
 
 
 def write(pages: list[dict], big_endian: bool = False) -> bytes:
@@ -369,12 +409,21 @@ PAGES = "id long, page int, width int, height int, samples int, bits int, compre
 
 
 def _explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PAGES.split(", ")]
+    held: list[tuple] = []
+    size = 0
     for frame in frames:
         for key, content in zip(frame["id"], frame["content"], strict=True):
             found = ["no content"] if content is None else read(bytes(content))
             for n, p in enumerate(found):
-                row = (key, n, None, None, None, None, None, None, None, None, p) if isinstance(p, str) else (key, n, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.predictor, p.pixels.tobytes(), None)
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in PAGES.split(", ")]).astype({"id": "Int64"})
+                row = (key, n, *[None] * 8, p) if isinstance(p, str) else (key, n, p.width, p.height, p.samples, p.bits, p.compression, p.tiled, p.predictor, p.pixels.tobytes(), None)
+                held.append(row)
+                size += 0 if isinstance(p, str) else p.pixels.nbytes
+                if size > BATCH_BYTES or len(held) >= 4096:
+                    yield pd.DataFrame(held, columns=names).astype({"id": "Int64", **dict.fromkeys(names[2:6], "Int64"), "predictor": "Int64"})
+                    held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names).astype({"id": "Int64", **dict.fromkeys(names[2:6], "Int64"), "predictor": "Int64"})
 
 
 def pages(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
