@@ -14,8 +14,9 @@ gather finished messages in the order of turns. The template is
   <|im_start|>role\\ntext<|im_end|>\\n
 
 Texts and roles are escaped so that no control string can be part of them, and
-unescaping gives them back: "\\\\" becomes "\\\\\\\\" and "<|" becomes "<\\\\|". A rendered
-text that is unescaped is the original.
+unescaping gives them back: "\\\\" becomes "\\\\\\\\" and "<|" becomes "<\\\\|"; a line end in a
+role, which would end its line, becomes "<\\\\n|", which no escaped text holds. A
+rendered text or role that is unescaped is the original.
 """
 
 from __future__ import annotations
@@ -33,6 +34,18 @@ def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+#: What stands for a line end in a role: "<" and one backslash are followed by "|" or a backslash in any escaped text.
+LINE_END = "<\\n|"
+
+
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("\n"), F.lit(LINE_END))
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.replace(c, F.lit(LINE_END), F.lit("\n")))
+
+
 def unescape(c: Column) -> Column:
     """The inverse of escape: what follows a backslash stands for itself."""
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
@@ -72,7 +85,7 @@ def fold_messages(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): each conversation in the template, and for each turn whether its text is under the loss
     mask: those of assistants."""
-    safe = F.concat(F.lit(START), escape(F.coalesce("role", F.lit("user"))), F.lit("\n"))
+    safe = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit("user"))), F.lit("\n"))
     parts = messages.select("conv_id", "turn", "copy", safe.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"), (F.coalesce("role", F.lit("user")) == "assistant").alias("loss"))
     gathered = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "copy", "head", "body", "loss"))).alias("m"))
     shown = F.array_join(F.transform("m", lambda m: F.concat(m["head"], m["body"], F.lit(END + "\n"))), "")
@@ -83,7 +96,7 @@ def digests(rendered: DataFrame) -> DataFrame:
     """The digest columns of formatted conversations, read back from the formatted strings alone."""
     blocks = F.split(F.col("formatted"), r"<\|im_end\|>\n")
     bodies = F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda b: F.substring(b, F.lit(len(START) + 1), F.char_length(b)))
-    turns = F.transform(bodies, lambda b: F.struct(unescape(F.substring_index(b, "\n", 1)).alias("role"), unescape(F.substring(b, F.char_length(F.substring_index(b, "\n", 1)) + 2, F.char_length(b))).alias("text")))
+    turns = F.transform(bodies, lambda b: F.struct(unescape_role(F.substring_index(b, "\n", 1)).alias("role"), unescape(F.substring(b, F.char_length(F.substring_index(b, "\n", 1)) + 2, F.char_length(b))).alias("text")))
     cut = rendered.select("conv_id", turns.alias("turns"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")

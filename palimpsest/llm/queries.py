@@ -67,7 +67,7 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-            cast(sum(12 + {_ESCAPED.format("role")} + 1 + {_ESCAPED.format("text")} + 11) as bigint) as formatted_chars
+            cast(sum(12 + {_ESCAPED.format("role")} + 3 * (length(role) - length(replace(role, chr(10), ''))) + 1 + {_ESCAPED.format("text")} + 11) as bigint) as formatted_chars
         from t group by conv_id
     """,
 }
