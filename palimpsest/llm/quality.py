@@ -58,7 +58,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(len(at), bool)
     again[1:] = same_doc[1:] & (word[1:] == word[:-1])
     pair = word.copy()
-    pair[1:] = mix(word[:-1] * np.uint64(3) + word[1:])
+    pair[1:] = np.where(same_doc[1:], mix(word[:-1] * np.uint64(3) + word[1:]), word[1:])
     before = np.ones(len(at), bool)
     if len(at):
         before[np.unique(pair ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]] = False
@@ -117,8 +117,9 @@ def _scorer(weights: np.ndarray, bias: float):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with a column quality_score (0 to 1, never null; an empty or null text gets what the bias says)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "quality_score") -> DataFrame:
+    """docs with a column of this name (0 to 1, never null; an empty or null text gets what the bias says), in the place
+    of one that docs may have of that name."""
     prepare(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -128,7 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         for texts in parts:
             yield pd.Series(np.concatenate([run(block) for _, block in blocks(texts)] or [np.empty(0)]))
 
-    return docs.withColumn("quality_score", quality("text"))
+    return docs.withColumn(name, quality("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, out: int = 2, threshold: float = THRESHOLD, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -139,7 +140,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, out: int = 2
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with docs' own columns."""
-    threshold = options.pop("threshold", THRESHOLD)
-    scored = score(docs, train(docs, labels, **options))
-    return scored.where(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The rows of docs that the classifier doesn't reject, with docs' own columns, whatever their names."""
+    threshold, name = options.pop("threshold", THRESHOLD), "_quality"
+    while any(c.lower() == name for c in docs.columns):
+        name += "_"
+    scored = score(docs, train(docs, labels, **options), name)
+    return scored.where(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
