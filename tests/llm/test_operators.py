@@ -346,17 +346,3 @@ def test_decontamination(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()} == {(1, 1), (2, 1), (7, 1), (6, 4)}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()} == {3, 4, 5, None}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    now = spark.read.parquet(f"{d}/documents.parquet")
-    columns = now.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = stage(spark, now, d).toPandas()
-        assert set(after["doc_id"]) <= set(now.toPandas()["doc_id"]) and len(after)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert list(after.columns) == columns
-            now = spark.createDataFrame(after)
