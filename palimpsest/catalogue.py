@@ -21,6 +21,7 @@ from palimpsest.operators import groups, join
 from palimpsest.plans.numbering import numbered
 from palimpsest.plans.storage import kept
 from palimpsest.sources import sinks
+from palimpsest.sources.files import listed_paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,7 +186,7 @@ def basename_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, count(*) AS parts, count(DISTINCT w) AS kinds FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
 def stdin_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(listed_paths(F.col("text"))).alias("w"))
     return words.groupBy("doc_id").agg(F.count("*").alias("parts"), F.countDistinct("w").alias("kinds"))
 
 

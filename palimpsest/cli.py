@@ -9,8 +9,10 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest import __version__, api
-from palimpsest.functions.columns import csv_row
+import palimpsest
+from palimpsest import api
+from palimpsest.plans.numbering import numbered
+from palimpsest.plans.storage import kept
 from palimpsest.sources import files, sinks
 from palimpsest.spec import SPECS, spec_named
 
@@ -31,7 +33,7 @@ def run(argv: list[str], spark: SparkSession | None = None, stdin=sys.stdin, out
     """0, or 1 after errors."""
     args = parser().parse_args(argv)
     if args.version:
-        print(f"v{__version__}", file=out)
+        print(f"v{palimpsest.__version__}" if palimpsest.__version__ else f"{palimpsest.BRANCH}-{palimpsest.COMMIT}", file=out)
         return 0
     if not args.targets:
         print("error: no arguments provided", file=sys.stderr)
@@ -48,28 +50,23 @@ def run(argv: list[str], spark: SparkSession | None = None, stdin=sys.stdin, out
     spark = spark or SparkSession.builder.appName("palimpsest").getOrCreate()
     if against:
         matches, errors = api.compare(spark, spec, found[0], found[1:])
-        rows = [[r["path"] for r in matches.toLocalIterator()]]
-        rows = [r for r in rows if r]
+        members = numbered(matches.select(F.lit(0).alias("group_id"), (-F.col("dist")).alias("near"), "id", "path"), ["near", "id"], "ord")
     else:
         members, errors = api.duplicates(spark, spec, found)
-        listed = members.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("m")).orderBy("group_id")
-        rows = [[x["path"] for x in r["m"]] for r in listed.toLocalIterator()]
+    members = kept(members.select("group_id", "ord", "path"), "members")
+    gathered = members.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("m")).select("group_id", F.transform("m", lambda x: x["path"]).alias("paths"))
     if not args.quiet:
         if not args.output:
-            print(sinks.summary(sum(map(len, rows)), found[0] if against else None), file=out)
-        if rows:
-            lines = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, m array<string>").orderBy("i").select(csv_row(F.col("m")).alias("line"))
-            for r in lines.toLocalIterator():
-                print(r["line"], file=out)
+            print(sinks.summary(members.count(), found[0] if against else None), file=out)
+        for r in sinks.csv_rows(gathered).orderBy("group_id").toLocalIterator():
+            print(r["value"], file=out)
     problems: list[object] = [r["error"] for r in errors.toLocalIterator()]
-    kept_paths = {r[0] for r in rows}
-    for i, row in enumerate(rows):
-        if args.move:
-            problems += sinks.move_files(row, f"{args.move}/group{i}")
-        elif args.copy:
-            problems += sinks.link_files(row, f"{args.copy}/group{i}")
-        elif args.delete:
-            problems += sinks.delete_files(dict.fromkeys(row if args.delete_all else [p for p in row[1:] if p not in kept_paths]))
+    if args.move or args.copy:
+        act, folder = (sinks.move_files, args.move) if args.move else (sinks.link_files, args.copy)
+        for r in gathered.orderBy("group_id").toLocalIterator():
+            problems += act(r["paths"], f"{folder}/group{r['group_id']}")
+    elif args.delete:
+        problems += sinks.delete_files(r["path"] for r in sinks.delete_plan(members, args.delete_all).orderBy("path").toLocalIterator())
     for x in problems:
         print(f"error: {x}", file=sys.stderr)
     return 1 if problems else 0

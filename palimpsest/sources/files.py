@@ -7,16 +7,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import IMAGE_EXTENSIONS
 from palimpsest.functions.raster import hashes
+from palimpsest.plans.numbering import numbered
 from palimpsest.plans.storage import kept
-from palimpsest.sources import png
+from palimpsest.sources import gif, jpeg, png
 from palimpsest.spec import HashSpec
 
 FILES = "id long, path string"
+#: Bytes of files that are passed on together.
+BATCH_BYTES = 32 << 20
 
 
 def is_image_name(name: str) -> bool:
@@ -71,15 +74,21 @@ def listed(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(paths, 1)], FILES)
 
 
+def listed_paths(line: Column) -> Column:
+    """The paths of a line of a list, split at single spaces; empty ones go."""
+    return F.filter(F.split(line, " "), lambda p: p != "")
+
+
 def list_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """Words of a text file's lines, split at single spaces (part, path); empty ones go."""
-    return spark.read.text(path).select(F.explode(F.split("value", " ")).alias("path")).where("path <> ''")
+    """(path) of a text file's lines."""
+    return spark.read.text(path).select(F.explode(listed_paths(F.col("value"))).alias("path"))
 
 
 def folder_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """(path, content) of the images of a folder in any store that Spark reads."""
+    """(id, path, content) of the images of a folder in any store that Spark reads, numbered in the order of paths: tasks
+    read them, and the driver holds no list."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*{.png,.jpg,.jpeg}").option("recursiveFileLookup", str(recursive).lower())
-    return read.load(root).select("path", "content")
+    return numbered(read.load(root).select("path", "content"), "path", "id", 1).select("id", "path", "content")
 
 
 def contents(files: DataFrame) -> DataFrame:
@@ -87,18 +96,35 @@ def contents(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, size = [], 0
             for i, p in zip(frame["id"], frame["path"], strict=True):
                 try:
                     with open(p.removeprefix("file://"), "rb") as f:
                         rows.append((i, p, f.read(), None))
+                    size += len(rows[-1][2])
                 except OSError as x:
                     rows.append((i, p, None, f"unable to load {p}: {x}"))
-            yield pd.DataFrame(rows, columns=["id", "path", "content", "error"])
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["id", "path", "content", "error"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "path", "content", "error"])
 
     return files.mapInPandas(run, "id long, path string, content binary, error string")
 
 
+#: Decoders by how files of their kind begin.
+DECODERS = ((png.SIGNATURE, png.decode), (b"\xff\xd8", jpeg.decode), (b"GIF8", gif.decode))
+
+
+def decode(content: bytes) -> np.ndarray:
+    """A raster from the bytes of a file, whose kind is that of its first bytes, whatever its name."""
+    for begins, run in DECODERS:
+        if content.startswith(begins):
+            return run(content)
+    raise ValueError("unknown format")
+
+
 def _hasher(name: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -107,12 +133,13 @@ def _hasher(name: str):
                 words: list[int] = []
                 if content is not None and error is None:
                     try:
-                        words = hashes(name, png.decode(bytes(content)))
-                    except (png.PngError, ValueError) as x:
+                        words = hashes(name, decode(bytes(content)))
+                    except Exception as x:  # a broken file stops nothing but itself
                         error = f"unable to load {p}: {x}"
                 rows.append((i, p, words[0] if words else None, words[1] if len(words) > 1 else None, error))
-            out = pd.DataFrame(rows, columns=["id", "path", "w0", "w1", "error"])
-            yield out.astype({"w0": "Int64", "w1": "Int64"})
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            # words beside nulls would become floating-point numbers in between
+            yield pd.DataFrame({"id": columns[0], "path": columns[1], "w0": pd.array(columns[2], "Int64"), "w1": pd.array(columns[3], "Int64"), "error": columns[4]})
 
     return run
 
@@ -120,44 +147,13 @@ def _hasher(name: str):
 def fingerprints(files: DataFrame, spec: HashSpec) -> tuple[DataFrame, DataFrame]:
     """(fingerprints (id, path, w0[, w1]), errors (id, path, error)) of files (id, path[, content, error]).
 
-    PNG files are decoded here. Others go to Spark's image source, whose colour
-    conversion of JPEG may differ from other decoders by a few levels. A file
-    that fails is an error row and doesn't stop the rest.
+    Files are decoded by the task that reads them, once. A file that fails is an
+    error row and doesn't stop the rest; a null content without a note of an error
+    has no fingerprint and no error.
     """
     held = files if "content" in files.columns else contents(files)
     if "error" not in held.columns:
         held = held.withColumn("error", F.lit(None).cast("string"))
-    is_png = F.coalesce(F.substring("content", 1, 8) == F.lit(png.SIGNATURE), F.lit(True))
-    schema = "id long, path string, w0 long, w1 long, error string"
-    done = held.where(is_png).mapInPandas(_hasher(spec.name), schema)
-    rest = held.where(~is_png).select("id", "path")
-    if not rest.isEmpty():
-        done = done.unionAll(_by_image_source(rest, spec.name, schema))
-    done = kept(done, "fingerprints")
+    done = kept(held.select("id", "path", "content", "error").mapInPandas(_hasher(spec.name), "id long, path string, w0 long, w1 long, error string"), "fingerprints")
     words = ["w0", "w1"][: spec.words]
     return done.where("error is null").select("id", "path", *words), done.where("error is not null").select("id", "path", "error")
-
-
-def _by_image_source(files: DataFrame, name: str, schema: str) -> DataFrame:
-    paths = [r["path"] for r in files.select("path").distinct().toLocalIterator()]
-    images = files.sparkSession.read.format("image").load(paths).select("image.*")
-    clean = F.regexp_replace("path", "^file:(//)?", "")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, p, h, w, n, data in zip(frame["id"], frame["path"], frame["height"], frame["width"], frame["nChannels"], frame["data"], strict=True):
-                if not n or n < 0 or not data:
-                    rows.append((i, p, None, None, f"unable to load {p}: not an image"))
-                    continue
-                a = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                raster = np.full((h, w, 4), 255, np.uint8)
-                raster[..., :3] = a[..., 2::-1] if n >= 3 else a[..., :1]
-                if n == 4:
-                    raster[..., 3] = a[..., 3]
-                words = hashes(name, raster)
-                rows.append((i, p, words[0], words[1] if len(words) > 1 else None, None))
-            yield pd.DataFrame(rows, columns=["id", "path", "w0", "w1", "error"]).astype({"w0": "Int64", "w1": "Int64"})
-
-    joined = files.withColumn("_p", clean).join(images.withColumn("_p", F.regexp_replace("origin", "^file:(//)?", "")), "_p", "left")
-    return joined.select("id", "path", "height", "width", "nChannels", "data").mapInPandas(run, schema)

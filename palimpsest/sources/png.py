@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 
-# Fixed values of the format: samples a pixel by colour type; passes of interlacing (x, y, step x, step y).
+# Fixed values of the format: samples a pixel and bits a sample by colour type; passes of interlacing (x, y, step x, step y).
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -68,10 +69,17 @@ def decode(data: bytes) -> np.ndarray:
         chunk = data[at + 8 : at + 8 + size]
         if len(chunk) < size:
             raise PngError("truncated chunk")
+        if data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + chunk)):
+            raise PngError("wrong checksum")
         if kind == b"IHDR":
+            if size != 13:
+                raise PngError("broken header")
             head = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
+            if size % 3 or size > 768:
+                raise PngError("broken palette")
+            palette = np.zeros((256, 3), np.uint8)  # colours outside the palette are black
+            palette[: size // 3] = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
             clear = chunk
         elif kind == b"IDAT":
@@ -82,7 +90,7 @@ def decode(data: bytes) -> np.ndarray:
     if head is None or not body:
         raise PngError("no image in the file")
     width, height, depth, colour, _, _, laced = head
-    if colour not in SAMPLES or not width or not height:
+    if depth not in DEPTHS.get(colour, ()) or laced > 1 or not width or not height:
         raise PngError("unknown form")
     try:
         raw = zlib.decompress(b"".join(body))
@@ -97,8 +105,8 @@ def decode(data: bytes) -> np.ndarray:
             values[y0::dy, x0::dx] = _samples(rows, w, n, depth)
     out = np.full((height, width, 4), 255, np.uint8)
     if colour == 3:
-        if palette is None or values.max() >= len(palette):
-            raise PngError("colour outside the palette")
+        if palette is None:
+            raise PngError("no palette")
         out[..., :3] = palette[values[..., 0]]
         if clear:
             alpha = np.full(len(palette), 255, np.uint8)
@@ -110,7 +118,9 @@ def decode(data: bytes) -> np.ndarray:
     if colour in (4, 6):
         out[..., 3] = scaled[..., -1]
     elif clear:
-        key = np.frombuffer(clear, ">u2")
+        if len(clear) < 2 * n:
+            raise PngError("broken transparency")
+        key = np.frombuffer(clear, ">u2", n)
         out[..., 3] = np.where((values == key).all(axis=2), 0, 255)
     return out
 

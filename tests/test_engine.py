@@ -168,6 +168,53 @@ def pictures(tmp_path):
     return tmp_path
 
 
+def test_folders_named_like_images(tmp_path):
+    """Names decide: a folder of such a name is listed too, and looked into only with the option."""
+    (tmp_path / "b.png").mkdir()
+    (tmp_path / "b.png" / "c.png").write_bytes(b"x")
+    (tmp_path / "a.png").write_bytes(b"x")
+    name = lambda paths: [p[len(str(tmp_path)) :] for p in paths]
+    assert name(files.find_images(str(tmp_path))) == ["/a.png", "/b.png"]
+    assert name(files.find_images(str(tmp_path), True)) == ["/a.png", "/b.png", "/b.png/c.png"]
+    assert name(files.find_images(str(tmp_path / "b.png"))) == ["/b.png", "/b.png/c.png"]
+    assert files.find_images(str(tmp_path / "none")) == []
+
+
+def test_lists_and_sinks(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("a.png  b.png\nc.png\n\n")
+    assert [r["path"] for r in files.list_from_text(spark, str(tmp_path / "list.txt")).collect()] == ["a.png", "b.png", "c.png"]
+    rows = spark.createDataFrame([(1, ["x", "y, z"]), (0, ['say "a"'])], "group_id long, paths array<string>")
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()] == ['"say ""a"""', 'x,"y, z"']
+    assert [sinks.summary(n, t) for n, t in ((0, None), (3, None), (2, "t.png"))] == ["No duplicate images found", "These 3 images are duplicates", "These 2 images are duplicates of t.png"]
+    assert files.expand([str(tmp_path / "list.txt"), str(tmp_path), "missing"]) == []
+
+
+def test_command_line_actions(spark, pictures, capsys, monkeypatch):
+    import io
+
+    import palimpsest
+
+    def said(*args, stdin=""):
+        out = io.StringIO()
+        code = cli.run([*args], spark, stdin=io.StringIO(stdin), out=out)
+        return code, out.getvalue().splitlines()
+
+    (pictures / "broken.png").unlink()
+    a, folder = str(pictures / "0a.png"), str(pictures)
+    code, lines = said("-r", a, folder)
+    assert code == 0 and lines[0] == f"These 3 images are duplicates of {a}" and len(lines) == 2
+    assert said("-r", "-search", a, folder)[1][0] == "These 8 images are duplicates"
+    assert said("-q", folder) == (0, []) and said("-", stdin=f"{a} {pictures}/0b.png\n")[1][0] == "These 1 images are duplicates of " + a
+    assert said("-hash", "dhash", str(pictures / "0a.png"), str(pictures / "1a.png"))[1] == ["No duplicate images found"]
+    assert said(a)[0] == 1
+    assert said("-o", "-c", str(pictures / "linked"), folder)[0] == 0 and len(list((pictures / "linked").iterdir())) == 3
+    assert said("-o", "-d", folder)[0] == 0 and len(list(pictures.glob("*.png"))) == 3
+    monkeypatch.setattr(palimpsest, "__version__", "")
+    monkeypatch.setattr(palimpsest, "COMMIT", "abc")
+    assert said("-version") == (0, ["dev-abc"])
+
+
 def test_listing(pictures):
     assert len(files.find_images(str(pictures))) == 7 and len(files.find_images(str(pictures), True)) == 8
     assert files.is_image_name("a.png") and not files.is_image_name("a.PNG") and not files.is_image_name("a.gif") and files.is_image_name("x.tar.jpg")
