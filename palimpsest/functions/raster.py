@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+Shape = Callable[[np.ndarray], np.ndarray]
+
 
 @dataclass(frozen=True)
 class Filter:
@@ -19,80 +21,77 @@ class Filter:
 
     name: str
     support: float
-    shape: Callable[[float], float] | None = None
+    shape: Shape | None = None
 
-    def kernel(self, x: float) -> float:
-        x = abs(x)
-        return self.shape(x) if self.shape and (x <= self.support if self.name == "box" else x < self.support) else 0.0
+    def kernel(self, x: np.ndarray | float) -> np.ndarray:
+        x = np.abs(np.asarray(x, np.float64))
+        if self.shape is None:
+            return np.zeros_like(x)
+        return np.where(x <= self.support if self.name == "box" else x < self.support, self.shape(x), 0.0)
 
 
-def _sinc(x: float) -> float:
-    return 1.0 if x == 0 else float(np.sin(np.pi * x) / (np.pi * x))
+def _sinc(x: np.ndarray) -> np.ndarray:
+    safe = np.where(x == 0, 1.0, np.pi * x)
+    return np.where(x == 0, 1.0, np.sin(safe) / safe)
 
 
-def _cubic(b: float, c: float) -> Callable[[float], float]:
+def _cubic(b: float, c: float) -> Shape:
     """The two-parameter family of Mitchell and Netravali."""
 
-    def f(x: float) -> float:
-        if x < 1:
-            return ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + (6 - 2 * b)) / 6
-        return ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6
+    def f(x: np.ndarray) -> np.ndarray:
+        near = ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + (6 - 2 * b)) / 6
+        return np.where(x < 1, near, ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6)
 
     return f
 
 
-def _windowed(window: Callable[[float], float]) -> Callable[[float], float]:
+def _windowed(window: Shape) -> Shape:
     return lambda x: _sinc(x) * window(x)
 
 
-_cos = lambda x: float(np.cos(x))
 FILTERS = {
     f.name: f
     for f in (
         Filter("nearest", 0.0),
-        Filter("box", 0.5, lambda x: 1.0),
+        Filter("box", 0.5, np.ones_like),
         Filter("linear", 1.0, lambda x: 1.0 - x),
         Filter("hermite", 1.0, _cubic(0, 0)),
         Filter("mitchell", 2.0, _cubic(1 / 3, 1 / 3)),
         Filter("catmullrom", 2.0, _cubic(0, 0.5)),
         Filter("bspline", 2.0, _cubic(1, 0)),
-        Filter("gaussian", 2.0, lambda x: float(np.exp(-2 * x * x))),
+        Filter("gaussian", 2.0, lambda x: np.exp(-2 * x * x)),
         Filter("bartlett", 3.0, _windowed(lambda x: (3 - x) / 3)),
         Filter("lanczos", 3.0, _windowed(lambda x: _sinc(x / 3))),
-        Filter("hann", 3.0, _windowed(lambda x: 0.5 + 0.5 * _cos(np.pi * x / 3))),
-        Filter("hamming", 3.0, _windowed(lambda x: 0.54 + 0.46 * _cos(np.pi * x / 3))),
-        Filter("blackman", 3.0, _windowed(lambda x: 0.42 - 0.5 * _cos(np.pi * x / 3 + np.pi) + 0.08 * _cos(2 * np.pi * x / 3))),
+        Filter("hann", 3.0, _windowed(lambda x: 0.5 + 0.5 * np.cos(np.pi * x / 3))),
+        Filter("hamming", 3.0, _windowed(lambda x: 0.54 + 0.46 * np.cos(np.pi * x / 3))),
+        Filter("blackman", 3.0, _windowed(lambda x: 0.42 - 0.5 * np.cos(np.pi * x / 3 + np.pi) + 0.08 * np.cos(2 * np.pi * x / 3))),
         Filter("welch", 3.0, _windowed(lambda x: 1 - x * x / 9)),
-        Filter("cosine", 3.0, _windowed(lambda x: _cos(np.pi / 2 * (x / 3)))),
+        Filter("cosine", 3.0, _windowed(lambda x: np.cos(np.pi / 2 * (x / 3)))),
     )
 }
 
 
-def taps(dst: int, src: int, f: Filter) -> list[list[tuple[int, float]]]:
-    """For each target pixel, the source pixels and weights that make it; weights add up to one, zeros are left out."""
+@lru_cache(maxsize=256)
+def tap_table(dst: int, src: int, f: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """(source pixels, weights), a row for each target pixel; a row's weights add up to one, unless all are 0. Places that
+    a row doesn't need have pixel 0 and weight 0."""
     ratio = src / dst
     scale = max(1.0, ratio)
-    reach = int(np.ceil(scale * f.support))
-    out = []
-    for v in range(dst):
-        centre = (v + 0.5) * ratio - 0.5
-        low, high = max(0, int(np.ceil(centre - reach))), min(src - 1, int(np.floor(centre + reach)))
-        raw = [(u, f.kernel((u - centre) / scale)) for u in range(low, high + 1)]
-        raw = [(u, w) for u, w in raw if w != 0]
-        total = sum(w for _, w in raw)
-        out.append([(u, w / total) for u, w in raw] if total else raw)
-    return out
+    reach = np.ceil(scale * f.support)
+    centre = ((np.arange(dst) + 0.5) * ratio - 0.5)[:, None]
+    low = np.maximum(0, np.ceil(centre - reach))
+    at = low + np.arange(int(2 * reach) + 1)
+    inside = at <= np.minimum(src - 1, np.floor(centre + reach))
+    raw = np.where(inside, f.kernel((at - centre) / scale), 0.0)
+    total = np.cumsum(raw, axis=1)[:, -1:]  # from the first to the last, as the last bit of a sum depends on its order
+    weight = np.divide(raw, total, out=raw.copy(), where=total != 0)
+    return np.where(weight != 0, at, 0).astype(np.int64), weight
 
 
-@lru_cache(maxsize=256)
-def _tap_arrays(dst: int, src: int, name: str, support: float, f: Filter) -> tuple[np.ndarray, np.ndarray]:
-    rows = taps(dst, src, f)
-    n = max((len(r) for r in rows), default=0)
-    index, weight = np.zeros((dst, n), np.int64), np.zeros((dst, n))
-    for v, r in enumerate(rows):
-        for k, (u, w) in enumerate(r):
-            index[v, k], weight[v, k] = u, w
-    return index, weight
+def taps(dst: int, src: int, f: Filter) -> list[list[tuple[int, float]]]:
+    """The same as (pixel, weight) of each target pixel, without zeros."""
+    index, weight = tap_table(dst, src, f)
+    return [[(u, w) for u, w in zip(i, x, strict=True) if w != 0] for i, x in zip(index.tolist(), weight.tolist(), strict=True)]
 
 
 def clamp(x: np.ndarray) -> np.ndarray:
@@ -101,7 +100,7 @@ def clamp(x: np.ndarray) -> np.ndarray:
 
 def _along_rows(raster: np.ndarray, dst: int, f: Filter) -> np.ndarray:
     """Resample the second axis: colours weighed by alpha, rounded to bytes; no alpha at all gives zeros."""
-    index, weight = _tap_arrays(dst, raster.shape[1], f.name, f.support, f)
+    index, weight = tap_table(dst, raster.shape[1], f)
     colour, alpha = raster[..., :3].astype(np.float64), raster[..., 3].astype(np.float64)
     sums, total = np.zeros((raster.shape[0], dst, 3)), np.zeros((raster.shape[0], dst))
     for k in range(index.shape[1]):

@@ -83,3 +83,18 @@ def test_reductions_are_those_of_a_plain_loop(name):
         across = plain_pass(a.tolist(), 9, f)
         down = plain_pass(np.array(across).transpose(1, 0, 2).tolist(), 9, f)
         assert np.array_equal(raster.resize(a, 9, 9, f), np.array(down).transpose(1, 0, 2))
+
+
+@pytest.mark.parametrize(("dst", "src"), [(9, 8), (9, 100), (32, 777), (9, 4000), (32, 20)])
+def test_linear_weights_to_the_last_bit(dst, src):
+    """Number by number, and added from the first to the last without compensation."""
+    ratio = src / dst
+    scale = max(1.0, ratio)
+    for v, row in enumerate(raster.taps(dst, src, raster.FILTERS["linear"])):
+        centre, total, plain = (v + 0.5) * ratio - 0.5, 0.0, []
+        for u in range(src):
+            w = 1.0 - abs((u - centre) / scale)
+            if w > 0:
+                total += w
+                plain.append((u, w))
+        assert row == [(u, w / total) for u, w in plain]
