@@ -20,8 +20,9 @@ from palimpsest.functions.columns import base_name, clamp_byte, extension, grey,
 from palimpsest.operators import groups, join
 from palimpsest.plans.numbering import numbered
 from palimpsest.plans.storage import kept
-from palimpsest.sources import sinks
-from palimpsest.sources.files import listed_paths
+from palimpsest.sources import png, sinks
+from palimpsest.sources.files import fingerprints, listed_paths
+from palimpsest.spec import DHASH, SPECS, spec_named
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,18 +226,34 @@ def _resized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(run, "vec_id long, pixel long, value long")
 
 
-def _resize_sql(name: str) -> str:
-    rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 8, raster.FILTERS[name])) for u, w in r)
-    round_ = "CAST(trunc(sum(v * (255 * w)) * (1 / sum(255 * w)) + 0.5) AS BIGINT)"
-    return f"""WITH w(d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
-        h AS (SELECT vec_id, y, d AS x, {round_} AS v FROM px JOIN w ON s = x GROUP BY vec_id, y, d)
-        SELECT vec_id, d * 9 + x AS pixel, {round_} AS value FROM h JOIN w ON s = y GROUP BY vec_id, d, x"""
+def _in_order(x: str) -> str:
+    """A sum from the first source pixel to the last: halves round by the last bit."""
+    return f"list_reduce(list({x} ORDER BY s), lambda p, q: p + q, 0.0::DOUBLE)"
+
+
+_PX8 = f"SELECT vec_id AS id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)"
+
+
+def _grey_sql(name: str, side: int, px: str) -> str:
+    """Opaque grey pixels px (id, y, x, v) reduced or enlarged to 9 x 9: (id, y, x, v)."""
+    rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, side, raster.FILTERS[name])) for u, w in r)
+    round_ = f"CAST(least(255, greatest(0, trunc({_in_order('v * (255 * w)')} * (1 / {_in_order('255 * w')}) + 0.5))) AS BIGINT)"
+    return f"""w(d, s, w) AS (VALUES {rows}), px AS ({px}), h AS (SELECT id, y, d AS x, {round_} AS v FROM px JOIN w ON s = x GROUP BY id, y, d),
+        small AS (SELECT id, d AS y, x, {round_} AS v FROM h JOIN w ON s = y GROUP BY id, d, x)"""
+
+
+def _gradients_sql(of: str) -> str:
+    """Row and column words of 9 x 9 values (id, y, x, v): (id, w0, w1)."""
+    return f"""u AS (SELECT l.id, 0 AS k, l.y, l.x, l.v < r.v AS darker FROM {of} l JOIN {of} r ON r.id = l.id AND r.y = l.y AND r.x = l.x + 1 WHERE l.y < 8
+        UNION ALL SELECT l.id, 1, l.y, l.x, l.v < r.v FROM {of} l JOIN {of} r ON r.id = l.id AND r.y = l.y + 1 AND r.x = l.x WHERE l.x < 8),
+        bits AS (SELECT id, k, CAST(CAST(string_agg(CASE WHEN darker THEN '1' ELSE '0' END, '' ORDER BY 8 * y + x DESC) AS BIT) AS BIGINT) AS word FROM u GROUP BY id, k),
+        gradients AS (SELECT id, max(word) FILTER (WHERE k = 0) AS w0, max(word) FILTER (WHERE k = 1) AS w1 FROM bits GROUP BY id)"""
 
 
 for _name in ("linear", "box"):
     _f = lambda spark, sf_dir, n=_name: _resized(spark, sf_dir, n)
     _f.__name__ = f"resize_r8_9x9_{_name}"
-    query(_resize_sql(_name))(_f)
+    query(f"WITH {_grey_sql(_name, 8, _PX8)} SELECT id AS vec_id, y * 9 + x AS pixel, v AS value FROM small")(_f)
 
 
 @query(f"""WITH px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
@@ -256,14 +273,7 @@ def _hash_rows(name: str, side: int):
     return run
 
 
-_DHASH = _resize_sql("linear")
-
-
-@query(f"""WITH g AS ({_DHASH}), a AS (SELECT l.vec_id, l.pixel // 9 AS y, l.pixel % 9 AS x, l.value < r.value AS darker FROM g l JOIN g r ON r.vec_id = l.vec_id AND r.pixel = l.pixel + 1 WHERE l.pixel % 9 < 8 AND l.pixel // 9 < 8),
-    b AS (SELECT l.vec_id, l.pixel // 9 AS y, l.pixel % 9 AS x, l.value < r.value AS darker FROM g l JOIN g r ON r.vec_id = l.vec_id AND r.pixel = l.pixel + 9 WHERE l.pixel % 9 < 8 AND l.pixel // 9 < 8),
-    u AS (SELECT vec_id, 0 AS k, y, x, darker FROM a UNION ALL SELECT vec_id, 1, y, x, darker FROM b),
-    w AS (SELECT vec_id, k, CAST(CAST(string_agg(CASE WHEN darker THEN '1' ELSE '0' END, '' ORDER BY 8 * y + x DESC) AS BIT) AS BIGINT) AS word FROM u GROUP BY vec_id, k)
-    SELECT vec_id AS id, max(word) FILTER (WHERE k = 0) AS w0, max(word) FILTER (WHERE k = 1) AS w1 FROM w GROUP BY vec_id""")
+@query(f"WITH {_grey_sql('linear', 8, _PX8)}, {_gradients_sql('small')} SELECT * FROM gradients")
 def dhash_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _pixels().alias("px"))
     return e.mapInPandas(_hash_rows("dhash", 8), "id long, w0 long, w1 long")
@@ -287,7 +297,7 @@ def _reduced_sql(name: str) -> str:
     """Both passes from 16 to 9, colours weighed by alpha, bytes between: (id, y, x, r, g, b, a)."""
     rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 16, raster.FILTERS[name])) for u, w in r)
     byte = lambda x: f"CAST(least(255, greatest(0, trunc({x} + 0.5))) AS BIGINT)"
-    added = lambda x: f"list_reduce(list({x} ORDER BY s), lambda p, q: p + q, 0.0::DOUBLE)"  # noqa: E731  (in order: halves round by the last bit)
+    added = _in_order
     mixed = lambda c: f"CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added(f'{c} * (a * w)') + ' * (1 / ' + added('a * w') + ')')} END AS {c}"
     sums = ", ".join(mixed(c) for c in "rgb") + f", CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added('a * w'))} END AS a"
     channel = lambda k, c: f"max(v) FILTER (WHERE spot % 4 = {k}) AS {c}"
@@ -306,11 +316,8 @@ for _name in ("linear", "box", "lanczos"):
 _GREYS = "0.299::DOUBLE * (257 * r * a // 255) + 0.587::DOUBLE * (257 * g * a // 255) + 0.114::DOUBLE * (257 * b * a // 255)"
 
 
-@query(f"""WITH {_reduced_sql("linear")}, every AS (SELECT i.id, yy.y, xx.x, coalesce({_GREYS}, 0) AS grey FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x),
-    u AS (SELECT l.id, 0 AS k, l.y, l.x, l.grey < r.grey AS darker FROM every l JOIN every r ON r.id = l.id AND r.y = l.y AND r.x = l.x + 1 WHERE l.y < 8
-        UNION ALL SELECT l.id, 1, l.y, l.x, l.grey < r.grey FROM every l JOIN every r ON r.id = l.id AND r.y = l.y + 1 AND r.x = l.x WHERE l.x < 8),
-    w AS (SELECT id, k, CAST(CAST(string_agg(CASE WHEN darker THEN '1' ELSE '0' END, '' ORDER BY 8 * y + x DESC) AS BIT) AS BIGINT) AS word FROM u GROUP BY id, k)
-    SELECT id, max(word) FILTER (WHERE k = 0) AS w0, max(word) FILTER (WHERE k = 1) AS w1 FROM w GROUP BY id""")
+@query(f"""WITH {_reduced_sql("linear")}, every AS (SELECT i.id, yy.y, xx.x, coalesce({_GREYS}, 0) AS v FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x),
+    {_gradients_sql("every")} SELECT * FROM gradients""")
 def dhash_rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgba16(spark, sf_dir).mapInPandas(_rgba_rows(lambda i, px: [(i, *raster.hashes("dhash", px))], ["id", "w0", "w1"]), "id long, w0 long, w1 long")
 
@@ -377,3 +384,80 @@ def filter_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PRINTS} SELECT id, CAST(bit_count(w) AS INTEGER) AS bits, CAST(bit_count(xor(w, CAST(0 AS BIGINT))) AS INTEGER) AS from_zero FROM p")
 def popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints(spark, sf_dir).select("id", popcount(F.col("w0")).alias("bits"), hamming(F.col("w0"), F.lit(0).cast("long")).alias("from_zero"))
+
+
+def _by_name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for i, px in zip(frame["id"], frame["px"], strict=True):
+            a = _raster(px, 32)
+            for name in ("dct", "dhash", "other"):
+                words = raster.hashes(name, a)
+                rows.append((i, name, len(words), *[*words, 0, 0][:2]))
+        yield pd.DataFrame(rows, columns=["id", "name", "words", "w0", "w1"])
+
+
+_PX32 = "SELECT i.id, n // 32 AS y, n % 32 AS x, coalesce(p.v, 0) AS v FROM (SELECT DISTINCT vec_id // 16 AS id FROM embeddings) i CROSS JOIN range(1024) r(n) LEFT JOIN (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: " + _PX + ")) AS v, unnest(range(1, 65)) AS i FROM embeddings)) p ON p.id = i.id AND p.spot = n"
+
+
+@query(f"""WITH dct AS ({ORACLE_SQL["dct_hash_r32"]}), {_grey_sql("linear", 32, _PX32)}, {_gradients_sql("small")}
+    SELECT id, 'dct' AS name, 1 AS words, w0, 0 AS w1 FROM dct UNION ALL SELECT id, 'dhash', 2, w0, w1 FROM gradients UNION ALL SELECT id, 'other', 0, 0, 0 FROM dct""")
+def hash_by_name_r32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes by name of rasters that are reduced for one of them; words that a hash doesn't have are 0."""
+    return _r32(spark, sf_dir).mapInPandas(_by_name, "id long, name string, words int, w0 long, w1 long")
+
+
+@query("SELECT * FROM (VALUES ('dct', 22.0::DOUBLE, 1, 30.0::DOUBLE, true), ('dhash', 10.0::DOUBLE, 2, 30.0::DOUBLE, true), ('other', 22.0::DOUBLE, 1, 30.0::DOUBLE, true)) t(name, threshold, words, given, same)")
+def hash_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of hashes by name, an unknown one too: thresholds, words, a threshold that is given, equality by name alone."""
+    found = {name: spec_named(name) for name in [*sorted(SPECS), "other"]}
+    return spark.createDataFrame([(n, s.threshold, s.words, s.with_threshold(30).threshold, s == s.with_threshold(30) and s.with_threshold(0) == s) for n, s in found.items()], "name string, threshold double, words int, given double, same boolean")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT CASE WHEN count(*) = 0 THEN 'No duplicate images found' ELSE 'These ' || count(*) || ' images are duplicates' END AS line FROM m")
+def summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = dup_total(spark, sf_dir).first()["total"]
+    return spark.createDataFrame([(sinks.summary(n),)], "line string")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, ord, p.url AS path FROM m JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages) p ON p.n = m.id")
+def ids_to_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members' ids back to the paths that were numbered."""
+    paths = numbered(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path")), "page_id", "id")
+    return _members(spark, sf_dir).join(paths, "id").select("group_id", F.col("ord").cast("long").alias("ord"), "path")
+
+
+_KINDS = ("grey", "grey16", "rgb", "rgba", "palette", "laced")
+
+
+def _png_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for i, px in zip(frame["vec_id"], frame["px"], strict=True):
+            a = _raster(px, 8)
+            a[..., 3] = a[..., 0]
+            for kind in _KINDS:
+                back = png.decode(png.encode(a, kind)).astype(np.int64)
+                rows.append((i, kind, *(int((back[..., k] * np.arange(64).reshape(8, 8)).sum()) for k in (0, 2, 3))))
+        yield pd.DataFrame(rows, columns=["vec_id", "kind", "red", "blue", "alpha"])
+
+
+@query(f"""WITH p AS (SELECT vec_id, sum(v * n) AS s FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(64)) AS n FROM embeddings) GROUP BY vec_id)
+    SELECT vec_id, kind, CAST(s AS BIGINT) AS red, CAST(s AS BIGINT) AS blue, CAST(CASE WHEN kind IN ('rgba', 'laced') THEN s ELSE 255 * 2016 END AS BIGINT) AS alpha FROM p CROSS JOIN (VALUES {", ".join(f"('{k}')" for k in _KINDS)}) k(kind)""")
+def png_kinds_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels through files of every kind, weighed by their place."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(_png_rows, "vec_id long, kind string, red long, blue long, alpha long")
+
+
+def _png_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        files_ = [png.encode(_raster(px, 8)) for px in frame["px"]]
+        yield pd.DataFrame({"id": frame["vec_id"], "path": [f"/img/{i}.png" for i in frame["vec_id"]], "content": [f[: len(f) // 2] if i % 5 == 0 else f for i, f in zip(frame["vec_id"], files_, strict=True)]})
+
+
+@query("SELECT vec_id AS id, '/img/' || vec_id || '.png' AS path, vec_id % 5 = 0 AS failed FROM embeddings")
+def load_errors_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which every fifth is cut off: those are errors and stop nothing else."""
+    made = table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(_png_files, "id long, path string, content binary")
+    prints_, errors = fingerprints(made, DHASH)
+    return prints_.select("id", "path", F.lit(False).alias("failed")).unionAll(errors.where(F.col("error").startswith("unable to load")).select("id", "path", F.lit(True)))

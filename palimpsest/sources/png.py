@@ -125,9 +125,18 @@ def decode(data: bytes) -> np.ndarray:
     return out
 
 
-def encode(raster: np.ndarray) -> bytes:
-    """An 8-bit RGBA file, unfiltered."""
+def encode(raster: np.ndarray, kind: str = "rgba") -> bytes:
+    """An unfiltered file of a kind: rgba, laced (the same, interlaced), rgb, grey and grey16 (the red samples), palette
+    (at most 256 colours without alpha)."""
     h, w = raster.shape[:2]
-    raw = b"".join(b"\0" + raster[y].tobytes() for y in range(h))
-    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    depth, colour, more = 8, {"rgba": 6, "laced": 6, "rgb": 2, "grey": 0, "grey16": 0, "palette": 3}[kind], b""
+    values = {6: raster, 2: raster[..., :3], 0: raster[..., :1]}.get(colour)
+    if kind == "grey16":
+        depth, values = 16, np.concatenate([values, values], axis=2)
+    elif kind == "palette":
+        colours, index = np.unique(raster[..., :3].reshape(-1, 3), axis=0, return_inverse=True)
+        values, more = index.reshape(h, w, 1).astype(np.uint8), part(b"PLTE", colours.astype(np.uint8).tobytes())
+    passes = [values[y0::dy, x0::dx] for x0, y0, dx, dy in PASSES] if kind == "laced" else [values]
+    raw = b"".join(b"\0" + row.tobytes() for each in passes if each.size for row in each)
+    return SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, kind == "laced")) + more + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
