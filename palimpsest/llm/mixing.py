@@ -34,6 +34,8 @@ BLOCK_ROWS = 4000
 #: Documents left fractional by a block: one for each constraint; and those of a source that landing rounds.
 CONSTRAINTS, LANDED = 2, 10
 EPS = 1e-9
+#: Up to so many rows, what is taken is broadcast as bits, in 500,000 words at most; beyond, it is joined.
+MARKED_ROWS = 32_000_000
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -147,7 +149,13 @@ def _taken(sized: DataFrame, weights: tuple[float, ...], share: float, most: flo
     taken = chosen[0]
     for more in chosen[1:]:
         taken = taken.unionAll(more)
-    out = joined.join(taken.withColumn("one", F.lit(1)), "unit", "left")
+    if sum(r[1] for r in sums.values()) <= MARKED_ROWS:
+        # a bit a row, 64 to a word: no row of docs moves
+        marks = taken.groupBy(F.shiftright("unit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(unit & 63 as int)))").alias("bits"))
+        one = F.expr("coalesce(shiftrightunsigned(bits, cast(unit & 63 as int)) & 1, 0)")
+        out = joined.join(F.broadcast(marks), F.shiftright("unit", 6) == F.col("word"), "left").withColumn("one", one).drop("word", "bits")
+    else:
+        out = joined.join(taken.withColumn("one", F.lit(1)), "unit", "left")
     copies = F.when(F.col("size") > 0, whole + F.coalesce("one", F.lit(0))).otherwise(0).cast("int")
     return out.withColumn("copies", copies).drop("factor", "blocks", "one")
 
