@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, passes: int = 2, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -35,5 +39,26 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, si
     return w.astype(np.float32), float(start - zb / ((beta + np.sqrt(gb)) / alpha))
 
 
+def fitted(rows: DataFrame, size: int, **options) -> tuple[np.ndarray, float]:
+    """(weights, bias) from rows (doc_id, label, index[, value]), bounded in number: one task learns from them, in the order
+    of ids and then of their values, and the driver gets the weights alone. A row without values has ones."""
+    valued = "value" in rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            found = pd.concat(held, ignore_index=True)
+            values = found["value"] if valued else found["index"].map(lambda x: np.ones(len(x), np.float32))
+            found = found.assign(v=values, n=found["index"].map(len), s=(found["value"] if valued else found["index"]).map(lambda v: float(np.sum(v, dtype=np.float64))))
+            found = found.sort_values(["doc_id", "n", "s"], kind="stable")
+            weights, bias = train_ftrl(list(zip(found["index"], found["v"], strict=True)), found["label"].to_numpy(np.float64), size, **options)
+            yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+
+    row = rows.repartition(1).mapInPandas(run, "weights binary, bias double").first()
+    if row is None:
+        return train_ftrl([], np.empty(0), size)
+    return np.frombuffer(bytes(row["weights"]), np.float32).copy(), row["bias"]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))

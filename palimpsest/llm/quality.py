@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import sigmoid, train_ftrl
+from .linear import fitted, sigmoid
 from .shared import prepare
 from .textkernel import LOWER, SPACE, blocks, mix, running_sums
 
@@ -104,9 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds:
     prepare(docs.sparkSession)
     chosen = sample_of_labels(labels, label, folds, out, limit)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows, "doc_id long, label int, index array<int>, value array<float>").toArrow().to_pandas()
-    found = found.assign(n=found["index"].map(len), s=found["value"].map(lambda v: float(np.sum(v)))).sort_values(["doc_id", "n", "s"], kind="stable")
-    return train_ftrl(list(zip(found["index"], found["value"], strict=True)), found["label"].to_numpy(np.float64), 1 << SIZE_BITS)
+    rows = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows, "doc_id long, label int, index array<int>, value array<float>")
+    return fitted(rows, 1 << SIZE_BITS)
 
 
 def _scorer(weights: np.ndarray, bias: float):

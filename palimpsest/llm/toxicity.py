@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import sigmoid, train_ftrl
+from .linear import fitted, sigmoid
 from .quality import sample_of_labels
 from .shared import prepare
 from .textkernel import blocks, mix, words_of
@@ -269,10 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     counted = rest.select("text").mapInPandas(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # bounded by the alphabet
     model = CharModel(Counter(), Counter(dict(sorted(zip(counted["gram"], counted["n"], strict=True)))))
     handle = spark.sparkContext.broadcast(model)
-    found = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows(handle), "doc_id long, label int, index array<int>").toArrow().to_pandas()
-    found = found.assign(n=found["index"].map(len), s=found["index"].map(lambda v: int(np.sum(v, dtype=np.int64)))).sort_values(["doc_id", "n", "s"], kind="stable")
-    rows = [(x, np.ones(len(x), np.float32)) for x in found["index"]]
-    weights, bias = train_ftrl(rows, found["label"].to_numpy(np.float64), 1 << SIZE_BITS, alpha=RATE, l1=SPARSITY, passes=4)
+    rows = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows(handle), "doc_id long, label int, index array<int>")
+    weights, bias = fitted(rows, 1 << SIZE_BITS, alpha=RATE, l1=SPARSITY, passes=4)
     return model, weights, bias
 
 
