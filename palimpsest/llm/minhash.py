@@ -246,14 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = ["n_shingles", "one", "two"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     reps = stored(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+    made: list[DataFrame] = []
+
+    def own(df: DataFrame, name: str | None = None) -> DataFrame:
+        """A table, stored here if it has a name, that is removed once the links are known."""
+        made.append(stored(df, name) if name else df)
+        return made[-1]
+
     n_reps = reps.count()
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     shared = join_counted(keys, hubs, ["band", "key"], "m", n_reps * bands).where("rep <> hub")
-    stars = stored(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
-    clusters = stored(connected_components(stars, "rep", "hub").withColumnRenamed("node", "rep"), "clusters")
+    stars = own(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
+    clusters = own(own(connected_components(stars, "rep", "hub")).withColumnRenamed("node", "rep"), "clusters")
     texts = with_ids_of(plain, "doc_id", clusters, "rep").join(clusters.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
-    sets = stored(texts.mapInPandas(_setter(shingle_words), "rep long, shingles array<long>"), "sets")
+    sets = own(texts.mapInPandas(_setter(shingle_words), "rep long, shingles array<long>"), "sets")
 
     # each with the hub that it shares most keys with
     best = stars.groupBy("rep").agg(F.max(F.struct("keys", (-F.col("hub")).alias("hub"))).alias("best")).select("rep", (-F.col("best.hub")).alias("hub"))
@@ -263,35 +270,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(sets, "rep").select("rep", "hub", "block", F.lit(1).alias("side"), "shingles")
     centres = spokes.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets, "rep").select("rep", "hub", "block", F.lit(0).alias("side"), "shingles")
     dealt = members.unionAll(centres).repartition("hub", "block").sortWithinPartitions("hub", "block", "side")
-    near = stored(dealt.mapInPandas(_star_verifier(numerator, denominator), "a long, b long"), "near")
-    classes = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("class"))
+    near = own(dealt.mapInPandas(_star_verifier(numerator, denominator), "a long, b long"), "near")
+    classes = own(connected_components(near, "a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("class"))
 
     # groups of several classes: those that link with each other become one, and the rest is compared block by block
     placed = clusters.join(classes, "rep", "left").select("rep", F.col("component").alias("cluster"), F.coalesce("class", "rep").alias("class"))
-    placed = stored(placed.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "placed")
-    left, links, kinds = _several(placed, n_reps), near, None
-    held = stored(keys.join(left.select("rep").distinct(), "rep", "left_semi"), "left-keys")
+    placed = own(placed.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "placed")
+    left, links, kinds = own(_several(placed, n_reps)), near, None
+    held = own(keys.join(left.select("rep").distinct(), "rep", "left_semi"), "left-keys")
     for turn in range(bands):
         before, kinds = kinds, left.select("cluster", "class").distinct().count()
         if not kinds or (before and kinds > (1 - MERGED) * before):
             break
-        more = _delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_reps, numerator, denominator)
-        merged = connected_components(more, "class_a", "class_b").select(F.col("node").alias("class"), "component")
-        left = _several(stored(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps)
+        more = own(_delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_reps, numerator, denominator))
+        merged = own(connected_components(more, "class_a", "class_b")).select(F.col("node").alias("class"), "component")
+        left = own(_several(own(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps))
         links = links.unionAll(more.select("a", "b"))
-    left = stored(left.select("rep", "cluster", "n", "out"), "left")
+    left = own(left.select("rep", "cluster", "n", "out"), "left")
     both = _blocks_of(left, "cluster", "n").withColumnRenamed("blocks", "q_blocks")
     both = both.join(_blocks_of(left.where("out"), "cluster", "n").select("cluster", F.col("blocks").alias("p_blocks")), "cluster")
     dealt_left = join_counted(left, both, ["cluster"], "texts", n_reps)
-    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    dealt_to = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    ps = dealt_left.where("out").select("rep", "cluster", own("p_blocks").alias("p"), every("q_blocks").alias("q"), F.lit(0).alias("block"))
-    qs = dealt_left.select("rep", "cluster", every("p_blocks").alias("p"), own("q_blocks").alias("q"), F.lit(1).alias("block"))
+    ps = dealt_left.where("out").select("rep", "cluster", dealt_to("p_blocks").alias("p"), every("q_blocks").alias("q"), F.lit(0).alias("block"))
+    qs = dealt_left.select("rep", "cluster", every("p_blocks").alias("p"), dealt_to("q_blocks").alias("q"), F.lit(1).alias("block"))
     paired = ps.unionByName(qs).join(sets, "rep").select("rep", "cluster", "p", "q", "block", "shingles")
     grouped = paired.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
     far = grouped.mapInPandas(_verifier(numerator, denominator), "a long, b long")
     links = links.unionAll(far)
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    parts = connected_components(links, "a", "b")
+    discard(*made)
+    found = parts.select(F.col("node").alias("rep"), "component")
     named = reps.select(*digest, "rep", "copies").join(found, "rep", "left").select(*digest, "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_counted(signed.select("doc_id", *digest), named, digest, "copies", signed.count(), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
