@@ -58,6 +58,17 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3
 _SAYS = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "length(replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))"
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        h AS (SELECT s.doc_id, n.n, g FROM s JOIN n USING (doc_id)),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = reach)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+    """,
     "op6_chat_format": f"""
         with t as (
             select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
