@@ -245,3 +245,41 @@ def scan(docs: DataFrame) -> DataFrame:
     found = confirmed(plain).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_confirmed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"), F.max(F.round("probability", 6)).alias("probability"), F.max(F.round("similarity", 6)).alias("similarity"))
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select("doc_id", "n_lines", "n_paragraphs", F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.coalesce("licences", F.lit("")).alias("licences"), "probability", "similarity")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of scan(documents), whose ids are distinct, over the same weights: every passage is compared
+    and none is left out before."""
+    weights, bias, heat = train()
+    pairs, k = template_pairs(), len(FAMILIES)
+    none_w, none_t = np.zeros(k + 1), [False] * k
+    rows = ", ".join("(" + ", ".join([f"'{f}'", *(repr(float(x)) for x in weights.get(f, none_w)), *(str(int(x)) for x in pairs.get(f, none_t))]) + ")" for f in sorted({*weights, *pairs}))
+    names = ", ".join(["feature", *(f"w{i}" for i in range(k + 1)), *(f"t{i}" for i in range(k))])
+    logits = ", ".join(f"(coalesce(sum(w{i}) FILTER (WHERE NOT pair_only), 0) / sqrt(any_value(n_features)) + {float(bias[i])!r}) / {heat!r}" for i in range(k + 1))
+    shares = ", ".join(f"coalesce(sum(t{i} * times), 0) / greatest(any_value(n_pairs), 1)" for i in range(k))
+    families = ", ".join(f"'{f}'" for f in FAMILIES)
+    parts = "string_split_regex(text, '(?:\\r?\\n[ \\t]*){2,}')".replace("\\\\", "\\")
+    return f"""WITH RECURSIVE model({names}) AS (VALUES {rows}),
+        b AS (SELECT doc_id, unnest({parts}) AS said, generate_subscripts({parts}, 1) AS block FROM documents),
+        l AS (SELECT doc_id, block, list_filter(list_transform(string_split_regex(lower(said), '\\r?\\n'), lambda x: regexp_extract_all(x, '{TOKEN}')), lambda x: len(x) > 0) AS lines FROM b),
+        i AS (SELECT *, unnest(range(1, len(lines) + 1)) AS line FROM l WHERE len(lines) > 0),
+        w AS (SELECT doc_id, block, line, n, flatten(lines[line : line + n - 1]) AS words FROM (SELECT *, unnest(range(1, least({WINDOW}, len(lines) - line + 1) + 1)) AS n FROM i)),
+        p AS (SELECT *, list_transform(range(1, len(words)), lambda j: words[j] || ' ' || words[j + 1]) AS pairs FROM w),
+        known AS (SELECT feature AS pair FROM model WHERE {" + ".join(f"t{i}" for i in range(k))} > 0),
+        c AS (SELECT doc_id, block, line, n, array_to_string(any_value(words), ' ') AS said FROM (SELECT doc_id, block, line, n, words, unnest(pairs) AS pair FROM p) LEFT JOIN known k USING (pair)
+            GROUP BY doc_id, block, line, n HAVING count(k.pair) >= {SIMILARITY} * count(*)),
+        s AS (SELECT said, string_split(said, ' ') AS words FROM (SELECT DISTINCT said FROM c)),
+        f AS (SELECT said, len(pairs) AS n_pairs, len(list_distinct(list_concat(words, pairs))) AS n_features, list_distinct(list_concat(words, pairs)) AS features, pairs FROM (SELECT *, list_transform(range(1, len(words)), lambda j: words[j] || ' ' || words[j + 1]) AS pairs FROM s)),
+        x AS (SELECT said, n_pairs, n_features, unnest(features) AS feature, false AS pair_only, 0 AS times FROM f UNION ALL SELECT said, n_pairs, n_features, unnest(pairs), true, 1 FROM f),
+        z AS (SELECT said, [{logits}] AS z, [{shares}] AS share FROM x LEFT JOIN model USING (feature) GROUP BY said),
+        e AS (SELECT said, share, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z),
+        q AS (SELECT said, share, list_transform(e, lambda v: v / list_sum(e)) AS q FROM e),
+        j AS (SELECT said, share, q[{k + 1}] AS other, list_position(q[1:{k}], list_max(q[1:{k}])) AS top, list_max(q[1:{k}]) AS probability FROM q),
+        y AS (SELECT c.doc_id, c.block, c.line, c.n, list_extract([{families}], top) AS family, probability, share[top] AS similarity FROM j JOIN c USING (said) WHERE probability >= {THRESHOLD} AND probability > other AND share[top] >= {SIMILARITY}),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block, line ORDER BY -floor(similarity * 10), -n) AS place FROM y) WHERE place = 1),
+        after AS (SELECT a.doc_id, a.block, a.line, min(b.line) AS next FROM best a LEFT JOIN best b ON a.doc_id = b.doc_id AND a.block = b.block AND b.line >= a.line + a.n GROUP BY a.doc_id, a.block, a.line),
+        kept AS (SELECT doc_id, block, min(line) AS line FROM best GROUP BY doc_id, block UNION ALL SELECT k.doc_id, k.block, a.next FROM kept k JOIN after a ON a.doc_id = k.doc_id AND a.block = k.block AND a.line = k.line WHERE a.next IS NOT NULL),
+        found AS (SELECT doc_id, count(*) AS n_confirmed, array_to_string(list_sort(list_distinct(list(family))), ',') AS licences, max(round(probability, 6)) AS probability, max(round(similarity, 6)) AS similarity FROM best JOIN kept USING (doc_id, block, line) GROUP BY doc_id),
+        counted AS (SELECT doc_id, count(*) FILTER (WHERE len(lines) > 0) AS n_paragraphs FROM l GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0) AS BIGINT) AS n_lines, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(licences, '') AS licences, probability, similarity
+        FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)"""

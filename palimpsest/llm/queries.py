@@ -82,3 +82,8 @@ ORACLE_SQL: dict[str, str] = {
         from t group by conv_id
     """,
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for all queries that have some; that of licence scans has the classifier's weights, so it is made when asked for."""
+    return ORACLE_SQL | {"op2_license_scan": licenses.oracle_sql()}
