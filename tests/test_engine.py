@@ -57,6 +57,31 @@ def test_within_is_strict_and_survives_odd_rows(spark):
         assert join.within(df.limit(0), 3, strategy).count() == 0
 
 
+@pytest.mark.parametrize("strategy", ["band", "block"])
+@pytest.mark.parametrize("words", [1, 2])
+def test_cells_are_exact(spark, monkeypatch, strategy, words):
+    """Many cells, values of bands that are cut into blocks, copies and repeated ids."""
+    monkeypatch.setattr(join, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(join, "VALUE_ROWS", 0)
+    r = random.Random(6)
+    base = [[r.getrandbits(64) - 2**63 for _ in range(words)] for _ in range(12)]
+    rows = [(i % 280, *(w ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) ^ (r.randrange(2) << 9) for w in r.choice(base))) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "id long, " + ", ".join(f"w{k} long" for k in range(words)))
+    got = join.within(df, 14, strategy)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(brute(rows, 14))
+    x, y = df.where("id < 90"), df.where("id >= 90")
+    assert {tuple(x) for x in join.between(x, y, 14, strategy).collect()} == {p for p in brute(rows, 14) if p[0] < 90 <= p[1]}
+
+
+@pytest.mark.parametrize("strategy", ["band", "block"])
+def test_no_row_is_made_of_a_pair_that_does_not_match(spark, strategy):
+    """3,000 random prints within 19 bits: 4.5 million pairs, of which few match."""
+    words = np.random.default_rng(1).integers(-(2**63), 2**63, 3000)
+    found = join.within(spark.createDataFrame(enumerate(words.tolist()), "id long, w0 long"), 19, strategy)
+    assert found.count() < 10_000
+    assert "MergeJoin" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
 def plain_groups(pairs):
     near, ids, skip, out = {}, set(), set(), []
     for a, b, d in pairs:
