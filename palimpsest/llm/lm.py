@@ -75,9 +75,12 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(doc, gram) for each byte and the end mark of each text: the byte in the low 8 bits, those before it above.
     A text starts after, and ends with, a byte 0xFF, which UTF-8 doesn't have."""
     data = np.frombuffer(b"".join(b"\xff" * CONTEXT + t + b"\xff" for t in texts), np.uint8).astype(np.uint64)
-    gram = data.copy()
-    for k in range(1, CONTEXT + 1):
-        gram[k:] |= data[:-k] << np.uint64(8 * k)
+    gram, held = data, 1
+    while held <= CONTEXT:  # twice as many bytes by each step; the last one may meet a byte again
+        k = min(held, CONTEXT + 1 - held)
+        longer = gram.copy()
+        longer[k:] |= gram[:-k] << np.uint64(8 * k)
+        gram, held = longer, held + k
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(len(doc)) + CONTEXT * (doc + 1)
@@ -188,26 +191,37 @@ class Model:
 
 
 class Known:
-    """Log probabilities of frequent grams or words, found by a hashed slot; of those that share one, by search."""
+    """Log probabilities of frequent grams or words, found by a hashed slot or, where another has it, the one after it; if
+    that is taken too, by search. What would have found an empty slot isn't known."""
 
     def __init__(self, gram: np.ndarray, nats: np.ndarray, bits: int = 23) -> None:
         """gram: in order, the last one no gram's number."""
         self.gram, self.nats, self.shift = gram, nats, np.uint64(64 - bits)
-        self.slot = np.full(1 << bits, len(gram) - 1, np.int32)
-        self.slot[self._slots(gram)] = np.arange(len(gram), dtype=np.int32)
+        self.none = len(gram) - 1
+        self.slot = np.full((1 << bits) + 1, self.none, np.int32)
+        own, every = self._slots(gram[:-1]), np.arange(self.none, dtype=np.int32)
+        self.slot[own] = every
+        second = every[self.slot[own] != every]
+        after = own[second] + 1
+        free = self.slot[after] == self.none
+        self.slot[after[free]] = second[free]
 
     def _slots(self, gram: np.ndarray) -> np.ndarray:
         return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def look_up(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probabilities, zeros for grams that aren't known; indices of those)."""
-        at = self.slot[self._slots(gram)]
-        miss = np.flatnonzero(self.gram[at] != gram)
-        found = np.searchsorted(self.gram, gram[miss])
-        strange = self.gram[found] != gram[miss]
-        found[strange] = len(self.gram) - 1
+        slot = self._slots(gram)
+        at = np.take(self.slot, slot)
+        miss = np.flatnonzero((np.take(self.gram, at) != gram) & (at != self.none))
+        found = self.slot[slot[miss] + 1]
         at[miss] = found
-        return self.nats[at], miss[strange]
+        taken = (self.gram[found] != gram[miss]) & (found != self.none)
+        miss, wanted = miss[taken], gram[miss[taken]]
+        found = np.searchsorted(self.gram, wanted)
+        found[self.gram[found] != wanted] = self.none
+        at[miss] = found
+        return np.take(self.nats, at, axis=0), np.flatnonzero(at == self.none)
 
 
 def packed(key: np.ndarray, times: np.ndarray) -> bytes:

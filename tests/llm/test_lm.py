@@ -161,3 +161,20 @@ def test_packing():
 def test_most_frequent_grams_are_no_more_than_asked_for():
     classes = np.array([50, 30, 10, 5, 1])
     assert [lm._least(classes, k) for k in (0, 1, 6, 15, 16, 1000)] == [5, 4, 3, 3, 2, 0]
+
+
+@pytest.mark.parametrize("bits", [3, 9, 16])
+def test_few_grams_are_searched(monkeypatch, bits):
+    """Slots that several share give what a plain search gives; a search is for grams whose two slots others have."""
+    r = np.random.default_rng(bits)
+    gram = np.append(np.unique(r.integers(0, 2**56, 400, dtype=np.uint64)), np.iinfo(np.uint64).max)
+    nats = np.append(r.random((len(gram) - 1, 3)), np.zeros((1, 3)), axis=0).astype(np.float32)
+    asked = np.concatenate([r.choice(gram[:-1], 5000), r.integers(0, 2**56, 5000, dtype=np.uint64)])
+    at = np.searchsorted(gram, asked)
+    known, searched = lm.Known(gram, nats, bits), []
+    plain = np.searchsorted
+    monkeypatch.setattr(lm.np, "searchsorted", lambda a, v, *more: searched.append(len(v)) or plain(a, v, *more))
+    got, strange = known.look_up(asked)
+    assert (got == np.where((gram[at] == asked)[:, None], nats[at], 0)).all()
+    assert strange.tolist() == np.flatnonzero(gram[at] != asked).tolist()
+    assert sum(searched) < {3: 10_001, 9: 4000, 16: 40}[bits]
