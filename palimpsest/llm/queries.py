@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, lm, minhash, mixing, quality, secrets, tiff, toxicity
+from . import chat, decontaminate, importance, licenses, lm, minhash, mixing, quality, secrets, tiff, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage_words=decontaminate.PASSAGE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of documents whose features are those of the benchmark; see importance.resample for nulls, ties and empty tables."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination, op11_importance_resampling)}
 _SAYS = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "length(replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))"
 ORACLE_SQL: dict[str, str] = {
@@ -69,6 +74,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
     """,
+    "op11_importance_resampling": r"""
+        WITH tab AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) t(b))),
+        texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        words AS (SELECT side, id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        features AS (SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+        kinds AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM features),
+        placed AS (SELECT f, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM kinds, tab),
+        counts AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM features JOIN placed USING (f) GROUP BY bucket),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS BIGINT) AS g FROM counts),
+        weights AS (SELECT row, count(*) AS n, CAST(floor(sum(g) / count(*)::DOUBLE) AS BIGINT) AS weight FROM features JOIN placed USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY row),
+        scores AS (SELECT id AS doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM words LEFT JOIN weights USING (row) WHERE side = 0),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS docs FROM scores WHERE words >= 20 AND doc_id IS NOT NULL)
+        SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN r.rank <= 25 * docs // 100 THEN r.rank END AS rank FROM scores s LEFT JOIN ranked r ON s.words >= 20 AND r.doc_id = s.doc_id
+    """,
     "op6_chat_format": f"""
         with t as (
             select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations
