@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, importance, licenses, lm, minhash, mixing, quality, secrets, tiff, toxicity
+from . import chat, collocations, decontaminate, importance, licenses, lm, minhash, mixing, quality, secrets, tiff, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination, op11_importance_resampling)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language; see collocations.collocations for nulls, ties, long texts and empty tables."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination, op11_importance_resampling, op13_collocations)}
 _SAYS = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "length(replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))"
 ORACLE_SQL: dict[str, str] = {
@@ -74,6 +79,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        runs AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM words, range(1, 6) t(m) WHERE len(w) >= m),
+        totals AS (SELECT lang, count(*) AS n FROM runs WHERE m = 1 GROUP BY lang),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY lang, m, phrase HAVING count(*) >= 100),
+        inner_ AS (SELECT DISTINCT lang, phrase, f FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:m - 1], ' '), array_to_string(string_split(phrase, ' ')[2:m], ' ')]) AS phrase FROM f WHERE m >= 3)),
+        kept AS (SELECT * FROM f WHERE m >= 2 AND NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = f.lang AND i.phrase = f.phrase AND i.f >= f.f)),
+        cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS rest FROM kept, range(1, 5) t(k) WHERE k < m),
+        scored AS (SELECT c.*, x.f AS l, y.f AS r, n, CAST((1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.phrase = rest JOIN totals t ON t.lang = c.lang),
+        weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
     "op11_importance_resampling": r"""
         WITH tab AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) t(b))),
         texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
