@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,24 +84,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _signer(n: int, bands: int, rows: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = []
-            for first, texts in blocks(frame["text"]):
+def banded(bands: int, rows: int):
+    """Keys of sets, as for _signer: ``bands`` a set, each of ``rows`` coordinates of its sketch."""
+
+    def keys(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        s = sketch(doc, h, n_docs, bands * rows).reshape(n_docs, bands, rows)
+        key = np.tile(np.arange(bands, dtype=np.uint64), (n_docs, 1))
+        for r in range(rows):
+            key = mix(key * np.uint64(31) + s[:, :, r])
+        return key.ravel(), np.full(n_docs, bands)
+
+    return keys
+
+
+def _signer(n: int, keys):
+    """keys(doc, shingle, number of documents): (keys of all sets, document by document; how many each has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column("text").to_pylist()):
                 k = len(texts)
                 doc, h = sets_of(texts, n)
-                count = np.bincount(doc, minlength=k)
                 one, two = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
                 np.add.at(one, doc, mix(h))
                 np.add.at(two, doc, seeded(h, 77))
-                s = sketch(doc, h, k, bands * rows).reshape(k, bands, rows)
-                key = np.zeros((k, bands), np.uint64)
-                for r in range(rows):
-                    key = mix(key * np.uint64(31) + s[:, :, r])
-                ids = frame["doc_id"].iloc[first : first + k]
-                parts.append(pd.DataFrame({"doc_id": ids.to_numpy(), "n_shingles": count, "one": _signed(one), "two": _signed(two), "bands": list(_signed(key))}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "n_shingles": [], "one": [], "two": [], "bands": []})
+                key, many = keys(doc, h, k)
+                cuts = np.concatenate([[0], np.cumsum(many)])
+                columns = [pa.array(x, pa.int64()) for x in (np.bincount(doc, minlength=k), _signed(one), _signed(two))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, k), *columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_signed(key), pa.int64()))], ["doc_id", "n_shingles", "one", "two", "keys"])
 
     return run
 
@@ -151,7 +162,7 @@ def spanning_links(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, n
     ok = seen[col] > 1  # what one set alone has adds to no intersection
     row, col = row[ok], np.unique(col[ok], return_inverse=True)[1]
     width = int(col.max()) + 1 if len(col) else 0
-    both = np.zeros((n, n), np.float32)
+    inter = np.zeros((n, n), np.int64)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     step = max(256, min(8192, 16_000_000 // max(1, n)))
@@ -159,8 +170,7 @@ def spanning_links(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, n
         a, b = np.searchsorted(col, (start, start + step))
         m = np.zeros((n, step), np.float32)
         m[row[a:b], col[a:b] - start] = 1
-        both += m @ m.T
-    inter = both.astype(np.int64)
+        inter += (m @ m.T).astype(np.int64)  # a step's counts are exact in single precision
     linked = denominator * inter >= numerator * (sizes[:, None] + sizes[None, :] - inter)
     linked &= side[:, None] != side[None, :]
     parent = list(range(n))
@@ -211,13 +221,13 @@ def _several(placed: DataFrame, n_reps: int) -> DataFrame:
     return stored(join_counted(placed, several, ["cluster"], "texts", n_reps).select("rep", "cluster", "class", "n", (F.col("class") != F.col("main")).alias("out")), "several")
 
 
-def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_reps: int, numerator: int, denominator: int) -> DataFrame:
+def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_keys: int, numerator: int, denominator: int) -> DataFrame:
     """(a, b, class_a, class_b): links between classes. In each bucket a class sends one of its texts, by a hash, and those
     are compared with one of them all."""
     own = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("h"), "rep")
     sent = keys.join(placed.select("rep", "class"), "rep").groupBy("band", "key", "class").agg(F.min(own).alias("d"))
     hubs = sent.groupBy("band", "key").agg(F.min(F.struct("d", "class")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    met = join_counted(sent, hubs, ["band", "key"], "m", 4 * n_reps).where(F.col("class") != F.col("hub.class"))
+    met = join_counted(sent, hubs, ["band", "key"], "m", n_keys // 10).where(F.col("class") != F.col("hub.class"))
     pairs = met.select(F.col("d.rep").alias("a"), F.col("hub.d.rep").alias("b"), F.col("class").alias("class_a"), F.col("hub.class").alias("class_b")).distinct()
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -240,12 +250,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and kept = false. An empty table gives an empty table; other
     columns of docs are not looked at.
     """
+    out = linked_sets(docs, id_col, text_col, banded(bands, rows), bands, shingle_words=shingle_words, numerator=numerator, denominator=denominator)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int, *, shingle_words: int, numerator: int, denominator: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of docs: components of all links between sets that share a key of
+    keys_of (see _signer), each link confirmed on full sets. bands: kinds of keys, of which some at a time merge classes."""
     prepare(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(plain.mapInPandas(_signer(shingle_words, bands, rows), "doc_id long, n_shingles long, one long, two long, bands array<long>"), "signed")
+    signed = stored(plain.mapInArrow(_signer(shingle_words, keys_of), "doc_id long, n_shingles long, one long, two long, keys array<long>"), "signed")
     digest = ["n_shingles", "one", "two"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = stored(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+    reps = stored(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "reps")
     made: list[DataFrame] = []
 
     def own(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -253,10 +270,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made.append(stored(df, name) if name else df)
         return made[-1]
 
-    n_reps = reps.count()
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    n_reps, n_keys = reps.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    keys = reps.select("rep", F.explode("keys").alias("key")).withColumn("band", F.pmod("key", F.lit(bands)).cast("int"))
     hubs = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    shared = join_counted(keys, hubs, ["band", "key"], "m", n_reps * bands).where("rep <> hub")
+    shared = join_counted(keys, hubs, ["band", "key"], "m", n_keys).where("rep <> hub")
     stars = own(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
     clusters = own(own(connected_components(stars, "rep", "hub")).withColumnRenamed("node", "rep"), "clusters")
     texts = with_ids_of(plain, "doc_id", clusters, "rep").join(clusters.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
@@ -282,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         before, kinds = kinds, left.select("cluster", "class").distinct().count()
         if not kinds or (before and kinds > (1 - MERGED) * before):
             break
-        more = own(_delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_reps, numerator, denominator))
+        more = own(_delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_keys, numerator, denominator))
         merged = own(connected_components(more, "class_a", "class_b")).select(F.col("node").alias("class"), "component")
         left = own(_several(own(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps))
         links = links.unionAll(more.select("a", "b"))
@@ -304,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = reps.select(*digest, "rep", "copies").join(found, "rep", "left").select(*digest, "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_counted(signed.select("doc_id", *digest), named, digest, "copies", signed.count(), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontaminate, importance, licenses, lm, minhash, mixing, quality, secrets, tiff, toxicity
+from . import chat, collocations, decontaminate, importance, licenses, lm, minhash, mixing, partenum, quality, secrets, tiff, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,26 +59,41 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose word triples are alike by 0.9; see partenum.jaccard_join for nulls, ties and empty tables."""
+    return partenum.jaccard_join(table(spark, sf_dir, "documents"), shingle_words=3, numerator=90, denominator=100)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language; see collocations.collocations for nulls, ties, long texts and empty tables."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination, op11_importance_resampling, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_minhash_dedup, op4_toxicity, op5_tiff_media, op6_chat_format, op7_secret_scan, op8_lm_scoring, op9_mixing, op10_decontamination, op11_importance_resampling, op12_jaccard_join, op13_collocations)}
 _SAYS = "<|im_end|><|im_start|>assistant ok"
 _ESCAPED = "length(replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))"
-ORACLE_SQL: dict[str, str] = {
-    "op3_minhash_dedup": r"""
+
+
+def _linked_sql(percent: int) -> str:
+    """n (doc_id, n) and c (doc_id, component_id) of documents whose word triples are alike by so many per cent."""
+    return rf"""
         WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         h AS (SELECT s.doc_id, n.n, g FROM s JOIN n USING (doc_id)),
-        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
         both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-        r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = reach)
+        r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = reach),
+        c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": _linked_sql(85)
+    + """
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
     """,
+    "op12_jaccard_join": _linked_sql(90) + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)",
     "op13_collocations": r"""
         WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
         words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
