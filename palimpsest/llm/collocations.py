@@ -9,10 +9,12 @@ interval of the order in which all share m words is a phrase of m words, as ofte
 as the interval is long. Spark adds up the shards' counts by (lang, phrase).
 
 Three passes keep what moves small, and exact: single words, then pairs, then all
-longer phrases. A phrase of LEAST occurrences has only words and pairs of as many,
-so runs are cut at words, then at pairs, that are rarer. Tasks know the frequent
-ones by a filter of hashed bits, of 32 MiB at most whatever the vocabulary; what
-it lets through by accident is counted like the rest and dropped by its count.
+phrases. A phrase of LEAST occurrences has only words and pairs of as many, so
+runs are cut at words, then at pairs, that are rarer. Tasks know the frequent ones
+by a filter of hashed bits, of 32 MiB at most whatever the vocabulary; what it
+lets through by accident is counted like the rest and dropped by its count. The
+second pass serves that filter alone and adds up pairs by hashes: two that share
+one pass together, and the last pass counts them by their words.
 """
 
 from __future__ import annotations
@@ -43,7 +45,6 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_BREAK
 _WORD[[0x20, 0x09]] = False
-_COUNTED = "lang string, phrase string, n long"
 
 
 def lang_key(lang: str) -> int:
@@ -141,7 +142,7 @@ def phrase_counts(ids: np.ndarray, left: np.ndarray, shortest: int, longest: int
         yield m, order[first[whole]], times[whole]
 
 
-def _counts_of(shard: Shard, shortest: int, longest: int, words: np.ndarray | None, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _counts_of(shard: Shard, shortest: int, longest: int, words: np.ndarray | None, pairs: np.ndarray | None, hashed: bool) -> Iterator[pa.RecordBatch]:
     key, lang, piece, at, size, raw = shard.joined()
     go_on = piece[1:] == piece[:-1]  # whether the run goes on after a word
     if pairs is not None:
@@ -162,6 +163,9 @@ def _counts_of(shard: Shard, shortest: int, longest: int, words: np.ndarray | No
     left = np.repeat(last, np.diff(np.concatenate([[-1], last]))) + 1 - np.arange(len(run))
     names = pa.array(list(shard.names), pa.string())
     for m, where, times in phrase_counts(np.unique(key, return_inverse=True)[1] + 1, left, shortest, longest):
+        if hashed:
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(key)[where].view(np.int64)), pa.array(times, pa.int64())], ["key", "n"])
+            continue
         for k in range(0, len(where), 100_000):
             w = where[k : k + 100_000]
             start, stop = at[w], at[w + m - 1] + size[w + m - 1]
@@ -172,9 +176,9 @@ def _counts_of(shard: Shard, shortest: int, longest: int, words: np.ndarray | No
             yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[w])), phrase, pa.array(times[k : k + 100_000], pa.int64())], ["lang", "phrase", "n"])
 
 
-def _counter(shortest: int, longest: int, words, pairs):
+def _counter(shortest: int, longest: int, words=None, pairs=None, hashed: bool = False):
     """Counts of phrases of so many words in the rows (lang, text) of a task, a shard after the other. words, pairs:
-    broadcast filters, or none."""
+    broadcast filters, or none. hashed: of pairs, named by pair_keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [None if b is None else np.frombuffer(b.value, np.uint8) for b in (words, pairs)]
@@ -186,27 +190,28 @@ def _counter(shortest: int, longest: int, words, pairs):
                         shard.add(texts, langs)
                         texts, langs, size = [], [], 0
                         if shard.words >= SHARD_WORDS:
-                            yield from _counts_of(shard, shortest, longest, *bits)
+                            yield from _counts_of(shard, shortest, longest, *bits, hashed)
                             shard = Shard()
                     texts.append(part)
                     langs.append(lang)
                     size += len(part) + 1
         if texts:
             shard.add(texts, langs)
-            yield from _counts_of(shard, shortest, longest, *bits)
+            yield from _counts_of(shard, shortest, longest, *bits, hashed)
 
     return run
 
 
-def _keys(batch: pa.RecordBatch, m: int) -> np.ndarray:
-    """Of a table's phrases, all of m words (1 or 2)."""
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """A table's keys (key), or those of its words (lang, phrase)."""
+    if "key" in batch.schema.names:
+        return batch.column("key").to_numpy().view(np.uint64)
     shard = Shard()
     shard.add([to_bytes(t) for t in batch.column("phrase").to_pylist()], batch.column("lang").to_pylist())
-    key = shard.joined()[0]
-    return key if m == 1 else pair_keys(key)[::2]
+    return shard.joined()[0]
 
 
-def _filter_parts(m: int, n_bits: int):
+def _filter_parts(n_bits: int):
     part = min(n_bits, 1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,7 @@ def _filter_parts(m: int, n_bits: int):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(batch, m)
+                keys = _keys(batch)
                 spots = np.unique(np.concatenate([keys, mix(keys)]) & np.uint64(n_bits - 1)).astype(np.int64)
                 for p in np.unique(spots // part).tolist():
                     own = spots[spots // part == p] % part
@@ -225,16 +230,16 @@ def _filter_parts(m: int, n_bits: int):
     return run
 
 
-def filter_of(phrases: DataFrame, m: int):
-    """A broadcast filter of the stored phrases (lang, phrase), all of m words: FILTER_BITS at most."""
-    n = phrases.count()
+def filter_of(frequent: DataFrame):
+    """A broadcast filter of stored words (lang, phrase) or keys (key): FILTER_BITS at most."""
+    n = frequent.count()
     n_bits = min(FILTER_BITS, 1 << max(10, (BITS_EACH * n - 1).bit_length()))
     out = np.zeros(n_bits // 8, np.uint8)
     parts = min(64, 1 + n // 100_000)  # each sends the filter's bytes at most
-    for row in phrases.coalesce(parts).mapInArrow(_filter_parts(m, n_bits), "part long, bits binary").toLocalIterator():
+    for row in frequent.coalesce(parts).mapInArrow(_filter_parts(n_bits), "part long, bits binary").toLocalIterator():
         bits = np.frombuffer(row["bits"], np.uint8)
         out[row["part"] * len(bits) : (row["part"] + 1) * len(bits)] |= bits
-    return phrases.sparkSession.sparkContext.broadcast(out.tobytes())
+    return frequent.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -243,21 +248,20 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     prepare(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
 
-    def counted(shortest: int, longest: int, words, pairs) -> DataFrame:
-        return plain.mapInArrow(_counter(shortest, longest, words, pairs), _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def counted(by: list[str], *how, hashed: bool = False) -> DataFrame:
+        kinds = ", ".join(f"{c} {'long' if c == 'key' else 'string'}" for c in by)
+        return plain.mapInArrow(_counter(*how, hashed=hashed), f"{kinds}, n long").groupBy(*by).agg(F.sum("n").alias("n"))
 
-    every = stored(counted(1, 1, None, None), "words")
+    named, enough = ["lang", "phrase"], F.col("n") >= least
+    every = stored(counted(named, 1, 1), "words")
     totals = stored(every.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
-    found = [stored(every.where(F.col("n") >= least), "frequent-words")]
+    out = stored(every.where(enough), "frequent-words")
     discard(every)
-    known = filter_of(found[0], 1)
     if most_words >= 2:
-        found.append(stored(counted(2, 2, known, None).where(F.col("n") >= least), "frequent-pairs"))
-    if most_words >= 3:
-        found.append(stored(counted(3, most_words, known, filter_of(found[1], 2)).where(F.col("n") >= least), "frequent-phrases"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+        words = filter_of(out)
+        keys = stored(counted(["key"], 2, 2, words, hashed=True).where(enough).select("key"), "frequent-pairs")
+        out = out.unionAll(stored(counted(named, 2, most_words, words, filter_of(keys)).where(enough), "frequent-phrases"))
+        discard(keys)
     return out.withColumn("words", F.size(F.split("phrase", " ")).cast("long")), totals
 
 
