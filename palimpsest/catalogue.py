@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import raster
 from palimpsest.functions.columns import base_name, clamp_byte, extension, grey, hamming, is_image, popcount, sign_word
-from palimpsest.operators import groups, join
+from palimpsest.operators import groups, join, nearest, pivots, selection
 from palimpsest.plans.numbering import numbered
 from palimpsest.plans.storage import kept
 from palimpsest.sources import png, sinks
@@ -27,6 +27,8 @@ from palimpsest.spec import DHASH, SPECS, spec_named
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 T = 22
+#: Places of an order, in hundredths of all.
+PLACES = {"least": 0, "lower quarter": 25, "upper median": 50, "last hundredth": 99, "greatest": 100}
 
 
 def query(sql: str | None = None):
@@ -65,62 +67,108 @@ _GROUPS = f"""{_EDGES}, both_ways AS (SELECT a, b, dist FROM e UNION ALL SELECT
         UNION ALL SELECT group_id, seed, row_number() OVER (PARTITION BY seed ORDER BY dist DESC, b), b, dist FROM s JOIN both_ways ON a = seed)"""
 
 
-def edges(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
-    return join.within(prints(spark, sf_dir), T, strategy)
-
-
 @query(f"WITH {_PRINTS} SELECT id, w AS hash FROM p")
 def fp64_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints(spark, sf_dir).withColumnRenamed("w0", "hash")
 
 
-_PAIRS = f"WITH {_EDGES} SELECT a, b, dist FROM e"
+def _linked_sql(p: str, dist: str, t: int) -> str:
+    """Pairs of different fingerprints w, named by their least ids, and copies with those, of p (id, w)."""
+    return f"""WITH {p}, k AS (SELECT w, min(id) AS id FROM p GROUP BY w)
+        SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, {dist} AS dist FROM k a JOIN k b ON a.id < b.id AND {dist} < {t}
+        UNION ALL SELECT k.id, p.id, 0 FROM p JOIN k USING (w) WHERE p.id <> k.id"""
+
+
+_DIST = "CAST(bit_count(xor(a.w, b.w)) AS INTEGER)"
+_LINKS = _linked_sql(_PRINTS, _DIST, T)
 
 
-@query(_PAIRS)
+@query(_LINKS)
 def hamming_pairs_lt22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir)
+    return join.linked_kinds(prints(spark, sf_dir), T)
 
 
-@query(_PAIRS)
+@query(_LINKS)
 def block_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir, "block")
+    return join.linked_kinds(prints(spark, sf_dir), T, "block")
 
 
-@query(f"WITH {_PRINTS} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.w, b.w)) < 19")
+@query(_linked_sql(_PRINTS, _DIST, 19))
 def band_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join.within(prints(spark, sf_dir), 19, "band")
+    return join.linked_kinds(prints(spark, sf_dir), 19, "band")
 
 
-_P2 = f"p AS (SELECT vec_id AS id, {_FP.format('x')} AS w, {_FP.format('x - CAST(0.05 AS FLOAT)')} AS v FROM embeddings)"
+_P2 = f"p AS (SELECT vec_id AS id, {{'w': {_FP.format('x')}, 'v': {_FP.format('x - CAST(0.05 AS FLOAT)')}}} AS w FROM embeddings)"
 
 
-@query(f"WITH {_P2}, d AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) + CAST(bit_count(xor(a.v, b.v)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id < b.id) SELECT * FROM d WHERE dist < 40")
+@query(_linked_sql(_P2, "(CAST(bit_count(xor(a.w.w, b.w.w)) AS INTEGER) + CAST(bit_count(xor(a.w.v, b.w.v)) AS INTEGER))", 40))
 def dist128_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join.within(prints(spark, sf_dir, two=True), 40)
+    return join.linked_kinds(prints(spark, sf_dir, two=True), 40)
 
 
 @query(f"WITH {_EDGES} SELECT dist, count(*) AS pairs FROM e GROUP BY dist")
 def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("dist").agg(F.count("*").alias("pairs"))
+    return join.pair_counts(prints(spark, sf_dir), T)
 
 
-@query(f"WITH {_EDGES} SELECT t AS threshold, count(*) AS pairs FROM e JOIN (VALUES (18), (20), (22)) x(t) ON dist < t GROUP BY t")
+@query(f"WITH {_EDGES} SELECT t AS threshold, CAST(count(*) AS BIGINT) AS pairs FROM e JOIN (VALUES (18), (20), (22)) x(t) ON dist < t GROUP BY t")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = edges(spark, sf_dir).groupBy("dist").agg(F.count("*").alias("n"))
-    return pairs.withColumn("threshold", F.explode(F.array(F.lit(18), F.lit(20), F.lit(22)))).where("dist < threshold").groupBy("threshold").agg(F.sum("n").alias("pairs"))
+    pairs = join.pair_counts(prints(spark, sf_dir), T)
+    return pairs.withColumn("threshold", F.explode(F.array(F.lit(18), F.lit(20), F.lit(22)))).where("dist < threshold").groupBy("threshold").agg(F.sum("pairs").alias("pairs"))
 
 
-@query(f"WITH {_PRINTS} SELECT b.id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id = 0 AND b.id <> 0 AND bit_count(xor(a.w, b.w)) < 26")
+def _search_sql(alone: str) -> str:
+    return f"""WITH {_PRINTS}, q AS (SELECT w, min(id) AS id FROM p WHERE id % 20 = 0 GROUP BY w), k AS (SELECT w, min(id) AS id, count(*) AS copies FROM p GROUP BY w)
+        SELECT 'match' AS kind, a.id AS a, b.id AS b, {_DIST} AS dist FROM q a JOIN k b ON {_DIST} < {T} AND (a.w <> b.w OR {alone})
+        UNION ALL SELECT 'query', q.id, p.id, 0 FROM p JOIN q USING (w) WHERE p.id % 20 = 0 AND p.id <> q.id
+        UNION ALL SELECT 'copy', k.id, p.id, 0 FROM p JOIN k USING (w) WHERE p.id <> k.id"""
+
+
+@query(_search_sql("b.copies > 1"))
 def compare_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth item as a target, against all others."""
     p = prints(spark, sf_dir)
-    return join.probe(p.where("id = 0"), p.where("id <> 0"), 26)
+    return join.search(p.where("id % 20 = 0"), p, T)
 
 
-@query(f"WITH {_PRINTS} SELECT b.id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS dist FROM p a JOIN p b ON a.id = 0 AND bit_count(xor(a.w, b.w)) < 26")
+@query(_search_sql("true"))
 def compare_relisted_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where targets are listed among the files, which match themselves then."""
+    p = prints(spark, sf_dir)
+    return join.search(p.where("id % 20 = 0"), p, T, listed=True)
+
+
+@query(f"WITH {_PRINTS} SELECT query, rank, id, dist FROM (SELECT a.id AS query, b.id AS id, {_DIST} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.w, b.w)), b.id) AS rank FROM p a JOIN p b ON a.id % 20 = 0 AND a.id <> b.id) WHERE rank <= 10")
+def knn_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest items of every twentieth one."""
+    p = prints(spark, sf_dir)
+    return nearest.nearest(p.where("id % 20 = 0"), p, 10)
+
+
+@query(_linked_sql(_PRINTS, _DIST, 16))
+def pivot_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by visits to the rings of pivots."""
+    return pivots.linked_by_pivots(prints(spark, sf_dir), 16)
+
+
+@query("SELECT place, x AS value FROM (SELECT list_sort(list(x)) AS s FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) CROSS JOIN (SELECT unnest(['least', 'lower quarter', 'upper median', 'last hundredth', 'greatest']) AS place, unnest([0, 25, 50, 99, 100]) AS q) CROSS JOIN LATERAL (SELECT s[1 + least(len(s) - 1, len(s) * q // 100)] AS x)")
+def order_statistics_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact places of the order of all elements of all vectors."""
+    values = table(spark, sf_dir, "embeddings").select(F.explode("embedding").alias("x")).select(F.col("x").cast("double")).dropna()
+    words = kept(values.select(selection.ordered_word(values, "x").alias("w")), "ordered-words")
+    n = words.count()
+    rows = [(name, selection.value_of_bits(selection.key_at(words, ["w"], min(n - 1, n * q // 100))[0])) for name, q in PLACES.items()] if n else []
+    return spark.createDataFrame(rows, "place string, value double")
+
+
+@query(f"WITH {_PRINTS}, d AS (SELECT p.id, CAST(bit_count(xor(p.w, v.w)) AS INTEGER) AS dist FROM p JOIN p v ON v.id = 0 AND p.id <> 0), m AS (SELECT list_sort(list(dist))[1 + count(*) // 2] AS middle FROM d) SELECT id, dist, dist < middle AS left FROM d, m")
+def vantage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items on either side of the middle distance to the first one, as a node of a metric tree parts them."""
     p = prints(spark, sf_dir)
-    return join.probe(p.where("id = 0"), p, 26)
+    at = p.where("id = 0").agg(F.first("w0")).first()[0]
+    d = kept(p.where("id <> 0").select("id", hamming(F.col("w0"), F.lit(at).cast("long")).alias("dist")), "vantage")
+    middle = selection.value_at(d, "dist", d.count() // 2)
+    return d.withColumn("left", F.col("dist") < F.lit(middle))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, seed, array_to_string(list(id ORDER BY ord), ',') AS members FROM m GROUP BY group_id, seed")
