@@ -1,4 +1,4 @@
-"""duplicates() and compare(): the library's two questions."""
+"""duplicates(), folder_duplicates() and compare(): the library's questions."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from palimpsest.operators import groups, join
 from palimpsest.sources import files
 from palimpsest.spec import DCT, DHASH, HashSpec
 
-__all__ = ["DCT", "DHASH", "compare", "duplicates"]
+__all__ = ["DCT", "DHASH", "compare", "duplicates", "folder_duplicates"]
 
 
 def _listed(spark: SparkSession, paths: DataFrame | Iterable[str]) -> DataFrame:
@@ -23,7 +23,15 @@ def duplicates(spark: SparkSession, spec: HashSpec, paths: DataFrame | Iterable[
 
     paths are strings, or a DataFrame (id, path[, content]). The same path twice is two items at distance 0.
     """
-    prints, errors = files.fingerprints(_listed(spark, paths), spec)
+    return _grouped(*files.fingerprints(_listed(spark, paths), spec), spec)
+
+
+def folder_duplicates(spark: SparkSession, spec: HashSpec, root: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """duplicates() of a folder's images, in any store that Spark reads, in the order of paths; no file's bytes move."""
+    return _grouped(*files.folder_fingerprints(spark, root, spec, recursive), spec)
+
+
+def _grouped(prints: DataFrame, errors: DataFrame, spec: HashSpec) -> tuple[DataFrame, DataFrame]:
     named = groups.members_of(prints, spec.threshold).join(prints.select("id", "path"), "id")
     return named.select("group_id", "ord", "id", "path", "dist"), errors
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import raster
+from palimpsest.functions import planes, raster
 from palimpsest.functions.columns import base_name, clamp_byte, extension, grey, hamming, is_image, popcount, sign_word
 from palimpsest.operators import groups, join, nearest, pivots, selection
 from palimpsest.plans.numbering import numbered
@@ -258,9 +258,11 @@ def grey_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", F.col("pixel").cast("long").alias("pixel"), grey(F.col("px"), F.col("px"), F.col("px"), F.lit(255)).alias("grey"))
 
 
-def _raster(values: np.ndarray, side: int) -> np.ndarray:
-    out = np.full((side, side, 4), 255, np.uint8)
-    out[..., :3] = np.asarray(values, np.int64).reshape(side, side)[..., None]
+def _rasters(px: pd.Series, side: int) -> np.ndarray:
+    """Opaque grey rasters (n, side, side, 4) of a batch's pixels."""
+    out = np.full((len(px), side, side, 4), 255, np.uint8)
+    if len(px):
+        out[..., :3] = np.stack(px.to_numpy()).reshape(-1, side, side)[..., None]
     return out
 
 
@@ -269,8 +271,9 @@ def _resized(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts = [raster.resize(_raster(p, 8), 9, 9, f)[..., 0].ravel() for p in frame["px"]]
-            yield pd.DataFrame({"vec_id": np.repeat(frame["vec_id"].to_numpy(), 81), "pixel": np.tile(np.arange(81), len(parts)), "value": np.concatenate(parts).astype(np.int64)})
+            if len(frame):
+                small = raster.resize(_rasters(frame["px"], 8), 9, 9, f)[..., 0].astype(np.int64)
+                yield pd.DataFrame({"vec_id": np.repeat(frame["vec_id"].to_numpy(), 81), "pixel": np.tile(np.arange(81), len(frame)), "value": small.ravel()})
 
     return table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(run, "vec_id long, pixel long, value long")
 
@@ -315,9 +318,9 @@ def resize_r8_9x9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hash_rows(name: str, side: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words = [raster.hashes(name, _raster(p, side)) for p in frame["px"]]
-            out = {"id": frame["id"].to_numpy(), "w0": [w[0] for w in words]}
-            yield pd.DataFrame(out | ({"w1": [w[1] for w in words]} if name == "dhash" else {}))
+            words = raster.words_of_all(name, _rasters(frame["px"], side)) if len(frame) else []
+            if words:
+                yield pd.DataFrame({"id": frame["id"].to_numpy()} | {f"w{k}": w for k, w in enumerate(words)})
 
     return run
 
@@ -333,42 +336,66 @@ def _rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r32(spark, sf_dir)
 
 
-def _rgba_rows(run_one, names: list[str]):
+def _rgba(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["px"].to_numpy()).astype(np.uint8).reshape(-1, 16, 16, 4)
+
+
+def _reduced(names: list[str]):
+    """(filter, id, y, x, r, g, b, a) of all rasters of a batch reduced to 9 x 9 by each filter."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [row for i, px in zip(frame["id"], frame["px"], strict=True) for row in run_one(i, np.asarray(px, np.uint8).reshape(16, 16, 4))]
-            yield pd.DataFrame(rows, columns=names)
+            for name in names if len(frame) else []:
+                small = raster.resize(_rgba(frame), 9, 9, raster.FILTERS[name]).reshape(-1, 4).astype(np.int64)
+                place = np.tile(np.arange(81), len(frame))
+                yield pd.DataFrame({"filter": name, "id": np.repeat(frame["id"].to_numpy(), 81), "y": place // 9, "x": place % 9} | {c: small[:, k] for k, c in enumerate("rgba")})
 
     return run
 
 
-def _reduced_sql(name: str) -> str:
-    """Both passes from 16 to 9, colours weighed by alpha, bytes between: (id, y, x, r, g, b, a)."""
-    rows = ", ".join(f"({v}, {u}, {w!r}::DOUBLE)" for v, r in enumerate(raster.taps(9, 16, raster.FILTERS[name])) for u, w in r)
+def _reduced_sql(names: list[str]) -> str:
+    """Both passes from 16 to 9, colours weighed by alpha, bytes between: (f, id, y, x, r, g, b, a)."""
+    rows = ", ".join(f"('{n}', {v}, {u}, {w!r}::DOUBLE)" for n in names for v, r in enumerate(raster.taps(9, 16, raster.FILTERS[n])) for u, w in r)
     byte = lambda x: f"CAST(least(255, greatest(0, trunc({x} + 0.5))) AS BIGINT)"
     added = _in_order
     mixed = lambda c: f"CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added(f'{c} * (a * w)') + ' * (1 / ' + added('a * w') + ')')} END AS {c}"
     sums = ", ".join(mixed(c) for c in "rgb") + f", CASE WHEN {added('a * w')} = 0 THEN 0 ELSE {byte(added('a * w'))} END AS a"
     channel = lambda k, c: f"max(v) FILTER (WHERE spot % 4 = {k}) AS {c}"
-    return f"""taps(d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
+    return f"""taps(f, d, s, w) AS (VALUES {rows}), px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: {_PX})) AS v, unnest(range(1, 65)) AS i FROM embeddings)),
         rgba AS (SELECT id, spot // 64 AS y, spot // 4 % 16 AS x, {", ".join(channel(k, c) for k, c in enumerate("rgba"))} FROM px GROUP BY id, spot // 64, spot // 4 % 16),
-        h AS (SELECT id, y, d AS x, {sums} FROM rgba JOIN taps ON s = x GROUP BY id, y, d),
-        v AS (SELECT id, d AS y, x, {sums} FROM h JOIN taps ON s = y GROUP BY id, d, x)"""
+        h AS (SELECT f, id, y, d AS x, {sums} FROM rgba JOIN taps ON s = x GROUP BY f, id, y, d),
+        v AS (SELECT h.f, id, d AS y, x, {sums} FROM h JOIN taps ON s = y AND taps.f = h.f GROUP BY h.f, id, d, x),
+        spots AS (SELECT f, id, y, x FROM (SELECT DISTINCT id FROM px) CROSS JOIN (SELECT DISTINCT f FROM taps) CROSS JOIN range(9) a(y) CROSS JOIN range(9) b(x))"""
 
 
+_REDUCED_ROWS = "SELECT {f} id, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM spots LEFT JOIN v USING (f, id, y, x)"
+_REDUCED = "filter string, id long, y long, x long, r long, g long, b long, a long"
 for _name in ("linear", "box", "lanczos"):
-    _f = lambda spark, sf_dir, n=_name: _rgba16(spark, sf_dir).mapInPandas(_rgba_rows(lambda i, px: [(i, y, x, *map(int, p)) for y, line in enumerate(raster.resize(px, 9, 9, raster.FILTERS[n])) for x, p in enumerate(line)], ["id", "y", "x", "r", "g", "b", "a"]), "id long, y long, x long, r long, g long, b long, a long")
+    _f = lambda spark, sf_dir, n=_name: _rgba16(spark, sf_dir).mapInPandas(_reduced([n]), _REDUCED).drop("filter")
     _f.__name__ = f"resize_rgba16_9x9_{_name}"
-    query(f"WITH {_reduced_sql(_name)} SELECT i.id, yy.y, xx.x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x")(_f)
+    query(f"WITH {_reduced_sql([_name])} {_REDUCED_ROWS.format(f='')}")(_f)
+OTHER_FILTERS = [n for n, f in raster.FILTERS.items() if f.support > 0 and n not in ("linear", "box", "lanczos")]
+
+
+@query(f"WITH {_reduced_sql(OTHER_FILTERS)} {_REDUCED_ROWS.format(f='f AS filter,')}")
+def resize_rgba16_9x9_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by each of the other filters."""
+    return _rgba16(spark, sf_dir).mapInPandas(_reduced(OTHER_FILTERS), _REDUCED)
 
 
 _GREYS = "0.299::DOUBLE * (257 * r * a // 255) + 0.587::DOUBLE * (257 * g * a // 255) + 0.114::DOUBLE * (257 * b * a // 255)"
 
 
-@query(f"""WITH {_reduced_sql("linear")}, every AS (SELECT i.id, yy.y, xx.x, coalesce({_GREYS}, 0) AS v FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(9) yy(y) CROSS JOIN range(9) xx(x) LEFT JOIN v ON v.id = i.id AND v.y = yy.y AND v.x = xx.x),
+@query(f"""WITH {_reduced_sql(["linear"])}, every AS (SELECT id, y, x, coalesce({_GREYS}, 0) AS v FROM spots LEFT JOIN v USING (f, id, y, x)),
     {_gradients_sql("every")} SELECT * FROM gradients""")
 def dhash_rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rgba16(spark, sf_dir).mapInPandas(_rgba_rows(lambda i, px: [(i, *raster.hashes("dhash", px))], ["id", "w0", "w1"]), "id long, w0 long, w1 long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                w0, w1 = raster.words_of_all("dhash", _rgba(frame))
+                yield pd.DataFrame({"id": frame["id"].to_numpy(), "w0": w0, "w1": w1})
+
+    return _rgba16(spark, sf_dir).mapInPandas(run, "id long, w0 long, w1 long")
 
 
 def _r32(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,9 +416,9 @@ _COEFFICIENTS = f"""px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1
 def dct_coeffs_r32(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts = [raster.cosine_coefficients(_raster(p, 32)) for p in frame["px"]]
-            if parts:
-                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), 64), "n": np.tile(np.arange(64), len(parts)), "f": np.concatenate(parts)})
+            if len(frame):
+                f = raster.cosine_coefficients(_rasters(frame["px"], 32))
+                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), 64), "n": np.tile(np.arange(64), len(frame)), "f": f.ravel()})
 
     return _r32(spark, sf_dir).mapInPandas(run, "id long, n long, f double").withColumn("f", F.round("f", 3))
 
@@ -437,13 +464,12 @@ def popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for i, px in zip(frame["id"], frame["px"], strict=True):
-            a = _raster(px, 32)
-            for name in ("dct", "dhash", "other"):
-                words = raster.hashes(name, a)
-                rows.append((i, name, len(words), *[*words, 0, 0][:2]))
-        yield pd.DataFrame(rows, columns=["id", "name", "words", "w0", "w1"])
+        for name in ("dct", "dhash", "other") if len(frame) else ():
+            words = raster.words_of_all(name, _rasters(frame["px"], 32))
+            out = pd.DataFrame({"id": frame["id"].to_numpy(), "name": name, "words": len(words), "w0": 0, "w1": 0})
+            for k, w in enumerate(words):
+                out[f"w{k}"] = w
+            yield out
 
 
 _PX32 = "SELECT i.id, n // 32 AS y, n % 32 AS x, coalesce(p.v, 0) AS v FROM (SELECT DISTINCT vec_id // 16 AS id FROM embeddings) i CROSS JOIN range(1024) r(n) LEFT JOIN (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i - 1 AS spot, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: " + _PX + ")) AS v, unnest(range(1, 65)) AS i FROM embeddings)) p ON p.id = i.id AND p.spot = n"
@@ -465,8 +491,7 @@ def hash_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT CASE WHEN count(*) = 0 THEN 'No duplicate images found' ELSE 'These ' || count(*) || ' images are duplicates' END AS line FROM m")
 def summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = dup_total(spark, sf_dir).first()["total"]
-    return spark.createDataFrame([(sinks.summary(n),)], "line string")
+    return dup_total(spark, sf_dir).select(sinks.summary_line(F.col("total")).alias("line"))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT group_id, ord, p.url AS path FROM m JOIN (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages) p ON p.n = m.id")
@@ -483,7 +508,7 @@ def _png_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for i, px in zip(frame["vec_id"], frame["px"], strict=True):
-            a = _raster(px, 8)
+            a = _rasters(pd.Series([px]), 8)[0]
             a[..., 3] = a[..., 0]
             for kind in _KINDS:
                 back = png.decode(png.encode(a, kind)).astype(np.int64)
@@ -500,7 +525,7 @@ def png_kinds_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _png_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        files_ = [png.encode(_raster(px, 8)) for px in frame["px"]]
+        files_ = [png.encode(a) for a in _rasters(frame["px"], 8)]
         yield pd.DataFrame({"id": frame["vec_id"], "path": [f"/img/{i}.png" for i in frame["vec_id"]], "content": [f[: len(f) // 2] if i % 5 == 0 else f for i, f in zip(frame["vec_id"], files_, strict=True)]})
 
 
@@ -510,3 +535,56 @@ def load_errors_r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("px")).mapInPandas(_png_files, "id long, path string, content binary")
     prints_, errors = fingerprints(made, DHASH)
     return prints_.select("id", "path", F.lit(False).alias("failed")).unionAll(errors.where(F.col("error").startswith("unable to load")).select("id", "path", F.lit(True)))
+
+
+_BYTES = f"SELECT vec_id, list_transform(embedding, lambda x: {_PX}) AS b FROM embeddings"
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(range(16)) AS pixel, b, CASE vec_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 255 END AS fixed FROM ({_BYTES})),
+    q AS (SELECT vec_id, pixel, coalesce(fixed, b[4 * pixel + 4]) AS a, b[4 * pixel + 1] AS r, b[4 * pixel + 2] AS g, b[4 * pixel + 3] AS bl FROM e),
+    m AS (SELECT vec_id, pixel, a, r * a // 255 AS r, g * a // 255 AS g, bl * a // 255 AS b FROM q)
+    SELECT vec_id, CAST(pixel AS BIGINT) AS pixel, a, {", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {c} * 255 // a END AS {c}" for c in "rgb")} FROM m""")
+def unpremultiplied_rgba8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen pixels a vector whose colours were multiplied by alpha, divided by it again."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("b")).select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pixel"))
+    at = lambda k: F.element_at("b", 4 * F.col("pixel") + k)
+    alpha = F.when(F.col("vec_id") % 7 == 0, 0).when(F.col("vec_id") % 7 == 1, 255).otherwise(at(4))
+    q = e.select("vec_id", "pixel", alpha.alias("a"), *(at(k).alias(c) for k, c in enumerate("rgb", 1)))
+    m = q.select("vec_id", "pixel", "a", *(F.expr(f"{c} * a div 255").alias(c) for c in "rgb"))
+    return m.select("vec_id", F.col("pixel").cast("long").alias("pixel"), F.col("a").cast("long").alias("a"), *(planes.unpremultiplied(F.col(c), F.col("a")).cast("long").alias(c) for c in "rgb"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(range(8)) AS pixel, b, CASE vec_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 255 END AS fixed FROM ({_BYTES})),
+    q AS (SELECT vec_id, pixel, coalesce(fixed, b[8 * pixel + 7]) * 256 + b[8 * pixel + 8] AS a, b[8 * pixel + 1] * 256 + b[8 * pixel + 2] AS r, b[8 * pixel + 3] * 256 + b[8 * pixel + 4] AS g, b[8 * pixel + 5] * 256 + b[8 * pixel + 6] AS bl FROM e),
+    m AS (SELECT vec_id, pixel, a, r * a // 65535 AS r, g * a // 65535 AS g, bl * a // 65535 AS b FROM q)
+    SELECT vec_id, CAST(pixel AS BIGINT) AS pixel, a // 256 AS a, {", ".join(f"CASE a // 256 WHEN 0 THEN 0 WHEN 255 THEN {c} // 256 ELSE ({c} * 65535 // a) // 256 END AS {c}" for c in "rgb")} FROM m""")
+def unpremultiplied_rgba16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of eight pixels of 16-bit channels; alpha's high byte decides."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", _pixels().alias("b")).select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pixel"))
+    at = lambda k: F.element_at("b", 8 * F.col("pixel") + k).cast("long")
+    high = F.when(F.col("vec_id") % 7 == 0, 0).when(F.col("vec_id") % 7 == 1, 255).otherwise(at(7))
+    q = e.select("vec_id", "pixel", (high * 256 + at(8)).alias("a"), *((at(2 * k + 1) * 256 + at(2 * k + 2)).alias(c) for k, c in enumerate("rgb")))
+    m = q.select("vec_id", "pixel", "a", *(F.expr(f"{c} * a div 65535").alias(c) for c in "rgb"))
+    return m.select("vec_id", F.col("pixel").cast("long").alias("pixel"), F.shiftright("a", 8).alias("a"), *(planes.unpremultiplied_wide(F.col(c), F.col("a")).cast("long").alias(c) for c in "rgb"))
+
+
+_SCALED = {"r": "y * 65793 + 91881 * (cr - 128)", "g": "y * 65793 - 22554 * (cb - 128) - 46802 * (cr - 128)", "b": "y * 65793 + 116130 * (cb - 128)"}
+
+
+@query(f"""WITH px AS (SELECT vec_id // 16 AS id, (vec_id % 16) * 64 + i AS spot, v FROM (SELECT vec_id, unnest(b) AS v, unnest(range(64)) AS i FROM ({_BYTES}))),
+    every AS (SELECT id, list(coalesce(v, 0) ORDER BY spot) AS p FROM (SELECT i.id, s.spot, v FROM (SELECT DISTINCT id FROM px) i CROSS JOIN range(768) s(spot) LEFT JOIN px ON px.id = i.id AND px.spot = s.spot) GROUP BY id),
+    ratios(ratio, wide, high) AS (VALUES {", ".join(f"('{r}', {w}, {h})" for r, (w, h) in planes.RATIOS.items())}),
+    m AS (SELECT ratio, id, t.y AS py, u.x AS px, p[1 + 16 * t.y + u.x] AS y, p[257 + t.y // high * (16 // wide) + u.x // wide] AS cb, p[513 + t.y // high * (16 // wide) + u.x // wide] AS cr FROM every CROSS JOIN ratios CROSS JOIN range(16) t(y) CROSS JOIN range(16) u(x))
+    SELECT ratio, id, py AS y, px AS x, {", ".join(f"CAST(least(255, greatest(0, ({x}) >> 16)) AS INTEGER) AS {c}" for c, x in _SCALED.items())} FROM m""")
+def ycbcr_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen vectors as a luma plane of 16 x 16 and two chroma planes, which are smaller for most ratios."""
+    spots = _r32(spark, sf_dir).select("id", F.posexplode("px").alias("spot", "v"))
+    out = None
+    for ratio, (wide, high) in planes.RATIOS.items():
+        width, size = 16 // wide, 256 // (wide * high)
+        place = lambda first, w: [((F.col("spot") - first) / w).cast("long").alias("y"), F.pmod(F.col("spot") - first, F.lit(w)).cast("long").alias("x")]
+        luma = spots.where("spot < 256").select("id", *place(0, 16), "v")
+        cb, cr = (spots.where(F.col("spot").between(k, k + size - 1)).select("id", *place(k, width), F.col("v").alias(c)) for k, c in ((256, "cb"), (512, "cr")))
+        rows = planes.joined_planes(luma, cb.join(cr, ["id", "y", "x"]), ratio).select(F.lit(ratio).alias("ratio"), "*")
+        out = rows if out is None else out.unionAll(rows)
+    return out

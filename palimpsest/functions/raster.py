@@ -99,16 +99,18 @@ def clamp(x: np.ndarray) -> np.ndarray:
 
 
 def _along_rows(raster: np.ndarray, dst: int, f: Filter) -> np.ndarray:
-    """Resample the second axis: colours weighed by alpha, rounded to bytes; no alpha at all gives zeros."""
-    index, weight = tap_table(dst, raster.shape[1], f)
+    """Resample the second to last axis of rasters (..., pixels, 4): colours weighed by alpha, rounded to bytes; no alpha at
+    all gives zeros."""
+    index, weight = tap_table(dst, raster.shape[-2], f)
     colour, alpha = raster[..., :3].astype(np.float64), raster[..., 3].astype(np.float64)
-    sums, total = np.zeros((raster.shape[0], dst, 3)), np.zeros((raster.shape[0], dst))
+    shape = (*raster.shape[:-2], dst)
+    sums, total = np.zeros((*shape, 3)), np.zeros(shape)
     for k in range(index.shape[1]):
-        aw = alpha[:, index[:, k]] * weight[:, k]
-        sums += colour[:, index[:, k]] * aw[..., None]
+        aw = alpha[..., index[:, k]] * weight[:, k]
+        sums += colour[..., index[:, k], :] * aw[..., None]
         total += aw
     ok = total != 0
-    out = np.zeros((raster.shape[0], dst, 4), np.uint8)
+    out = np.zeros((*shape, 4), np.uint8)
     out[..., :3][ok] = clamp(sums[ok] * (1 / total[ok])[:, None])  # by the reciprocal: a quotient rounds some halves otherwise
     out[..., 3][ok] = clamp(total[ok])
     return out
@@ -118,21 +120,21 @@ EMPTY = np.zeros((0, 0, 4), np.uint8)
 
 
 def resize(raster: np.ndarray, width: int, height: int, f: Filter) -> np.ndarray:
-    """Horizontally, then vertically, with bytes between. Negative or zero sizes, and empty rasters, give an empty one;
-    one zero size alone isn't supported."""
-    h, w = raster.shape[:2]
+    """Horizontally, then vertically, with bytes between, of one raster (height, width, 4) or of many of one size (n, height,
+    width, 4) at once. Negative or zero sizes, and empty rasters, give an empty one; one zero size alone isn't supported."""
+    h, w = raster.shape[-3:-1]
     if width < 0 or height < 0 or (width == 0 and height == 0) or w == 0 or h == 0:
         return EMPTY
     if width == 0 or height == 0:
         raise ValueError("either size may be zero only together with the other")
     if f.support <= 0:
         ys, xs = ((np.arange(n) + 0.5) * (m / n) for n, m in ((height, h), (width, w)))
-        return raster[ys.astype(np.int64)][:, xs.astype(np.int64)].copy()
+        return raster[..., ys.astype(np.int64), :, :][..., xs.astype(np.int64), :].copy()
     out = raster
     if width != w:
         out = _along_rows(out, width, f)
     if height != h or width == w:
-        out = _along_rows(out.transpose(1, 0, 2), height, f).transpose(1, 0, 2)
+        out = _along_rows(out.swapaxes(-3, -2), height, f).swapaxes(-3, -2)
     return np.ascontiguousarray(out)
 
 
@@ -142,15 +144,15 @@ def grey(raster: np.ndarray) -> np.ndarray:
     return 0.299 * wide[..., 0] + 0.587 * wide[..., 1] + 0.114 * wide[..., 2]
 
 
-def _word(bits: np.ndarray) -> int:
-    """The signed 64-bit word with bit n from entry n."""
-    return int(np.packbits(bits.ravel(), bitorder="little").view(np.int64)[0])
+def _word(bits: np.ndarray) -> np.ndarray:
+    """Signed 64-bit words with bit n from entry n of the last two axes, of 8 x 8 bits."""
+    return np.packbits(bits.reshape(*bits.shape[:-2], 64), axis=-1, bitorder="little").view(np.int64)[..., 0]
 
 
-def gradient_hash(raster: np.ndarray) -> tuple[int, int]:
-    """(row word, column word): whether each of 8 x 8 pixels of a 9 x 9 reduction is darker than its right and lower one."""
+def gradient_hash(raster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row words, column words): whether each of 8 x 8 pixels of a 9 x 9 reduction is darker than its right and lower one."""
     g = grey(resize(raster, 9, 9, FILTERS["linear"]))
-    return _word(g[:8, :8] < g[:8, 1:]), _word(g[:8, :8] < g[1:, :8])
+    return _word(g[..., :8, :8] < g[..., :8, 1:]), _word(g[..., :8, :8] < g[..., 1:, :8])
 
 
 _ANGLES = np.cos(np.arange(64 * 31) / 64 * np.pi)
@@ -159,16 +161,23 @@ _BASIS = _ANGLES[(2 * np.arange(32)[None, :] + 1) * np.arange(1, 9)[:, None]]
 
 def cosine_coefficients(raster: np.ndarray) -> np.ndarray:
     """The 64 low frequencies used, x first: only these of the 1,024 are computed."""
-    g = grey(resize(raster, 32, 32, FILTERS["linear"])).T
-    return (0.25 * (_BASIS @ g @ _BASIS.T)).ravel()
+    g = grey(resize(raster, 32, 32, FILTERS["linear"])).swapaxes(-2, -1)
+    f = 0.25 * (_BASIS @ g @ _BASIS.T)
+    return f.reshape(*f.shape[:-2], 64)
 
 
-def cosine_hash(raster: np.ndarray) -> int:
+def cosine_hash(raster: np.ndarray) -> np.ndarray:
     """Bit n: whether coefficient n is above the upper median."""
     f = cosine_coefficients(raster)
-    return _word(f > np.sort(f)[32])
+    above = f > np.sort(f, axis=-1)[..., 32:33]
+    return _word(above.reshape(*above.shape[:-1], 8, 8))
+
+
+def words_of_all(name: str, rasters: np.ndarray) -> list[np.ndarray]:
+    """The words of many rasters of one size (n, height, width, 4); an unknown name has no words."""
+    return {"dct": lambda: [cosine_hash(rasters)], "dhash": lambda: list(gradient_hash(rasters))}.get(name, list)()
 
 
 def hashes(name: str, raster: np.ndarray) -> list[int]:
-    """An unknown name has no hashes."""
-    return {"dct": lambda: [cosine_hash(raster)], "dhash": lambda: list(gradient_hash(raster))}.get(name, list)()
+    """The words of one raster."""
+    return [int(w) for w in words_of_all(name, raster)]

@@ -18,6 +18,7 @@ from palimpsest.sources import gif, jpeg, png
 from palimpsest.spec import HashSpec
 
 FILES = "id long, path string"
+_HASHED = "id long, path string, w0 long, w1 long, error string"
 #: Bytes of files that are passed on together.
 BATCH_BYTES = 32 << 20
 
@@ -84,11 +85,22 @@ def list_from_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(listed_paths(F.col("value"))).alias("path"))
 
 
+def _folder(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*{.png,.jpg,.jpeg}").option("recursiveFileLookup", str(recursive).lower()).load(root)
+
+
 def folder_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """(id, path, content) of the images of a folder in any store that Spark reads, numbered in the order of paths: tasks
-    read them, and the driver holds no list."""
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*{.png,.jpg,.jpeg}").option("recursiveFileLookup", str(recursive).lower())
-    return numbered(read.load(root).select("path", "content"), "path", "id", 1).select("id", "path", "content")
+    """(id, path, length) of the images of a folder in any store that Spark reads, numbered in the order of paths. No file is
+    opened, and the driver holds no list."""
+    return numbered(_folder(spark, root, recursive).select("path", "length"), "path", "id", 1).select("id", "path", "length")
+
+
+def folder_fingerprints(spark: SparkSession, root: str, spec: HashSpec, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of the images of a folder. A file's bytes are read once, by the task that decodes them, and stay there:
+    its words and path alone go on to be numbered."""
+    done = _folder(spark, root, recursive).select(F.lit(0).cast("long").alias("id"), "path", "content", F.lit(None).cast("string").alias("error"))
+    hashed = done.mapInPandas(_hasher(spec.name), _HASHED).drop("id")
+    return _parted(numbered(hashed, "path", "id", 1), spec)
 
 
 def contents(files: DataFrame) -> DataFrame:
@@ -154,6 +166,9 @@ def fingerprints(files: DataFrame, spec: HashSpec) -> tuple[DataFrame, DataFrame
     held = files if "content" in files.columns else contents(files)
     if "error" not in held.columns:
         held = held.withColumn("error", F.lit(None).cast("string"))
-    done = kept(held.select("id", "path", "content", "error").mapInPandas(_hasher(spec.name), "id long, path string, w0 long, w1 long, error string"), "fingerprints")
+    return _parted(kept(held.select("id", "path", "content", "error").mapInPandas(_hasher(spec.name), _HASHED), "fingerprints"), spec)
+
+
+def _parted(done: DataFrame, spec: HashSpec) -> tuple[DataFrame, DataFrame]:
     words = ["w0", "w1"][: spec.words]
     return done.where("error is null").select("id", "path", *words), done.where("error is not null").select("id", "path", "error")

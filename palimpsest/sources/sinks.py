@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import base_name, csv_row, group_dir
@@ -50,6 +50,11 @@ def summary(n: int, target: str | None = None) -> str:
     return OF_TARGET.format(n, target) if target else FOUND.format(n)
 
 
+def summary_line(total: Column) -> Column:
+    """The same of a column of numbers, without a target."""
+    return F.when(total == 0, NONE).otherwise(F.format_string(FOUND.replace("{}", "%d"), total))
+
+
 def _each(items: Iterable, act) -> list[OSError]:
     errors = []
     for item in items:

@@ -207,5 +207,5 @@ def test_files_are_known_by_their_first_bytes(spark, tmp_path):
     assert prints.count() == 3 and [r["path"][-5:] for r in errors.collect()] == ["d.png"]
     of_folder = files.folder_files(spark, str(tmp_path))
     assert [r["id"] for r in of_folder.orderBy("path").collect()] == [1, 2, 3, 4]
-    again, _ = files.fingerprints(of_folder, DHASH)
+    again, _ = files.folder_fingerprints(spark, str(tmp_path), DHASH)
     assert {(r["w0"], r["w1"]) for r in again.collect()} == {(r["w0"], r["w1"]) for r in prints.collect()}
