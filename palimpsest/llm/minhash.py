@@ -224,10 +224,10 @@ def _several(placed: DataFrame, n_reps: int) -> DataFrame:
 def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_keys: int, numerator: int, denominator: int) -> DataFrame:
     """(a, b, class_a, class_b): links between classes. In each bucket a class sends one of its texts, by a hash, and those
     are compared with one of them all."""
-    own = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("h"), "rep")
-    sent = keys.join(placed.select("rep", "class"), "rep").groupBy("band", "key", "class").agg(F.min(own).alias("d"))
-    hubs = sent.groupBy("band", "key").agg(F.min(F.struct("d", "class")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    met = join_counted(sent, hubs, ["band", "key"], "m", n_keys // 10).where(F.col("class") != F.col("hub.class"))
+    own = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep")
+    sent = keys.join(placed.select("rep", "class"), "rep").groupBy("key", "class").agg(F.min(own).alias("d"))
+    hubs = sent.groupBy("key").agg(F.min(F.struct("d", "class")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    met = join_counted(sent, hubs, ["key"], "m", n_keys // 10).where(F.col("class") != F.col("hub.class"))
     pairs = met.select(F.col("d.rep").alias("a"), F.col("hub.d.rep").alias("b"), F.col("class").alias("class_a"), F.col("hub.class").alias("class_b")).distinct()
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -271,9 +271,9 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int
         return made[-1]
 
     n_reps, n_keys = reps.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
-    keys = reps.select("rep", F.explode("keys").alias("key")).withColumn("band", F.pmod("key", F.lit(bands)).cast("int"))
-    hubs = keys.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    shared = join_counted(keys, hubs, ["band", "key"], "m", n_keys).where("rep <> hub")
+    keys = reps.select("rep", F.explode("keys").alias("key"))
+    hubs = own(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
+    shared = join_counted(with_ids_of(keys, "key", hubs, "key"), hubs, ["key"], "m", n_keys).where("rep <> hub")  # most keys are of one text alone
     stars = own(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
     clusters = own(own(connected_components(stars, "rep", "hub")).withColumnRenamed("node", "rep"), "clusters")
     texts = with_ids_of(plain, "doc_id", clusters, "rep").join(clusters.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
@@ -299,7 +299,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int
         before, kinds = kinds, left.select("cluster", "class").distinct().count()
         if not kinds or (before and kinds > (1 - MERGED) * before):
             break
-        more = own(_delegates_linked(held.where(F.col("band") % max(1, bands // 4) == turn % max(1, bands // 4)), left, sets, turn, n_keys, numerator, denominator))
+        more = own(_delegates_linked(held.where(F.pmod("key", F.lit(max(1, bands // 4))) == turn % max(1, bands // 4)), left, sets, turn, n_keys, numerator, denominator))
         merged = own(connected_components(more, "class_a", "class_b")).select(F.col("node").alias("class"), "component")
         left = own(_several(own(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps))
         links = links.unionAll(more.select("a", "b"))
