@@ -144,12 +144,13 @@ def grey(raster: np.ndarray) -> np.ndarray:
     return 0.299 * wide[..., 0] + 0.587 * wide[..., 1] + 0.114 * wide[..., 2]
 
 
-def _word(bits: np.ndarray) -> np.ndarray:
-    """Signed 64-bit words with bit n from entry n of the last two axes, of 8 x 8 bits."""
-    return np.packbits(bits.reshape(*bits.shape[:-2], 64), axis=-1, bitorder="little").view(np.int64)[..., 0]
+def _word(bits: np.ndarray) -> np.ndarray | int:
+    """Signed 64-bit words with bit n from entry n of the last two axes, of 8 x 8 bits; a number if there is only one."""
+    out = np.packbits(bits.reshape(*bits.shape[:-2], 64), axis=-1, bitorder="little").view(np.int64)[..., 0]
+    return out if out.ndim else int(out)
 
 
-def gradient_hash(raster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradient_hash(raster: np.ndarray) -> tuple[np.ndarray | int, np.ndarray | int]:
     """(row words, column words): whether each of 8 x 8 pixels of a 9 x 9 reduction is darker than its right and lower one."""
     g = grey(resize(raster, 9, 9, FILTERS["linear"]))
     return _word(g[..., :8, :8] < g[..., :8, 1:]), _word(g[..., :8, :8] < g[..., 1:, :8])
@@ -166,7 +167,7 @@ def cosine_coefficients(raster: np.ndarray) -> np.ndarray:
     return f.reshape(*f.shape[:-2], 64)
 
 
-def cosine_hash(raster: np.ndarray) -> np.ndarray:
+def cosine_hash(raster: np.ndarray) -> np.ndarray | int:
     """Bit n: whether coefficient n is above the upper median."""
     f = cosine_coefficients(raster)
     above = f > np.sort(f, axis=-1)[..., 32:33]
@@ -174,10 +175,10 @@ def cosine_hash(raster: np.ndarray) -> np.ndarray:
 
 
 def words_of_all(name: str, rasters: np.ndarray) -> list[np.ndarray]:
-    """The words of many rasters of one size (n, height, width, 4); an unknown name has no words."""
+    """The words of many rasters of one size (n, height, width, 4), or of one; an unknown name has no words."""
     return {"dct": lambda: [cosine_hash(rasters)], "dhash": lambda: list(gradient_hash(rasters))}.get(name, list)()
 
 
 def hashes(name: str, raster: np.ndarray) -> list[int]:
     """The words of one raster."""
-    return [int(w) for w in words_of_all(name, raster)]
+    return words_of_all(name, raster)
