@@ -3,8 +3,8 @@
 PIVOTS fingerprints that lie far from each other are picked from a bounded sample of SAMPLE kinds, those of the least
 hashes. Each kind lives with its nearest pivot, in the ring of its distance to it. By the triangle inequality, what is
 within radius r of x lives with a pivot q only if d(x, q) <= d(x, x's own pivot) + 2 r, and there in rings that
-d(x, q) - r .. d(x, q) + r touch; x visits those and no others. The sample decides how much is skipped, never what is found.
-A ring of many kinds is cut into blocks, so that no task holds more than some of them.
+d(x, q) - r .. d(x, q) + r touch; x visits those that are lived in and no others. The sample decides how much is skipped,
+never what is found. This is for small radii: where 2 r reaches from most rows to most pivots, blocks are cheaper. A ring of many kinds is cut into blocks, so that no task holds more than some of them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from palimpsest.operators.join import BLOCK_ROWS, in_cells, items_of, kinds_of,
 from palimpsest.plans.storage import kept
 
 SAMPLE, PIVOTS, RING = 10_000, 128, 2
+#: Residents and visitors that a task compares, about.
+TASK_ROWS = 50_000
 
 
 def far_apart(words: list[np.ndarray], n: int) -> list[np.ndarray]:
@@ -41,37 +43,59 @@ def pivots_of(kinds: DataFrame, n: int = PIVOTS) -> list[np.ndarray]:
     return far_apart([sample[w].to_numpy().view(np.uint64) for w in words], n) if sample.num_rows else []
 
 
-def _placed(words: list[str], pivots: list[np.ndarray], radius: int):
-    """Rows (k, v, side, id, words): where each row lives (side 0: pivot, ring) and what it visits (side 1)."""
-    rings = -(-(64 * len(words) + 1) // RING)
+def _apart(batch: pa.RecordBatch, words: list[str], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distances to all pivots, the nearest pivot, its ring) of each row."""
+    d = sum(np.bitwise_count(w[:, None] ^ p[None]).astype(np.int32) for w, p in zip(unsigned(batch, words), pivots, strict=True))
+    home = d.argmin(axis=1)
+    return d, home, d[np.arange(len(d)), home] // RING
+
+
+def _at_home(words: list[str], pivots: list[np.ndarray]):
+    """How many rows of a task live in each ring (k, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lives = np.zeros((len(pivots[0]), 64 * len(words) // RING + 1), np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                d = sum(np.bitwise_count(w[:, None] ^ p[None]).astype(np.int32) for w, p in zip(unsigned(batch, words), pivots, strict=True))
-                home = d.argmin(axis=1)
+                _, home, ring = _apart(whole.slice(at, 4096), words, pivots)
+                np.add.at(lives, (home, ring), 1)
+        k, v = np.nonzero(lives)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(v, pa.int32()), pa.array(lives[k, v])], ["k", "v", "n"])
+
+    return run
+
+
+def _placed(words: list[str], pivots: list[np.ndarray], lived_in: np.ndarray, radius: int):
+    """Rows (k, v, side, id, words): where each row lives (side 0: pivot, ring) and what it visits (side 1), of the rings
+    that are lived in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.arange(lived_in.shape[1]) * RING  # the least distance of each ring
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                d, home, ring = _apart(batch, words, pivots)
                 own = d[np.arange(len(d)), home]
-                row, to = np.nonzero(d <= (own + 2 * radius)[:, None])
-                low, high = np.maximum(d[row, to] - radius, 0) // RING, np.minimum((d[row, to] + radius) // RING, rings - 1)
-                times = high - low + 1
-                ring = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-                row, to = np.repeat(row, times), np.repeat(to, times)
-                k, v = np.concatenate([home, to]), np.concatenate([own // RING, ring])
+                near = lived_in[None] & (d <= (own + 2 * radius)[:, None])[..., None]
+                near &= (low <= (d + radius)[..., None]) & (low + RING > (d - radius)[..., None])
+                row, k, v = np.nonzero(near)
                 side, take = np.repeat([0, 1], [len(d), len(row)]), pa.array(np.concatenate([np.arange(len(d)), row]))
-                out = [pa.array(k, pa.int32()), pa.array(v, pa.int32()), pa.array(side, pa.int32()), *(batch.column(c).take(take) for c in ("id", *words))]
-                yield pa.RecordBatch.from_arrays(out, ["k", "v", "side", "id", *words])
+                out = [pa.array(np.concatenate(x), pa.int32()) for x in ((home, k), (ring, v))]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(side, pa.int32()), *(batch.column(c).take(take) for c in ("id", *words))], ["k", "v", "side", "id", *words])
 
     return run
 
 
 def placed(kinds: DataFrame, threshold: float) -> DataFrame:
     """(k, v, side, id, words), stored: residents and visitors of the rings (pivot k, ring v)."""
-    words, radius = words_of(kinds), int(-(-threshold // 1)) - 1
+    words, radius, pivots = words_of(kinds), int(-(-threshold // 1)) - 1, pivots_of(kinds)
+    lived_in = np.zeros((len(pivots[0]), 64 * len(words) // RING + 1), bool)
+    for k, v in kinds.select("id", *words).mapInArrow(_at_home(words, pivots), "k int, v int, n long").groupBy("k", "v").agg(F.sum("n")).select("k", "v").collect():
+        lived_in[k, v] = True  # PIVOTS times the rings at most
     schema = StructType.fromDDL("k int, v int, side int").add(kinds.schema["id"])
     for w in words:
         schema = schema.add(kinds.schema[w])
-    return kept(kinds.select("id", *words).mapInArrow(_placed(words, pivots_of(kinds), radius), schema), "placed")
+    return kept(kinds.select("id", *words).mapInArrow(_placed(words, pivots, lived_in, radius), schema), "placed")
 
 
 def rings(rows: DataFrame) -> DataFrame:
@@ -87,8 +111,8 @@ def linked_by_pivots(fingerprints: DataFrame, threshold: float) -> DataFrame:
     if not kinds.limit(1).count() or threshold <= 1:  # different fingerprints are one bit apart at least
         return copies
     words, rows = words_of(kinds), placed(kinds, threshold)
-    size = kept(rings(rows), "rings").where("visitors > 0").select("k", "v", F.ceil(F.greatest("residents", "visitors") / BLOCK_ROWS).cast("int").alias("blocks"))
-    cells = size.agg(F.coalesce(F.sum(F.col("blocks") * F.col("blocks")), F.lit(1))).first()[0]
-    met = in_cells(rows.join(F.broadcast(size), ["k", "v"]), True, words, threshold, ["k", "v"], cells)
+    size = kept(rings(rows), "rings").where("visitors > 0").withColumn("blocks", F.ceil(F.greatest("residents", "visitors") / BLOCK_ROWS).cast("int"))
+    moved = size.agg(F.coalesce(F.sum((F.col("residents") + F.col("visitors")) * F.col("blocks")), F.lit(0))).first()[0]
+    met = in_cells(rows.join(F.broadcast(size.select("k", "v", "blocks")), ["k", "v"]), True, words, threshold, ["k", "v"], 4 + moved // TASK_ROWS)
     # x visits where y lives and y where x does: the visit to the one of the smaller id counts
     return met.where("a < b").unionAll(copies)
