@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from palimpsest.operators.join import BLOCK_ROWS, in_cells, items_of, kinds_of, unsigned, words_of
 from palimpsest.plans.storage import kept
 
-SAMPLE, PIVOTS, RING = 10_000, 128, 2
+SAMPLE, PIVOTS, RING = 10_000, 64, 4
 #: Residents and visitors that a task compares, about.
 TASK_ROWS = 50_000
 
