@@ -145,10 +145,10 @@ def knn_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(p.where("id % 20 = 0"), p, 10)
 
 
-@query(_linked_sql(_PRINTS, _DIST, 9))
+@query(_linked_sql(f"p AS (SELECT vec_id AS id, {_FP.format('x')} & 16777215 AS w FROM embeddings)", _DIST, 5))
 def pivot_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links by visits to the rings of pivots."""
-    return pivots.linked_by_pivots(prints(spark, sf_dir), 9)
+    """Links of fingerprints of 24 bits, by visits to the rings of pivots."""
+    return pivots.linked_by_pivots(prints(spark, sf_dir).withColumn("w0", F.col("w0").bitwiseAND(F.lit((1 << 24) - 1).cast("long"))), 5)
 
 
 @query("SELECT place, x AS value FROM (SELECT list_sort(list(x)) AS s FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) CROSS JOIN (SELECT unnest(['least', 'lower quarter', 'upper median', 'last hundredth', 'greatest']) AS place, unnest([0, 25, 50, 99, 100]) AS q) CROSS JOIN LATERAL (SELECT s[1 + least(len(s) - 1, len(s) * q // 100)] AS x)")
