@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.plans.skew import join_counted
+
 from .shared import stored
 
 # Notices that name a licence, by family.
@@ -218,21 +220,36 @@ def judged(said: DataFrame) -> DataFrame:
     return out.select("said", F.when(sure, F.col("family")).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= SIMILARITY)).alias("confirmed"))
 
 
-#: Rows of one passage go to so many tasks.
-SALTS = 16
+#: Lines of a paragraph that one task walks.
+CHUNK = 256
+
+
+def _first_of(found: DataFrame) -> DataFrame:
+    """Rows of found (doc_id, row, block, line, lines, ...), stored ones, that no earlier one kept of their paragraph overlaps;
+    of those that begin at a line, the one most like the templates. A chunk of lines is walked once for each number of
+    lines by which a passage may reach into it, then the chunks of a paragraph are joined end to end, then each is walked from where
+    it truly begins: no step holds more than a chunk's passages."""
+    keys, entry = ["row", "block", "chunk"], F.struct("line", (-F.floor(F.col("similarity") * 10)).alias("unlike"), (-F.col("lines")).alias("short"), "lines", "doc_id", "family", "probability", "similarity")
+    chunks = found.groupBy("row", "block", F.floor(F.col("line") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("w"))
+    end = lambda s, x: F.when(x["line"] >= s, x["line"] + x["lines"]).otherwise(s)
+    reach = lambda c: F.greatest(F.lit(0), F.aggregate("w", (F.col("chunk") * CHUNK + c).cast("int"), end) - (F.col("chunk").cast("int") + 1) * CHUNK)
+    held = stored(chunks.withColumn("ends", F.array(*(reach(F.lit(c)) for c in range(WINDOW)))), "licence-chunks")
+    steps = held.groupBy("row", "block").agg(F.sort_array(F.collect_list(F.struct("chunk", "ends"))).alias("c"))
+    joined = "aggregate(c, struct(-1L as chunk, 0 as over, cast(array() as array<struct<chunk:bigint,over:int>>) as out), (s, x) -> struct(x.chunk as chunk, get(x.ends, if(x.chunk = s.chunk + 1, s.over, 0)) as over, array_append(s.out, struct(x.chunk as chunk, if(x.chunk = s.chunk + 1, s.over, 0) as over)) as out), s -> s.out)"
+    begins = steps.select("row", "block", F.explode(F.expr(joined)).alias("x")).select("row", "block", "x.chunk", "x.over")
+    walk = "aggregate(w, struct(cast(chunk * {0} + over as int) as until, cast(array() as {1}) as out), (s, x) -> if(x.line >= s.until, struct(x.line + x.lines as until, array_append(s.out, x) as out), s), s -> s.out)"
+    kept = held.join(begins, keys).select(F.explode(F.expr(walk.format(CHUNK, held.schema["w"].dataType.simpleString()))).alias("x"))
+    return kept.select("x.doc_id", "x.line", "x.lines", "x.family", "x.probability", "x.similarity")
 
 
 def confirmed(docs: DataFrame) -> DataFrame:
     """(doc_id, line, lines, family, probability, similarity) of each confirmed passage of (doc_id, text) that no earlier
-    one of its paragraph overlaps; line counts the paragraph's lines with words from 0."""
+    one of its paragraph overlaps; line counts the paragraph's lines with words from 0. A passage that many documents have is
+    judged once, and goes back to them by a join that leaves its rows where they are."""
     found = stored(passages(docs), "licence-passages")
-    salted = judged(found.select("said").distinct()).where("confirmed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = found.withColumn("salt", F.pmod(F.xxhash64("row", "block", "line"), F.lit(SALTS)).cast("int")).join(salted, ["said", "salt"])
-    entry = F.struct("line", (-F.floor(F.col("similarity") * 10)).alias("unlike"), (-F.col("lines")).alias("short"), "lines", "family", "probability", "similarity")
-    by_block = named.groupBy("doc_id", "row", "block").agg(F.sort_array(F.collect_list(entry)).alias("w"))
-    kept = "aggregate(w, struct(-1 as until, cast(array() as {0}) as out), (s, x) -> if(x.line >= s.until, struct(x.line + x.lines as until, array_append(s.out, x) as out), s), s -> s.out)"
-    kind = by_block.schema["w"].dataType.simpleString()
-    return by_block.select("doc_id", F.explode(F.expr(kept.format(kind))).alias("x")).select("doc_id", "x.line", "x.lines", "x.family", "x.probability", "x.similarity")
+    times = found.groupBy("said").agg(F.count("*").alias("times"))
+    known = stored(judged(times).where("confirmed").join(times, "said"), "licence-judged")
+    return _first_of(join_counted(found, known, ["said"], "times", found.count()))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from .textkernel import to_bytes
 # Fixed values of the format: tags, field types' struct codes, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 266, 317, 322, 323, 324, 325
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
@@ -34,8 +34,9 @@ NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD
 PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, (192, 16)
 
 
-#: Bytes of samples that a page may have, and pages that a file may have; more are an error.
-PAGE_BYTES, FILE_PAGES = 1 << 30, 1 << 16
+#: Bytes of samples that a page's row may have, as a row of Spark has a limit of 2 GB. Larger pages are an error in pages(),
+#: and whole in segments(), which gives a row for each strip or tile.
+PAGE_BYTES = 1 << 30
 #: Bytes of pages that are passed on together.
 BATCH_BYTES = 16 << 20
 
@@ -191,6 +192,22 @@ def _unpacked(data: bytes, compression: int, most: int) -> bytes:
     raise TiffError(f"compression {compression} isn't supported")
 
 
+#: Each byte with its bits in the other order.
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+@dataclass
+class Form:
+    width: int
+    height: int
+    samples: int
+    bits: int
+    compression: str
+    tiled: bool
+    predictor: int
+    parts: Iterator[tuple[int, int, int, np.ndarray]]  # first row, first column, plane, rows x columns x samples
+
+
 @dataclass
 class Page:
     width: int
@@ -254,46 +271,87 @@ def _whole(tags: dict[int, tuple], tag: int) -> tuple[int, ...] | None:
     return found
 
 
-def _page(data: bytes, tags: dict[int, tuple], e: str) -> Page:
+def _form(data: bytes, tags: dict[int, tuple], e: str, most: int) -> Form:
+    """A page's form, and its strips or tiles, each of which has ``most`` bytes of samples at most."""
     one = lambda tag, default=None: (_whole(tags, tag) or (default,))[0]
     width, height = one(WIDTH), one(HEIGHT)
     if not width or not height:
         raise TiffError("a page without size")
-    samples, compression, predictor, planar = one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not samples or planar not in (1, 2) or compression not in NAMES:
-        raise TiffError(f"{samples} samples in layout {planar}, or compression {compression}, aren't supported")
+    samples, compression, predictor, planar, order = one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1), one(FILL_ORDER, 1)
+    if not samples or planar not in (1, 2) or compression not in NAMES or order not in (1, 2):
+        raise TiffError(f"{samples} samples in layout {planar}, compression {compression}, or order of bits {order}, aren't supported")
     bits = set(_whole(tags, BITS) or (1,))
     if len(bits) != 1 or not bits <= {1, 8, 16}:
         raise TiffError(f"{sorted(bits)} bits a sample aren't supported")
     (bits,) = bits
     tiled = TILE_OFFSETS in tags
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
-    if width * height * samples * max(1, bits // 8) > PAGE_BYTES:
-        raise TiffError(f"a page of {width} x {height} x {samples} samples is too large")
     offsets, counts = _whole(tags, TILE_OFFSETS if tiled else STRIP_OFFSETS), _whole(tags, TILE_COUNTS if tiled else STRIP_COUNTS)
     if offsets is None or counts is None or len(offsets) != len(counts):
         raise TiffError("no strips or tiles")
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
     if not w or not h or (tiled and (w > 2 * width + 4096 or h > 2 * height + 4096)):
         raise TiffError(f"strips or tiles of {w} x {h}")
+    if w * h * inner * max(1, bits // 8) > most:
+        raise TiffError(f"a strip or tile of {w} x {h} x {inner} samples is too large")
     across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down * planes:
         raise TiffError("too few strips or tiles")
-    pixels = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
-    for k in range(across * down * planes):
-        plane, cell = divmod(k, across * down)
-        y, x = cell // across * h, cell % across * w
-        if offsets[k] + counts[k] > len(data):
-            raise TiffError("a strip or tile lies outside the file")
-        rows = h if tiled else min(h, height - y)
-        part = _segment(data[offsets[k] : offsets[k] + counts[k]], rows, w, inner, bits, compression, predictor, e)
-        a, b = min(h, height - y), min(w, width - x)
-        pixels[y : y + a, x : x + b, plane : plane + inner] = part[:a, :b]
-    return Page(width, height, samples, bits, NAMES[compression], tiled, predictor, pixels)
 
+    def parts() -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for k in range(across * down * planes):
+            plane, cell = divmod(k, across * down)
+            y, x = cell // across * h, cell % across * w
+            if offsets[k] + counts[k] > len(data):
+                raise TiffError("a strip or tile lies outside the file")
+            packed = data[offsets[k] : offsets[k] + counts[k]]
+            part = _segment(packed.translate(_MIRRORED) if order == 2 else packed, h if tiled else min(h, height - y), w, inner, bits, compression, predictor, e)
+            yield y, x, plane, part[: height - y, : width - x]
 
-def read(data: bytes) -> Iterator[Page | str]:
-    """The pages in order; a page that can't be read is a message, as is what breaks the chain."""
+    return Form(width, height, samples, bits, NAMES[compression], tiled, predictor, parts())
+
+
+def _page(data: bytes, tags: dict[int, tuple], e: str) -> Page:
+    f = _form(data, tags, e, 2 * PAGE_BYTES)
+    if f.width * f.height * f.samples * max(1, f.bits // 8) > PAGE_BYTES:
+        raise TiffError(f"a page of {f.width} x {f.height} x {f.samples} samples is too large for a row")
+    pixels = np.zeros((f.height, f.width, f.samples), np.uint16 if f.bits == 16 else np.uint8)
+    for y, x, plane, part in f.parts:
+        pixels[y : y + part.shape[0], x : x + part.shape[1], plane : plane + part.shape[2]] = part
+    return Page(f.width, f.height, f.samples, f.bits, f.compression, f.tiled, f.predictor, pixels)
+
+
+def _after(data: bytes, at: int, e: str) -> int:
+    """Where the directory that follows is; 0: nowhere, or the directory is broken."""
+    try:
+        (count,) = struct.unpack_from(e + "H", data, at)
+        return struct.unpack_from(e + "I", data, at + 2 + 12 * count)[0]
+    except struct.error:
+        return 0
+
+
+def _chain(data: bytes, at: int, e: str) -> tuple[int, bool]:
+    """(directories of the chain, each once, and whether it then returns to one of them), in constant memory: of two
+    walkers, one marks time at powers of two until the other meets it; then both go at the loop's length apart."""
+    power = length = 1
+    slow, fast, n = at, _after(data, at, e) if at else 0, 1 if at else 0
+    while fast and slow != fast:
+        n += 1
+        if power == length:
+            slow, power, length = fast, power * 2, 0
+        fast, length = _after(data, fast, e), length + 1
+    if not fast:
+        return n, False
+    ahead, behind, before = at, at, 0
+    for _ in range(length):
+        ahead = _after(data, ahead, e)
+    while ahead != behind:
+        ahead, behind, before = _after(data, ahead, e), _after(data, behind, e), before + 1
+    return before + length, True
+
+
+def _directories(data: bytes) -> Iterator[tuple[dict[int, tuple], str] | str]:
+    """Each directory's fields and the file's byte order, or a message on what breaks the chain."""
     try:
         e = {b"II": "<", b"MM": ">"}[data[:2]]
         magic, at = struct.unpack_from(e + "HI", data, 2)
@@ -302,27 +360,45 @@ def read(data: bytes) -> Iterator[Page | str]:
     except (KeyError, struct.error, TiffError):
         yield "not a TIFF file"
         return
-    met = set()
-    while at:
-        if at in met:
-            yield "image directories form a loop"
-            return
-        if len(met) >= FILE_PAGES:
-            yield f"more than {FILE_PAGES} pages"
-            return
-        met.add(at)
+    n, returns = _chain(data, at, e)
+    for _ in range(n):
         try:
             tags, at = _directory(data, at, e)
         except Exception as x:  # a file may be broken in any way; what can't be read is said in a row
             yield f"broken image directory: {x}"
             return
+        yield tags, e
+    if returns:
+        yield "image directories form a loop"
+
+
+def read(data: bytes) -> Iterator[Page | str]:
+    """The pages in order, however many; a page that can't be read is a message, as is what breaks the chain."""
+    for found in _directories(data):
+        if isinstance(found, str):
+            yield found
+            continue
         try:
-            page: Page | str = _page(data, tags, e)
+            page: Page | str = _page(data, *found)
         except Exception as x:
             page = f"broken page: {x}"
         yield page
 
 
+def read_segments(data: bytes) -> Iterator[tuple[int, Form | None, tuple[int, int, int, np.ndarray] | str]]:
+    """(page, form, a strip or tile or a message), one at a time, so that a page of any size can be read."""
+    for n, found in enumerate(_directories(data)):
+        if isinstance(found, str):
+            yield n, None, found
+            continue
+        try:
+            form = _form(data, *found, PAGE_BYTES)
+            for part in form.parts:
+                yield n, form, part
+        except Exception as x:
+            yield n, None, f"broken page: {x}"
+
+
 def write(pages: list[dict], big_endian: bool = False) -> bytes:
     """A TIFF file of pages: {pixels: rows x width bytes, compression, predictor, tile (its width and height; None: strips)}."""
     e = ">" if big_endian else "<"
@@ -426,6 +502,40 @@ def _explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=names).astype({"id": "Int64", **dict.fromkeys(names[2:6], "Int64"), "predictor": "Int64"})
 
 
+SEGMENTS = "id long, page int, y long, x long, plane int, height int, width int, samples int, bits int, pixels binary, error string"
+
+
+def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in SEGMENTS.split(", ")]
+    held: list[tuple] = []
+    size = 0
+
+    def passed() -> pd.DataFrame:
+        return pd.DataFrame(held, columns=names).astype({"id": "Int64", **dict.fromkeys(names[2:9], "Int64")})
+
+    for frame in frames:
+        for key, content in zip(frame["id"], frame["content"], strict=True):
+            for n, form, part in [(0, None, "no content")] if content is None else read_segments(bytes(content)):
+                if isinstance(part, str):
+                    held.append((key, n, *[None] * 8, part))
+                else:
+                    y, x, plane, a = part
+                    held.append((key, n, y, x, plane, *a.shape, form.bits, np.ascontiguousarray(a).tobytes(), None))
+                    size += a.nbytes
+                if size > BATCH_BYTES or len(held) >= 4096:
+                    yield passed()
+                    held, size = [], 0
+    if held:
+        yield passed()
+
+
+def segments(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """One row for each strip or tile of each page, at its first row and column: the way to pages that are too large for a row
+    of pages(), as no page is held whole. Errors as there; a strip or tile of more than PAGE_BYTES is one."""
+    prepare(files.sparkSession)
+    return files.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).alias("content")).mapInPandas(_cut, SEGMENTS)
+
+
 def pages(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """One row a page of each TIFF file: its form and samples, or an error. Null content: one row with an error. What is
     not a TIFF file, and broken pages, give a row with an error; the other pages of the file stay."""

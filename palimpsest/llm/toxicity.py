@@ -45,10 +45,25 @@ SUBSTITUTED, LEFT_OUT, SHORTENED, KEPT = 1.0, 1.5, 0.7, 4.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Classes of letters beyond a to z, by code point: trigrams are no more than (27 + CLASSES) ** 3, whatever the alphabet.
+#: Those of one block of the Latin letters stay apart.
+CLASSES = 64
+
+
+class _Folded(dict):
+    """Letters beyond ASCII to their classes, which are characters of private use."""
+
+    def __missing__(self, code: int) -> int:
+        return code if code < 128 else 0xE000 + code % CLASSES
+
+
+_FOLDED = _Folded()
+
+
 def trigrams(words: Counter[str]) -> Counter[str]:
     out: Counter[str] = Counter()
     for word, n in words.items():
-        s = f"  {word} "
+        s = f"  {word.translate(_FOLDED)} "
         for i in range(2, len(s)):
             out[s[i - 2 : i + 1]] += n
     return out
@@ -77,11 +92,12 @@ class CharModel:
     def nats(self, gram: str) -> float:
         found = self.cost.get(gram)
         if found is None:
+            raw, gram = gram, gram.translate(_FOLDED)
             p1 = (self.one[gram[2]] + 0.5) / (self.total + 500)
             p2 = (self.bi[gram[1:]] + 5 * p1) / (self.after1[gram[1]] + 5)
             found = -float(np.log((self.tri[gram] + 5 * p2) / (self.after2[gram[:2]] + 5)))
             if len(self.cost) < 500_000:
-                self.cost[gram] = found
+                self.cost[raw] = found
         return found
 
 
@@ -266,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = sample_of_labels(labels, label, folds, out, limit)
     rest = plain.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != out, F.lit(True)))
-    counted = rest.select("text").mapInPandas(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # bounded by the alphabet
+    counted = rest.select("text").mapInPandas(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # bounded by the classes of letters
     model = CharModel(Counter(), Counter(dict(sorted(zip(counted["gram"], counted["n"], strict=True)))))
     handle = spark.sparkContext.broadcast(model)
     rows = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(_rows(handle), "doc_id long, label int, index array<int>")

@@ -178,3 +178,18 @@ def test_planted_toxic_documents_are_found(spark):
     clean = [r for r in got if r["toxic"] == 0]
     print(len(toxic), sum(r["predicted"] for r in toxic) / len(toxic), sum(r["predicted"] for r in clean) / len(clean))
     assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+
+
+def test_character_counts_are_bounded_in_any_alphabet(spark):
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, 0x4E00 + r.integers(0, 20_000, 2000))) for _ in range(100)]
+    grams = toxicity.trigrams(Counter(texts))
+    assert len(grams) <= (27 + toxicity.CLASSES) ** 3 and sum(grams.values()) == 2001 * 100
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1000, "été à 1d10t"), (1001, None), (1002, "")], "doc_id long, text string")
+    got = toxicity.classify(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).collect()
+    assert len(got) == 103 and all(0 <= x["score"] <= 1 for x in got)
+
+
+def test_accented_letters_stay_apart():
+    model = toxicity.CharModel(Counter({"été": 50, "eta": 1}))
+    assert model.nats(" ét") < model.nats(" èt") and model.nats("été") < model.nats("étè")

@@ -1,5 +1,6 @@
 """Licence scans against a plain version over the same weights."""
 
+import random
 import re
 
 import numpy as np
@@ -97,3 +98,22 @@ def test_one_common_line_in_many_documents(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("\nReleased under the MIT License.")).alias("text"))
     got = li.scan(df).groupBy("licences", "n_confirmed").count().collect()
     assert [tuple(r) for r in got] == [("mit", 1, 3000)]
+
+
+def test_long_paragraphs_walked_in_chunks(spark, model, monkeypatch):
+    """Passages that reach from chunk to chunk are chosen as by one walk through the whole paragraph."""
+    monkeypatch.setattr(li, "CHUNK", 8)
+    r = random.Random(9)
+    parts = [NOTICE.strip(), MIT, "Released under the MIT License.", "nothing to see", "Licensed under the Apache License,\nVersion 2.0.", "Released under the\nMIT License."]
+    rows = [(k if k else None, "\n".join(r.choice(parts) for _ in range(r.randrange(1, 40)))) for k in range(12)]
+    got = {}
+    for x in li.confirmed(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], []).append((x["line"], x["lines"], x["family"]))
+    for k, text in rows:
+        assert sorted(got.get(k, [])) == [(x[0], -x[2], x[3]) for x in plain_scan(text, model)[1]], k
+
+
+def test_a_paragraph_of_many_notices(spark):
+    text = "Released under the MIT License.\n" * 20_000
+    r = li.scan(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(x["n_confirmed"] > 0, x["licences"]) for x in r] == [(True, "mit"), (False, ""), (False, "")] and r[0]["n_confirmed"] <= 20_000

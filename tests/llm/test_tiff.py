@@ -119,3 +119,56 @@ def test_output_is_bounded():
     assert page.pixels.shape == (8, 8, 1) and not page.pixels.any()
     assert len(tiff.packbits_decode(bytes([129, 7]) * 1000, 300)) <= 300 + 128
     assert len(tiff.lzw_decode(tiff.lzw_encode(bytes(5_000_000)), 1000)) < 10_000
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS, tiff.DEFLATE, tiff.LZW])
+def test_order_of_bits(compression):
+    """A file with FillOrder 2 holds each byte the other way round."""
+    import zlib
+
+    raw = bytes([0b10000000, 0b11001010])
+    body = {tiff.NONE: bytes, tiff.PACKBITS: tiff.packbits_encode, tiff.DEFLATE: zlib.compress, tiff.LZW: tiff.lzw_encode}[compression](raw)
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in body)
+    for order, stored in ((1, body), (2, turned)):
+        fields = [(256, 4, 1, 8), (257, 4, 1, 2), (258, 3, 1, 1), (259, 3, 1, compression), (266, 3, 1, order), (273, 4, 1, 8 + 2 + 7 * 12 + 4), (279, 4, 1, len(stored))]
+        (page,) = tiff.read(directory(fields, stored))
+        assert page.pixels[:, :, 0].tolist() == [[1, 0, 0, 0, 0, 0, 0, 0], [1, 1, 0, 0, 1, 0, 1, 0]]
+    (bad,) = tiff.read(directory([(256, 4, 1, 8), (257, 4, 1, 2), (266, 3, 1, 3)]))
+    assert "order of bits" in bad
+
+
+def test_segments_are_the_pages_in_parts(spark, monkeypatch):
+    data = sample_file()
+    whole = list(tiff.read(data))
+    rows = tiff.segments(spark.createDataFrame([(1, data), (2, None), (3, b"no"), (4, b"")], "id long, content binary")).collect()
+    for n, page in enumerate(whole):
+        seen = np.zeros((page.height, page.width), int)
+        for r in rows:
+            if (r["id"], r["page"]) == (1, n):
+                a = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], r["samples"])
+                assert np.array_equal(a, page.pixels[r["y"] : r["y"] + r["height"], r["x"] : r["x"] + r["width"]])
+                seen[r["y"] : r["y"] + r["height"], r["x"] : r["x"] + r["width"]] += 1
+        assert (seen == 1).all()
+    assert sorted((r["id"], r["error"]) for r in rows if r["error"]) == [(2, "no content"), (3, "not a TIFF file"), (4, "not a TIFF file")]
+    monkeypatch.setattr(tiff, "PAGE_BYTES", 1000)  # pages are too large for a row, their tiles and strips are not
+    assert all("too large" in p for p in tiff.read(data))
+    assert [n for n, _, part in tiff.read_segments(data) if not isinstance(part, str)].count(1) == 12
+
+
+def chain(links):
+    """A file whose k-th directory, without fields, is followed by the one that links name; None: the end."""
+    at = [8 + 6 * k for k in range(len(links))]
+    return struct.pack("<2sHI", b"II", 42, 8) + b"".join(struct.pack("<HI", 0, 0 if k is None else at[k]) for k in links)
+
+
+def test_chains_of_any_length_and_loops():
+    r = random.Random(4)
+    for _ in range(300):
+        links = [r.choice([None, *range(9)]) if r.random() < 0.4 else min(k + 1, 8) for k in range(9)]
+        at, met = 0, []
+        while at is not None and at not in met:
+            met.append(at)
+            at = links[at]
+        got = list(tiff.read(chain(links)))
+        assert len(got) == len(met) + (at is not None) and (got[-1] == "image directories form a loop") == (at is not None)
+    assert sum(1 for _ in tiff.read(chain([*range(1, 70_001), None]))) == 70_001
