@@ -106,6 +106,35 @@ def dist128_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.linked_kinds(prints(spark, sf_dir, two=True), 40)
 
 
+#: What the words of a wide fingerprint take from values before their signs, and the distance below which such ones match.
+_LEVELS, WIDE = (0.0, 0.05, -0.05, 0.1), 88
+_WORDS = "[" + ", ".join(_FP.format(f"x - CAST({v} AS FLOAT)") for v in _LEVELS) + "]"
+_WIDE = f"given AS (SELECT vec_id AS id, CASE WHEN vec_id % 89 = 7 THEN ({_WORDS})[:3] ELSE {_WORDS} END AS w FROM embeddings), p AS (SELECT id, w FROM given WHERE len(w) = 4)"
+_WIDE_DIST = "(" + " + ".join(f"CAST(bit_count(xor(a.w[{k}], b.w[{k}])) AS INTEGER)" for k in (1, 2, 3, 4)) + ")"
+
+
+def wide_prints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of four words, and errors: every 89th item lacks a word."""
+    above = lambda level: sign_word(F.transform("embedding", lambda x: x - F.lit(level).cast("float")))
+    words = [above(level) for level in _LEVELS]
+    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 89 == 7, F.array(*words[:3])).otherwise(F.array(*words)).alias("words"))
+    return join.from_arrays(given, "words", 4)
+
+
+@query(f"SELECT 'link' AS kind, a, b, dist FROM ({_linked_sql(_WIDE, _WIDE_DIST, WIDE)}) UNION ALL SELECT 'error', vec_id, vec_id, 3 FROM embeddings WHERE vec_id % 89 = 7")
+def wide_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of fingerprints of four words; those of another length are rows of their own id, twice, and their number of words."""
+    found, errors = wide_prints(spark, sf_dir)
+    links = join.linked_kinds(found, WIDE).select(F.lit("link").alias("kind"), "a", "b", "dist")
+    return links.unionAll(errors.select(F.lit("error"), "id", "id", "words"))
+
+
+@query(f"WITH RECURSIVE {_GROUPS.replace(_EDGES, f'{_WIDE}, e AS (SELECT a.id AS a, b.id AS b, {_WIDE_DIST} AS dist FROM p a JOIN p b ON a.id < b.id AND {_WIDE_DIST} < {WIDE})')} SELECT group_id, seed, CAST(ord AS INTEGER) AS ord, id, dist FROM m")
+def wide_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of fingerprints of four words."""
+    return groups.members_of(wide_prints(spark, sf_dir)[0], WIDE)
+
+
 @query(f"WITH {_EDGES} SELECT dist, count(*) AS pairs FROM e GROUP BY dist")
 def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.pair_counts(prints(spark, sf_dir), T)

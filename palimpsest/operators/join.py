@@ -1,4 +1,4 @@
-"""Exact Hamming-radius joins of fingerprint tables (id, w0[, w1]).
+"""Exact Hamming-radius joins of fingerprint tables (id, w0[, w1, ...]), of any number of words.
 
 Strategies, all exact:
   broadcast  a nested loop against a broadcast side, only up to a checked size
@@ -14,6 +14,7 @@ what moves with its square by BLOCK_ROWS.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,17 @@ TILE, BATCH, TASKS = 65_536, 200_000, 4000
 
 
 def words_of(fingerprints: DataFrame) -> list[str]:
-    return sorted(c for c in fingerprints.columns if c in ("w0", "w1"))
+    return sorted((c for c in fingerprints.columns if re.fullmatch(r"w\d+", c)), key=lambda c: int(c[1:]))
+
+
+def from_arrays(rows: DataFrame, column: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints (id, w0, w1, ...), errors (id, words, error)) of rows (id, an array of 64-bit words). Fingerprints of
+    different lengths have no distance, so an array of another length, or with a null in it, is an error row and stops
+    nothing else. A null array is no fingerprint and no error."""
+    size, hole = F.size(column), F.exists(column, lambda w: w.isNull())
+    said = F.when(size != words, F.concat(F.lit("a fingerprint of "), size.cast("string"), F.lit(f" words, where others have {words}"))).when(hole, "a fingerprint with a null word")
+    held = rows.where(F.col(column).isNotNull()).select("id", F.col(column).alias("print"), size.alias("words"), said.alias("error"))
+    return held.where("error is null").select("id", *(F.get("print", F.lit(k)).alias(f"w{k}") for k in range(words))), held.where("error is not null").select("id", "words", "error")
 
 
 def band_plan(radius: int, words: int) -> list[tuple[int, int]]:
@@ -61,9 +72,10 @@ def choose(n: int, threshold: float, words: int) -> str:
 def matches(x: list[np.ndarray], y: list[np.ndarray], threshold: float, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places in x, places in y, distances) of all pairs with a distance < threshold, in parts; x and y are words as
     unsigned numbers. own: x and y are the same rows, and each pair is taken once."""
-    n, m, limit = len(x[0]), len(y[0]), int(-(-min(threshold, 256) // 1))
+    n, m, limit = len(x[0]), len(y[0]), int(-(-min(threshold, 64 * len(x) + 1) // 1))
     step = max(1, TILE // max(1, m))
-    bits, ones, more = np.empty(step * m, np.uint64), np.empty(step * m, np.uint8), np.empty(step * m, np.uint8)
+    bits, more = np.empty(step * m, np.uint64), np.empty(step * m, np.uint8)
+    ones = more.copy() if len(x) < 4 else np.empty(step * m, np.uint32)  # three words differ in 192 bits at most
     held, size = [], 0
     for i in range(0, n if m else 0, step):
         first, rows = i if own else 0, min(step, n - i)
@@ -123,7 +135,7 @@ def _compare(words: list[str], threshold: float, keys: list[str], plan: list[tup
     counted: of rows that stand for ``copies`` each, only (dist, pairs) of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(257, np.int64)
+        pairs = np.zeros(64 * len(words) + 1, np.int64)
         for cell in _cell_by_cell(batches, keys):
             alone = own and cell["p"][0] == cell["q"][0]
             cut = cell.num_rows if alone else int(np.searchsorted(cell["side"].to_numpy(), 1))

@@ -43,7 +43,7 @@ class Best:
         ids, n = ids[order], len(ids)
         for at in range(0, len(self.dist), TILE_QUERIES):
             rows = slice(at, at + TILE_QUERIES)
-            d = sum(np.bitwise_count(q[rows, None] ^ x[order][None]).astype(np.int16) for q, x in zip(self.queries, items, strict=True))
+            d = sum(np.bitwise_count(q[rows, None] ^ x[order][None]).astype(np.int32) for q, x in zip(self.queries, items, strict=True))
             hit = np.flatnonzero(d.min(axis=1) <= self.dist[rows, -1])  # an equal distance may have a smaller id
             if not len(hit):
                 continue

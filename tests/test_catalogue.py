@@ -13,7 +13,7 @@ def rows(df):
     return sorted(repr(tuple(round(float(v), 9) if isinstance(v, float) else v for v in r)) for r in clean.values.tolist())
 
 
-@pytest.mark.parametrize("name", ["fp64_embeddings", "hamming_pairs_lt22", "band_join_pairs", "dist128_pairs", "dup_groups", "move_plan", "csv_rows", "resize_r8_9x9_linear", "dhash_r8", "dct_hash_r32", "resize_rgba16_9x9_linear", "dhash_rgba16", "hash_by_name_r32", "hash_specs", "summary_line", "ids_to_paths", "png_kinds_r8", "load_errors_r8", "filter_weights", "file_ids", "compare_target", "knn_hamming", "pivot_join_pairs", "order_statistics_embeddings", "resize_rgba16_9x9_filters", "unpremultiplied_rgba8", "unpremultiplied_rgba16", "ycbcr_planes"])
+@pytest.mark.parametrize("name", ["fp64_embeddings", "hamming_pairs_lt22", "band_join_pairs", "dist128_pairs", "dup_groups", "move_plan", "csv_rows", "resize_r8_9x9_linear", "dhash_r8", "dct_hash_r32", "resize_rgba16_9x9_linear", "dhash_rgba16", "hash_by_name_r32", "hash_specs", "summary_line", "ids_to_paths", "png_kinds_r8", "load_errors_r8", "filter_weights", "file_ids", "compare_target", "knn_hamming", "pivot_join_pairs", "order_statistics_embeddings", "resize_rgba16_9x9_filters", "unpremultiplied_rgba8", "unpremultiplied_rgba16", "ycbcr_planes", "wide_links", "wide_group_members"])
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     for t in ("embeddings", "pages", "documents"):

@@ -134,3 +134,28 @@ def test_pivots_skip_cells_and_lose_nothing(spark, threshold, monkeypatch):
     n, compared = kinds.count(), pivots.rings(pivots.placed(kinds, threshold)).selectExpr("sum(residents * visitors)").first()[0]
     print(f"threshold {threshold}: {1 - compared / n / n:.3f} of all comparisons are skipped")
     assert compared < 0.3 * n * n
+
+
+def test_fingerprints_of_five_words(spark):
+    """Distances beyond what a byte holds, groups and nearest items as by brute force."""
+    rng = random.Random(12)
+    rows = clustered(rng, 150, 5) + [(900, *[0] * 5), (901, *[2**64 - 1] * 5)]  # 320 bits apart
+    want = sorted((a[0], b[0], distance(a, b)) for a in rows for b in rows if a[0] < b[0] and distance(a, b) < 300)
+    for strategy in ("broadcast", "block"):
+        assert sorted(map(tuple, join.within(frame(spark, rows), 300, strategy).collect())) == want
+    counts = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                counts[distance(a, b)] = counts.get(distance(a, b), 0) + 1
+    assert {r["dist"]: r["pairs"] for r in join.pair_counts(frame(spark, rows), 321, "block").collect()} == counts and 320 in counts
+    near = {(r["query"], r["rank"]): (r["id"], r["dist"]) for r in nearest.nearest(frame(spark, rows).where("id = 900"), frame(spark, rows), len(rows)).collect()}
+    order = sorted((distance(rows[-2], b), b[0]) for b in rows if b[0] != 900)
+    assert near == {(900, k): (i, d) for k, (d, i) in enumerate(order, 1)}
+
+
+def test_arrays_of_other_lengths_are_errors(spark):
+    rows = [(1, [1, 2, 3, 4]), (2, [1, 2, 3]), (3, None), (4, [1, None, 3, 4]), (5, []), (6, [1, 2, 3, 5])]
+    found, errors = join.from_arrays(spark.createDataFrame(rows, "id long, words array<long>"), "words", 4)
+    assert sorted(map(tuple, join.linked_kinds(found, 2).collect())) == [(1, 6, 1)]
+    assert sorted((r["id"], r["words"], r["error"]) for r in errors.collect()) == [(2, 3, "a fingerprint of 3 words, where others have 4"), (4, 4, "a fingerprint with a null word"), (5, 0, "a fingerprint of 0 words, where others have 4")]
