@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a key's hash that choose a 64-bit word of the bitmap: it has 2 ** 18 words at most, whatever the input.
 WORD_BITS = 18
+#: So many keys are broadcast themselves.
+KEYS = 500_000
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -19,11 +21,14 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not among gone's; rows of a null key stay.
 
-    A bitmap of gone's keys, of fixed size, is broadcast: rows whose bit is clear stay where they are, and only the others
-    are shuffled for the exact anti-join, which decides. Many keys in gone set most bits, so that more rows move, up to
-    all of them; the result is the same. df and gone are read twice: give stored tables.
+    Up to KEYS distinct keys are broadcast, and no row of df moves. Of more, a bitmap of fixed size is broadcast: rows
+    whose bit is clear stay where they are, and only the others are shuffled for the exact anti-join, which decides. Very
+    many keys set most bits, so that more rows move, up to all of them; the result is the same. df and gone are read
+    twice: give stored tables.
     """
     gone = gone.select(F.col(key).cast(df.schema[key].dataType).alias(key)).distinct()
+    if gone.limit(KEYS + 1).count() <= KEYS:
+        return df.join(F.broadcast(gone), key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
     marked = df.withColumn("_skip_hash", F.xxhash64(key)).join(F.broadcast(bitmap(gone, key)), F.shiftrightunsigned("_skip_hash", 64 - WORD_BITS) == F.col("_word"), "left")
     maybe = F.expr("coalesce(_bits & shiftleft(1L, cast(_skip_hash & 63 as int)), 0L) <> 0")
     columns = [F.col(f"`{c}`") for c in df.columns]
