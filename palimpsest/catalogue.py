@@ -480,10 +480,13 @@ _KERNELS = {
 }
 
 
-@query("WITH t AS (SELECT v, u, (v + 0.5::DOUBLE) * (32.0::DOUBLE / 9) - 0.5 AS c FROM range(9) a(v), range(32) b(u)), " + "r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, v, u, CASE WHEN x {'<=' if n == 'box' else '<'} {s} THEN {k} ELSE 0 END AS w FROM (SELECT v, u, x, CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END AS sinc FROM (SELECT v, u, CAST(abs(u - c) / (32.0 / 9) AS DOUBLE) AS x FROM t))" for n, (s, k) in _KERNELS.items()) + ") SELECT filter, v AS dst, u AS src, round(w / sum(w) OVER (PARTITION BY filter, v), 9) AS weight FROM r WHERE w <> 0")
+@query("WITH t AS (SELECT v, u, (v + 0.5::DOUBLE) * (32.0::DOUBLE / 9) - 0.5 AS c FROM range(9) a(v), range(32) b(u)), " + "r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, v, u, CASE WHEN x {'<=' if n == 'box' else '<'} {s} THEN {k} ELSE 0 END AS w FROM (SELECT v, u, x, CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END AS sinc FROM (SELECT v, u, CAST(abs(u - c) / (32.0 / 9) AS DOUBLE) AS x FROM t))" for n, (s, k) in _KERNELS.items()) + "), seen AS (SELECT (i - 1) % 32 AS u, sum(v) AS pixels FROM (SELECT unnest(list_transform(embedding, lambda x: " + _PX + ")) AS v, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1) SELECT filter, v AS dst, u AS src, round(w / sum(w) OVER (PARTITION BY filter, v), 9) AS weight, CAST(coalesce(pixels, 0) AS BIGINT) AS pixels FROM r LEFT JOIN seen USING (u) WHERE w <> 0")
 def filter_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by which each filter reduces 32 columns to 9, with the sum of what each weighs: its column's pixels in all rasters."""
     rows = spark.createDataFrame(_weight_rows(), "filter string, dst long, src long, weight double")
-    return rows.withColumn("weight", F.round("weight", 9))
+    spots = table(spark, sf_dir, "embeddings").select(F.posexplode(_pixels()).alias("spot", "v"))
+    seen = spots.groupBy((F.col("spot") % 32).cast("long").alias("src")).agg(F.sum("v").cast("long").alias("pixels"))  # 32 rows at most
+    return rows.join(F.broadcast(seen), "src", "left").select("filter", "dst", "src", F.round("weight", 9).alias("weight"), F.coalesce("pixels", F.lit(0).cast("long")).alias("pixels"))
 
 
 @query(f"WITH {_PRINTS} SELECT id, CAST(bit_count(w) AS INTEGER) AS bits, CAST(bit_count(xor(w, CAST(0 AS BIGINT))) AS INTEGER) AS from_zero FROM p")
@@ -511,11 +514,18 @@ def hash_by_name_r32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r32(spark, sf_dir).mapInPandas(_by_name, "id long, name string, words int, w0 long, w1 long")
 
 
-@query("SELECT * FROM (VALUES ('dct', 22.0::DOUBLE, 1, 30.0::DOUBLE, true), ('dhash', 10.0::DOUBLE, 2, 30.0::DOUBLE, true), ('other', 22.0::DOUBLE, 1, 30.0::DOUBLE, true)) t(name, threshold, words, given, same)")
+@query(f"""WITH {_PRINTS}, {_P2.replace('p AS', 'p2 AS', 1)}, found AS (
+        SELECT 1 AS words, count(*) AS pairs FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.w, b.w)) < 22
+        UNION ALL SELECT 2, count(*) FROM p2 a JOIN p2 b ON a.id < b.id AND bit_count(xor(a.w.w, b.w.w)) + bit_count(xor(a.w.v, b.w.v)) < 10)
+    SELECT t.*, CAST(pairs AS BIGINT) AS pairs FROM (VALUES ('dct', 22.0::DOUBLE, 1, 30.0::DOUBLE, true), ('dhash', 10.0::DOUBLE, 2, 30.0::DOUBLE, true), ('other', 22.0::DOUBLE, 1, 30.0::DOUBLE, true)) t(name, threshold, words, given, same) JOIN found USING (words)""")
 def hash_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of hashes by name, an unknown one too: thresholds, words, a threshold that is given, equality by name alone."""
+    """Kinds of hashes by name, an unknown one too: thresholds, words, a threshold that is given, equality by name alone, and
+    how many pairs of fingerprints of so many words match at the kind's threshold."""
     found = {name: spec_named(name) for name in [*sorted(SPECS), "other"]}
-    return spark.createDataFrame([(n, s.threshold, s.words, s.with_threshold(30).threshold, s == s.with_threshold(30) and s.with_threshold(0) == s) for n, s in found.items()], "name string, threshold double, words int, given double, same boolean")
+    rows = spark.createDataFrame([(n, s.threshold, s.words, s.with_threshold(30).threshold, s == s.with_threshold(30) and s.with_threshold(0) == s) for n, s in found.items()], "name string, threshold double, words int, given double, same boolean")
+    dct, dhash = (join.pair_counts(prints(spark, sf_dir, two=s.words == 2), int(s.threshold)).select(F.lit(s.words).alias("words"), "pairs") for s in (SPECS["dct"], SPECS["dhash"]))
+    counts = dct.unionAll(dhash).groupBy("words").agg(F.sum("pairs").alias("pairs"))  # two rows at most
+    return rows.join(F.broadcast(counts), "words", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0).cast("long")))
 
 
 @query(f"WITH RECURSIVE {_GROUPS} SELECT CASE WHEN count(*) = 0 THEN 'No duplicate images found' ELSE 'These ' || count(*) || ' images are duplicates' END AS line FROM m")
