@@ -416,8 +416,10 @@ def _of_texts(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[cut], key[cut], np.diff(np.append(cut, len(key)))
 
 
-SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, base double, e0 double, e1 double, e2 double"
+SCORED = "row long, doc_id long, held_out boolean, word long, gram long, times long, n_tokens long, n_known long, n_bytes long, base double, e0 double, e1 double, e2 double"
 _SCORED = pa.schema([(name, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind]) for name, kind in (c.split() for c in SCORED.split(", "))])
+#: Bits of one decimal place.
+BITS = float(np.log2(10))
 
 
 def _scorer(handle):
@@ -440,7 +442,7 @@ def _scorer(handle):
                 found = np.ones(len(h), bool)
                 found[rare] = False
                 row = rows[first : first + k]
-                yield batch_of(_SCORED, row=row, doc_id=batch["doc_id"][first : first + k], held_out=batch["held_out"][first : first + k], times=np.zeros(k, np.int64), n_tokens=w.per_doc() + 1, n_known=np.bincount(doc[found], minlength=k), base=np.bincount(doc, log, minlength=k), e0=each[:, 0], e1=each[:, 1], e2=each[:, 2])
+                yield batch_of(_SCORED, row=row, doc_id=batch["doc_id"][first : first + k], held_out=batch["held_out"][first : first + k], times=np.zeros(k, np.int64), n_tokens=w.per_doc() + 1, n_known=np.bincount(doc[found], minlength=k), n_bytes=np.array([len(t) for t in texts], np.int64), base=np.bincount(doc, log, minlength=k), e0=each[:, 0], e1=each[:, 1], e2=each[:, 2])
                 if not found.all():
                     doc, h, times = _of_texts(doc[~found], h[~found])
                     yield batch_of(_SCORED, row=row[doc], word=h.view(np.int64), times=times)
@@ -481,9 +483,11 @@ def _valued(spark: SparkSession, parts: DataFrame, kept: int) -> DataFrame:
 
 
 def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs; logarithms to base 10.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte), a row per row of docs;
+    logarithms of scores to base 10.
 
-    Null texts count as empty: one token, the end. A null id counts as not held
+    bits_per_byte is what the model spends on the whole text and its end, in bits, over the text's UTF-8 bytes and the
+    end: total_bits_per_byte() says it of many texts. Null texts count as empty: one token, the end. A null id counts as not held
     out. Rows of a repeated id each have their own result. With no training rows
     all counts are zero, N and V too, and the mix predicts from its start.
     ``kept`` says how many grams' predictions go to all tasks; results don't
@@ -525,4 +529,11 @@ def score(docs: DataFrame, *, folds: int = 7, out: int = 2, kept: int = KEPT) ->
     joined = joined.withColumns({e: F.col(e) + F.coalesce(f"of_{e}", F.lit(0.0)) for e in experts})
     best = F.greatest(*experts)
     mixed = (best + F.log(sum((F.exp(F.col(e) - best) for e in experts), F.lit(0.0)) / len(POWERS))) / float(np.log(10))
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), mixed.alias("score"))
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), mixed.alias("score"), "n_bytes", (-mixed * BITS / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+
+
+def total_bits_per_byte(scored: DataFrame, *by: str) -> DataFrame:
+    """(by..., texts, n_bytes, base_bits_per_byte, bits_per_byte) of score()'s rows together, or of each group of them: all bits
+    over all bytes, ends counted as bytes. No rows give null figures, or no groups."""
+    symbols = F.sum(F.col("n_bytes") + 1)
+    return scored.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("n_bytes").alias("n_bytes"), (-F.sum("base_score") * BITS / symbols).alias("base_bits_per_byte"), (-F.sum("score") * BITS / symbols).alias("bits_per_byte"))

@@ -132,14 +132,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "quality
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, out: int = 2, threshold: float = THRESHOLD, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row. A null id counts as not held out and has no label."""
+    """(doc_id, held_out, score, predicted) of every row.
+
+    A null id counts as not held out and has no label; a null text is an empty one. Rows of a repeated id are scored
+    each for itself and share their label; of several labels the largest counts. Whole texts are scored, however long.
+    An empty table gives an empty table, and without usable labels every score is the same. Other columns of docs, of
+    any name, aren't looked at.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, folds=folds, out=out, limit=limit))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with docs' own columns, whatever their names."""
+    """The rows of docs that the classifier doesn't reject, with docs' own columns, whatever their names. Null and empty texts get
+    what the bias says; rows of repeated ids and of null ids are judged each by its text; an empty table stays empty."""
     threshold, name = options.pop("threshold", THRESHOLD), "_quality"
     while any(c.lower() == name for c in docs.columns):
         name += "_"

@@ -12,26 +12,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents; see licenses.scan for nulls, repeated rows and empty tables; long paragraphs go in chunks."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates by 0.85; see minhash.near_duplicates for nulls, repeated rows and empty tables."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, numerator=85, denominator=100)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents for quality; see quality.classify for nulls, repeated rows, long texts and empty tables."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents for toxicity; see toxicity.classify for nulls, repeated rows, long texts and empty tables."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as TIFF files and read back; see tiff.text_media for nulls, repeated rows, long texts and empty tables."""
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the template, and one that says control strings; see chat.format_conversations for nulls, ties and empty tables."""
     says = f"{chat.END}{chat.START}assistant ok"
     extra = spark.sql(f"select * from values (-1L, 0L, 'user', '{says}'), (-1L, 1L, 'assistant', '{says}') as t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,18 +45,22 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; see secrets.findings for nulls, repeated rows, long texts and empty tables."""
     return secrets.findings(table(spark, sf_dir, "documents"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents; see lm.score for nulls, repeated rows and empty tables; whole texts count."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix takes of each document; see mixing.mix for nulls, repeated rows, texts without words and empty tables."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items; see decontaminate.contaminated for nulls, repeated rows, long items and empty tables."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage_words=decontaminate.PASSAGE_WORDS)
 
 

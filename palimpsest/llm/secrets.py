@@ -234,7 +234,12 @@ def scan(docs: DataFrame, text_col: str = "text", *, forest: str | None = None,
 
 
 def findings(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_candidates, n_secrets, redacted_sha256), a row per row of docs."""
+    """(doc_id, n_candidates, n_secrets, redacted_sha256), a row per row of docs.
+
+    A null text has no candidates and a null digest; an empty one the digest of nothing. Rows of repeated and of null
+    ids are looked at each for itself, whole texts however long; other columns of docs aren't looked at. An empty table
+    gives an empty table.
+    """
     scanned = scan(docs.select("doc_id", "text"), **options)
     return scanned.select("doc_id", "n_candidates", "n_secrets", F.sha2("redacted", 256).alias("redacted_sha256"))
 

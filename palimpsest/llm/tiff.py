@@ -475,8 +475,12 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: the text stored as a TIFF file and read back, in digests. Null texts count as empty, and
-    an empty text's payload is one row of padding."""
+    """A row per row of docs: the text stored as a TIFF file and read back, in digests.
+
+    Null texts count as empty, and an empty text's payload is one row of padding. Rows of repeated and of null ids have
+    a file each; equal texts have equal files. A text of any length that a row can hold is one page. Other columns of
+    docs aren't looked at. An empty table gives an empty table.
+    """
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

@@ -290,8 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     return model, weights, bias
 
 
-def score(docs: DataFrame, model: tuple[CharModel, np.ndarray, float]) -> DataFrame:
-    """docs with toxic_score (0 to 1, never null; an empty or null text gets what the bias says)."""
+def score(docs: DataFrame, model: tuple[CharModel, np.ndarray, float], name: str = "toxic_score") -> DataFrame:
+    """docs with a column of this name (0 to 1, never null; an empty or null text gets what the bias says), in the place of
+    one that docs may have of that name. Whole texts are scored, long ones in blocks; equal texts have equal scores; an
+    empty table gives an empty table."""
     prepare(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -308,11 +310,17 @@ def score(docs: DataFrame, model: tuple[CharModel, np.ndarray, float]) -> DataFr
                 out.append(sigmoid(bias + np.bincount(doc, weights[index], minlength=len(block))))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.withColumn("toxic_score", toxic("text"))
+    return docs.withColumn(name, toxic("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 5, out: int = 0, threshold: float = THRESHOLD, limit: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row. A null id counts as not held out and has no label."""
+    """(doc_id, held_out, score, predicted) of every row.
+
+    A null id counts as not held out and has no label; a null text is an empty one. Rows of a repeated id are scored
+    each for itself and share their label; of several labels the largest counts. Whole texts are scored, however long.
+    An empty table gives an empty table, and without usable labels every score is the same. Other columns of docs, of
+    any name, aren't looked at.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, folds=folds, out=out, limit=limit))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == out, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))

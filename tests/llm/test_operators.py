@@ -288,9 +288,19 @@ def test_language_model(docs):
         t = tokens.get(r["doc_id"], [*words("a row without id"), None])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(train[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(log10((train[w] + 1) / (n + v + 1)) for w in t)) and r["score"] < 0
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / log10(2) / (r["n_bytes"] + 1))
+    assert sum(r["n_bytes"] for r in got) == sum(len((t or "").encode()) for _, t in corpus()) + len("a row without id")
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_total_bits_per_byte(spark):
+    df = spark.createDataFrame([(True, -3.0, -2.0, 9), (True, -1.0, -0.5, 0), (False, -4.0, -4.0, 4)], "held_out boolean, base_score double, score double, n_bytes long")
+    got = {r["held_out"]: r for r in lm.total_bits_per_byte(df, "held_out").collect()}
+    assert (got[True]["texts"], got[True]["n_bytes"], got[True]["bits_per_byte"]) == (2, 9, pytest.approx(2.5 / log10(2) / 11))
+    assert got[False]["base_bits_per_byte"] == got[False]["bits_per_byte"] == pytest.approx(4 / log10(2) / 5)
+    assert lm.total_bits_per_byte(df.limit(0)).first()["bits_per_byte"] is None and lm.total_bits_per_byte(df.limit(0), "held_out").count() == 0
+
+
 def test_language_model_joins_grams_that_are_not_kept(docs):
     whole, joined = ({(r["doc_id"], r["n_tokens"], r["held_out"]): r["score"] for r in lm.score(docs, **o).collect()} for o in ({}, {"kept": 60}))
     assert whole.keys() == joined.keys() and all(whole[k] == pytest.approx(joined[k], rel=1e-6) for k in whole)

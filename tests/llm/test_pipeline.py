@@ -152,3 +152,30 @@ def test_run_applies_the_stages(spark, stages):
     out, d = stages
     assert sorted((r["doc_id"] or -1, r["taken"]) for r in corpus_pipeline.run(spark, str(d)).collect()) == sorted((r["doc_id"] or -1, r["taken"]) for r in out[-1][1].collect())
     assert np.all([r["copies"] > 0 for r in out[-1][1].collect()])
+
+
+#: Names that stages use for columns of their own, and names of columns that operators add.
+NAMES = ("_quality", "quality_score", "toxic_score", "_gone", "item_id", "redacted", "n_secrets", "size", "taken", "copies", "kept", "component_id", "_rc")
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_odd_rows(spark, stages, k):
+    """Null and empty texts, a very long one, repeated rows, null ids and columns of clashing names; then an empty table."""
+    long = " ".join(f"word{n % 5003} of{n % 89}" for n in range(60_000))
+    texts = [None, "", " \n", long, long, "one two", "one two", "a short line of plain words that says little"]
+    schema = stages[0][0][0].schema
+    df = spark.createDataFrame([(n % 6 if n else None, t, "en", None if n == 2 else "s", len(t or "")) for n, t in enumerate(texts)], schema)
+    for name in NAMES:
+        df = df.withColumn(name, F.lit("clash"))
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, df, str(stages[1])).collect()
+    before = {(r["doc_id"], r["text"]) for r in df.collect()}
+    assert {(r["doc_id"], r["text"]) for r in got} <= before and len(got) <= len(texts)
+    if k < len(corpus_pipeline.STAGES) - 1:
+        assert stage(spark, df, str(stages[1])).columns == df.columns
+        assert all(r[c] == "clash" for r in got for c in NAMES)
+    if name == "near-duplicates":
+        assert sorted(r["doc_id"] for r in got if r["text"] == long) == [3]
+    if name in ("secret scan", "decontamination"):
+        assert len(got) == len(texts)
+    assert stage(spark, df.limit(0), str(stages[1])).count() == 0
