@@ -214,20 +214,21 @@ def _verifier(numerator: int, denominator: int):
     return run
 
 
-def _several(placed: DataFrame, n_reps: int) -> DataFrame:
-    """placed (rep, cluster, class, n) of the clusters that have several classes, and whether a row is out of the largest."""
+def _several(placed: DataFrame, n_reps: int, most: int) -> DataFrame:
+    """placed (rep, cluster, class, n) of the clusters that have several classes, and whether a row is out of the largest.
+    most: texts of the largest cluster."""
     kinds = placed.groupBy("cluster", "class").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "class")).alias("most"), F.count("*").alias("kinds"), F.sum("k").alias("texts"))
     several = kinds.where("kinds > 1").select("cluster", F.col("most.class").alias("main"), "texts")
-    return stored(join_counted(placed, several, ["cluster"], "texts", n_reps).select("rep", "cluster", "class", "n", (F.col("class") != F.col("main")).alias("out")), "several")
+    return stored(join_counted(placed, several, ["cluster"], "texts", n_reps, most=most).select("rep", "cluster", "class", "n", (F.col("class") != F.col("main")).alias("out")), "several")
 
 
-def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_keys: int, numerator: int, denominator: int) -> DataFrame:
+def _delegates_linked(keys: DataFrame, placed: DataFrame, sets: DataFrame, turn: int, n_keys: int, most: int, numerator: int, denominator: int) -> DataFrame:
     """(a, b, class_a, class_b): links between classes. In each bucket a class sends one of its texts, by a hash, and those
-    are compared with one of them all."""
+    are compared with one of them all. most: texts of the largest cluster, in which each bucket is."""
     own = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep")
     sent = keys.join(placed.select("rep", "class"), "rep").groupBy("key", "class").agg(F.min(own).alias("d"))
     hubs = sent.groupBy("key").agg(F.min(F.struct("d", "class")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    met = join_counted(sent, hubs, ["key"], "m", n_keys // 10).where(F.col("class") != F.col("hub.class"))
+    met = join_counted(sent, hubs, ["key"], "m", n_keys // 10, most=most).where(F.col("class") != F.col("hub.class"))
     pairs = met.select(F.col("d.rep").alias("a"), F.col("hub.d.rep").alias("b"), F.col("class").alias("class_a"), F.col("hub.class").alias("class_b")).distinct()
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -270,12 +271,14 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int
         made.append(stored(df, name) if name else df)
         return made[-1]
 
-    n_reps, n_keys = reps.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    n_reps, n_keys, most_copies = reps.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     keys = reps.select("rep", F.explode("keys").alias("key"))
     hubs = own(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
-    shared = join_counted(with_ids_of(keys, "key", hubs, "key"), hubs, ["key"], "m", n_keys).where("rep <> hub")  # most keys are of one text alone
+    shared = join_counted(with_ids_of(keys, "key", hubs, "key"), hubs, ["key"], "m", n_keys, most=hubs.agg(F.max("m")).first()[0] or 0).where("rep <> hub")  # most keys are of one text alone
     stars = own(shared.groupBy("rep", "hub").agg(F.count("*").alias("keys")), "stars")
     clusters = own(own(connected_components(stars, "rep", "hub")).withColumnRenamed("node", "rep"), "clusters")
+    # texts of the largest cluster: hubs, classes and buckets lie in one cluster each, so none of them has more
+    most = clusters.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     texts = with_ids_of(plain, "doc_id", clusters, "rep").join(clusters.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
     sets = own(texts.mapInPandas(_setter(shingle_words), "rep long, shingles array<long>"), "sets")
 
@@ -283,7 +286,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int
     best = stars.groupBy("rep").agg(F.max(F.struct("keys", (-F.col("hub")).alias("hub"))).alias("best")).select("rep", (-F.col("best.hub")).alias("hub"))
     sized = best.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep")
     spokes = _blocks_of(sized, "hub", "n")
-    members = join_counted(sized, spokes, ["hub"], "texts", n_reps).select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    members = join_counted(sized, spokes, ["hub"], "texts", n_reps, most=most).select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     members = members.join(sets, "rep").select("rep", "hub", "block", F.lit(1).alias("side"), "shingles")
     centres = spokes.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets, "rep").select("rep", "hub", "block", F.lit(0).alias("side"), "shingles")
     dealt = members.unionAll(centres).repartition("hub", "block").sortWithinPartitions("hub", "block", "side")
@@ -293,33 +296,34 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, keys_of, bands: int
     # groups of several classes: those that link with each other become one, and the rest is compared block by block
     placed = clusters.join(classes, "rep", "left").select("rep", F.col("component").alias("cluster"), F.coalesce("class", "rep").alias("class"))
     placed = own(placed.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep"), "placed")
-    left, links, kinds = own(_several(placed, n_reps)), near, None
+    left, links, kinds = own(_several(placed, n_reps, most)), near, None
     held = own(keys.join(left.select("rep").distinct(), "rep", "left_semi"), "left-keys")
     for turn in range(bands):
         before, kinds = kinds, left.select("cluster", "class").distinct().count()
         if not kinds or (before and kinds > (1 - MERGED) * before):
             break
-        more = own(_delegates_linked(held.where(F.pmod("key", F.lit(max(1, bands // 4))) == turn % max(1, bands // 4)), left, sets, turn, n_keys, numerator, denominator))
+        more = own(_delegates_linked(held.where(F.pmod("key", F.lit(max(1, bands // 4))) == turn % max(1, bands // 4)), left, sets, turn, n_keys, most, numerator, denominator))
         merged = own(connected_components(more, "class_a", "class_b")).select(F.col("node").alias("class"), "component")
-        left = own(_several(own(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps))
+        left = own(_several(own(left.join(merged, "class", "left").select("rep", "cluster", F.coalesce("component", "class").alias("class"), "n"), "placed"), n_reps, most))
         links = links.unionAll(more.select("a", "b"))
-    left = own(left.select("rep", "cluster", "n", "out"), "left")
-    both = _blocks_of(left, "cluster", "n").withColumnRenamed("blocks", "q_blocks")
-    both = both.join(_blocks_of(left.where("out"), "cluster", "n").select("cluster", F.col("blocks").alias("p_blocks")), "cluster")
-    dealt_left = join_counted(left, both, ["cluster"], "texts", n_reps)
-    dealt_to = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    ps = dealt_left.where("out").select("rep", "cluster", dealt_to("p_blocks").alias("p"), every("q_blocks").alias("q"), F.lit(0).alias("block"))
-    qs = dealt_left.select("rep", "cluster", every("p_blocks").alias("p"), dealt_to("q_blocks").alias("q"), F.lit(1).alias("block"))
-    paired = ps.unionByName(qs).join(sets, "rep").select("rep", "cluster", "p", "q", "block", "shingles")
-    grouped = paired.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
-    far = grouped.mapInPandas(_verifier(numerator, denominator), "a long, b long")
-    links = links.unionAll(far)
+    if kinds:  # else every group is one class, and no text is left to compare
+        left = own(left.select("rep", "cluster", "n", "out"), "left")
+        both = _blocks_of(left, "cluster", "n").withColumnRenamed("blocks", "q_blocks")
+        both = both.join(_blocks_of(left.where("out"), "cluster", "n").select("cluster", F.col("blocks").alias("p_blocks")), "cluster")
+        dealt_left = join_counted(left, both, ["cluster"], "texts", n_reps, most=most)
+        dealt_to = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+        ps = dealt_left.where("out").select("rep", "cluster", dealt_to("p_blocks").alias("p"), every("q_blocks").alias("q"), F.lit(0).alias("block"))
+        qs = dealt_left.select("rep", "cluster", every("p_blocks").alias("p"), dealt_to("q_blocks").alias("q"), F.lit(1).alias("block"))
+        paired = ps.unionByName(qs).join(sets, "rep").select("rep", "cluster", "p", "q", "block", "shingles")
+        grouped = paired.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+        far = grouped.mapInPandas(_verifier(numerator, denominator), "a long, b long")
+        links = links.unionAll(far)
     parts = connected_components(links, "a", "b")
     discard(*made)
     found = parts.select(F.col("node").alias("rep"), "component")
     named = reps.select(*digest, "rep", "copies").join(found, "rep", "left").select(*digest, "copies", F.coalesce("component", "rep").alias("component_id"))
-    out = join_counted(signed.select("doc_id", *digest), named, digest, "copies", signed.count(), "left")
+    out = join_counted(signed.select("doc_id", *digest), named, digest, "copies", signed.count(), "left", most=most_copies)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
